@@ -46,6 +46,12 @@ _CELLS_PER_CHUNK = 4_000_000  # query x item distances held at once in a task
 # numpy kernel
 # --------------------------------------------------------------------------
 
+def _round6(d: np.ndarray) -> np.ndarray:
+    """Round non-negative values to 6 decimals, halves away from zero (as
+    SQL ``round`` does; numpy's own rounding sends halves to even)."""
+    return np.floor(d * 1e6 + 0.5) / 1e6
+
+
 def _rank_within(keys: np.ndarray) -> np.ndarray:
     """0-based position of each element inside its run of equal sorted keys."""
     n = len(keys)
@@ -90,7 +96,7 @@ def block_topk(q_mat: np.ndarray, x_ids: np.ndarray, x_mat: np.ndarray, k: int,
         stop = min(nq, start + chunk)
         with np.errstate(divide="ignore", invalid="ignore"):
             d = 1.0 - (q_mat[start:stop] @ x_mat.T) / (q_norm[start:stop, None] * x_norm[None, :])
-        d = np.round(np.maximum(d, 0.0), 6)
+        d = _round6(np.maximum(d, 0.0))
         d[:, bad_x] = np.inf
         d[~(q_norm[start:stop] > 0), :] = np.inf
         if allowed is not None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.vectors import round6, score_halved, score_inverse
+from vitrine.functions.vectors import score_halved, score_inverse
 from vitrine.operators.embed import query_vectors
 from vitrine.operators.knn import similarity_topk
 
@@ -79,8 +79,8 @@ def _results(hits: DataFrame, catalog: DataFrame) -> DataFrame:
                     F.coalesce("category", F.lit("")).alias("category"),
                     F.coalesce("price", F.lit(0.0)).alias("price"),
                     F.col("distance"),
-                    round6(score_inverse(F.col("distance"))).alias("score"),
-                    round6(score_halved(F.col("distance"))).alias("similarity")))
+                    score_inverse(F.col("distance")).alias("score"),
+                    score_halved(F.col("distance")).alias("similarity")))
 
 
 def search_text(catalog: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,

@@ -19,7 +19,7 @@ from vitrine.functions.vectors import (cosine_distance, l2_norm, round6, score_h
 from vitrine.operators import analytics, clean, embed, knn, recommend
 from vitrine.plans import build as build_plan
 from vitrine.plans.sql_parts import (AFF, EVENTS, INTER, PROD, PRODUCT_TEXT, PROF, RAW, TOP,
-                                     TOKENS_SQL, hashed_terms, product_norms)
+                                     IMAGE_DIM_SQL, TOKENS_SQL, hashed_terms, product_norms)
 from vitrine.schemas import PRODUCTS
 from vitrine.session import scratch_path
 from vitrine.sources import files, tables
@@ -29,7 +29,7 @@ ORACLE: dict[str, str] = {}
 
 # Fixed parameters of the point queries and the k of each search.
 LOOKUP_PRODUCT_ID = 1
-RECOMMEND_USER_ID = 2
+RECOMMEND_USER_ID = 28  # a user with history at every test scale
 KNN_QUERY_VEC_ID = 0
 KNN_K = 5
 SEARCH_K = 10
@@ -317,14 +317,14 @@ pairs AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM pairs)
 SELECT query_id, item_id, distance, rank,
-       round(1 / (1 + distance), 6) AS score, round(1 - distance / 2, 6) AS similarity
+       1 / (1 + distance) AS score, 1 - distance / 2 AS similarity
 FROM ranked WHERE rank <= {k}"""
 
 
 def _with_scores(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "item_id", "distance", "rank",
-                       round6(score_inverse(F.col("distance"))).alias("score"),
-                       round6(score_halved(F.col("distance"))).alias("similarity"))
+                       score_inverse(F.col("distance")).alias("score"),
+                       score_halved(F.col("distance")).alias("similarity"))
 
 
 @register("knn_batch", _knn_sql(KNN_K))
@@ -415,7 +415,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY distance, product_id) AS rank FROM cand)
 SELECT query_text, rank, product_id, coalesce(title, '') AS title, coalesce(category, '') AS category,
        coalesce(price, 0.0) AS price, distance,
-       round(1 / (1 + distance), 6) AS score, round(1 - distance / 2, 6) AS similarity
+       1 / (1 + distance) AS score, 1 - distance / 2 AS similarity
 FROM ranked WHERE rank <= {SEARCH_K}"""
 
 
@@ -453,7 +453,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY profile_text ORDER BY distance, product_id) AS rank FROM cand)
 SELECT u.user_id, u.profile_text, r.rank, r.product_id, coalesce(r.title, '') AS title,
        coalesce(r.category, '') AS category, coalesce(r.price, 0.0) AS price, r.distance,
-       round(1 / (1 + r.distance), 6) AS score, round(1 - r.distance / 2, 6) AS similarity
+       1 / (1 + r.distance) AS score, 1 - r.distance / 2 AS similarity
 FROM prof u JOIN ranked r ON r.profile_text = u.profile_text WHERE r.rank <= {RECOMMEND_K}"""
 
 
@@ -479,20 +479,49 @@ def _build(spark, sf):
                             tables.image_vectors(spark, sf), image_dim(spark, sf))
 
 
-@register("catalog_build")
+RAW_CLEAN = """
+valid AS (SELECT * FROM classified WHERE reason IS NULL),
+rawclean AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY product_id) AS rn FROM valid)
+  WHERE rn = 1)"""
+
+
+@register("catalog_build", _with(RAW, RAW_CLEAN, INTER) + """
+SELECT 'clean' AS step, 'products_clean' AS "table", count(*) AS n_rows FROM rawclean
+UNION ALL SELECT 'embed', 'vectors', count(*) FROM rawclean
+UNION ALL SELECT 'tables', 'products', count(*) FROM rawclean
+UNION ALL SELECT 'tables', 'interactions', count(*) FROM inter
+UNION ALL SELECT 'tables', 'users', count(DISTINCT user_id) FROM inter""")
 def catalog_build(spark, sf):
     """Runs clean -> embed -> vector table -> tables; rows read back per table."""
     _, audit = _build(spark, sf)
     return audit
 
 
-@register("table_status")
+@register("table_status", _with(RAW, RAW_CLEAN, INTER) + """
+SELECT 'products' AS "table", count(*) AS n_rows, count(*) FILTER (WHERE product_id IS NULL) AS n_null_keys,
+       CAST(0 AS BIGINT) AS n_orphans, count(*) > 0 AND count(*) FILTER (WHERE product_id IS NULL) = 0 AS ready
+FROM rawclean
+UNION ALL
+SELECT 'vectors', count(*), 0, 0, count(*) > 0 FROM rawclean
+UNION ALL
+SELECT 'interactions', count(*), count(*) FILTER (WHERE product_id IS NULL),
+       count(*) FILTER (WHERE product_id NOT IN (SELECT product_id FROM rawclean)),
+       count(*) > 0 AND count(*) FILTER (WHERE product_id IS NULL) = 0
+FROM inter
+UNION ALL
+SELECT 'users', count(DISTINCT user_id), 0, 0, count(DISTINCT user_id) > 0 FROM inter""")
 def table_status(spark, sf):
     out, _ = _build(spark, sf)
     return build_plan.table_status(spark, out)
 
 
-@register("vector_table")
+@register("vector_table", _with(PROD, hashed_terms("pt", "prod", "product_id", PRODUCT_TEXT),
+                               product_norms().strip("\n")) + f"""
+SELECT CAST(p.product_id AS VARCHAR) AS id, p.product_id, p.title, p.category, p.price,
+       concat_ws(' ', coalesce(p.title, ''), coalesce(p.category, '')) AS document,
+       round(pn.nrm, 6) AS norm, CAST({TEXT_DIM} + {IMAGE_DIM_SQL} AS BIGINT) AS dim
+FROM prod p JOIN pn ON pn.product_id = p.product_id""")
 def vector_table(spark, sf):
     vecs, _ = catalog_vectors(spark, sf)
     path = scratch_path(spark, "vector-table")
