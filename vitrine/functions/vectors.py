@@ -1,8 +1,8 @@
 """Vector column functions, all JVM-side (higher-order array functions).
 
-Vectors are ``array<float>`` columns. Arithmetic is done in double. A norm is
-always computed into its own column first and then referenced, so that it is
-not recomputed inside a per-element lambda.
+Vectors are ``array<float>`` columns. Arithmetic is done in double. No
+per-element lambda refers to a row-level expression (such as a norm): the
+optimizer may inline it there and recompute it for every element.
 """
 
 from __future__ import annotations
@@ -35,12 +35,17 @@ def l2_norm(a: Column) -> Column:
 
 
 def scale(a: Column, norm: Column, eps: float = EPS, as_float: bool = True) -> Column:
-    """``a / (norm + eps)`` element-wise; ``norm`` should be a column reference.
-    The result is ``array<float>`` (storage) or ``array<double>``."""
-    def one(x):
-        v = x.cast("double") / (norm + F.lit(eps))
+    """``a / (norm + eps)`` element-wise, as ``array<float>`` (storage) or
+    ``array<double>``.
+
+    The divisor enters as a repeated argument, not as a reference inside
+    the lambda: the optimizer inlines projected columns, and a norm inlined
+    into a per-element lambda would be recomputed for every element.
+    """
+    def one(x, n):
+        v = x.cast("double") / (n + F.lit(eps))
         return v.cast("float") if as_float else v
-    return F.transform(a, one)
+    return F.zip_with(a, F.array_repeat(norm, F.size(a)), one)
 
 
 def with_unit_vector(df: DataFrame, vec: str, out: str = "unit_vec", norm_out: str = "norm",

@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,20 +232,24 @@ def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
                  .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qb_n")).cast("int"))
                  .withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("ib_n") - 1)))
                  .select("group", "ib", "qb", "query_id", "query_vec"))
-    def run(item_pdf: pd.DataFrame, query_pdf: pd.DataFrame) -> pd.DataFrame:
-        if item_pdf.empty or query_pdf.empty:
-            return pd.DataFrame({"query_id": query_pdf["query_id"].iloc[:0],
-                                 "item_id": item_pdf["item_id"].iloc[:0],
-                                 "distance": np.zeros(0)})
-        x_mat = np.stack(item_pdf["item_vec"].to_numpy()).astype(np.float64)
-        q_mat = np.stack(query_pdf["query_vec"].to_numpy()).astype(np.float64)
-        qi, ii, dd = block_topk(q_mat, item_pdf["item_id"].to_numpy(), x_mat, k)
-        return pd.DataFrame({"query_id": query_pdf["query_id"].to_numpy()[qi],
-                             "item_id": ii, "distance": dd})
-
+    q_type = to_arrow_type(schema["query_id"].dataType)
+    i_type = to_arrow_type(schema["item_id"].dataType)
+
+    def run(item_tab: pa.Table, query_tab: pa.Table) -> pa.Table:
+        if item_tab.num_rows == 0 or query_tab.num_rows == 0:
+            return pa.table({"query_id": pa.array([], q_type), "item_id": pa.array([], i_type),
+                             "distance": pa.array([], pa.float64())})
+        _, x_mat = _matrix(item_tab.column("item_vec"))
+        _, q_mat = _matrix(query_tab.column("query_vec"))
+        x_ids = item_tab.column("item_id").to_numpy()
+        qi, ii, dd = block_topk(q_mat, x_ids, x_mat, k)
+        return pa.table({"query_id": query_tab.column("query_id").take(pa.array(qi)),
+                         "item_id": pa.array(ii, i_type), "distance": pa.array(dd, pa.float64())})
+
+    # Arrow in and out: vectors reach numpy without per-row Python objects.
     hits = (items_b.groupBy("group", "ib", "qb")
             .cogroup(queries_b.groupBy("group", "ib", "qb"))
-            .applyInPandas(run, schema))
+            .applyInArrow(run, schema))
     return hits
 
 
@@ -309,25 +312,30 @@ def hyperplanes(dim: int, n_tables: int, n_bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n_tables, n_bits, dim))
 
 
-def lsh_buckets(vec: Column, planes: np.ndarray) -> Column:
-    """``array<long>`` of one bucket per table: bit j set when v.r_j >= 0."""
-    tables = []
-    for t in range(planes.shape[0]):
-        bits = []
-        for j in range(planes.shape[1]):
-            r = F.array(*[F.lit(float(x)) for x in planes[t, j]])
-            proj = F.aggregate(F.zip_with(vec, r, lambda a, b: a.cast("double") * b),
-                               F.lit(0.0), lambda acc, v: acc + v)
-            bits.append(F.when(proj >= 0, F.lit(1 << j)).otherwise(F.lit(0)))
-        code = bits[0]
-        for b in bits[1:]:
-            code = code + b
-        tables.append(code.cast("long"))
-    return F.array(*tables)
+def with_lsh_buckets(df: DataFrame, vec: str, planes: np.ndarray, out: str = "buckets") -> DataFrame:
+    """Add ``array<long>``: one bucket per hash table, bit j set when
+    v.r_j >= 0. One matrix product per Arrow batch; rows with a null vector
+    get a null array."""
+    n_tables, n_bits, dim = planes.shape
+    flat = planes.reshape(n_tables * n_bits, dim).T.copy()   # (dim, tables*bits)
+    weights = (1 << np.arange(n_bits, dtype=np.int64))
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok, mat = _matrix(batch.column(vec), dim)
+            codes = ((mat @ flat) >= 0).reshape(-1, n_tables, n_bits).astype(np.int64) @ weights
+            offsets = np.full(batch.num_rows + 1, 0, dtype=np.int32)
+            offsets[1:] = np.cumsum(np.where(ok, n_tables, 0))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1), pa.int64()),
+                                             mask=pa.array(~ok))
+            yield pa.RecordBatch.from_arrays(batch.columns + [lists], names=batch.schema.names + [out])
+
+    return df.mapInArrow(run, schema)
 
 
 def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
-             n_tables: int = 6, n_bits: int = 6, seed: int = 7,
+             n_tables: int = 10, n_bits: int = 4, seed: int = 7,
              item_id: str = "item_id", item_vec: str = "item_vec",
              query_id: str = "query_id", query_vec: str = "query_vec",
              block_rows: int = BLOCK_ROWS, query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
@@ -340,16 +348,14 @@ def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
     remain. Recall is below 1 and grows with ``n_tables``.
     """
     planes = hyperplanes(dim, n_tables, n_bits, seed)
-    it = (items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"))
-          .filter(F.col("item_vec").isNotNull())
-          .withColumn("b", lsh_buckets(F.col("item_vec"), planes))
+    it = (with_lsh_buckets(items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"))
+                           .filter(F.col("item_vec").isNotNull()), "item_vec", planes, "b")
           .select("item_id", "item_vec",
                   F.posexplode("b").alias("t", "bucket"))
           .select("item_id", "item_vec",
                   (F.col("t").cast("long") * F.lit(1 << n_bits) + F.col("bucket")).alias("group")))
-    qs = (queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-          .filter(F.col("query_vec").isNotNull())
-          .withColumn("b", lsh_buckets(F.col("query_vec"), planes))
+    qs = (with_lsh_buckets(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
+                           .filter(F.col("query_vec").isNotNull()), "query_vec", planes, "b")
           .select("query_id", "query_vec",
                   F.transform("b", lambda x, t: t.cast("long") * F.lit(1 << n_bits) + x).alias("allowed")))
     hits = _blocked_path(it, qs, k, True, block_rows, query_block_rows)
