@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.vectors import score_halved, score_inverse
 from vitrine.operators.embed import query_vectors
 from vitrine.operators.knn import similarity_topk
+from vitrine.session import materialize
 
 TOP_CATEGORIES = 3  # fixed value: categories kept per user
 DEFAULT_K = 10      # fixed value: default number of results
@@ -106,8 +107,9 @@ def recommend_all(interactions: DataFrame, catalog: DataFrame, k: int = DEFAULT_
     """
     profiles = user_profiles(top_categories(category_affinity(interactions, catalog)))
     # A profile is keyed by its ordered category list (names may hold spaces,
-    # so the joined text alone is not a key).
-    profiles = profiles.withColumn("profile_key", F.to_json("categories"))
+    # so the joined text alone is not a key). Profiles are read twice (the
+    # distinct queries, the join back to users): computed once.
+    profiles = materialize(profiles.withColumn("profile_key", F.to_json("categories")))
     distinct_profiles = profiles.select("profile_key", "categories", "profile_text").distinct()
     qv = query_vectors(distinct_profiles, "profile_text", image_dim)
     hits = similarity_topk(catalog, qv, k, item_id="product_id", item_vec="vector",

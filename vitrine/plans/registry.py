@@ -21,7 +21,7 @@ from vitrine.plans import build as build_plan
 from vitrine.plans.sql_parts import (AFF, EVENTS, INTER, PROD, PRODUCT_TEXT, PROF, RAW, TOP,
                                      IMAGE_DIM_SQL, TOKENS_SQL, hashed_terms, product_norms)
 from vitrine.schemas import PRODUCTS
-from vitrine.session import scratch_path
+from vitrine.session import materialize, scratch_path
 from vitrine.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,9 +65,13 @@ def image_dim(spark: SparkSession, sf: str) -> int:
     return int(row["d"]) if row else 0
 
 
-def catalog_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+def catalog_vectors(spark: SparkSession, sf: str, reuse: bool = False) -> tuple[DataFrame, int]:
+    """Catalogue with [text, image] vectors. ``reuse`` materialises it once
+    for queries that read it several times (k-NN items, result fields,
+    affinity)."""
     dim = image_dim(spark, sf)
-    return embed.product_vectors(catalog(spark, sf), tables.image_vectors(spark, sf), dim), dim
+    vecs = embed.product_vectors(catalog(spark, sf), tables.image_vectors(spark, sf), dim)
+    return (materialize(vecs) if reuse else vecs), dim
 
 
 # --------------------------------------------------------------------------
@@ -423,7 +427,7 @@ FROM ranked WHERE rank <= {SEARCH_K}"""
 def search_text(spark, sf):
     """Batch text search: every distinct part name is a query over the
     catalogue's [hashed text, image] vectors."""
-    vecs, dim = catalog_vectors(spark, sf)
+    vecs, dim = catalog_vectors(spark, sf, reuse=True)
     queries = tables.read_table(spark, sf, "part").select(F.col("p_name").alias("query_text"))
     return recommend.search_text(vecs, queries, SEARCH_K, image_dim=dim)
 
@@ -459,13 +463,13 @@ FROM prof u JOIN ranked r ON r.profile_text = u.profile_text WHERE r.rank <= {RE
 
 @register("recommend_all", _recommend_sql())
 def recommend_all(spark, sf):
-    vecs, dim = catalog_vectors(spark, sf)
+    vecs, dim = catalog_vectors(spark, sf, reuse=True)
     return recommend.recommend_all(tables.interactions(spark, sf), vecs, RECOMMEND_K, image_dim=dim)
 
 
 @register("recommend_user", _recommend_sql(f" WHERE o.o_custkey = {RECOMMEND_USER_ID}"))
 def recommend_user(spark, sf):
-    vecs, dim = catalog_vectors(spark, sf)
+    vecs, dim = catalog_vectors(spark, sf, reuse=True)
     return recommend.recommend_user(tables.interactions(spark, sf), vecs, RECOMMEND_USER_ID,
                                     RECOMMEND_K, image_dim=dim)
 
