@@ -36,9 +36,10 @@ def interaction_type_share(log: DataFrame) -> DataFrame:
     """Share of all interactions per type (the pie chart)."""
     typed = log.filter(F.col("interaction_type").isNotNull())
     counts = typed.groupBy("interaction_type").agg(F.count(F.lit(1)).alias("count"))
-    # The total is a scalar subquery (its own small job), so the shares need
-    # neither a join nor a single-partition window.
-    total = typed.select(F.count(F.lit(1))).scalar()
+    # The total is a scalar subquery over the per-type counts: it reuses the
+    # counts' shuffle (one scan of the log) and needs neither a join nor a
+    # single-partition window.
+    total = counts.select(F.sum("count")).scalar()
     return counts.withColumn("share", F.round(F.col("count") / total, 6))
 
 

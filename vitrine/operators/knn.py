@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,13 @@ from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_MASK = 50_000_000   # queries x allowed groups in the broadcast filter
+MAX_PUSHED_GROUPS = 10_000        # largest IN list put in front of the item scan
+# Blocks of the blocked path: items are replicated ceil(queries / QUERY_BLOCK_ROWS)
+# times and queries ceil(items / BLOCK_ROWS) times; one task holds one block
+# of each (about 72 MB per side at 448 dimensions in float64).
 BLOCK_ROWS = 20_000
-QUERY_BLOCK_ROWS = 2_000
+QUERY_BLOCK_ROWS = 20_000
 _CELLS_PER_CHUNK = 4_000_000  # query x item distances held at once in a task
 
 
@@ -160,7 +166,13 @@ def _broadcast_path(items: DataFrame, qtable: pa.Table, k: int, grouped: bool) -
         for r, gl in enumerate(groups):
             for g in gl or []:
                 allowed_codes[r, codes[g]] = True
-        items = items.filter(F.col("group").isin(list(codes)) if codes else F.lit(False))
+        # Skip items of groups no query allows, before any vector reaches
+        # Python (an IN list Spark can push down; for very many groups the
+        # mask in the kernel filters alone).
+        if not codes:
+            items = items.filter(F.lit(False))
+        elif len(codes) <= MAX_PUSHED_GROUPS:
+            items = items.filter(F.col("group").isin(list(codes)))
     payload = spark.sparkContext.broadcast((q_ids, q_mat, allowed_codes, codes))
     cols = ["item_id", "item_vec"] + (["group"] if grouped else [])
     item_type = to_arrow_type(schema["item_id"].dataType)
@@ -286,7 +298,8 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
         probe = qs.limit(max_broadcast_queries + 1).toArrow()
         dim = _first_dim(probe)
         fits = (probe.num_rows <= max_broadcast_queries
-                and probe.num_rows * max(dim, 1) * 8 <= MAX_BROADCAST_BYTES)
+                and probe.num_rows * max(dim, 1) * 8 <= MAX_BROADCAST_BYTES
+                and (not grouped or probe.num_rows * (_n_groups(probe) + 1) <= MAX_BROADCAST_MASK))
         if fits:
             hits = _broadcast_path(it, probe, k, grouped)
             return _final_topk(hits, k)
@@ -296,6 +309,12 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
     return _final_topk(hits, k)
 
 
+def _n_groups(table: pa.Table) -> int:
+    """Distinct allowed groups over the probed queries."""
+    col = table.column("allowed").combine_chunks()
+    return len(pa.compute.unique(col.flatten())) if table.num_rows else 0
+
+
 def _first_dim(table: pa.Table) -> int:
     if table.num_rows == 0:
         return 0

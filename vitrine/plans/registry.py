@@ -352,11 +352,12 @@ def knn_filtered(spark, sf):
 @register("knn_blocked", _knn_sql(KNN_K))
 def knn_blocked(spark, sf):
     """The batch k-NN through the blocked (any-size) path, with blocks small
-    enough that every group is cut into several item and query blocks."""
+    enough that the test tables are cut into several item and query blocks
+    (2 x 2 at 500 vectors, 8 x 8 at 2,000)."""
     vec = tables.vectors(spark, sf)
     hits = knn.similarity_topk(vec, vec, KNN_K, item_id="vec_id", item_vec="embedding",
                                query_id="vec_id", query_vec="embedding", strategy="blocked",
-                               block_rows=64, query_block_rows=32)
+                               block_rows=250, query_block_rows=250)
     return _with_scores(hits)
 
 
