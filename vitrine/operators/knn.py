@@ -226,21 +226,31 @@ def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
     schema = _hit_schema(queries, items)
     if grouped:
         qx = queries.select("query_id", "query_vec", F.explode("allowed").alias("group"))
+        items = items.select("item_id", "item_vec", "group")
+        n_items = items.groupBy("group").agg(F.count(F.lit(1)).alias("n_items"))
+        n_queries = qx.groupBy("group").agg(F.count(F.lit(1)).alias("n_queries"))
+        blocks = (n_items.join(n_queries, "group")
+                  .select("group",
+                          F.ceil(F.col("n_items") / F.lit(block_rows)).cast("int").alias("ib_n"),
+                          F.ceil(F.col("n_queries") / F.lit(query_block_rows)).cast("int").alias("qb_n")))
+        items_j = items.join(blocks, "group")
+        queries_j = qx.join(blocks, "group")
     else:
-        qx = queries.select("query_id", "query_vec", F.lit(0).alias("group"))
-        items = items.withColumn("group", F.lit(0))
-    items = items.select("item_id", "item_vec", "group")
-    n_items = items.groupBy("group").agg(F.count(F.lit(1)).alias("n_items"))
-    n_queries = qx.groupBy("group").agg(F.count(F.lit(1)).alias("n_queries"))
-    blocks = (n_items.join(n_queries, "group")
-              .select("group",
-                      F.ceil(F.col("n_items") / F.lit(block_rows)).cast("int").alias("ib_n"),
-                      F.ceil(F.col("n_queries") / F.lit(query_block_rows)).cast("int").alias("qb_n")))
-    items_b = (items.join(blocks, "group")
+        # One group: block counts are scalar subqueries, not a join on a
+        # constant key (which would plan as a nested-loop join).
+        items_j = items.select("item_id", "item_vec", F.lit(0).alias("group"))
+        queries_j = queries.select("query_id", "query_vec", F.lit(0).alias("group"))
+        n_items = items_j.select(F.count(F.lit(1))).scalar()
+        n_queries = queries_j.select(F.count(F.lit(1))).scalar()
+        items_j = items_j.withColumn("ib_n", F.ceil(n_items / F.lit(block_rows)).cast("int")) \
+                         .withColumn("qb_n", F.ceil(n_queries / F.lit(query_block_rows)).cast("int"))
+        queries_j = queries_j.withColumn("ib_n", F.ceil(n_items / F.lit(block_rows)).cast("int")) \
+                             .withColumn("qb_n", F.ceil(n_queries / F.lit(query_block_rows)).cast("int"))
+    items_b = (items_j
                .withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("ib_n")).cast("int"))
                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_n") - 1)))
                .select("group", "ib", "qb", "item_id", "item_vec"))
-    queries_b = (qx.join(blocks, "group")
+    queries_b = (queries_j
                  .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qb_n")).cast("int"))
                  .withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("ib_n") - 1)))
                  .select("group", "ib", "qb", "query_id", "query_vec"))
