@@ -26,22 +26,22 @@ DUPLICATE_TITLE = "duplicate_title"
 
 
 def _typed(raw: DataFrame, id_type: str | None) -> DataFrame:
-    """Null out missing tokens in text fields and type the numeric ones."""
-    out = raw.withColumn("price_text", F.col("price").cast("string"))
-    for f in raw.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            out = out.withColumn(f.name, missing_as_null(F.col(f.name)))
-    price = F.col("price")
-    if isinstance(raw.schema["price"].dataType, T.StringType):
-        price = parse_number(price, "double")
-    out = out.withColumn("price_value", price.cast("double"))
-    if "rating" in raw.columns and isinstance(raw.schema["rating"].dataType, T.StringType):
-        out = out.withColumn("rating", parse_number(F.col("rating"), "double"))
-    if "num_reviews" in raw.columns and isinstance(raw.schema["num_reviews"].dataType, T.StringType):
-        out = out.withColumn("num_reviews", parse_number(F.col("num_reviews"), "int"))
-    if id_type is not None:
-        out = out.withColumn("product_id", F.col("product_id").try_cast(id_type))
-    return out
+    """Null out missing tokens in text fields and type the numeric ones
+    (one projection)."""
+    types = dict((f.name, f.dataType) for f in raw.schema.fields)
+    is_text = {n: isinstance(t, T.StringType) for n, t in types.items()}
+    cols = []
+    for name in raw.columns:
+        c = missing_as_null(F.col(name)) if is_text[name] else F.col(name)
+        if name in ("rating", "num_reviews") and is_text[name]:
+            c = parse_number(F.col(name), "double" if name == "rating" else "int")
+        elif name == "product_id" and id_type is not None:
+            c = F.col(name).try_cast(id_type)
+        cols.append(c.alias(name))
+    price = parse_number(F.col("price"), "double") if is_text["price"] else F.col("price")
+    cols.append(F.col("price").cast("string").alias("price_text"))
+    cols.append(price.cast("double").alias("price_value"))
+    return raw.select(*cols)
 
 
 def classify(raw: DataFrame, id_type: str | None = "long") -> DataFrame:

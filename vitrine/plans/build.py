@@ -22,8 +22,6 @@ from vitrine.schemas import PRODUCT_COLUMNS
 from vitrine.session import scratch_path
 from vitrine.sources.files import read_parquet, write_parquet
 
-VECTOR_WRITE_SPREAD = 8  # files per category, so a hot category is written by several tasks
-
 
 @dataclass
 class BuildOutput:
@@ -52,20 +50,20 @@ class BuildOutput:
 
 def vector_table(catalog_vectors: DataFrame) -> DataFrame:
     """Rows of the vector collection: id, metadata, document text, the unit
-    vector and its original norm, plus a write spread key."""
+    vector and its original norm."""
     v = with_unit_vector(catalog_vectors, "vector", "unit_vector", "norm")
     return v.select(
         F.col("product_id").cast("string").alias("id"),
         "product_id", "title", "category", F.col("price").cast("double").alias("price"),
-        F.col("text").alias("document"), "vector", "unit_vector", "norm",
-        F.pmod(F.xxhash64("product_id"), F.lit(VECTOR_WRITE_SPREAD)).alias("spread"))
+        F.col("text").alias("document"), "vector", "unit_vector", "norm")
 
 
 def write_vector_table(table: DataFrame, path: str) -> None:
     """Replace the collection: one overwrite, laid out by category so a
-    category filter prunes files; each category is spread over several
-    writer tasks."""
-    (table.repartition("category", "spread").drop("spread")
+    category filter prunes files. The rebalance hint clusters rows by
+    category and lets AQE split a hot category over several writer tasks
+    and merge small ones, so files stay near the advisory size."""
+    (table.hint("rebalance", "category")
      .write.mode("overwrite").partitionBy("category").parquet(path))
 
 
