@@ -14,10 +14,11 @@ MISSING_TOKENS = [
     "nan", "null",
 ]
 
-# Fixed value: the only numeric spellings accepted as a price (decimal,
-# exponent, infinity; optional sign and surrounding blanks). Spark's cast
-# alone would also accept forms such as '1d'.
-NUMERIC_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+# Fixed value: the only numeric spellings accepted as a price -- a decimal
+# with optional sign, exponent and surrounding blanks, or a signed infinity
+# without blanks (what pandas' to_numeric accepts). Spark's cast alone would
+# also accept forms such as '1d' or ' inf'.
+NUMERIC_PATTERN = r"(?i)^(\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*|[+-]?inf(inity)?)$"
 
 
 def missing_as_null(c: Column) -> Column:

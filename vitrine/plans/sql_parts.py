@@ -77,7 +77,7 @@ typed AS (
          {_txt('title')} AS title, {_txt('category')} AS category, {_txt('brand')} AS brand,
          price_text,
          {_txt('price_text')} AS price_present,
-         CASE WHEN regexp_matches(price_text, '^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\\s*$')
+         CASE WHEN regexp_matches(price_text, '^(\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*|[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?)$')
               THEN TRY_CAST(trim(price_text) AS DOUBLE) END AS price_value
   FROM raw),
 classified AS (
