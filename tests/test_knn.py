@@ -151,3 +151,15 @@ def test_broadcast_path_does_not_shuffle_items(vec):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan or "PythonMapInArrow" in plan
     assert plan.count("Exchange") <= 1   # only the final per-query rank
+
+
+def test_repeated_allowed_groups_do_not_repeat_hits(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i)], "a" if i % 2 else "b") for i in range(10)],
+                                  "item_id long, item_vec array<float>, grp string")
+    queries = spark.createDataFrame([("q", [1.0, 2.0], ["a", "a", "b", "a"])],
+                                    "query_id string, query_vec array<float>, allowed array<string>")
+    for strategy in ("broadcast", "blocked"):
+        got = as_dict(knn.similarity_topk(items, queries, 5, item_group="grp", query_allowed="allowed",
+                                          strategy=strategy, block_rows=3, query_block_rows=1))
+        ids = [i for _, i in got["q"]]
+        assert len(ids) == 5 and len(set(ids)) == 5, (strategy, got)

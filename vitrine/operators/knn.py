@@ -225,7 +225,8 @@ def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
                   block_rows: int, query_block_rows: int) -> DataFrame:
     schema = _hit_schema(queries, items)
     if grouped:
-        qx = queries.select("query_id", "query_vec", F.explode("allowed").alias("group"))
+        qx = queries.select("query_id", "query_vec",
+                            F.explode(F.array_distinct("allowed")).alias("group"))
         items = items.select("item_id", "item_vec", "group")
         n_items = items.groupBy("group").agg(F.count(F.lit(1)).alias("n_items"))
         n_queries = qx.groupBy("group").agg(F.count(F.lit(1)).alias("n_queries"))

@@ -546,7 +546,9 @@ def build_tables(spark, sf):
     inter = tables.interactions(spark, sf)
     files.write_parquet(prods, f"{root}/products")
     files.write_parquet(inter, f"{root}/interactions")
-    files.write_parquet(analytics.distinct_users(inter), f"{root}/users")
+    # users come from the interactions just written, not from a second join
+    written = files.read_parquet(spark, f"{root}/interactions")
+    files.write_parquet(analytics.distinct_users(written), f"{root}/users")
 
     def n(name):
         return files.read_parquet(spark, f"{root}/{name}").agg(
