@@ -109,7 +109,7 @@ def recommend_all(interactions: DataFrame, catalog: DataFrame, k: int = DEFAULT_
     # A profile is keyed by its ordered category list (names may hold spaces,
     # so the joined text alone is not a key). Profiles are read twice (the
     # distinct queries, the join back to users): computed once.
-    profiles = materialize(profiles.withColumn("profile_key", F.to_json("categories")))
+    profiles = materialize(profiles.withColumn("profile_key", F.to_json("categories")), "user-profiles")
     distinct_profiles = profiles.select("profile_key", "categories", "profile_text").distinct()
     qv = query_vectors(distinct_profiles, "profile_text", image_dim)
     hits = similarity_topk(catalog, qv, k, item_id="product_id", item_vec="vector",

@@ -71,7 +71,10 @@ def catalog_vectors(spark: SparkSession, sf: str, reuse: bool = False) -> tuple[
     affinity)."""
     dim = image_dim(spark, sf)
     vecs = embed.product_vectors(catalog(spark, sf), tables.image_vectors(spark, sf), dim)
-    return (materialize(vecs) if reuse else vecs), dim
+    if reuse:
+        vecs = materialize(vecs.select("product_id", "title", "category", "price", "vector"),
+                           "catalog-vectors")
+    return vecs, dim
 
 
 # --------------------------------------------------------------------------
