@@ -64,3 +64,22 @@ def test_parquet_keeps_vectors(spark):
     files.write_parquet(df, path)
     assert files.read_parquet(spark, path).first().v == [0.5, 0.25]
     assert dict(files.read_parquet(spark, path).dtypes)["v"] == "array<float>"
+
+
+def test_encoder_built_once_per_worker(spark):
+    """Tasks reuse the encoder their Python worker already built."""
+    df = spark.range(400).selectExpr("id", "cast(id as string) as text").repartition(40)
+
+    def make_encoder():
+        import os
+        import vitrine.operators.embed as e
+        e._test_builds = getattr(e, "_test_builds", 0) + 1
+        builds = e._test_builds
+        return lambda texts: np.array([[os.getpid(), builds]] * len(texts), dtype=np.float64)
+
+    rows = embed.model_vectors(df, "text", make_encoder, 2).select("text_vec").collect()
+    per_pid = {}
+    for r in rows:
+        pid, builds = int(r.text_vec[0]), int(r.text_vec[1])
+        per_pid.setdefault(pid, set()).add(builds)
+    assert all(b == {1} for b in per_pid.values()), per_pid

@@ -1,7 +1,7 @@
 """Catalogue and interaction statistics of the analytics page.
 
-Every metric is an aggregate over a pruned scan: only the columns it needs
-are read, and partial aggregation runs before each shuffle.
+Every metric reads a pruned scan (only the columns it needs); aggregates
+combine partially before each shuffle, and the recent-rows list is a top-n.
 """
 
 from __future__ import annotations

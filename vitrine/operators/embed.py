@@ -14,6 +14,7 @@ Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -75,6 +76,24 @@ def query_vectors(queries: DataFrame, text_col: str, image_dim: int,
     return q.withColumn("vector", concat_vectors(F.col("text_vec"), zero_vector(image_dim)))
 
 
+# Encoders built in this Python worker, by factory. Python workers are reused
+# across tasks, so a model is loaded once per worker, not once per task.
+_ENCODERS: dict[str, Callable] = {}
+
+
+def _factory_key(make_encoder: Callable) -> str:
+    """Stable key of a factory, computed on the driver from its pickle."""
+    from pyspark import cloudpickle
+    return hashlib.sha1(cloudpickle.dumps(make_encoder)).hexdigest()
+
+
+def _encoder(key: str, make_encoder: Callable) -> Callable:
+    enc = _ENCODERS.get(key)
+    if enc is None:
+        enc = _ENCODERS[key] = make_encoder()
+    return enc
+
+
 def model_vectors(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
                   dim: int, out: str = "text_vec") -> DataFrame:
     """Vectors from a caller's model, batched through Arrow.
@@ -83,12 +102,10 @@ def model_vectors(df: DataFrame, text_col: str, make_encoder: Callable[[], Calla
     function mapping a list of texts to an (n, dim) array.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out, FLOAT_VECTOR)])
-    cache: dict = {}
+    key = _factory_key(make_encoder)
 
     def run(batches):
-        enc = cache.get("enc")
-        if enc is None:
-            enc = cache["enc"] = make_encoder()
+        enc = _encoder(key, make_encoder)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             mat = np.asarray(enc(texts), dtype=np.float32).reshape(len(texts), dim)
@@ -109,12 +126,10 @@ def image_file_vectors(files: DataFrame, make_encoder: Callable[[], Callable[[li
         F.regexp_extract("path", r"([^/]+)\.[A-Za-z0-9]+$", 1).alias("product_id"), "content")
     schema = T.StructType([T.StructField("product_id", T.StringType()),
                            T.StructField("image_vec", FLOAT_VECTOR)])
-    cache: dict = {}
+    key = _factory_key(make_encoder)
 
     def run(batches):
-        enc = cache.get("enc")
-        if enc is None:
-            enc = cache["enc"] = make_encoder()
+        enc = _encoder(key, make_encoder)
         for pdf in batches:
             vecs = []
             for blob in pdf["content"]:
