@@ -33,3 +33,16 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["user_id", "category", "n", "rank"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["user_top_categories", "recommend_all", "clean_products",
+                                  "price_histogram", "knn_filtered"])
+def test_same_result_for_any_shuffle_partitioning(spark, name):
+    from oracle_check import canon
+    results = []
+    for n in (1, 4, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        df = entry.queries()[name](spark, SF_CHECK)
+        results.append(canon(df.columns, [tuple(r) for r in df.collect()]))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] == results[2]
