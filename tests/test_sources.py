@@ -49,6 +49,22 @@ def test_model_text_vectors_hook(spark):
     assert out == {1: [3.0, 1.0], 2: [0.0, 1.0]}
 
 
+def test_model_failure_sets_row_aside(spark):
+    df = spark.createDataFrame([(1, "ok"), (2, "boom"), (3, "fine")], "id long, text string")
+
+    def make_encoder():
+        def enc(texts):
+            if "boom" in texts:
+                raise RuntimeError("cannot embed")
+            return np.ones((len(texts), 2))
+        return enc
+
+    rows = {r.id: (r.text_vec, r.embed_error) for r in
+            embed.model_vectors(df.coalesce(1), "text", make_encoder, 2).collect()}
+    assert rows[1] == ([1.0, 1.0], None) and rows[3] == ([1.0, 1.0], None)
+    assert rows[2][0] is None and "cannot embed" in rows[2][1]
+
+
 def test_csv_round_trip_keeps_rows_and_nulls(spark):
     path = tempfile.mkdtemp(prefix="vitrine-csv-") + "/p"
     rows = [("1", "Lamp", None, "Home", "B", "9.5", None, "3"), ("2", "Desk, big", "d", "Home", None, "NA", "4.5", None)]

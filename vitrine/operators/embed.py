@@ -95,21 +95,37 @@ def _encoder(key: str, make_encoder: Callable) -> Callable:
 
 
 def model_vectors(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
-                  dim: int, out: str = "text_vec") -> DataFrame:
+                  dim: int, out: str = "text_vec", error_col: str = "embed_error") -> DataFrame:
     """Vectors from a caller's model, batched through Arrow.
 
     ``make_encoder()`` is called once per Python worker and returns a
-    function mapping a list of texts to an (n, dim) array.
+    function mapping a list of texts to an (n, dim) array. A batch the model
+    rejects is retried row by row; a row that still fails gets a null vector
+    and the error text in ``error_col`` (the job goes on, as the reference
+    skips rows it cannot embed), so callers can set such rows aside.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out, FLOAT_VECTOR)])
+    schema = T.StructType(df.schema.fields + [T.StructField(out, FLOAT_VECTOR),
+                                              T.StructField(error_col, T.StringType())])
     key = _factory_key(make_encoder)
 
+    def encode_one(enc, text):
+        try:
+            return np.asarray(enc([text]), dtype=np.float32).reshape(dim), None
+        except Exception as exc:  # noqa: BLE001 - the row is set aside with the reason
+            return None, f"{type(exc).__name__}: {exc}"[:500]
+
     def run(batches):
         enc = _encoder(key, make_encoder)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
-            mat = np.asarray(enc(texts), dtype=np.float32).reshape(len(texts), dim)
-            pdf[out] = list(mat)
+            try:
+                mat = np.asarray(enc(texts), dtype=np.float32).reshape(len(texts), dim)
+                vecs, errors = list(mat), [None] * len(texts)
+            except Exception:  # noqa: BLE001 - retry the batch row by row
+                pairs = [encode_one(enc, t) for t in texts]
+                vecs, errors = [p[0] for p in pairs], [p[1] for p in pairs]
+            pdf[out] = vecs
+            pdf[error_col] = errors
             yield pdf
 
     return df.mapInPandas(run, schema)
