@@ -386,12 +386,46 @@ def knn_single(spark, sf):
                                       F.col("vec_id").alias("item_id"), "distance", "rank"))
 
 
-@register("knn_lsh")
+# LSH parameters of the registered query; the oracle restates its buckets for
+# the 64-dimensional vectors of the test tables.
+LSH_TABLES, LSH_BITS, LSH_SEED, LSH_ORACLE_DIM = 10, 4, 7, 64
+
+
+def _lsh_sql() -> str:
+    planes = knn.hyperplanes(LSH_ORACLE_DIM, LSH_TABLES, LSH_BITS, LSH_SEED)
+    values = ",\n  ".join(
+        f"({t}, {j}, [{', '.join(repr(float(x)) for x in planes[t, j])}]::DOUBLE[])"
+        for t in range(LSH_TABLES) for j in range(LSH_BITS))
+    return _with(VEC) + f""",
+planes(tbl, bit, r) AS (VALUES
+  {values}),
+sig AS (
+  SELECT v.vec_id, p.tbl,
+         sum(CASE WHEN list_dot_product(v.e, p.r) >= 0 THEN (1 << p.bit) ELSE 0 END) AS bucket
+  FROM v, planes p GROUP BY 1, 2),
+cand AS (
+  SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS item_id
+  FROM sig a JOIN sig b ON a.tbl = b.tbl AND a.bucket = b.bucket),
+pairs AS (
+  SELECT c.query_id, c.item_id,
+         round(greatest(1 - list_dot_product(q.e, x.e) / (q.nrm * x.nrm), 0), 6) AS distance
+  FROM cand c JOIN v q ON q.vec_id = c.query_id JOIN v x ON x.vec_id = c.item_id
+  WHERE q.nrm > 0 AND x.nrm > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM pairs)
+SELECT query_id, item_id, distance, rank,
+       1 / (1 + distance) AS score, 1 - distance / 2 AS similarity
+FROM ranked WHERE rank <= {LSH_K}"""
+
+
+@register("knn_lsh", _lsh_sql())
 def knn_lsh(spark, sf):
-    """Approximate top-k by random-hyperplane LSH (rows only: approximate)."""
+    """Approximate top-k by random-hyperplane LSH: exact ranking among the
+    items that share a bucket with the query in any table."""
     vec = tables.vectors(spark, sf)
     dim = image_dim(spark, sf)
-    hits = knn.lsh_topk(vec, vec, LSH_K, dim=dim, item_id="vec_id", item_vec="embedding",
+    hits = knn.lsh_topk(vec, vec, LSH_K, dim=dim, n_tables=LSH_TABLES, n_bits=LSH_BITS,
+                        seed=LSH_SEED, item_id="vec_id", item_vec="embedding",
                         query_id="vec_id", query_vec="embedding")
     return _with_scores(hits)
 
