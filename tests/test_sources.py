@@ -5,7 +5,6 @@ import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from vitrine.operators import embed
 from vitrine.schemas import PRODUCTS, RAW_PRODUCTS

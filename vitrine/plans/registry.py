@@ -2,8 +2,9 @@
 
 ``QUERIES[name](spark, sf_dir)`` returns a DataFrame; ``ORACLE[name]`` is the
 same result written as DuckDB SQL over the raw tables. Every query reads
-whole tables. Computed columns carry the same names on both sides, and
-floating values are rounded to 6 decimals on both sides.
+whole tables. Computed columns carry the same names on both sides;
+distances and other computed floats are rounded to 6 decimals on both sides,
+and scores are derived from the rounded distance without further rounding.
 """
 
 from __future__ import annotations
