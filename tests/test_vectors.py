@@ -75,3 +75,14 @@ def test_no_row_expression_inside_element_lambda(spark):
     plan = u._jdf.queryExecution().optimizedPlan().toString()
     # the divisor reaches the lambda as a repeated argument
     assert "array_repeat" in plan
+
+
+def test_empty_texts_and_zero_vectors_do_not_fail(spark):
+    """Spark 4 runs with ANSI semantics: no bare division by a zero norm."""
+    from vitrine.operators import embed
+    df = spark.createDataFrame([(1, "Lamp lamp"), (2, ""), (3, None), (4, "!!")], "id long, t string")
+    terms = embed.hashed_terms(df, "id", "t").collect()
+    assert {r.id for r in terms} == {1} and [r.weight for r in terms] == [1.0]
+    z = spark.createDataFrame([([0.0, 0.0],)], "v array<float>")
+    r = vectors.with_unit_vector(z, "v", "u", "n", eps=0.0).first()
+    assert r.u == [0.0, 0.0] and r.n == 0.0

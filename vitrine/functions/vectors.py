@@ -43,7 +43,10 @@ def scale(a: Column, norm: Column, eps: float = EPS, as_float: bool = True) -> C
     into a per-element lambda would be recomputed for every element.
     """
     def one(x, n):
-        v = x.cast("double") / (n + F.lit(eps))
+        d = n + F.lit(eps)
+        # a zero vector (possible when eps is 0) stays zeros; under ANSI
+        # semantics a bare 0/0 would fail the job
+        v = F.when(d == 0, F.lit(0.0)).otherwise(x.cast("double") / d)
         return v.cast("float") if as_float else v
     return F.zip_with(a, F.array_repeat(norm, F.size(a)), one)
 
