@@ -55,9 +55,19 @@ def _with(*ctes: str) -> str:
 # shared inputs
 # --------------------------------------------------------------------------
 
-def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned, deduplicated catalogue (the served products table)."""
-    return clean.clean_products(tables.products(spark, sf))
+# Columns that decide whether a product is kept (and which copy).
+CORE_COLUMNS = ["product_id", "title", "category", "price"]
+
+
+def catalog(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
+    """Cleaned, deduplicated catalogue (the served products table).
+
+    Validity and dedup depend only on id, title, category and price, so
+    unless ``full`` is asked for, only those columns are read and carried
+    through the dedup aggregate (the others come out as typed nulls).
+    """
+    products = tables.products(spark, sf)
+    return clean.clean_products(products if full else products.select(*CORE_COLUMNS))
 
 
 def image_dim(spark: SparkSession, sf: str) -> int:
@@ -137,7 +147,7 @@ def distinct_users(spark, sf):
 @register("product_lookup", _with(PROD) + f"""
 SELECT * FROM prod WHERE product_id = {LOOKUP_PRODUCT_ID}""")
 def product_lookup(spark, sf):
-    return catalog(spark, sf).filter(F.col("product_id") == F.lit(LOOKUP_PRODUCT_ID))
+    return catalog(spark, sf, full=True).filter(F.col("product_id") == F.lit(LOOKUP_PRODUCT_ID))
 
 
 # --------------------------------------------------------------------------
@@ -247,7 +257,7 @@ WHERE p_name IS NOT NULL AND p_type IS NOT NULL AND p_retailprice IS NOT NULL
   AND p_name NOT IN ({TOKENS_SQL}) AND p_type NOT IN ({TOKENS_SQL})
 GROUP BY 1""")
 def dedup_titles(spark, sf):
-    c = clean.classify(tables.products(spark, sf))
+    c = clean.classify(tables.products(spark, sf).select(*CORE_COLUMNS))
     valid = c.filter(F.col("reason").isNull()).drop("reason", "price_text")
     return clean.dedup_titles(valid).select("title", "product_id", F.col("n_copies").cast("long"))
 
@@ -580,7 +590,7 @@ UNION ALL SELECT 'interactions', count(*) FROM inter
 UNION ALL SELECT 'users', count(DISTINCT user_id) FROM inter""")
 def build_tables(spark, sf):
     root = scratch_path(spark, "tables")
-    prods = catalog(spark, sf)
+    prods = catalog(spark, sf, full=True)
     inter = tables.interactions(spark, sf)
     files.write_parquet(prods, f"{root}/products")
     files.write_parquet(inter, f"{root}/interactions")
@@ -598,7 +608,7 @@ def build_tables(spark, sf):
 SELECT * FROM prod""")
 def csv_roundtrip(spark, sf):
     path = scratch_path(spark, "products-csv")
-    files.write_csv(catalog(spark, sf), path)
+    files.write_csv(catalog(spark, sf, full=True), path)
     return files.read_csv(spark, path, PRODUCTS)
 
 
@@ -606,7 +616,7 @@ def csv_roundtrip(spark, sf):
 SELECT * FROM prod""")
 def parquet_roundtrip(spark, sf):
     path = scratch_path(spark, "products-parquet")
-    files.write_parquet(catalog(spark, sf), path)
+    files.write_parquet(catalog(spark, sf, full=True), path)
     return files.read_parquet(spark, path, PRODUCTS)
 
 
