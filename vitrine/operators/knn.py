@@ -311,6 +311,10 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
         fits = (probe.num_rows <= max_broadcast_queries
                 and probe.num_rows * max(dim, 1) * 8 <= MAX_BROADCAST_BYTES
                 and (not grouped or probe.num_rows * (_n_groups(probe) + 1) <= MAX_BROADCAST_MASK))
+        if fits and probe.num_rows == 0:
+            # no query: nothing to rank, and no reason to scan the items
+            schema = _hit_schema(qs, it).add("rank", T.LongType())
+            return items.sparkSession.createDataFrame([], schema)
         if fits:
             hits = _broadcast_path(it, probe, k, grouped)
             return _final_topk(hits, k)
