@@ -74,15 +74,16 @@ def build(spark: SparkSession, raw_products: DataFrame, interactions: DataFrame,
     (step, table, n_rows) read back from what was written."""
     out = BuildOutput(out_root or scratch_path(spark, "catalog-build"))
 
-    write_parquet(clean_products(raw_products), out.products_clean)
-    clean = read_parquet(spark, out.products_clean)
+    cleaned = clean_products(raw_products)
+    write_parquet(cleaned, out.products_clean)
+    clean = read_parquet(spark, out.products_clean, cleaned.schema)
 
     vecs = product_vectors(clean, images, image_dim, text_dim)
     write_vector_table(vector_table(vecs), out.vectors)
 
     write_parquet(clean.select(*PRODUCT_COLUMNS), out.products)
     write_parquet(interactions, out.interactions)
-    inter = read_parquet(spark, out.interactions)
+    inter = read_parquet(spark, out.interactions, interactions.schema)
     write_parquet(inter.select("user_id").filter(F.col("user_id").isNotNull()).distinct(), out.users)
 
     audit = (_count(spark, out.products_clean, "clean", "products_clean")

@@ -595,7 +595,7 @@ def build_tables(spark, sf):
     files.write_parquet(prods, f"{root}/products")
     files.write_parquet(inter, f"{root}/interactions")
     # users come from the interactions just written, not from a second join
-    written = files.read_parquet(spark, f"{root}/interactions")
+    written = files.read_parquet(spark, f"{root}/interactions", inter.schema)
     files.write_parquet(analytics.distinct_users(written), f"{root}/users")
 
     def n(name):

@@ -69,7 +69,7 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     column pruning and filter pushdown."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
