@@ -163,3 +163,14 @@ def test_repeated_allowed_groups_do_not_repeat_hits(spark):
                                           strategy=strategy, block_rows=3, query_block_rows=1))
         ids = [i for _, i in got["q"]]
         assert len(ids) == 5 and len(set(ids)) == 5, (strategy, got)
+
+
+def test_null_groups_match_nothing_on_both_paths(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [1.0, 0.1], "a"), (3, [1.0, 0.2], None)],
+                                  "item_id long, item_vec array<float>, grp string")
+    queries = spark.createDataFrame([("q", [1.0, 0.0], ["a", None]), ("r", [1.0, 0.0], None)],
+                                    "query_id string, query_vec array<float>, allowed array<string>")
+    for strategy in ("broadcast", "blocked"):
+        got = as_dict(knn.similarity_topk(items, queries, 3, item_group="grp", query_allowed="allowed",
+                                          strategy=strategy))
+        assert {q: [i for _, i in h] for q, h in got.items()} == {"q": [2]}, strategy

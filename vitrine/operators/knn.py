@@ -158,13 +158,15 @@ def _broadcast_path(items: DataFrame, qtable: pa.Table, k: int, grouped: bool) -
     allowed_codes = None
     codes: dict = {}
     if grouped:
-        groups = qtable.column("allowed").filter(pa.array(valid)).to_pylist()
+        # a null group matches nothing (as in an equi-join)
+        groups = [[g for g in (gl or []) if g is not None]
+                  for gl in qtable.column("allowed").filter(pa.array(valid)).to_pylist()]
         for gl in groups:
-            for g in gl or []:
+            for g in gl:
                 codes.setdefault(g, len(codes))
         allowed_codes = np.zeros((len(groups), len(codes) + 1), dtype=bool)
         for r, gl in enumerate(groups):
-            for g in gl or []:
+            for g in gl:
                 allowed_codes[r, codes[g]] = True
         # Skip items of groups no query allows, before any vector reaches
         # Python (an IN list Spark can push down; for very many groups the
