@@ -294,6 +294,8 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
     ``strategy`` is ``auto`` (broadcast when the query set passes the size
     check, else blocked), ``broadcast`` or ``blocked``.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     if (item_group is None) != (query_allowed is None):
         raise ValueError("item_group and query_allowed go together")
     grouped = item_group is not None
@@ -383,6 +385,8 @@ def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
     whole), hits found through several tables are merged, and the k best
     remain. Recall is below 1 and grows with ``n_tables``.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     planes = hyperplanes(dim, n_tables, n_bits, seed)
     it = (with_lsh_buckets(items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"))
                            .filter(F.col("item_vec").isNotNull()), "item_vec", planes, "b")
