@@ -6,7 +6,8 @@ Subpackages:
 * ``functions`` -- Column functions (cleaning, text hashing, vectors, formats)
 * ``operators`` -- DataFrame operators (clean, analytics, embed, k-NN, recommend)
 * ``plans``     -- the catalogue build and the registered queries
-* ``streaming`` -- the interaction statistics kept up to date over a stream
+* ``streaming`` -- search and recommendation requests served as a stream, and the
+  interaction statistics kept up to date over new event files
 """
 
 __version__ = "0.1.0"
