@@ -118,12 +118,16 @@ def test_hot_group_is_split_into_blocks(spark):
     items = spark.createDataFrame(rows, "item_id long, item_vec array<float>, grp string")
     queries = spark.createDataFrame([(f"q{i}", [1.0, float(i)], ["hot"]) for i in range(30)],
                                     "query_id string, query_vec array<float>, allowed array<string>")
-    hits = knn._blocked_path(items.select("item_id", "item_vec", F.col("grp").alias("group")),
-                             queries.select("query_id", "query_vec", "allowed"), 3, True, 100, 10)
-    assert hits.rdd.getNumPartitions() >= 1
+    # 900 hot items at 100 per block -> 9 item blocks; 30 queries at 10 per
+    # block -> 3 query blocks: 27 cogroups of at most ~2x the block size
     per_block = (items.filter("grp = 'hot'").withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(9)))
                  .groupBy("ib").count().collect())
     assert len(per_block) == 9 and max(r["count"] for r in per_block) < 200
+    hits = knn._blocked_path(items.select("item_id", "item_vec", F.col("grp").alias("group")),
+                             queries.select("query_id", "query_vec", "allowed"), 3, True, 100, 10)
+    # each (item block, query block) task returns at most k hits per query
+    per_query = hits.filter("query_id = 'q0'").count()
+    assert per_query <= 9 * 3
     got = as_dict(knn.similarity_topk(items, queries, 3, item_group="grp", query_allowed="allowed",
                                       strategy="blocked", block_rows=100, query_block_rows=10))
     want = as_dict(knn.similarity_topk(items, queries, 3, item_group="grp", query_allowed="allowed",
