@@ -93,3 +93,18 @@ def test_images_join_and_zero_fill(spark):
     assert v[1] == [1.0, 0.0, 0.0, 0.0]
     assert v[2] == [0.0] * 4          # wrong size -> zeros
     assert v[3] == [0.0] * 4          # no image -> zeros
+
+
+def test_recommend_all_same_on_blocked_path(spark):
+    """Many profiles (beyond the broadcast check) take the blocked path; the
+    answer is the same."""
+    from vitrine.plans import registry
+    from vitrine.sources import tables
+    sf = "/root/testdata/sf0.001"
+    cat, dim = registry.catalog_vectors(spark, sf, reuse=True)
+    inter = tables.interactions(spark, sf)
+    key = lambda r: (r.user_id, r.rank, r.product_id, r.distance)
+    a = sorted(map(key, recommend.recommend_all(inter, cat, 5, image_dim=dim).collect()))
+    b = sorted(map(key, recommend.recommend_all(inter, cat, 5, image_dim=dim, strategy="blocked",
+                                                block_rows=7, query_block_rows=5).collect()))
+    assert a == b and len(a) > 0
