@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from vitrine.functions.text import TEXT_DIM, hashed_vector, product_text, token_buckets
 from vitrine.functions.vectors import concat_vectors, with_unit_vector, zero_vector
+from vitrine.session import ship_package
 
 FLOAT_VECTOR = T.ArrayType(T.FloatType())
 
@@ -104,6 +105,7 @@ def model_vectors(df: DataFrame, text_col: str, make_encoder: Callable[[], Calla
     and the error text in ``error_col`` (the job goes on, as the reference
     skips rows it cannot embed), so callers can set such rows aside.
     """
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out, FLOAT_VECTOR),
                                               T.StructField(error_col, T.StringType())])
     key = _factory_key(make_encoder)
@@ -140,6 +142,7 @@ def image_file_vectors(files: DataFrame, make_encoder: Callable[[], Callable[[li
     """
     named = files.select(
         F.regexp_extract("path", r"([^/]+)\.[A-Za-z0-9]+$", 1).alias("product_id"), "content")
+    ship_package(files.sparkSession)
     schema = T.StructType([T.StructField("product_id", T.StringType()),
                            T.StructField("image_vec", FLOAT_VECTOR)])
     key = _factory_key(make_encoder)

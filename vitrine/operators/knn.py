@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
+from vitrine.session import ship_package
+
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_MASK = 50_000_000   # queries x allowed groups in the broadcast filter
@@ -296,6 +298,7 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    ship_package(items.sparkSession)
     if (item_group is None) != (query_allowed is None):
         raise ValueError("item_group and query_allowed go together")
     grouped = item_group is not None
@@ -354,6 +357,7 @@ def with_lsh_buckets(df: DataFrame, vec: str, planes: np.ndarray, out: str = "bu
     """Add ``array<long>``: one bucket per hash table, bit j set when
     v.r_j >= 0. One matrix product per Arrow batch; rows with a null vector
     get a null array."""
+    ship_package(df.sparkSession)
     n_tables, n_bits, dim = planes.shape
     flat = planes.reshape(n_tables * n_bits, dim).T.copy()   # (dim, tables*bits)
     weights = (1 << np.arange(n_bits, dtype=np.int64))

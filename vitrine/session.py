@@ -61,6 +61,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per context.
+
+    Python stages (k-NN kernel, LSH signatures, model hooks) are functions of
+    this package; a worker unpickling them must import it. The package is
+    zipped on the driver and added with ``addPyFile`` -- what ``--py-files``
+    does at submit time -- so it works wherever the driver was started.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_vitrine_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="vitrine-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, names in os.walk(pkg_dir):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._vitrine_shipped = True
+
+
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     """Compute ``df`` once and cut its lineage: a Parquet table written in
     the shared folder and read back. Use where a costly intermediate is read
