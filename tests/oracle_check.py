@@ -1,7 +1,8 @@
 """Compare each registered query with its DuckDB SQL on the same tables.
 
 Usage: python tests/oracle_check.py [sf_dir] [name ...]
-Prints one line per query: rows, columns and values equal or not.
+Prints one line per query: rows, columns and values equal or not. With
+VITRINE_EXACT=1 doubles must match bit for bit (otherwise to 6 decimals).
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = os.environ.get("VITRINE_EXACT") == "1"   # compare doubles bit for bit
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return float.hex(v) if EXACT else round(v, 6)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat(sep=" ") if isinstance(v, dt.datetime) else v.isoformat()
     if isinstance(v, (list, tuple)):

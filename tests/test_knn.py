@@ -178,3 +178,12 @@ def test_null_groups_match_nothing_on_both_paths(spark):
         got = as_dict(knn.similarity_topk(items, queries, 3, item_group="grp", query_allowed="allowed",
                                           strategy=strategy))
         assert {q: [i for _, i in h] for q, h in got.items()} == {"q": [2]}, strategy
+
+
+def test_round6_matches_sql_round_half_away():
+    import duckdb
+    vals = np.array([0.0, 0.1234565, 0.0000005, 1.9999995, 0.333333333, 1.0, 0.7067355, 2.0])
+    got = knn._round6(vals)
+    con = duckdb.connect()
+    want = [con.execute("select round(?::double, 6)", [float(v)]).fetchone()[0] for v in vals]
+    assert [float.hex(float(g)) for g in got] == [float.hex(w) for w in want]

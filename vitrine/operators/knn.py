@@ -54,9 +54,13 @@ _CELLS_PER_CHUNK = 4_000_000  # query x item distances held at once in a task
 # --------------------------------------------------------------------------
 
 def _round6(d: np.ndarray) -> np.ndarray:
-    """Round non-negative values to 6 decimals, halves away from zero (as
-    SQL ``round`` does; numpy's own rounding sends halves to even)."""
-    return np.floor(d * 1e6 + 0.5) / 1e6
+    """Round non-negative values to 6 decimals, halves away from zero, as
+    SQL ``round`` does (numpy's own rounding sends halves to even). The
+    fraction ``y - floor(y)`` is exact in binary, so this matches
+    ``round(y) / 1e6`` bit for bit, where ``floor(y + 0.5)`` could not."""
+    y = d * 1e6
+    r = np.floor(y)
+    return (r + ((y - r) >= 0.5)) / 1e6
 
 
 def _rank_within(keys: np.ndarray) -> np.ndarray:
