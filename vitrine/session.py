@@ -3,7 +3,8 @@
 Everything the library writes (build outputs, round trips, lineage cuts) goes
 under the folder the cluster names in ``spark.checkpoint.dir``. A folder of our
 own is only created when that setting is absent, which is the case in local
-tests.
+tests. The one driver-local file is the package zip handed to ``addPyFile``,
+which Spark itself then serves to the executors.
 """
 
 from __future__ import annotations
