@@ -79,3 +79,13 @@ def test_stream_resumes_from_checkpoint(spark):
     q.awaitTermination(120)
     second = {r.interaction_type: r["count"] for r in spark.table("vitrine_resume_test").collect()}
     assert second == {t: 2 * n for t, n in first.items()}
+
+
+def test_stream_counts_to_a_durable_table(spark):
+    import tempfile
+    out = tempfile.mkdtemp(prefix="vitrine-counts-") + "/counts"
+    start_type_counts(spark, SF, out=out, checkpoint=tempfile.mkdtemp()).awaitTermination(120)
+    got = {r.interaction_type: r["count"] for r in spark.read.parquet(out).collect()}
+    want = {r.interaction_type: r["count"]
+            for r in analytics.interaction_type_counts(tables.event_log(spark, SF)).collect()}
+    assert got == want

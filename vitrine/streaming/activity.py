@@ -44,17 +44,26 @@ def running_type_counts(events: DataFrame) -> DataFrame:
             .groupBy("interaction_type").agg(F.count(F.lit(1)).alias("count")))
 
 
-def start_type_counts(spark: SparkSession, folder: str, table: str,
-                      checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the running counts into the in-memory table ``table``.
+def start_type_counts(spark: SparkSession, folder: str, table: str | None = None,
+                      checkpoint: str | None = None, available_now: bool = True,
+                      out: str | None = None) -> StreamingQuery:
+    """Start the running counts.
 
-    ``available_now`` processes what is there and stops (batch-like
-    refresh); otherwise the query keeps polling. Progress is kept in a
-    checkpoint under the shared folder, so a restart resumes.
+    With ``out`` every micro-batch overwrites a Parquet table there with the
+    complete counts (a durable sink; a replayed batch writes the same
+    table). Without it the counts go to the in-memory table ``table`` (for a
+    local dashboard). ``available_now`` processes what is there and stops
+    (batch-like refresh); otherwise the query keeps polling. Progress is kept
+    in a checkpoint under the shared folder, so a restart resumes.
     """
-    ckpt = checkpoint or scratch_path(spark, f"stream-{table}")
+    if (table is None) == (out is None):
+        raise ValueError("give exactly one of table or out")
+    ckpt = checkpoint or scratch_path(spark, f"stream-{table or 'type-counts'}")
     w = (running_type_counts(event_stream(spark, folder)).writeStream
-         .outputMode("complete").format("memory").queryName(table)
-         .option("checkpointLocation", ckpt))
+         .outputMode("complete").option("checkpointLocation", ckpt))
+    if out is not None:
+        w = w.foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(out))
+    else:
+        w = w.format("memory").queryName(table)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
