@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
@@ -141,6 +141,13 @@ def _matrix(arr: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarr
 # Spark plans
 # --------------------------------------------------------------------------
 
+def _rankable(vec: str) -> Column:
+    """A vector that can have a distance: not null, not all zeros. Checked
+    in the JVM before any vector reaches Python; in LSH all zero vectors
+    would otherwise share one bucket in every table."""
+    return F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0)
+
+
 def _final_topk(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("item_id").asc())
     return (hits.withColumn("rank", F.row_number().over(w))
@@ -308,11 +315,11 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
     grouped = item_group is not None
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"),
                       *([F.col(item_group).alias("group")] if grouped else []))
-    it = it.filter(F.col("item_vec").isNotNull())
+    it = it.filter(_rankable("item_vec"))
     qcols = [F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec")]
     if grouped:
         qcols.append(F.col(query_allowed).alias("allowed"))
-    qs = queries.select(*qcols).filter(F.col("query_vec").isNotNull())
+    qs = queries.select(*qcols).filter(_rankable("query_vec"))
 
     if strategy not in ("auto", "broadcast", "blocked"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -397,13 +404,13 @@ def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
         raise ValueError("k must be at least 1")
     planes = hyperplanes(dim, n_tables, n_bits, seed)
     it = (with_lsh_buckets(items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"))
-                           .filter(F.col("item_vec").isNotNull()), "item_vec", planes, "b")
+                           .filter(_rankable("item_vec")), "item_vec", planes, "b")
           .select("item_id", "item_vec",
                   F.posexplode("b").alias("t", "bucket"))
           .select("item_id", "item_vec",
                   (F.col("t").cast("long") * F.lit(1 << n_bits) + F.col("bucket")).alias("group")))
     qs = (with_lsh_buckets(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-                           .filter(F.col("query_vec").isNotNull()), "query_vec", planes, "b")
+                           .filter(_rankable("query_vec")), "query_vec", planes, "b")
           .select("query_id", "query_vec",
                   F.transform("b", lambda x, t: t.cast("long") * F.lit(1 << n_bits) + x).alias("allowed")))
     hits = _blocked_path(it, qs, k, True, block_rows, query_block_rows)
