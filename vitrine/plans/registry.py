@@ -95,6 +95,7 @@ def catalog_vectors(spark: SparkSession, sf: str, reuse: bool = False) -> tuple[
 @register("user_top_categories", _with(PROD, INTER, AFF, TOP) + """
 SELECT user_id, category, n, rank FROM top""")
 def user_top_categories(spark, sf):
+    """Flagship: each user's three most frequent categories (ties by name) over the cleaned catalogue."""
     aff = recommend.category_affinity(tables.interactions(spark, sf), catalog(spark, sf))
     return recommend.top_categories(aff).select("user_id", "category", "n", "rank")
 
@@ -102,6 +103,7 @@ def user_top_categories(spark, sf):
 @register("user_category_affinity", _with(PROD, INTER, AFF) + """
 SELECT user_id, category, n FROM aff""")
 def user_category_affinity(spark, sf):
+    """Interactions per (user, category) that reach the cleaned catalogue."""
     return recommend.category_affinity(tables.interactions(spark, sf), catalog(spark, sf))
 
 
@@ -109,6 +111,7 @@ def user_category_affinity(spark, sf):
 SELECT i.user_id, i.product_id, i.interaction_type, i.ts, p.title, p.category, p.price
 FROM inter i JOIN prod p ON i.product_id = p.product_id""")
 def interactions_enriched(spark, sf):
+    """Interactions joined to their product's title, category and price."""
     return recommend.interactions_enriched(tables.interactions(spark, sf), catalog(spark, sf)).select(
         "user_id", "product_id", "interaction_type", "ts", "title", "category", "price")
 
@@ -116,6 +119,7 @@ def interactions_enriched(spark, sf):
 @register("user_profile_text", _with(PROD, INTER, AFF, TOP, PROF) + """
 SELECT user_id, profile_text FROM prof""")
 def user_profile_text(spark, sf):
+    """Each user's top categories joined by spaces (the recommendation query text)."""
     aff = recommend.category_affinity(tables.interactions(spark, sf), catalog(spark, sf))
     return recommend.user_profiles(recommend.top_categories(aff)).select("user_id", "profile_text")
 
@@ -123,6 +127,7 @@ def user_profile_text(spark, sf):
 @register("cold_start_users", _with(PROD, INTER, AFF) + """
 SELECT DISTINCT user_id FROM inter WHERE user_id NOT IN (SELECT user_id FROM aff)""")
 def cold_start_users(spark, sf):
+    """Users whose interactions reach no catalogue product."""
     inter = tables.interactions(spark, sf)
     aff = recommend.category_affinity(inter, catalog(spark, sf))
     return recommend.cold_start_users(analytics.distinct_users(inter), aff)
@@ -133,6 +138,7 @@ SELECT count(*) AS n_interactions,
        count(*) FILTER (WHERE product_id NOT IN (SELECT product_id FROM prod)) AS n_orphans
 FROM inter""")
 def orphan_interactions(spark, sf):
+    """Interaction count and how many point at products outside the catalogue."""
     inter = tables.interactions(spark, sf)
     n_orph = recommend.orphan_interactions(inter, catalog(spark, sf)).select(F.count(F.lit(1))).scalar()
     return inter.agg(F.count(F.lit(1)).alias("n_interactions")).withColumn("n_orphans", n_orph)
@@ -141,12 +147,14 @@ def orphan_interactions(spark, sf):
 @register("distinct_users", _with(INTER) + """
 SELECT DISTINCT user_id FROM inter WHERE user_id IS NOT NULL""")
 def distinct_users(spark, sf):
+    """The users table: distinct user ids of the interaction log."""
     return analytics.distinct_users(tables.interactions(spark, sf))
 
 
 @register("product_lookup", _with(PROD) + f"""
 SELECT * FROM prod WHERE product_id = {LOOKUP_PRODUCT_ID}""")
 def product_lookup(spark, sf):
+    """Point lookup of one product id in the cleaned catalogue (empty when absent)."""
     return catalog(spark, sf, full=True).filter(F.col("product_id") == F.lit(LOOKUP_PRODUCT_ID))
 
 
@@ -157,12 +165,14 @@ def product_lookup(spark, sf):
 @register("category_counts", _with(PROD) + """
 SELECT category, count(*) AS count FROM prod WHERE category IS NOT NULL GROUP BY 1""")
 def category_counts(spark, sf):
+    """Products per category, most frequent first."""
     return analytics.category_counts(catalog(spark, sf))
 
 
 @register("interaction_type_counts", _with(EVENTS) + """
 SELECT interaction_type, count(*) AS count FROM ev WHERE interaction_type IS NOT NULL GROUP BY 1""")
 def interaction_type_counts(spark, sf):
+    """Events per interaction type, most frequent first."""
     return analytics.interaction_type_counts(tables.event_log(spark, sf))
 
 
@@ -171,6 +181,7 @@ SELECT interaction_type, count(*) AS count,
        round(count(*) / (SELECT count(*) FROM ev WHERE interaction_type IS NOT NULL), 6) AS share
 FROM ev WHERE interaction_type IS NOT NULL GROUP BY 1""")
 def interaction_type_share(spark, sf):
+    """Events per interaction type and their share of all typed events."""
     return analytics.interaction_type_share(tables.event_log(spark, sf))
 
 
@@ -179,6 +190,7 @@ SELECT count(*) AS n_products, count(DISTINCT category) AS n_categories,
        round(avg(price), 6) AS avg_price, (SELECT count(*) FROM ev) AS n_interactions
 FROM prod""")
 def catalog_metrics(spark, sf):
+    """Products, distinct categories, mean price and number of events, in one row."""
     return analytics.catalog_metrics(catalog(spark, sf), tables.event_log(spark, sf))
 
 
@@ -188,6 +200,7 @@ SELECT interaction_type,
        printf('$%.2f', round((SELECT avg(price) FROM prod), 2)) AS avg_price_text
 FROM ev WHERE interaction_type IS NOT NULL GROUP BY 1""")
 def formatted_metrics(spark, sf):
+    """Share per interaction type as `%.1f%%` and the mean price as `$%.2f`."""
     return analytics.formatted_metrics(catalog(spark, sf), tables.event_log(spark, sf))
 
 
@@ -202,12 +215,14 @@ SELECT bin, round(lo + bin * ((hi - lo) / 30), 6) AS bin_lo,
        count(*) AS count
 FROM binned, mm GROUP BY bin, lo, hi""")
 def price_histogram(spark, sf):
+    """30 equal-width price bins between the lowest and highest price."""
     return analytics.price_histogram(catalog(spark, sf))
 
 
 @register("recent_interactions", _with(EVENTS) + """
 SELECT * FROM ev ORDER BY ts DESC, event_id DESC LIMIT 10""")
 def recent_interactions(spark, sf):
+    """The ten most recent events."""
     return analytics.recent_interactions(tables.event_log(spark, sf))
 
 
@@ -222,6 +237,7 @@ SELECT product_id, title, CAST(NULL AS VARCHAR) AS description, category, brand,
        price_value AS price, CAST(NULL AS DOUBLE) AS rating, CAST(NULL AS INTEGER) AS num_reviews
 FROM kept WHERE rn = 1""")
 def clean_products(spark, sf):
+    """Raw text catalogue cleaned: complete rows, numeric positive price, one row per title."""
     return clean.clean_products(tables.raw_products(spark, sf))
 
 
@@ -233,6 +249,7 @@ UNION ALL
 SELECT v.product_id, v.title, v.price_text, 'duplicate_title' AS reason
 FROM valid v JOIN firsts f ON v.title = f.title WHERE v.product_id <> f.kept_id""")
 def clean_rejects(spark, sf):
+    """Raw rows set aside by the cleaning, with their reason."""
     return clean.clean_rejects(tables.raw_products(spark, sf))
 
 
@@ -246,6 +263,7 @@ SELECT count(*) AS n_read,
        count(*) FILTER (WHERE reason IS NULL) - count(DISTINCT title) FILTER (WHERE reason IS NULL) AS n_duplicate_title
 FROM classified""")
 def clean_audit(spark, sf):
+    """Row counts per cleaning stage, in one row."""
     return clean.clean_audit(tables.raw_products(spark, sf))
 
 
@@ -257,6 +275,7 @@ WHERE p_name IS NOT NULL AND p_type IS NOT NULL AND p_retailprice IS NOT NULL
   AND p_name NOT IN ({TOKENS_SQL}) AND p_type NOT IN ({TOKENS_SQL})
 GROUP BY 1""")
 def dedup_titles(spark, sf):
+    """Per title: the product id kept and the number of copies."""
     c = clean.classify(tables.products(spark, sf).select(*CORE_COLUMNS))
     valid = c.filter(F.col("reason").isNull()).drop("reason", "price_text")
     return clean.dedup_titles(valid).select("title", "product_id", F.col("n_copies").cast("long"))
@@ -269,6 +288,7 @@ def dedup_titles(spark, sf):
 @register("product_text", _with(PROD) + """
 SELECT product_id, concat_ws(' ', coalesce(title, ''), coalesce(category, '')) AS text FROM prod""")
 def product_text_q(spark, sf):
+    """Each catalogue product's text: title and category."""
     return catalog(spark, sf).select("product_id", product_text(F.col("title"), F.col("category")).alias("text"))
 
 
@@ -276,6 +296,7 @@ def product_text_q(spark, sf):
 SELECT t.k AS product_id, t.b AS bucket, round(t.c / sqrt(s.sq), 6) AS weight
 FROM pt_term t JOIN pt_sq s ON t.k = s.k WHERE s.sq > 0""")
 def hash_embed(spark, sf):
+    """Hashed bag-of-words text vectors, as non-zero (bucket, unit weight) entries."""
     prod = catalog(spark, sf).withColumn("text", product_text(F.col("title"), F.col("category")))
     return embed.hashed_terms(prod, "product_id", "text")
 
@@ -298,6 +319,7 @@ WHERE e.v <> 0"""
 
 @register("combined_vectors", _vector_entries_sql("round(e.v, 6)"))
 def combined_vectors(spark, sf):
+    """Non-zero entries of each product's [text, image] vector."""
     vecs, _ = catalog_vectors(spark, sf)
     return (vecs.select("product_id", F.posexplode("vector").alias("idx", "v"))
             .filter(F.col("v") != 0)
@@ -307,6 +329,7 @@ def combined_vectors(spark, sf):
 
 @register("l2_normalize", _vector_entries_sql("round(e.v / (pn.nrm + 1e-8), 6)"))
 def l2_normalize(spark, sf):
+    """Non-zero entries of each product's vector divided by (norm + 1e-8)."""
     vecs, _ = catalog_vectors(spark, sf)
     unit = with_unit_vector(vecs, "vector", "unit", "norm", as_float=False)
     return (unit.select("product_id", F.posexplode("unit").alias("idx", "v"))
@@ -347,6 +370,7 @@ def _with_scores(hits: DataFrame) -> DataFrame:
 
 @register("knn_batch", _knn_sql(KNN_K))
 def knn_batch(spark, sf):
+    """The 5 nearest vectors of every vector (the size check picks the path)."""
     vec = tables.vectors(spark, sf)
     hits = knn.similarity_topk(vec, vec, KNN_K, item_id="vec_id", item_vec="embedding",
                                query_id="vec_id", query_vec="embedding")
@@ -355,6 +379,7 @@ def knn_batch(spark, sf):
 
 @register("knn_filtered", _knn_sql(KNN_K, "AND x.label = q.label"))
 def knn_filtered(spark, sf):
+    """The 5 nearest vectors of every vector among those with the same label."""
     vec = tables.vectors(spark, sf)
     queries = vec.withColumn("allowed", F.array("label"))
     hits = knn.similarity_topk(vec, queries, KNN_K, item_id="vec_id", item_vec="embedding",
@@ -512,12 +537,14 @@ FROM prof u JOIN ranked r ON r.profile_text = u.profile_text WHERE r.rank <= {RE
 
 @register("recommend_all", _recommend_sql())
 def recommend_all(spark, sf):
+    """Ten recommendations for every user with history, within the user's top categories."""
     vecs, dim = catalog_vectors(spark, sf, reuse=True)
     return recommend.recommend_all(tables.interactions(spark, sf), vecs, RECOMMEND_K, image_dim=dim)
 
 
 @register("recommend_user", _recommend_sql(f" WHERE o.o_custkey = {RECOMMEND_USER_ID}"))
 def recommend_user(spark, sf):
+    """Ten recommendations for one user (filter pushed to the interaction scan)."""
     vecs, dim = catalog_vectors(spark, sf, reuse=True)
     return recommend.recommend_user(tables.interactions(spark, sf), vecs, RECOMMEND_USER_ID,
                                     RECOMMEND_K, image_dim=dim)
@@ -565,6 +592,7 @@ FROM inter
 UNION ALL
 SELECT 'users', count(DISTINCT user_id), 0, 0, count(DISTINCT user_id) > 0 FROM inter""")
 def table_status(spark, sf):
+    """Runs the build, then reports rows, null keys, orphans and readiness per table."""
     out, _ = _build(spark, sf)
     return build_plan.table_status(spark, out)
 
@@ -576,6 +604,7 @@ SELECT CAST(p.product_id AS VARCHAR) AS id, p.product_id, p.title, p.category, p
        round(pn.nrm, 6) AS norm, CAST({TEXT_DIM} + {IMAGE_DIM_SQL} AS BIGINT) AS dim
 FROM prod p JOIN pn ON pn.product_id = p.product_id""")
 def vector_table(spark, sf):
+    """Writes the vector collection (by category) and reads back its rows and norms."""
     vecs, _ = catalog_vectors(spark, sf)
     path = scratch_path(spark, "vector-table")
     build_plan.write_vector_table(build_plan.vector_table(vecs), path)
@@ -589,6 +618,7 @@ SELECT 'products' AS "table", count(*) AS n_rows FROM prod
 UNION ALL SELECT 'interactions', count(*) FROM inter
 UNION ALL SELECT 'users', count(DISTINCT user_id) FROM inter""")
 def build_tables(spark, sf):
+    """Writes the products, interactions and users tables and reads back their row counts."""
     root = scratch_path(spark, "tables")
     prods = catalog(spark, sf, full=True)
     inter = tables.interactions(spark, sf)
@@ -607,6 +637,7 @@ def build_tables(spark, sf):
 @register("csv_roundtrip", _with(PROD) + """
 SELECT * FROM prod""")
 def csv_roundtrip(spark, sf):
+    """The cleaned catalogue written as CSV and read back with its declared schema."""
     path = scratch_path(spark, "products-csv")
     files.write_csv(catalog(spark, sf, full=True), path)
     return files.read_csv(spark, path, PRODUCTS)
@@ -615,6 +646,7 @@ def csv_roundtrip(spark, sf):
 @register("parquet_roundtrip", _with(PROD) + """
 SELECT * FROM prod""")
 def parquet_roundtrip(spark, sf):
+    """The cleaned catalogue written as Parquet and read back."""
     path = scratch_path(spark, "products-parquet")
     files.write_parquet(catalog(spark, sf, full=True), path)
     return files.read_parquet(spark, path, PRODUCTS)
@@ -623,6 +655,7 @@ def parquet_roundtrip(spark, sf):
 @register("embedding_roundtrip", _with(VEC) + """
 SELECT vec_id, label, CAST(len(e) AS BIGINT) AS dim, round(nrm, 6) AS norm FROM v""")
 def embedding_roundtrip(spark, sf):
+    """The labelled vectors written as Parquet and read back (length and norm)."""
     path = scratch_path(spark, "vectors-parquet")
     files.write_parquet(tables.vectors(spark, sf), path)
     back = files.read_parquet(spark, path)
