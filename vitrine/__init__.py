@@ -8,6 +8,7 @@ Subpackages:
 * ``plans``     -- the catalogue build and the registered queries
 * ``streaming`` -- search and recommendation requests served as a stream, and the
   interaction statistics kept up to date over new event files
+* ``api``       -- the reference's endpoints (search, product, recommendations) as functions
 """
 
 __version__ = "0.1.0"

@@ -63,9 +63,10 @@ def answer_searches(requests: DataFrame, catalog: DataFrame, image_dim: int) ->
 
 def answer_recommendations(requests: DataFrame, interactions: DataFrame, catalog: DataFrame,
                            image_dim: int) -> DataFrame:
-    """(request_id, user_id, rank, product_id, title, category, price, score,
-    message) for a batch of user requests; a user without history gets one
-    row with ``message`` and no product."""
+    """(request_id, user_id, profile_text, rank, product_id, title, category,
+    price, score, message) for a batch of user requests; ``profile_text`` is
+    the user's preferred categories joined by spaces. A user without history
+    gets one row with ``message`` and no product."""
     reqs = _with_k(requests).filter(F.col("top_k") > 0)
     k = reqs.agg(F.max("top_k")).first()[0] or recommend.DEFAULT_K
     # only the requested users' interactions take part
@@ -74,8 +75,8 @@ def answer_recommendations(requests: DataFrame, interactions: DataFrame, catalog
     answered = (reqs.join(recs, "user_id", "left")
                 .filter(F.col("rank").isNull() | (F.col("rank") <= F.col("top_k"))))
     return answered.select(
-        "request_id", "user_id", "rank", "product_id", "title", "category", "price", "score",
-        F.when(F.col("product_id").isNull(), F.lit(NO_HISTORY)).alias("message"))
+        "request_id", "user_id", "profile_text", "rank", "product_id", "title", "category", "price",
+        "score", F.when(F.col("product_id").isNull(), F.lit(NO_HISTORY)).alias("message"))
 
 
 def _serve(spark: SparkSession, folder: str, schema: T.StructType, answer, out: str,
