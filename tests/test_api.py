@@ -27,3 +27,17 @@ def test_endpoints(spark):
     assert all(r.category in cats for r in recs)
     cold = api.get_user_recommendations(inter, catalog, 10 ** 9).collect()
     assert len(cold) == 1 and cold[0].message == NO_HISTORY
+
+
+def test_analytics_and_status_pages(spark):
+    from vitrine.plans import build as build_plan
+    catalog = registry.catalog(spark, SF)
+    log = tables.event_log(spark, SF)
+    page = api.analytics_page(catalog, log)
+    assert set(page) == {"metrics", "formatted", "category_counts", "price_histogram",
+                         "interaction_types", "recent"}
+    assert page["recent"].count() == 10 and page["metrics"].count() == 1
+    out, _ = build_plan.build(spark, tables.raw_products(spark, SF), tables.interactions(spark, SF),
+                              tables.image_vectors(spark, SF), registry.image_dim(spark, SF))
+    status = {r.table: r.ready for r in api.system_status(spark, out).collect()}
+    assert status == {"products": True, "vectors": True, "interactions": True, "users": True}

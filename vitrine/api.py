@@ -47,3 +47,24 @@ def get_user_recommendations(interactions: DataFrame, catalog: DataFrame, user_i
     req = spark.createDataFrame([("user", int(user_id), top_k)], RECOMMEND_REQUEST)
     return answer_recommendations(req, interactions, catalog,
                                   _image_dim(catalog, image_dim)).drop("request_id")
+
+
+def analytics_page(catalog: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """The analytics page's numbers: key metrics, products per category,
+    price histogram, interaction types with shares, the ten latest events."""
+    from vitrine.operators import analytics
+    return {
+        "metrics": analytics.catalog_metrics(catalog, log),
+        "formatted": analytics.formatted_metrics(catalog, log),
+        "category_counts": analytics.category_counts(catalog),
+        "price_histogram": analytics.price_histogram(catalog),
+        "interaction_types": analytics.interaction_type_share(log),
+        "recent": analytics.recent_interactions(log),
+    }
+
+
+def system_status(spark, out) -> DataFrame:
+    """The status page: rows, null keys, orphans and readiness of each table
+    written by ``plans.build.build`` (``out`` is its ``BuildOutput``)."""
+    from vitrine.plans.build import table_status
+    return table_status(spark, out)
