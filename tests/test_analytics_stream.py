@@ -25,6 +25,12 @@ def test_histogram_ignores_null_and_nan_and_puts_max_last(spark):
     assert sum(c for _, c in rows) == 4
 
 
+def test_histogram_skips_infinite_prices(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (2.0,), (float("-inf"),)], "price double")
+    rows = sorted((r.bin, r["count"], r.bin_lo, r.bin_hi) for r in analytics.price_histogram(df).collect())
+    assert rows == [(0, 1, 1.0, round(1 + 1 / 30, 6)), (29, 1, round(1 + 29 / 30, 6), 2.0)]
+
+
 def test_histogram_counts_sum_to_non_null_prices(spark):
     from vitrine.plans.registry import catalog
     prods = catalog(spark, SF)

@@ -68,11 +68,15 @@ def formatted_metrics(products: DataFrame, log: DataFrame) -> DataFrame:
 def price_histogram(products: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width histogram of prices between min and max.
 
-    Rows: bin (0-based), bin_lo, bin_hi, count. The value ``max`` falls in
-    the last bin; when all prices are equal there is one bin. Min and max
+    Rows: bin (0-based), bin_lo, bin_hi, count, over the finite prices (null,
+    NaN and infinite ones cannot be binned). The value ``max`` falls in the
+    last bin; when all prices are equal there is one bin. Min and max
     come from one scalar subquery (one extra scan, reused), not a join.
     """
-    prices = products.select("price").filter(F.col("price").isNotNull() & ~F.isnan("price"))
+    # only finite prices can be placed in equal-width bins
+    prices = products.select("price").filter(
+        F.col("price").isNotNull() & ~F.isnan("price")
+        & (F.abs(F.col("price")) != F.lit(float("inf"))))
     bounds = prices.select(F.struct(F.min("price").alias("lo"), F.max("price").alias("hi"))).scalar()
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = (hi - lo) / F.lit(bins)

@@ -205,7 +205,7 @@ def formatted_metrics(spark, sf):
 
 
 @register("price_histogram", _with(PROD) + """,
-pr AS (SELECT price FROM prod WHERE price IS NOT NULL AND NOT isnan(price)),
+pr AS (SELECT price FROM prod WHERE price IS NOT NULL AND NOT isnan(price) AND NOT isinf(price)),
 mm AS (SELECT min(price) AS lo, max(price) AS hi FROM pr),
 binned AS (
   SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((price - lo) / (hi - lo) * 30), 29) END AS BIGINT) AS bin
