@@ -40,11 +40,15 @@ def token_buckets(text: Column, dim: int = TEXT_DIM) -> Column:
 def hashed_vector(text: Column, dim: int = TEXT_DIM) -> Column:
     """Dense ``array<float>`` of token counts per bucket.
 
-    Folds the token buckets into a zero vector, so cost is tokens x dim per
-    row and the text is hashed once.
+    The counts are first gathered in a small map (one entry per distinct
+    bucket of the text), then read once per dimension; the map reaches the
+    per-dimension lambda as a repeated argument, so it is built once per
+    row. Measured faster than folding the tokens into a zero vector.
     """
-    start = F.array_repeat(F.lit(0.0).cast("float"), F.lit(dim))
-    counts = F.aggregate(
-        token_buckets(text, dim), start,
-        lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + F.lit(1.0).cast("float")).otherwise(x)))
-    return counts
+    buckets = token_buckets(text, dim)
+    counts = F.map_from_entries(F.transform(
+        F.array_distinct(buckets),
+        lambda b: F.struct(b.alias("k"), F.size(F.filter(buckets, lambda x: x == b)).cast("float").alias("v"))))
+    dims = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    return F.zip_with(dims, F.array_repeat(counts, F.lit(dim)),
+                      lambda i, m: F.coalesce(F.element_at(m, i), F.lit(0.0).cast("float")))
