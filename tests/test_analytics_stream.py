@@ -63,7 +63,7 @@ def test_catalog_metrics_one_row(spark):
 
 def test_stream_counts_equal_batch_counts(spark):
     q = start_type_counts(spark, SF, "vitrine_type_counts_test")
-    q.awaitTermination(120)
+    q.awaitTermination(300)
     got = {r.interaction_type: r["count"] for r in spark.table("vitrine_type_counts_test").collect()}
     want = {r.interaction_type: r["count"]
             for r in analytics.interaction_type_counts(tables.event_log(spark, SF)).collect()}
@@ -78,11 +78,11 @@ def test_stream_resumes_from_checkpoint(spark):
     ckpt = tempfile.mkdtemp(prefix="vitrine-stream-ckpt-")
     shutil.copy(f"{SF}/events.parquet", f"{folder}/events-1.parquet")
     q = start_type_counts(spark, folder, "vitrine_resume_test", checkpoint=ckpt)
-    q.awaitTermination(120)
+    q.awaitTermination(300)
     first = {r.interaction_type: r["count"] for r in spark.table("vitrine_resume_test").collect()}
     shutil.copy(f"{SF}/events.parquet", f"{folder}/events-2.parquet")
     q = start_type_counts(spark, folder, "vitrine_resume_test", checkpoint=ckpt)
-    q.awaitTermination(120)
+    q.awaitTermination(300)
     second = {r.interaction_type: r["count"] for r in spark.table("vitrine_resume_test").collect()}
     assert second == {t: 2 * n for t, n in first.items()}
 
@@ -90,7 +90,7 @@ def test_stream_resumes_from_checkpoint(spark):
 def test_stream_counts_to_a_durable_table(spark):
     import tempfile
     out = tempfile.mkdtemp(prefix="vitrine-counts-") + "/counts"
-    start_type_counts(spark, SF, out=out, checkpoint=tempfile.mkdtemp()).awaitTermination(120)
+    start_type_counts(spark, SF, out=out, checkpoint=tempfile.mkdtemp()).awaitTermination(300)
     got = {r.interaction_type: r["count"] for r in spark.read.parquet(out).collect()}
     want = {r.interaction_type: r["count"]
             for r in analytics.interaction_type_counts(tables.event_log(spark, SF)).collect()}
