@@ -71,8 +71,9 @@ def catalog(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
 
 
 def image_dim(spark: SparkSession, sf: str) -> int:
-    """Length of the stored image vectors (read from one row)."""
-    row = tables.vectors(spark, sf).select(F.size("embedding").alias("d")).first()
+    """Length of the stored image vectors (read from one non-null row)."""
+    row = (tables.vectors(spark, sf).filter(F.col("embedding").isNotNull())
+           .select(F.size("embedding").alias("d")).first())
     return int(row["d"]) if row else 0
 
 
