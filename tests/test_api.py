@@ -20,6 +20,8 @@ def test_endpoints(spark):
     pid = got[0][1]
     assert api.get_product(catalog, pid).count() == 1
     assert api.get_product(catalog, -1).count() == 0
+    ids = spark.createDataFrame([(pid,), (pid,), (-1,)], "product_id long")
+    assert [r.product_id for r in api.get_products(catalog, ids).collect()] == [pid]
     user = registry.RECOMMEND_USER_ID
     recs = api.get_user_recommendations(inter, catalog, user, 3).collect()
     assert len(recs) == 3 and all(r.message is None for r in recs)

@@ -39,6 +39,12 @@ def get_product(catalog: DataFrame, product_id) -> DataFrame:
     return catalog.filter(F.col("product_id") == F.lit(product_id))
 
 
+def get_products(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+    """Batch lookup: catalogue rows for the ``product_id`` values in ``ids``
+    (an equi-join; unknown ids give no row)."""
+    return catalog.join(ids.select("product_id").distinct(), "product_id", "inner")
+
+
 def get_user_recommendations(interactions: DataFrame, catalog: DataFrame, user_id,
                              top_k: int = DEFAULT_K, image_dim: int | None = None) -> DataFrame:
     """Rows (user_id, profile_text, rank, product fields, score, message);
