@@ -98,3 +98,17 @@ def test_encoder_built_once_per_worker(spark):
         pid, builds = int(r.text_vec[0]), int(r.text_vec[1])
         per_pid.setdefault(pid, set()).add(builds)
     assert all(b == {1} for b in per_pid.values()), per_pid
+
+
+def test_outputs_go_under_the_sessions_checkpoint_dir(spark):
+    """Writes are placed in the shared folder the session names, not in a
+    folder of our choosing."""
+    from vitrine.session import local_path, materialize, scratch_path, shared_dir
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert configured
+    base = local_path(shared_dir(spark))
+    assert base.startswith(local_path(configured))
+    assert local_path(scratch_path(spark, "x")).startswith(base)
+    m = materialize(spark.range(3), "probe")
+    assert m.count() == 3
+    assert all(local_path(f).startswith(base) for f in m.inputFiles())
