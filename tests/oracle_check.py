@@ -104,6 +104,8 @@ def main(argv: list[str]) -> int:
             r = {"name": n, "status": "ERROR", "error": repr(exc)[:600]}
         bad += r["status"] not in ("ok", "rows-only")
         print(r, flush=True)
+    print(f"SUMMARY {len(names) - bad} of {len(names)} match"
+          f"{' bit for bit' if EXACT else ' (6 decimals)'} at {sf_dir}", flush=True)
     return 1 if bad else 0
 
 
