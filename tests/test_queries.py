@@ -9,8 +9,9 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_CHECK
 from oracle_check import compare, duck
+from vitrine.plans import registry
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
