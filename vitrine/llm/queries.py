@@ -3,14 +3,23 @@ where SQL can state the result."""
 
 from __future__ import annotations
 
-from vitrine.llm import exact_dedup, url_filter
+from vitrine.llm import (decontaminate, exact_dedup, language_id, license_scan, line_dedup, simhash,
+                         token_output, unigram_pieces, url_filter)
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
+    "op2_simhash": simhash.query,
+    "op3_license_scan": license_scan.query,
+    "op5_token_output": token_output.query,
+    "op6_line_dedup": line_dedup.query,
+    "op7_language_id": language_id.query,
+    "op8_unigram_pieces": unigram_pieces.query,
     "op9_url_filters": url_filter.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLE = {
+    "op6_line_dedup": line_dedup.SQL,
     "op9_url_filters": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
