@@ -67,12 +67,9 @@ class DoubleArray:
                 while at < high and keys[at][depth] == byte:
                     at += 1
                 parts.append((byte, start, at))
-            offsets = np.array([b + 1 for b, _, _ in parts])
             while self.check[free] != -1:
                 free += 1
-            base = max(free - int(offsets[0]), 0)
-            while (self.check[base + offsets] != -1).any():
-                base += 1
+            base = self._place(np.array([b + 1 for b, _, _ in parts]), free)
             self.base[state] = base
             for byte, start, end in parts:
                 child = base + byte + 1
@@ -83,6 +80,21 @@ class DoubleArray:
         self.base, self.check, self.value = (np.resize(a, size) if len(a) < size else a[:size].copy()
                                              for a in (self.base, self.check, self.value))
 
+    def _place(self, offsets: np.ndarray, free: int) -> int:
+        """The first base at which all of a state's children fall on unused entries."""
+        at = max(free, int(offsets[0]))      # the first child is placed there or later
+        while True:
+            if at + 4096 + 257 > len(self.check):
+                more = len(self.check)
+                self.base = np.append(self.base, np.zeros(more, np.int32))
+                self.check = np.append(self.check, np.full(more, -1, np.int32))
+                self.value = np.append(self.value, np.full(more, -1, np.int32))
+            bases = np.flatnonzero(self.check[at:at + 4096] == -1) + at - offsets[0]
+            fits = (self.check[bases[:, None] + offsets] == -1).all(axis=1)
+            if fits.any():
+                return int(bases[np.argmax(fits)])
+            at += 4096
+
     def matches(self, data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, value) of every word that stands in ``data`` and ends at or before ``limit[start]``."""
         at = np.arange(len(data))
@@ -121,6 +133,9 @@ class Unigram:
                         for i, p in enumerate(pieces)]
         self.cache: dict[bytes, bytes] = {}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "cache": {}}
+
     @classmethod
     def load(cls, model: str = MODEL, scores: str = "zipf") -> "Unigram":
         import public_tokenizers
@@ -219,12 +234,18 @@ def _loaded(model: str, scores: str) -> Unigram:
     return Unigram.load(model, scores)
 
 
-def _encode(model: str, scores: str):
+def _share(spark, model: str, scores: str):
+    """The table, built once on the driver, as a broadcast (its size is that of the model file)."""
+    prepare(spark)
+    return spark.sparkContext.broadcast(_loaded(model, scores))
+
+
+def _encode(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()),
                         ("n_bytes", pa.int64()), ("log_score", pa.float64())])
 
     def run(batches):
-        table = _loaded(model, scores)
+        table = shared.value
         for ids, bodies in bounded_chunks(batches, 2 << 20):
             found = table.encode(bodies)
             flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
@@ -241,18 +262,17 @@ def _encode(model: str, scores: str):
 
 def encode(docs: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFrame:
     """(doc_id, piece_ids, n_pieces, n_bytes, log_score): n_bytes counts byte-fallback pieces."""
-    prepare(docs.sparkSession)
     return id_and_bytes(docs).mapInArrow(
-        _encode(model, scores), "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double")
+        _encode(_share(docs.sparkSession, model, scores)), "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double")
 
 
-def _decode(model: str, scores: str):
+def _decode(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()),
                         ("n_bytes", pa.int64()), ("log_score", pa.float64()), ("text_crc32", pa.int64()),
                         ("text_length", pa.int64())])
 
     def run(batches):
-        table = _loaded(model, scores)
+        table = shared.value
         for batch in batches:
             # A slice at a time: the decoded texts of a whole batch are never held together.
             for at in range(0, batch.num_rows, 512):
@@ -266,9 +286,8 @@ def _decode(model: str, scores: str):
 
 def decode(encoded: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFrame:
     """The columns of ``encode`` and the CRC-32 and length in bytes of the decoded text."""
-    prepare(encoded.sparkSession)
     return encoded.select("doc_id", "piece_ids", "n_pieces", "n_bytes", "log_score").mapInArrow(
-        _decode(model, scores), "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double, "
+        _decode(_share(encoded.sparkSession, model, scores)), "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double, "
                                 "text_crc32 long, text_length long")
 
 
