@@ -82,8 +82,10 @@ def count_ngrams(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAM
 class PpmModel:
     """Frozen code lengths (bits) of every byte after every context, for all languages."""
 
-    def __init__(self, langs: list[str], alphabet: np.ndarray, context: np.ndarray, bits: np.ndarray):
+    def __init__(self, langs: list[str], alphabet: np.ndarray, context: np.ndarray, bits: np.ndarray,
+                 order: int = ORDER):
         self.langs, self.bits, self.context = langs, bits, context      # bits: (contexts, symbols, languages)
+        self.order = order
         self.size = len(alphabet) + 1
         self.symbol = np.full(256, len(alphabet), np.int32)
         self.symbol[alphabet] = np.arange(len(alphabet), dtype=np.int32)
@@ -104,7 +106,7 @@ class PpmModel:
                 out = out * size + other[x >> (8 * (width - 1 - j)) & 255]
             return out
 
-        def table(width: int, above: tuple | None) -> tuple[np.ndarray, dict]:
+        def table(width: int) -> tuple[np.ndarray, np.ndarray]:
             """Contexts of one order with their counts, symbol by symbol, per language."""
             mine = k == width
             ctx, sym = context_number(gram[mine] >> 8, width), other[gram[mine] & 255]
@@ -113,11 +115,8 @@ class PpmModel:
             np.add.at(counts, (lang_at[mine], np.searchsorted(seen, ctx), sym), n[mine])
             return seen, counts
 
-        tables = [table(width, None) for width in range(order + 1)]
-        seen, _ = tables[order]
+        tables = [table(width) for width in range(order + 1)]
         n_other = 256 - len(alphabet)
-        all_bits = np.zeros((len(seen) + 1, size, len(langs)), np.float32)
-        shorter: list[tuple[np.ndarray, np.ndarray]] = []
         # Rows for every context of the full order, and for each shorter context.
         contexts, first, rows_of = [], 0, []
         for width in range(order + 1):
@@ -155,10 +154,7 @@ class PpmModel:
             where = np.minimum(np.searchsorted(contexts[width], suffix), len(contexts[width]) - 1)
             hit = contexts[width][where] == suffix
             row[hit] = (rows_of[width] + where[hit]).astype(np.int32)
-        model = cls(langs, alphabet, row, all_bits)
-        model.order = order
-        model.start = rows_of[0]
-        return model
+        return cls(langs, alphabet, row, all_bits, order)
 
     def code_lengths(self, body: bytes, piece: int = 1 << 20) -> np.ndarray:
         """Bits of the whole text under each language."""
@@ -169,7 +165,6 @@ class PpmModel:
             part = s[max(at - self.order, 0):at + piece]
             lead = at - max(at - self.order, 0)
             ctx = np.zeros(len(part) - lead, np.int64)
-            known = np.ones(len(ctx), bool)
             for j in range(self.order, 0, -1):      # the j-th byte back
                 back = np.full(len(ctx), self.size - 1, np.int64)
                 have = lead - j

@@ -3,13 +3,14 @@ where SQL can state the result."""
 
 from __future__ import annotations
 
-from vitrine.llm import (decontaminate, exact_dedup, language_id, license_scan, line_dedup, simhash,
+from vitrine.llm import (decontaminate, exact_dedup, language_id, license_scan, line_dedup, ngram_lm, simhash,
                          token_output, unigram_pieces, url_filter)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_simhash": simhash.query,
     "op3_license_scan": license_scan.query,
+    "op4_ngram_lm": ngram_lm.query,
     "op5_token_output": token_output.query,
     "op6_line_dedup": line_dedup.query,
     "op7_language_id": language_id.query,
