@@ -175,10 +175,10 @@ class Scanner:
                 labels.add(notice)
                 score = max(score, 0.7)
         expressions = []
-        low = body.lower()
+        low = body.lower()      # of bytes: same length
         if b"license-identifier:" in low:
-            text = low.decode("utf-8", "replace")
-            ends = {end + 1 for end, _ in self.tags.iter(text)}
+            text = body.decode("utf-8", "replace")
+            ends = {end + 1 for end, _ in self.tags.iter(low.decode("utf-8", "replace"))}
             for end in sorted(ends):
                 line = text[end:].split("\n", 1)[0].strip().rstrip("*/ ->.")
                 postfix = to_postfix(line)

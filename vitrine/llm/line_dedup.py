@@ -80,16 +80,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line,
-             generate_subscripts(string_split(text, chr(10)), 1) AS at FROM d WHERE text IS NOT NULL),
+             generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d WHERE text IS NOT NULL),
 totals AS (SELECT source, count(*) AS host_pages FROM d GROUP BY source),
 counts AS (SELECT source, line, count(DISTINCT rid) AS n_pages FROM l
            WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY source, line),
 bad AS (SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
         WHERE n_pages >= 3 AND n_pages > host_pages * 0.05),
-marked AS (SELECT l.rid, l.at, l.line, b.line IS NOT NULL AS dropped
+marked AS (SELECT l.rid, l.place, l.line, b.line IS NOT NULL AS dropped
            FROM l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line),
 kept AS (SELECT rid, count(*) FILTER (dropped) AS n_dropped,
-                coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '') AS text FROM marked GROUP BY rid)
+                coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '') AS text FROM marked GROUP BY rid)
 SELECT d.doc_id, d.source, coalesce(k.n_dropped, 0) AS n_dropped, k.text
 FROM d LEFT JOIN kept k USING (rid)
-""".replace("\\\\", "\\")
+"""
