@@ -50,7 +50,7 @@ def get_user_recommendations(interactions: DataFrame, catalog: DataFrame, user_i
     """Rows (user_id, profile_text, rank, product fields, score, message);
     a user without history gets one row with the "No history" message."""
     spark = catalog.sparkSession
-    req = spark.createDataFrame([("user", int(user_id), top_k)], RECOMMEND_REQUEST)
+    req = spark.createDataFrame([("user", str(user_id), top_k)], RECOMMEND_REQUEST)
     return answer_recommendations(req, interactions, catalog,
                                   _image_dim(catalog, image_dim)).drop("request_id")
 

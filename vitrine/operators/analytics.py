@@ -68,10 +68,11 @@ def formatted_metrics(products: DataFrame, log: DataFrame) -> DataFrame:
 def price_histogram(products: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width histogram of prices between min and max.
 
-    Rows: bin (0-based), bin_lo, bin_hi, count, over the finite prices (null,
-    NaN and infinite ones cannot be binned). The value ``max`` falls in the
-    last bin; when all prices are equal there is one bin. Min and max
-    come from one scalar subquery (one extra scan, reused), not a join.
+    Rows: bin (0-based), bin_lo, bin_hi, count: every bin, empty ones too, over
+    the finite prices, and one row with a null bin that counts the rows no bin
+    can hold (null, NaN and infinite prices). The value ``max`` falls in the
+    last bin; when all prices are equal they are in bin 0, of width 0. Min and
+    max come from one scalar subquery (one extra scan, reused), not a join.
     """
     # only finite prices can be placed in equal-width bins
     prices = products.select("price").filter(
@@ -82,8 +83,14 @@ def price_histogram(products: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFram
     width = (hi - lo) / F.lit(bins)
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col("price") - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1))).cast("long")
-    return (prices.withColumn("bin", b)
-            .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    finite = F.col("price").isNotNull() & ~F.isnan("price") & (F.abs(F.col("price")) != F.lit(float("inf")))
+    placed = products.select("price").withColumn("bin", F.when(finite, b))
+    # Each empty bin enters as a row of weight 0, so one aggregate gives all of them.
+    empty = (products.sparkSession.range(-1, bins)
+             .select(F.lit(None).cast("double").alias("price"),
+                     F.when(F.col("id") >= 0, F.col("id")).alias("bin"), F.lit(0).alias("weight")))
+    return (placed.withColumn("weight", F.lit(1)).unionByName(empty)
+            .groupBy("bin").agg(F.sum("weight").alias("count"))
             .select("bin",
                     F.round(lo + F.col("bin") * width, 6).alias("bin_lo"),
                     F.round(F.when(hi == lo, hi).otherwise(lo + (F.col("bin") + 1) * width), 6).alias("bin_hi"),

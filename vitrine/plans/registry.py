@@ -20,7 +20,7 @@ from vitrine.functions.vectors import (cosine_distance, l2_norm, round6, score_h
 from vitrine.operators import analytics, clean, embed, knn, recommend
 from vitrine.plans import build as build_plan
 from vitrine.plans.sql_parts import (AFF, EVENTS, INTER, PROD, PRODUCT_TEXT, PROF, RAW, TOP,
-                                     IMAGE_DIM_SQL, TOKENS_SQL, hashed_terms, product_norms)
+                                     IMAGE_DIM_SQL, TITLE, TOKENS_SQL, hashed_terms, product_norms)
 from vitrine.schemas import PRODUCTS
 from vitrine.session import materialize, scratch_path
 from vitrine.sources import files, tables
@@ -29,8 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 # Fixed parameters of the point queries and the k of each search.
-LOOKUP_PRODUCT_ID = 1
-RECOMMEND_USER_ID = 28  # a user with history at every test scale
+LOOKUP_PRODUCT_ID = "P00001"
+RECOMMEND_USER_ID = "U00028"  # a user with history at every test scale
 KNN_QUERY_VEC_ID = 0
 KNN_K = 5
 SEARCH_K = 10
@@ -153,7 +153,7 @@ def distinct_users(spark, sf):
 
 
 @register("product_lookup", _with(PROD) + f"""
-SELECT * FROM prod WHERE product_id = {LOOKUP_PRODUCT_ID}""")
+SELECT * FROM prod WHERE product_id = '{LOOKUP_PRODUCT_ID}'""")
 def product_lookup(spark, sf):
     """Point lookup of one product id in the cleaned catalogue (empty when absent)."""
     return catalog(spark, sf, full=True).filter(F.col("product_id") == F.lit(LOOKUP_PRODUCT_ID))
@@ -211,12 +211,13 @@ mm AS (SELECT min(price) AS lo, max(price) AS hi FROM pr),
 binned AS (
   SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((price - lo) / (hi - lo) * 30), 29) END AS BIGINT) AS bin
   FROM pr, mm)
-SELECT bin, round(lo + bin * ((hi - lo) / 30), 6) AS bin_lo,
-       round(CASE WHEN hi = lo THEN hi ELSE lo + (bin + 1) * ((hi - lo) / 30) END, 6) AS bin_hi,
-       count(*) AS count
-FROM binned, mm GROUP BY bin, lo, hi""")
+SELECT r.bin, round(lo + r.bin * ((hi - lo) / 30), 6) AS bin_lo,
+       round(CASE WHEN hi = lo THEN hi ELSE lo + (r.bin + 1) * ((hi - lo) / 30) END, 6) AS bin_hi,
+       (SELECT count(*) FROM binned b WHERE b.bin = r.bin) AS count
+FROM range(30) r(bin), mm
+UNION ALL SELECT NULL, NULL, NULL, (SELECT count(*) FROM prod) - (SELECT count(*) FROM pr)""")
 def price_histogram(spark, sf):
-    """30 equal-width price bins between the lowest and highest price."""
+    """30 equal-width price bins between the lowest and highest price, and the number of unbinned rows."""
     return analytics.price_histogram(catalog(spark, sf))
 
 
@@ -244,11 +245,10 @@ def clean_products(spark, sf):
 
 @register("clean_rejects", _with(RAW) + """,
 valid AS (SELECT * FROM classified WHERE reason IS NULL),
-firsts AS (SELECT title, min(product_id) AS kept_id FROM valid GROUP BY 1)
+copies AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY product_id, price_text) AS rn FROM valid)
 SELECT product_id, title, price_text, reason FROM classified WHERE reason IS NOT NULL
 UNION ALL
-SELECT v.product_id, v.title, v.price_text, 'duplicate_title' AS reason
-FROM valid v JOIN firsts f ON v.title = f.title WHERE v.product_id <> f.kept_id""")
+SELECT product_id, title, price_text, 'duplicate_title' AS reason FROM copies WHERE rn > 1""")
 def clean_rejects(spark, sf):
     """Raw rows set aside by the cleaning, with their reason."""
     return clean.clean_rejects(tables.raw_products(spark, sf))
@@ -256,6 +256,7 @@ def clean_rejects(spark, sf):
 
 @register("clean_audit", _with(RAW) + """
 SELECT count(*) AS n_read,
+       count(*) FILTER (WHERE reason = 'missing_id') AS n_missing_id,
        count(*) FILTER (WHERE reason = 'missing_field') AS n_missing_field,
        count(*) FILTER (WHERE reason = 'bad_price') AS n_bad_price,
        count(*) FILTER (WHERE reason = 'non_positive_price') AS n_non_positive_price,
@@ -269,11 +270,11 @@ def clean_audit(spark, sf):
 
 
 @register("dedup_titles", f"""
-SELECT p_name AS title, min(p_partkey) AS product_id, count(*) AS n_copies
-FROM part
-WHERE p_name IS NOT NULL AND p_type IS NOT NULL AND p_retailprice IS NOT NULL
+SELECT title, min(product_id) AS product_id, count(*) AS n_copies
+FROM (SELECT *, {TITLE} AS title, printf('P%05d', p_partkey) AS product_id FROM part)
+WHERE title IS NOT NULL AND p_type IS NOT NULL AND p_retailprice IS NOT NULL
   AND NOT isnan(p_retailprice) AND p_retailprice > 0
-  AND p_name NOT IN ({TOKENS_SQL}) AND p_type NOT IN ({TOKENS_SQL})
+  AND title NOT IN ({TOKENS_SQL}) AND p_type NOT IN ({TOKENS_SQL})
 GROUP BY 1""")
 def dedup_titles(spark, sf):
     """Per title: the product id kept and the number of copies."""
@@ -477,7 +478,7 @@ def _search_sql() -> str:
         hashed_terms("pt", "prod", "product_id", PRODUCT_TEXT),
         product_norms().strip("\n"),
         """
-q AS (SELECT DISTINCT p_name AS query_text FROM part WHERE length(trim(p_name)) > 0)""",
+q AS (SELECT DISTINCT """ + TITLE + """ AS query_text FROM part WHERE p_partkey % 100 = 0)""",
         hashed_terms("qt", "q", "query_text", "lower(query_text)"),
     ) + f""",
 dots AS (
@@ -500,10 +501,11 @@ FROM ranked WHERE rank <= {SEARCH_K}"""
 
 @register("search_text", _search_sql())
 def search_text(spark, sf):
-    """Batch text search: every distinct part name is a query over the
-    catalogue's [hashed text, image] vectors."""
+    """Batch text search: the titles of the parts whose key is divisible by 100
+    are the queries, over all of the catalogue's [hashed text, image] vectors."""
     vecs, dim = catalog_vectors(spark, sf, reuse=True)
-    queries = tables.read_table(spark, sf, "part").select(F.col("p_name").alias("query_text"))
+    queries = (tables.read_table(spark, sf, "part").filter(F.pmod("p_partkey", F.lit(100)) == 0)
+               .select(tables.part_title().alias("query_text")))
     return recommend.search_text(vecs, queries, SEARCH_K, image_dim=dim)
 
 
@@ -543,7 +545,7 @@ def recommend_all(spark, sf):
     return recommend.recommend_all(tables.interactions(spark, sf), vecs, RECOMMEND_K, image_dim=dim)
 
 
-@register("recommend_user", _recommend_sql(f" WHERE o.o_custkey = {RECOMMEND_USER_ID}"))
+@register("recommend_user", _recommend_sql(f" WHERE printf('U%05d', o.o_custkey) = '{RECOMMEND_USER_ID}'"))
 def recommend_user(spark, sf):
     """Ten recommendations for one user (filter pushed to the interaction scan)."""
     vecs, dim = catalog_vectors(spark, sf, reuse=True)

@@ -15,13 +15,16 @@ def _txt(col: str) -> str:
     return f"CASE WHEN {col} IN ({TOKENS_SQL}) THEN NULL ELSE {col} END"
 
 
+# A part's title, as ``sources.tables.part_title`` writes it.
+TITLE = "concat_ws(' ', p_name, p_brand, p_size)"
+
 # Cleaned catalogue from ``part`` (numeric price): keep complete rows with a
 # usable price, then the lowest id per title.
 PROD = f"""
 prod AS (
   SELECT product_id, title, description, category, brand, price, rating, num_reviews FROM (
     SELECT *, row_number() OVER (PARTITION BY title ORDER BY product_id) AS rn_dedup FROM (
-      SELECT p_partkey AS product_id, {_txt('p_name')} AS title, CAST(NULL AS VARCHAR) AS description,
+      SELECT printf('P%05d', p_partkey) AS product_id, {_txt(TITLE)} AS title, CAST(NULL AS VARCHAR) AS description,
              {_txt('p_type')} AS category, {_txt('p_brand')} AS brand, p_retailprice AS price,
              CAST(NULL AS DOUBLE) AS rating, CAST(NULL AS INTEGER) AS num_reviews
       FROM part)
@@ -31,12 +34,12 @@ prod AS (
 
 INTER = """
 inter AS (
-  SELECT o.o_custkey AS user_id, l.l_partkey AS product_id, 'purchase' AS interaction_type,
+  SELECT printf('U%05d', o.o_custkey) AS user_id, printf('P%05d', l.l_partkey) AS product_id, 'purchase' AS interaction_type,
          o.o_orderdate AS ts
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
 EVENTS = """
-ev AS (SELECT event_id, user_id, event_type AS interaction_type, ts FROM events)"""
+ev AS (SELECT event_id, printf('U%05d', user_id) AS user_id, event_type AS interaction_type, ts FROM events)"""
 
 AFF = """
 aff AS (
@@ -63,17 +66,17 @@ DIRTY_PRICES_SQL = "['', 'NA', 'x', 'NaN', '1d', ' 12 ', 'inf', '1e2', '1,000',
 
 RAW = f"""
 raw AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS product_id,
+  SELECT CASE WHEN p_partkey % 50 = 9 THEN 'NA' ELSE printf('P%05d', p_partkey) END AS product_id,
          CASE WHEN p_partkey % 40 = 3
               THEN {DIRTY_TITLES_SQL}[CAST(floor(p_partkey / 40) AS BIGINT) % 5 + 1]
-              ELSE p_name END AS title,
+              ELSE {TITLE} END AS title,
          p_type AS category, p_brand AS brand,
          CASE WHEN p_partkey % 20 = 7
               THEN {DIRTY_PRICES_SQL}[CAST(floor(p_partkey / 20) AS BIGINT) % 13 + 1]
               ELSE CAST(p_retailprice AS VARCHAR) END AS price_text
-  FROM part),
+  FROM (SELECT * FROM part UNION ALL SELECT * FROM part WHERE p_partkey % 100 = 0)),
 typed AS (
-  SELECT TRY_CAST(product_id AS BIGINT) AS product_id,
+  SELECT {_txt('product_id')} AS product_id,
          {_txt('title')} AS title, {_txt('category')} AS category, {_txt('brand')} AS brand,
          price_text,
          {_txt('price_text')} AS price_present,
@@ -82,6 +85,7 @@ typed AS (
   FROM raw),
 classified AS (
   SELECT *, CASE
+      WHEN product_id IS NULL THEN 'missing_id'
       WHEN title IS NULL OR category IS NULL OR price_present IS NULL THEN 'missing_field'
       WHEN price_value IS NULL OR isnan(price_value) THEN 'bad_price'
       WHEN NOT (price_value > 0) THEN 'non_positive_price'
@@ -110,7 +114,7 @@ def product_norms() -> str:
     [text part, image part]; a missing or odd-sized image counts as zeros."""
     return f"""
 img AS (
-  SELECT vec_id AS product_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  SELECT printf('P%05d', vec_id) AS product_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) = {IMAGE_DIM_SQL}),
 pn AS (
   SELECT p.product_id,

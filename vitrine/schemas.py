@@ -17,7 +17,7 @@ RAW_PRODUCTS = T.StructType([
 
 # Served catalogue, in the fixed column order of the products table.
 PRODUCTS = T.StructType([
-    T.StructField("product_id", T.LongType()),
+    T.StructField("product_id", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("description", T.StringType()),
     T.StructField("category", T.StringType()),
@@ -28,38 +28,10 @@ PRODUCTS = T.StructType([
 ])
 PRODUCT_COLUMNS = [f.name for f in PRODUCTS.fields]
 
+# Interaction log; ids are text, as in the catalogue.
 INTERACTIONS = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("product_id", T.LongType()),
-    T.StructField("interaction_type", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()),
-])
-
-EVENT_LOG = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("user_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
+    T.StructField("product_id", T.StringType()),
     T.StructField("interaction_type", T.StringType()),
     T.StructField("ts", T.TimestampNTZType()),
 ])
-
-VECTORS = T.StructType([
-    T.StructField("vec_id", T.LongType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-    T.StructField("label", T.IntegerType()),
-])
-
-# One k-NN hit: which query, which item, how far, in which place.
-KNN_HIT = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("item_id", T.LongType()),
-    T.StructField("distance", T.DoubleType()),
-])
-
-# Row of a search / recommendation answer.
-SEARCH_RESULT = T.StructType([
-    T.StructField("product_id", T.LongType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("price", T.DoubleType()),
-    T.StructField("score", T.DoubleType()),
-])

@@ -1,13 +1,13 @@
 """Adapters from the driver's test tables to the library's data model.
 
-The adapters only rename and retype columns (and, for the raw catalogue,
-render fields as text); they do none of the work of the operators that read
-them. Column pruning and filters on their output reach the Parquet scans.
+The adapters only rename and retype columns, render keys as text ids and, for
+the raw catalogue, fields as text; they do none of the work of the operators
+that read them. Column pruning reaches the Parquet scans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def product_key(key: Column) -> Column:
+    """Text product id, ``P00001`` and so on."""
+    return F.format_string("P%05d", key)
+
+
+def user_key(key: Column) -> Column:
+    """Text user id, ``U00001`` and so on."""
+    return F.format_string("U%05d", key)
+
+
+def part_title() -> Column:
+    """A part's title: name, brand and size (names alone repeat every 64 parts)."""
+    return F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string"))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue from ``part``: id, title, category, brand, price.
 
@@ -46,8 +61,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     part = read_table(spark, sf_dir, "part")
     return part.select(
-        F.col("p_partkey").cast("long").alias("product_id"),
-        F.col("p_name").alias("title"),
+        product_key(F.col("p_partkey")).alias("product_id"),
+        part_title().alias("title"),
         F.lit(None).cast("string").alias("description"),
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("brand"),
@@ -68,23 +83,24 @@ DIRTY_PRICES = ["", "NA", "x", "NaN", "1d", " 12 ", "inf", "1e2", "1,000",
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``part`` rendered as raw text rows of a product export.
 
-    Every row keeps its key and fields; one row in 40 gets a dirty title
-    and one in 20 a dirty price, chosen by key so that any engine reading
-    the same table sees the same strings. The cleaning operators make no
-    use of this rule: they see only strings.
+    Every row keeps its fields; one row in 40 gets a dirty title, one in 20 a
+    dirty price and one in 50 a missing id, chosen by key so that any engine
+    reading the same table sees the same strings; one row in 100 comes twice.
+    The cleaning operators make no use of this rule: they see only strings.
     """
     part = read_table(spark, sf_dir, "part")
+    part = part.unionByName(part.filter(F.pmod("p_partkey", F.lit(100)) == 0))
     key = F.col("p_partkey")
     titles = F.array(*[F.lit(v).cast("string") for v in DIRTY_TITLES])
     prices = F.array(*[F.lit(v) for v in DIRTY_PRICES])
     title = (F.when(F.pmod(key, F.lit(40)) == 3,
                     F.element_at(titles, (F.pmod(F.floor(key / 40), F.lit(len(DIRTY_TITLES))) + 1).cast("int")))
-             .otherwise(F.col("p_name")))
+             .otherwise(part_title()))
     price = (F.when(F.pmod(key, F.lit(20)) == 7,
                     F.element_at(prices, (F.pmod(F.floor(key / 20), F.lit(len(DIRTY_PRICES))) + 1).cast("int")))
              .otherwise(F.col("p_retailprice").cast("string")))
     return part.select(
-        key.cast("string").alias("product_id"),
+        F.when(F.pmod(key, F.lit(50)) == 9, F.lit("NA")).otherwise(product_key(key)).alias("product_id"),
         title.alias("title"),
         F.lit(None).cast("string").alias("description"),
         F.col("p_type").alias("category"),
@@ -107,8 +123,8 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     joined = line.join(orders, line.l_orderkey == orders.o_orderkey, "inner")
     return joined.select(
-        F.col("o_custkey").cast("long").alias("user_id"),
-        F.col("l_partkey").cast("long").alias("product_id"),
+        user_key(F.col("o_custkey")).alias("user_id"),
+        product_key(F.col("l_partkey")).alias("product_id"),
         F.lit("purchase").alias("interaction_type"),
         F.col("o_orderdate").cast(T.TimestampNTZType()).alias("ts"),
     )
@@ -119,7 +135,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.select(
         F.col("event_id").cast("long").alias("event_id"),
-        F.col("user_id").cast("long").alias("user_id"),
+        user_key(F.col("user_id")).alias("user_id"),
         F.col("event_type").alias("interaction_type"),
         F.col("ts").cast(T.TimestampNTZType()).alias("ts"),
     )
@@ -142,4 +158,4 @@ def image_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     output of an image encoder, one vector per product id that has one.
     """
     return vectors(spark, sf_dir).select(
-        F.col("vec_id").alias("product_id"), F.col("embedding").alias("image_vec"))
+        product_key(F.col("vec_id")).alias("product_id"), F.col("embedding").alias("image_vec"))

@@ -31,7 +31,7 @@ SEARCH_REQUEST = T.StructType([
 
 RECOMMEND_REQUEST = T.StructType([
     T.StructField("request_id", T.StringType()),
-    T.StructField("user_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
     T.StructField("top_k", T.IntegerType()),
 ])
 
@@ -49,7 +49,7 @@ def answer_searches(requests: DataFrame, catalog: DataFrame, image_dim: int) ->
     k = reqs.agg(F.max("top_k")).first()[0]
     if k is None:
         return reqs.select("request_id", F.lit(None).cast("long").alias("rank"),
-                           F.lit(None).cast("long").alias("product_id"),
+                           F.lit(None).cast("string").alias("product_id"),
                            F.lit(None).cast("string").alias("title"),
                            F.lit(None).cast("string").alias("category"),
                            F.lit(None).cast("double").alias("price"),
