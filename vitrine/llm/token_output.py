@@ -19,8 +19,8 @@ all words of a selector at once.
 Encoding speed: a token never spans white space in this tokenizer (its
 pattern drops white space and no special token contains any), so a text is cut
 at ASCII spaces and line ends and each distinct piece is encoded once per
-worker, in batches; a bounded cache holds the pieces. Tests compare with the
-library's encoding of whole texts.
+worker; a bounded cache, kept from task to task, holds the pieces. Tests
+compare with the library's encoding of whole texts.
 
 Recovery: a file is written under an attempt's own name and then moved to its
 final name, so a retried or speculative task replaces it by the same content.
@@ -33,9 +33,11 @@ texts; an empty table gives no rows and no documents.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,7 @@ from vitrine.session import scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 14
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 19
 # Fixed values of Simple-8b: (ids in a word, bits of each) by selector.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
              (6, 10), (5, 12), (4, 15), (3, 20), (1, 60)]
@@ -122,29 +124,63 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+# Space, tab, line feed and return all end a piece.
+_BLANKS = bytes(0x20 if b in (0x09, 0x0A, 0x0D) else b for b in range(256))
+# One run of Latin-1 letters, and at most one point or comma after it.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+_LETTERS = "".join(map(chr, [*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)]))
+_PROBES = ("station", "Ünïcode", "it's", "été.", "a,", "x", "straße", "ÿ", "ABC.")
+
+
 class Pieces(dict):
-    """Piece of text to its ids as uint32 bytes; ``encode`` fills in what is missing."""
+    """Piece of text to its ids as uint32 bytes; a missing one is encoded when asked for.
+
+    A run of Latin-1 letters is one pre-token, so the library's BPE model alone
+    encodes it; all else goes through the whole tokenizer. ``cuts`` tells
+    whether the tokenizer treats pieces and letter runs in this way (a few
+    probes decide); for one that doesn't, whole texts are encoded.
+    """
 
     def __init__(self, tokenizer: str, most: int = CACHE_PIECES):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library, self.most = Tokenizer.from_file(public_tokenizers.path(tokenizer)), most
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        self.marks = {m: self._whole(m) for m in (b".", b",")} | {b"": b""}
+        self.cuts = (self._whole(" a\nb  c ".encode()) == b"".join(map(self._whole, (b"a", b"b", b"c")))
+                     and all(self[p.encode()] == self._whole(p.encode()) for p in _PROBES))
 
-    def encode(self, bodies: list[bytes]) -> list[bytes]:
-        cut = [b.translate(_BLANKS).split(b" ") for b in bodies]
-        fresh = list(set().union(*cut).difference(self)) if cut else []
-        if len(self) + len(fresh) > self.most:
+    def _whole(self, piece: bytes) -> bytes:
+        return np.array(self.library.encode(piece.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-            fresh = list(set().union(*cut))
-        for at in range(0, len(fresh), 1 << 14):
-            part = fresh[at:at + (1 << 14)]
-            found = self.library.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)
-            self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found))
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        plain = _PLAIN.fullmatch(piece)
+        if plain:
+            found = self.get(plain[1]) if plain[2] else None
+            if found is None:
+                word = plain[1].decode("utf-8").lower().translate(self.letters)
+                found = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word)])
+            found += self.marks[plain[2]]
+        else:
+            found = self._whole(piece)
+        self[piece] = found
+        return found
 
+    def encode(self, body: bytes) -> bytes:
+        if not self.cuts:
+            return self._whole(body)
+        if b"<|" not in body:      # special tokens are told by their case, all else is lower-cased anyway
+            body = body.lower()
+        return b"".join(map(self.__getitem__, body.translate(_BLANKS).split(b" ")))
 
-# Space, tab, line feed and return all end a piece.
-_BLANKS = bytes(0x20 if b in (0x09, 0x0A, 0x0D) else b for b in range(256))
+
+@cache
+def _pieces(tokenizer: str) -> Pieces:
+    """The worker's own, kept from task to task."""
+    return Pieces(tokenizer)
 
 
 class Writer:
@@ -223,11 +259,11 @@ def _write(folder: str, tokenizer: str, end_id: int, block_ids: int):
     def run(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        pieces, out = Pieces(tokenizer), Writer(block_ids)
+        pieces, out = _pieces(tokenizer), Writer(block_ids)
         end = np.array([end_id], "<u4").tobytes()
         for ids, bodies in bounded_chunks(batches):
-            for doc_id, found in zip(ids, pieces.encode(bodies)):
-                out.add(doc_id, np.frombuffer(found + end, "<u4"))
+            for doc_id, body in zip(ids, bodies):
+                out.add(doc_id, np.frombuffer(pieces.encode(body) + end, "<u4"))
         if out.docs:
             filesystem, root = _filesystem(folder)
             filesystem.create_dir(root, recursive=True)
