@@ -19,15 +19,15 @@ def test_endpoints(spark):
     assert got == want and len(got) == 4
     pid = got[0][1]
     assert api.get_product(catalog, pid).count() == 1
-    assert api.get_product(catalog, -1).count() == 0
-    ids = spark.createDataFrame([(pid,), (pid,), (-1,)], "product_id long")
+    assert api.get_product(catalog, "P-1").count() == 0
+    ids = spark.createDataFrame([(pid,), (pid,), ("P-1",)], "product_id string")
     assert [r.product_id for r in api.get_products(catalog, ids).collect()] == [pid]
     user = registry.RECOMMEND_USER_ID
     recs = api.get_user_recommendations(inter, catalog, user, 3).collect()
     assert len(recs) == 3 and all(r.message is None for r in recs)
     cats = set(recs[0].profile_text.split(" "))
     assert all(r.category in cats for r in recs)
-    cold = api.get_user_recommendations(inter, catalog, 10 ** 9).collect()
+    cold = api.get_user_recommendations(inter, catalog, "U999999999").collect()
     assert len(cold) == 1 and cold[0].message == NO_HISTORY
 
 

@@ -2,8 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
-
 from vitrine.operators import clean
 from vitrine.schemas import RAW_PRODUCTS
 
@@ -22,13 +20,13 @@ KEPT = {"5": 5.0, " 12 ": 12.0, "inf": math.inf, "1e2": 100.0, "Infinity": math.
 def test_price_coercion_keeps_only_numeric_positive(spark):
     rows = [(str(i), f"title {i}", "Home", p) for i, p in enumerate(PRICES)]
     out = clean.clean_products(raw_rows(spark, rows)).collect()
-    got = {PRICES[r.product_id]: r.price for r in out}
+    got = {PRICES[int(r.product_id)]: r.price for r in out}
     assert got == KEPT
 
 
 def test_reasons_per_price(spark):
     rows = [(str(i), f"title {i}", "Home", p) for i, p in enumerate(PRICES)]
-    rej = {PRICES[r.product_id]: r.reason for r in clean.clean_rejects(raw_rows(spark, rows)).collect()}
+    rej = {PRICES[int(r.product_id)]: r.reason for r in clean.clean_rejects(raw_rows(spark, rows)).collect()}
     assert rej[""] == "missing_field" and rej["NA"] == "missing_field" and rej["NaN"] == "missing_field"
     assert rej["x"] == "bad_price" and rej["1d"] == "bad_price" and rej["0x10"] == "bad_price"
     assert rej["1,000"] == "bad_price" and rej["1_0"] == "bad_price"
@@ -44,13 +42,13 @@ def test_missing_titles_and_dedup_keeps_lowest_id(spark):
             ("4", "Desk", None, "5")]
     df = raw_rows(spark, rows)
     out = clean.clean_products(df).collect()
-    assert [(r.product_id, r.title, r.price, r.category) for r in out] == [(3, "Lamp", 99.0, "Toys")]
+    assert [(r.product_id, r.title, r.price, r.category) for r in out] == [("20", "Lamp", 25.0, "Home")]
     rej = sorted((r.product_id, r.reason) for r in clean.clean_rejects(df).collect())
-    assert rej == [(4, "missing_field"), (7, "missing_field"), (8, "missing_field"),
-                   (9, "missing_field"), (10, "missing_field"), (11, "missing_field"),
-                   (20, "duplicate_title"), (21, "duplicate_title")]
+    assert rej == [("10", "missing_field"), ("11", "missing_field"), ("21", "duplicate_title"),
+                   ("3", "duplicate_title"), ("4", "missing_field"), ("7", "missing_field"),
+                   ("8", "missing_field"), ("9", "missing_field")]
     audit = clean.clean_audit(df).first().asDict()
-    assert audit == {"n_read": 9, "n_missing_field": 6, "n_bad_price": 0, "n_non_positive_price": 0,
+    assert audit == {"n_read": 9, "n_missing_id": 0, "n_missing_field": 6, "n_bad_price": 0, "n_non_positive_price": 0,
                      "n_valid": 3, "n_clean": 1, "n_duplicate_title": 2}
 
 
@@ -58,7 +56,7 @@ def test_cleaned_schema_is_fixed(spark):
     out = clean.clean_products(raw_rows(spark, [("1", "A", "Home", "3.5")]))
     assert out.columns == ["product_id", "title", "description", "category", "brand", "price",
                            "rating", "num_reviews"]
-    assert dict(out.dtypes)["price"] == "double" and dict(out.dtypes)["product_id"] == "bigint"
+    assert dict(out.dtypes)["price"] == "double" and dict(out.dtypes)["product_id"] == "string"
 
 
 def test_dedup_is_one_aggregate(spark):
@@ -75,7 +73,25 @@ def test_audit_counts_add_up(spark):
     raw = tables.raw_products(spark, "/root/testdata/sf0.001")
     a = clean.clean_audit(raw).first()
     assert a.n_read == raw.count()
-    assert a.n_missing_field + a.n_bad_price + a.n_non_positive_price + a.n_valid == a.n_read
+    assert a.n_missing_id + a.n_missing_field + a.n_bad_price + a.n_non_positive_price + a.n_valid == a.n_read
     assert a.n_clean == clean.clean_products(raw).count()
     assert clean.clean_rejects(raw).count() == a.n_read - a.n_clean
-    assert raw.filter(F.col("price").isNull()).count() >= 0
+    assert a.n_missing_id > 0 and a.n_duplicate_title > 0
+
+
+def test_text_ids_survive_and_copies_are_counted(spark):
+    rows = [("P00001", "Lamp", "Home", "5"), ("P00001", "Lamp", "Home", "5"), ("P00002", "Lamp", "Home", "5"),
+            ("NA", "Desk", "Home", "5"), (None, "Desk", "Home", "5"), ("P00007", "Desk", "Home", "5")]
+    df = raw_rows(spark, rows)
+    kept = sorted((r.product_id, r.title) for r in clean.clean_products(df).collect())
+    assert kept == [("P00001", "Lamp"), ("P00007", "Desk")]
+    rejects = sorted(((r.product_id, r.title, r.reason) for r in clean.clean_rejects(df).collect()), key=str)
+    assert rejects == [("P00001", "Lamp", "duplicate_title"), ("P00002", "Lamp", "duplicate_title"),
+                       (None, "Desk", "missing_id"), (None, "Desk", "missing_id")]
+    assert len(kept) + len(rejects) == len(rows)
+
+
+def test_ids_that_a_type_cannot_hold_are_rejects(spark):
+    df = raw_rows(spark, [("x", "Lamp", "Home", "5"), ("7", "Desk", "Home", "5")])
+    assert [r.product_id for r in clean.clean_products(df, "long").collect()] == [7]
+    assert [(r.title, r.reason) for r in clean.clean_rejects(df, "long").collect()] == [("Lamp", "missing_id")]

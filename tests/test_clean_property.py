@@ -29,7 +29,7 @@ def pandas_keeps(text: str | None):
                 min_size=20, max_size=60))
 def test_price_rule_matches_pandas(spark, texts):
     rows = [(str(i), f"title {i}", None, "Home", "B", t, None, None) for i, t in enumerate(texts)]
-    got = {r.product_id: r.price for r in clean.clean_products(spark.createDataFrame(rows, RAW_PRODUCTS)).collect()}
+    got = {int(r.product_id): r.price for r in clean.clean_products(spark.createDataFrame(rows, RAW_PRODUCTS)).collect()}
     want = {i: pandas_keeps(t) for i, t in enumerate(texts)}
     want = {i: v for i, v in want.items() if v is not None}
     assert set(got) == set(want), [(texts[i], got.get(i), want.get(i)) for i in set(got) ^ set(want)]

@@ -21,16 +21,19 @@ def test_flagship_prunes_columns_and_limits_before_shuffle(spark):
     assert "partial_count" in plan
 
 
-def test_user_filter_reaches_the_scan(spark):
-    """recommend_user filters the interactions before the affinity (which is
-    then checkpointed); the filter lands in the orders scan."""
+def test_user_filter_reaches_the_scan(spark, tmp_path):
+    """A user's filter is pushed to the scan of the written interactions table,
+    which is clustered by user."""
     from pyspark.sql import functions as F
-    from vitrine.operators import recommend
-    from vitrine.sources import tables
-    mine = tables.interactions(spark, SF).filter(F.col("user_id") == registry.RECOMMEND_USER_ID)
-    aff = recommend.category_affinity(mine, registry.catalog(spark, SF))
-    plan = aff._jdf.queryExecution().executedPlan().toString()
-    assert f"EqualTo(o_custkey,{registry.RECOMMEND_USER_ID})" in plan
+    from vitrine.plans import build
+    from vitrine.schemas import INTERACTIONS
+    from vitrine.sources import files, tables
+    out, _ = build.build(spark, tables.raw_products(spark, SF), tables.interactions(spark, SF),
+                         None, 4, out_root=str(tmp_path))
+    mine = files.read_parquet(spark, out.interactions, INTERACTIONS).filter(
+        F.col("user_id") == registry.RECOMMEND_USER_ID)
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(user_id,{registry.RECOMMEND_USER_ID})" in plan
 
 
 def test_dedup_has_no_window_over_title_groups(spark):

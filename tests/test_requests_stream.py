@@ -47,7 +47,7 @@ def test_recommendation_requests_match_batch(spark):
     folder, out = tempfile.mkdtemp(prefix="vitrine-req-"), tempfile.mkdtemp(prefix="vitrine-ans-")
     user = registry.RECOMMEND_USER_ID
     write_requests(folder, "a.json", [{"request_id": "u1", "user_id": user, "top_k": 4},
-                                      {"request_id": "u2", "user_id": 10 ** 9}])
+                                      {"request_id": "u2", "user_id": "U999999999"}])
     serve_recommendations(spark, folder, inter, catalog, dim, out, checkpoint=tempfile.mkdtemp(),
                           available_now=True).awaitTermination(300)
     rows = spark.read.parquet(out).collect()

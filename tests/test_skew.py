@@ -66,7 +66,7 @@ def test_hot_title_dedup_combines_map_side(spark):
         F.lit(None).cast("string").alias("rating"), F.lit(None).cast("string").alias("num_reviews"))
     out = clean.clean_products(raw.repartition(8))
     rows = out.filter(F.col("title") == "Hot Lamp").collect()
-    assert len(rows) == 1 and rows[0].product_id == 0
+    assert len(rows) == 1 and rows[0].product_id == "0"
     assert out.count() == n - (n // 3 - 1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan

@@ -112,3 +112,49 @@ def test_outputs_go_under_the_sessions_checkpoint_dir(spark):
     m = materialize(spark.range(3), "probe")
     assert m.count() == 3
     assert all(local_path(f).startswith(base) for f in m.inputFiles())
+
+
+def test_csv_as_pandas_writes_it(spark, tmp_path):
+    """Quotes, line ends and a reordered header of a pandas export; fields a type can't hold are told."""
+    import pandas as pd
+    from pyspark.sql import types as T
+    rows = [('say "hi", lamp', "Home", 1.5), ("two\nlines", "", 2.0), (" blanks ", None, 3.0)]
+    pd.DataFrame(rows, columns=["title", "category", "price"])[["price", "category", "title"]].to_csv(
+        tmp_path / "p.csv", index=False)
+    shape = T.StructType([T.StructField("title", T.StringType()), T.StructField("category", T.StringType()),
+                          T.StructField("price", T.DoubleType()), T.StructField("brand", T.StringType())])
+    got = sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "p.csv"), shape).collect())
+    assert got == sorted([('say "hi", lamp', "Home", 1.5, None), ("two\nlines", got[2][1], 2.0, None),
+                          (" blanks ", None, 3.0, None)])
+    (tmp_path / "bad.csv").write_text("price,title\n1.0,ok\nx,bad\n")
+    rows = files.read_csv(spark, str(tmp_path / "bad.csv"), shape, corrupt=True).collect()
+    assert {(r.title, r.price, r._corrupt_record) for r in rows} == {("ok", 1.0, None), ("bad", None, "x,bad")}
+
+
+def test_interactions_csv(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("timestamp,user_id,product_id,interaction_type\n"
+                                    "2024-01-02T03:04:05,U00001,P00002,view\nnever,U00002,P00001,click\n")
+    rows = files.read_interactions_csv(spark, str(tmp_path / "i.csv")).collect()
+    assert sorted((r.user_id, r.product_id, r.interaction_type, str(r.ts)) for r in rows) == [
+        ("U00001", "P00002", "view", "2024-01-02 03:04:05"), ("U00002", "P00001", "click", "None")]
+
+
+def test_pictures_join_the_catalogue_by_text_id(spark, tmp_path):
+    """From picture files to combined vectors; an unreadable picture is zeros and told."""
+    for pid, payload in [("P00001", b"\x01\x02"), ("P00002", b"bad")]:
+        (tmp_path / f"{pid}.jpg").write_bytes(payload)
+
+    def make_encoder():
+        def enc(blobs):
+            if b"bad" in blobs:
+                raise ValueError("not a picture")
+            return np.array([[len(b), sum(b)] for b in blobs], dtype=np.float32)
+        return enc
+
+    images = embed.image_file_vectors(files.read_picture_files(spark, str(tmp_path)), make_encoder, 2)
+    errors = {r.product_id: r.embed_error for r in images.collect()}
+    assert errors["P00001"] is None and "not a picture" in errors["P00002"]
+    products = spark.createDataFrame([("P00001", "Lamp", "Home"), ("P00002", "Desk", "Home"), ("P00003", "Mat", "Home")],
+                                     "product_id string, title string, category string")
+    got = {r.product_id: r.vector[-2:] for r in embed.product_vectors(products, images, 2).collect()}
+    assert got == {"P00001": [2.0, 3.0], "P00002": [0.0, 0.0], "P00003": [0.0, 0.0]}

@@ -80,3 +80,14 @@ def score_halved(distance: Column) -> Column:
 def round6(c: Column) -> Column:
     """Distances and scores are compared and ranked at 6 decimals."""
     return F.round(c, 6)
+
+
+def vector_fault(v: Column, dim: int, zero_ok: bool = False) -> Column:
+    """Why a vector cannot take part, or null: the one definition of a valid
+    vector (of the declared length, no null, NaN or infinite entry, and not
+    all zeros unless ``zero_ok``)."""
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fault = (F.when(v.isNull(), F.lit("missing_vector"))
+             .when(F.size(v) != dim, F.lit("wrong_length"))
+             .when(odd, F.lit("not_finite")))
+    return fault if zero_ok else fault.when(~F.exists(v, lambda x: x != 0), F.lit("zero_vector"))

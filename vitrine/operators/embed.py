@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions.text import TEXT_DIM, hashed_vector, product_text, token_buckets
-from vitrine.functions.vectors import concat_vectors, with_unit_vector, zero_vector
+from vitrine.functions.vectors import concat_vectors, vector_fault, with_unit_vector, zero_vector
 from vitrine.session import ship_package
 
 FLOAT_VECTOR = T.ArrayType(T.FloatType())
@@ -48,6 +48,12 @@ def hashed_terms(df: DataFrame, key: str, text_col: str, dim: int = TEXT_DIM) ->
                     F.round(F.col("weight").cast("double"), 6).alias("weight")))
 
 
+def vector_rejects(vectors: DataFrame, id_col: str, vec_col: str, dim: int, zero_ok: bool = False) -> DataFrame:
+    """(id, reason) of the vectors that cannot take part (``functions.vectors.vector_fault``)."""
+    fault = vector_fault(F.col(vec_col), dim, zero_ok)
+    return vectors.select(F.col(id_col), fault.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def product_vectors(products: DataFrame, images: DataFrame | None, image_dim: int,
                     text_dim: int = TEXT_DIM) -> DataFrame:
     """Products with ``text`` , ``text_vec``, ``image_vec`` and ``vector``
@@ -55,17 +61,19 @@ def product_vectors(products: DataFrame, images: DataFrame | None, image_dim: in
 
     ``images`` holds (product_id, image_vec), one row per product id (a
     picture file is named by its product id); it is left-joined, so every
-    product keeps its row and a missing, null or odd-sized image is zeros.
+    product keeps its row and one without a valid image vector of the declared
+    length gets zeros. ``vector_rejects`` lists the images that were set aside.
     """
     base = products.withColumn("text", product_text(F.col("title"), F.col("category")))
     base = text_vectors(base, "text", "text_vec", text_dim)
     if images is not None:
-        base = base.join(images.select("product_id", "image_vec"), "product_id", "left")
+        good = images.filter(vector_fault(F.col("image_vec"), image_dim, zero_ok=True).isNull())
+        base = base.join(good.select("product_id", "image_vec"), "product_id", "left")
     else:
         base = base.withColumn("image_vec", F.lit(None).cast(FLOAT_VECTOR))
     base = base.withColumn(
         "image_vec",
-        F.when(F.col("image_vec").isNull() | (F.size("image_vec") != image_dim), zero_vector(image_dim))
+        F.when(F.col("image_vec").isNull(), zero_vector(image_dim))
          .otherwise(F.col("image_vec").cast(FLOAT_VECTOR)))
     return base.withColumn("vector", concat_vectors(F.col("text_vec"), F.col("image_vec")))
 
@@ -114,7 +122,7 @@ def model_vectors(df: DataFrame, text_col: str, make_encoder: Callable[[], Calla
         try:
             return np.asarray(enc([text]), dtype=np.float32).reshape(dim), None
         except Exception as exc:  # noqa: BLE001 - the row is set aside with the reason
-            return None, f"{type(exc).__name__}: {exc}"[:500]
+            return None, f"{type(exc).__name__}: {exc}"
 
     def run(batches):
         enc = _encoder(key, make_encoder)
@@ -135,29 +143,36 @@ def model_vectors(df: DataFrame, text_col: str, make_encoder: Callable[[], Calla
 
 def image_file_vectors(files: DataFrame, make_encoder: Callable[[], Callable[[list[bytes]], np.ndarray]],
                        dim: int) -> DataFrame:
-    """(product_id, image_vec) from a ``binaryFile`` scan of ``{id}.jpg``.
+    """(product_id, image_vec, embed_error) from a ``binaryFile`` scan of ``{id}.jpg``.
 
-    A file the encoder cannot read gets zeros, as the reference does for a
-    picture that fails to load.
+    The encoder gets the pictures of a batch at once; a batch it rejects is
+    retried picture by picture. A file it cannot read gets zeros, as in the
+    reference, and the error's text; the others' error is null.
     """
     named = files.select(
         F.regexp_extract("path", r"([^/]+)\.[A-Za-z0-9]+$", 1).alias("product_id"), "content")
     ship_package(files.sparkSession)
     schema = T.StructType([T.StructField("product_id", T.StringType()),
-                           T.StructField("image_vec", FLOAT_VECTOR)])
+                           T.StructField("image_vec", FLOAT_VECTOR),
+                           T.StructField("embed_error", T.StringType())])
     key = _factory_key(make_encoder)
 
     def run(batches):
         enc = _encoder(key, make_encoder)
         for pdf in batches:
-            vecs = []
-            for blob in pdf["content"]:
-                try:
-                    v = np.asarray(enc([bytes(blob)]), dtype=np.float32).reshape(dim)
-                except Exception:  # unreadable picture -> zeros
-                    v = np.zeros(dim, dtype=np.float32)
-                vecs.append(v)
-            yield pd.DataFrame({"product_id": pdf["product_id"], "image_vec": vecs})
+            blobs = [bytes(b) for b in pdf["content"]]
+            errors: list[str | None] = [None] * len(blobs)
+            try:
+                vecs = list(np.asarray(enc(blobs), dtype=np.float32).reshape(len(blobs), dim))
+            except Exception:  # noqa: BLE001 - retry the batch picture by picture
+                vecs = []
+                for i, blob in enumerate(blobs):
+                    try:
+                        vecs.append(np.asarray(enc([blob]), dtype=np.float32).reshape(dim))
+                    except Exception as exc:  # noqa: BLE001 - zeros, with the reason
+                        vecs.append(np.zeros(dim, dtype=np.float32))
+                        errors[i] = f"{type(exc).__name__}: {exc}"
+            yield pd.DataFrame({"product_id": pdf["product_id"], "image_vec": vecs, "embed_error": errors})
 
     return named.mapInPandas(run, schema)
 

@@ -8,12 +8,12 @@ only items of those groups compete for its k places.
 
 Two physical paths compute the same answer:
 
-* **broadcast** -- the query set is small (checked by reading at most
-  ``max_broadcast_queries + 1`` rows). Query vectors are broadcast; every
+* **broadcast** -- the caller says that the query set is small (checked by
+  reading at most ``max_broadcast_queries + 1`` rows; more are an error). Query vectors are broadcast; every
   item partition is scanned once by ``mapInArrow`` and keeps a running top-k
   per query, so items are never shuffled and each partition emits at most
   ``k`` hits per query.
-* **blocked** -- any size. Items and queries are grouped by category (or LSH
+* **blocked** -- the default, any size. Items and queries are grouped by category (or LSH
   bucket), each group is cut into hash blocks of at most ``block_rows``
   items and ``query_block_rows`` queries, and every (item block, query
   block) pair of a group meets in one ``cogroup`` task. A hot group is
@@ -40,7 +40,6 @@ from vitrine.session import ship_package
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_MASK = 50_000_000   # queries x allowed groups in the broadcast filter
-MAX_PUSHED_GROUPS = 10_000        # largest IN list put in front of the item scan
 # Blocks of the blocked path: items are replicated ceil(queries / QUERY_BLOCK_ROWS)
 # times and queries ceil(items / BLOCK_ROWS) times; one task holds one block
 # of each (about 72 MB per side at 448 dimensions in float64).
@@ -186,7 +185,7 @@ def _broadcast_path(items: DataFrame, qtable: pa.Table, k: int, grouped: bool) -
         # mask in the kernel filters alone).
         if not codes:
             items = items.filter(F.lit(False))
-        elif len(codes) <= MAX_PUSHED_GROUPS:
+        else:
             items = items.filter(F.col("group").isin(list(codes)))
     payload = spark.sparkContext.broadcast((q_ids, q_mat, allowed_codes, codes))
     cols = ["item_id", "item_vec"] + (["group"] if grouped else [])
@@ -296,7 +295,7 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
                     item_group: str | None = None,
                     query_id: str = "query_id", query_vec: str = "query_vec",
                     query_allowed: str | None = None,
-                    strategy: str = "auto",
+                    strategy: str = "blocked",
                     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
                     block_rows: int = BLOCK_ROWS,
                     query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
@@ -304,8 +303,10 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
 
     ``item_group``/``query_allowed`` (an array column of groups) restrict
     each query to items of its allowed groups; both or neither must be set.
-    ``strategy`` is ``auto`` (broadcast when the query set passes the size
-    check, else blocked), ``broadcast`` or ``blocked``.
+    ``strategy`` is the caller's choice and never depends on the data:
+    ``blocked`` (any number of queries, nothing reaches the driver) or
+    ``broadcast`` (a query set that the caller knows to be small; one beyond
+    the limits is refused, not cut).
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -321,9 +322,9 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
         qcols.append(F.col(query_allowed).alias("allowed"))
     qs = queries.select(*qcols).filter(_rankable("query_vec"))
 
-    if strategy not in ("auto", "broadcast", "blocked"):
+    if strategy not in ("broadcast", "blocked"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy != "blocked":
+    if strategy == "broadcast":
         probe = qs.limit(max_broadcast_queries + 1).toArrow()
         dim = _first_dim(probe)
         fits = (probe.num_rows <= max_broadcast_queries
@@ -336,8 +337,7 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
         if fits:
             hits = _broadcast_path(it, probe, k, grouped)
             return _final_topk(hits, k)
-        if strategy == "broadcast":
-            raise ValueError("query set too large to broadcast")
+        raise ValueError("query set too large to broadcast")
     hits = _blocked_path(it, qs, k, grouped, block_rows, query_block_rows)
     return _final_topk(hits, k)
 

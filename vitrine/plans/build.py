@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.functions.text import TEXT_DIM
 from vitrine.functions.vectors import with_unit_vector
 from vitrine.operators.clean import clean_products
 from vitrine.operators.embed import product_vectors
 from vitrine.operators.recommend import orphan_interactions
-from vitrine.schemas import PRODUCT_COLUMNS
+from vitrine.schemas import INTERACTIONS, PRODUCT_COLUMNS, PRODUCTS
 from vitrine.session import scratch_path
 from vitrine.sources.files import read_parquet, write_parquet
 
@@ -27,10 +28,6 @@ from vitrine.sources.files import read_parquet, write_parquet
 class BuildOutput:
     root: str
 
-    @property
-    def products_clean(self) -> str:
-        return f"{self.root}/products_clean"
-
     @property
     def vectors(self) -> str:
         return f"{self.root}/vectors"
@@ -59,12 +56,13 @@ def vector_table(catalog_vectors: DataFrame) -> DataFrame:
 
 
 def write_vector_table(table: DataFrame, path: str) -> None:
-    """Replace the collection: one overwrite, laid out by category so a
-    category filter prunes files. The rebalance hint clusters rows by
-    category and lets AQE split a hot category over several writer tasks
-    and merge small ones, so files stay near the advisory size."""
-    (table.hint("rebalance", "category")
-     .write.mode("overwrite").partitionBy("category").parquet(path))
+    """Replace the collection: one overwrite, clustered by category so that a
+    category filter skips files and row groups by their statistics. The
+    rebalance hint lets AQE split a hot category over several writer tasks and
+    merge small ones; there is no folder per category, so a category keeps its
+    type and many categories don't mean many files."""
+    (table.hint("rebalance", "category").sortWithinPartitions("category", "product_id")
+     .write.mode("overwrite").parquet(path))
 
 
 def build(spark: SparkSession, raw_products: DataFrame, interactions: DataFrame,
@@ -75,18 +73,18 @@ def build(spark: SparkSession, raw_products: DataFrame, interactions: DataFrame,
     out = BuildOutput(out_root or scratch_path(spark, "catalog-build"))
 
     cleaned = clean_products(raw_products)
-    write_parquet(cleaned, out.products_clean)
-    clean = read_parquet(spark, out.products_clean, cleaned.schema)
+    write_parquet(cleaned.select(*PRODUCT_COLUMNS), out.products)
+    clean = read_parquet(spark, out.products, PRODUCTS)
 
     vecs = product_vectors(clean, images, image_dim, text_dim)
     write_vector_table(vector_table(vecs), out.vectors)
 
-    write_parquet(clean.select(*PRODUCT_COLUMNS), out.products)
-    write_parquet(interactions, out.interactions)
+    write_parquet(interactions.hint("rebalance", "user_id").sortWithinPartitions("user_id", "product_id"),
+                  out.interactions)      # clustered by user: a user's filter skips files
     inter = read_parquet(spark, out.interactions, interactions.schema)
     write_parquet(inter.select("user_id").filter(F.col("user_id").isNotNull()).distinct(), out.users)
 
-    audit = (_count(spark, out.products_clean, "clean", "products_clean")
+    audit = (_count(spark, out.products, "clean", "products_clean")
              .unionByName(_count(spark, out.vectors, "embed", "vectors"))
              .unionByName(_count(spark, out.products, "tables", "products"))
              .unionByName(_count(spark, out.interactions, "tables", "interactions"))
@@ -102,25 +100,29 @@ def _count(spark: SparkSession, path: str, step: str, name: str) -> DataFrame:
 def table_status(spark: SparkSession, out: BuildOutput) -> DataFrame:
     """Readiness of each written table: rows, null keys, orphans, ready.
 
-    Ready means the table has rows and no null keys (and, for interactions,
-    that the check ran); orphans are reported, not fatal, since the served
-    catalogue is deduplicated and interactions may point at dropped ids.
+    Orphans are interactions and vectors whose product is not in the products
+    table, users without an interaction, and products without a vector. Ready
+    means that the table has rows, no null key, and not only orphans: some
+    are usual, since interactions may point at titles that the dedup dropped.
     """
-    products = read_parquet(spark, out.products)
-    inter = read_parquet(spark, out.interactions)
-    users = read_parquet(spark, out.users)
-    vectors = read_parquet(spark, out.vectors)
+    products = read_parquet(spark, out.products, PRODUCTS)
+    inter = read_parquet(spark, out.interactions, INTERACTIONS)
+    users = read_parquet(spark, out.users, T.StructType([INTERACTIONS["user_id"]]))
+    vectors = read_parquet(spark, out.vectors, T.StructType([T.StructField("id", T.StringType()), PRODUCTS["product_id"]]))
 
-    def stats(df: DataFrame, name: str, key: str, orphans: DataFrame | None) -> DataFrame:
+    def stats(df: DataFrame, name: str, key: str, orphans: DataFrame) -> DataFrame:
         s = df.agg(F.count(F.lit(1)).alias("n_rows"),
                    F.count_if(F.col(key).isNull()).alias("n_null_keys"))
-        n_orph = orphans.select(F.count(F.lit(1))).scalar() if orphans is not None else F.lit(0).cast("long")
+        n_orph = orphans.select(F.count(F.lit(1))).scalar()
         return s.select(F.lit(name).alias("table"), "n_rows", "n_null_keys",
                         n_orph.alias("n_orphans"),
-                        ((F.col("n_rows") > 0) & (F.col("n_null_keys") == 0)).alias("ready"))
+                        ((F.col("n_rows") > n_orph) & (F.col("n_null_keys") == 0)).alias("ready"))
+
+    def missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+        return df.join(other.select(key).distinct(), key, "left_anti")
 
-    return (stats(products, "products", "product_id", None)
-            .unionByName(stats(vectors, "vectors", "id", None))
+    return (stats(products, "products", "product_id", missing(products, vectors, "product_id"))
+            .unionByName(stats(vectors, "vectors", "id", missing(vectors, products, "product_id")))
             .unionByName(stats(inter, "interactions", "product_id",
                                orphan_interactions(inter, products)))
-            .unionByName(stats(users, "users", "user_id", None)))
+            .unionByName(stats(users, "users", "user_id", missing(users, inter, "user_id"))))

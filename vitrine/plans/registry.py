@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.functions.text import TEXT_DIM, product_text
 from vitrine.functions.vectors import (cosine_distance, l2_norm, round6, score_halved,
@@ -21,7 +22,7 @@ from vitrine.operators import analytics, clean, embed, knn, recommend
 from vitrine.plans import build as build_plan
 from vitrine.plans.sql_parts import (AFF, EVENTS, INTER, PROD, PRODUCT_TEXT, PROF, RAW, TOP,
                                      IMAGE_DIM_SQL, TITLE, TOKENS_SQL, hashed_terms, product_norms)
-from vitrine.schemas import PRODUCTS
+from vitrine.schemas import INTERACTIONS, PRODUCTS
 from vitrine.session import materialize, scratch_path
 from vitrine.sources import files, tables
 
@@ -71,10 +72,8 @@ def catalog(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
 
 
 def image_dim(spark: SparkSession, sf: str) -> int:
-    """Length of the stored image vectors (read from one non-null row)."""
-    row = (tables.vectors(spark, sf).filter(F.col("embedding").isNotNull())
-           .select(F.size("embedding").alias("d")).first())
-    return int(row["d"]) if row else 0
+    """Declared length of the image vectors; others are rejects."""
+    return tables.IMAGE_DIM
 
 
 def catalog_vectors(spark: SparkSession, sf: str, reuse: bool = False) -> tuple[DataFrame, int]:
@@ -351,6 +350,14 @@ v AS (
   FROM embeddings WHERE embedding IS NOT NULL)"""
 
 
+QUERY_SET = "AND q.vec_id % 100 = 0"
+
+
+def _query_set(vec: DataFrame) -> DataFrame:
+    """The stated queries of a search: the rows whose id is divisible by 100."""
+    return vec.filter(F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def _knn_sql(k: int, extra_where: str = "", query_where: str = "") -> str:
     return _with(VEC) + f""",
 pairs AS (
@@ -370,35 +377,34 @@ def _with_scores(hits: DataFrame) -> DataFrame:
                        score_halved(F.col("distance")).alias("similarity"))
 
 
-@register("knn_batch", _knn_sql(KNN_K))
+@register("knn_batch", _knn_sql(KNN_K, "", QUERY_SET))
 def knn_batch(spark, sf):
-    """The 5 nearest vectors of every vector (the size check picks the path)."""
+    """The 5 nearest of all vectors for every hundredth one (the stated query set)."""
     vec = tables.vectors(spark, sf)
-    hits = knn.similarity_topk(vec, vec, KNN_K, item_id="vec_id", item_vec="embedding",
+    hits = knn.similarity_topk(vec, _query_set(vec), KNN_K, item_id="vec_id", item_vec="embedding",
                                query_id="vec_id", query_vec="embedding")
     return _with_scores(hits)
 
 
-@register("knn_filtered", _knn_sql(KNN_K, "AND x.label = q.label"))
+@register("knn_filtered", _knn_sql(KNN_K, "AND x.label = q.label", QUERY_SET))
 def knn_filtered(spark, sf):
-    """The 5 nearest vectors of every vector among those with the same label."""
+    """The 5 nearest vectors of every hundredth one among those with the same label (equi-join on it)."""
     vec = tables.vectors(spark, sf)
-    queries = vec.withColumn("allowed", F.array("label"))
+    queries = _query_set(vec).withColumn("allowed", F.array("label"))
     hits = knn.similarity_topk(vec, queries, KNN_K, item_id="vec_id", item_vec="embedding",
                                item_group="label", query_id="vec_id", query_vec="embedding",
                                query_allowed="allowed")
     return _with_scores(hits)
 
 
-@register("knn_blocked", _knn_sql(KNN_K))
+@register("knn_blocked", _knn_sql(KNN_K, "", QUERY_SET))
 def knn_blocked(spark, sf):
     """The batch k-NN through the blocked (any-size) path, with blocks small
-    enough that the test tables are cut into several item and query blocks
-    (2 x 2 at 500 vectors, 8 x 8 at 2,000)."""
+    enough that the test tables are cut into several item and query blocks."""
     vec = tables.vectors(spark, sf)
-    hits = knn.similarity_topk(vec, vec, KNN_K, item_id="vec_id", item_vec="embedding",
+    hits = knn.similarity_topk(vec, _query_set(vec), KNN_K, item_id="vec_id", item_vec="embedding",
                                query_id="vec_id", query_vec="embedding", strategy="blocked",
-                               block_rows=250, query_block_rows=250)
+                               block_rows=250, query_block_rows=3)
     return _with_scores(hits)
 
 
@@ -443,7 +449,7 @@ sig AS (
   FROM v, planes p GROUP BY 1, 2),
 cand AS (
   SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS item_id
-  FROM sig a JOIN sig b ON a.tbl = b.tbl AND a.bucket = b.bucket),
+  FROM sig a JOIN sig b ON a.tbl = b.tbl AND a.bucket = b.bucket WHERE a.vec_id % 100 = 0),
 pairs AS (
   SELECT c.query_id, c.item_id,
          round(greatest(1 - list_dot_product(q.e, x.e) / (q.nrm * x.nrm), 0), 6) AS distance
@@ -462,7 +468,7 @@ def knn_lsh(spark, sf):
     items that share a bucket with the query in any table."""
     vec = tables.vectors(spark, sf)
     dim = image_dim(spark, sf)
-    hits = knn.lsh_topk(vec, vec, LSH_K, dim=dim, n_tables=LSH_TABLES, n_bits=LSH_BITS,
+    hits = knn.lsh_topk(vec, _query_set(vec), LSH_K, dim=dim, n_tables=LSH_TABLES, n_bits=LSH_BITS,
                         seed=LSH_SEED, item_id="vec_id", item_vec="embedding",
                         query_id="vec_id", query_vec="embedding")
     return _with_scores(hits)
@@ -550,7 +556,7 @@ def recommend_user(spark, sf):
     """Ten recommendations for one user (filter pushed to the interaction scan)."""
     vecs, dim = catalog_vectors(spark, sf, reuse=True)
     return recommend.recommend_user(tables.interactions(spark, sf), vecs, RECOMMEND_USER_ID,
-                                    RECOMMEND_K, image_dim=dim)
+                                    RECOMMEND_K, image_dim=dim, strategy="broadcast")      # one profile
 
 
 # --------------------------------------------------------------------------
@@ -655,6 +661,62 @@ def parquet_roundtrip(spark, sf):
     return files.read_parquet(spark, path, PRODUCTS)
 
 
+@register("vector_rejects", """
+SELECT id, reason FROM (
+  SELECT vec_id AS id, CASE WHEN v IS NULL THEN 'missing_vector' WHEN len(v) <> 64 THEN 'wrong_length'
+      WHEN len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not_finite'
+      WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN 'zero_vector' END AS reason
+  FROM (SELECT vec_id, CASE vec_id % 50 WHEN 1 THEN NULL WHEN 2 THEN embedding[1:63]
+      WHEN 3 THEN list_concat(embedding[1:63], [NULL::FLOAT]) WHEN 4 THEN list_concat(embedding[1:63], ['NaN'::FLOAT])
+      WHEN 5 THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS v FROM embeddings))
+WHERE reason IS NOT NULL""")
+def vector_rejects(spark, sf):
+    """Vectors that cannot take part in a search, with the reason, from a table with faulty rows."""
+    return embed.vector_rejects(tables.faulty_vectors(spark, sf), "id", "vector", tables.IMAGE_DIM)
+
+
+@register("interactions_csv", _with(INTER) + """
+SELECT user_id, product_id, interaction_type, ts FROM inter""")
+def interactions_csv(spark, sf):
+    """All interactions written as a CSV export and read back into the interactions table's shape."""
+    path = scratch_path(spark, "interactions-csv")
+    files.write_csv(tables.interactions(spark, sf).withColumnRenamed("ts", "timestamp"), path)
+    return files.read_interactions_csv(spark, path)
+
+
+AWKWARD = """SELECT printf('P%05d', p_partkey) AS product_id,
+  CASE p_partkey % 7 WHEN 0 THEN 'say "hi", ' || p_name WHEN 1 THEN p_name || chr(10) || 'second line'
+    WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN ' ' || p_name || ' ' WHEN 5 THEN '"' ELSE p_name END AS title,
+  p_brand AS brand, p_retailprice AS price FROM part"""
+
+
+@register("csv_awkward_text", AWKWARD)
+def csv_awkward_text(spark, sf):
+    """Titles with quotes, commas, line ends, blanks and empty strings written as CSV and read back by
+    column name (the reader asks for the columns in another order)."""
+    path = scratch_path(spark, "awkward-csv")
+    files.write_csv(tables.awkward_titles(spark, sf), path)
+    shape = T.StructType([T.StructField("price", T.DoubleType()), *[T.StructField(n, T.StringType())
+                                                                   for n in ("brand", "title", "product_id")]])
+    return files.read_csv(spark, path, shape).select("product_id", "title", "brand", "price")
+
+
+@register("build_products", _with(RAW, RAW_CLEAN) + """
+SELECT product_id, title, category, brand, price_value AS price FROM rawclean""")
+def build_products(spark, sf):
+    """Runs the build and returns the rows of the products table it wrote."""
+    out, _ = _build(spark, sf)
+    return files.read_parquet(spark, out.products, PRODUCTS).select("product_id", "title", "category", "brand", "price")
+
+
+@register("build_interactions", _with(INTER) + """
+SELECT user_id, product_id, interaction_type, ts FROM inter""")
+def build_interactions(spark, sf):
+    """Runs the build and returns the rows of the interactions table it wrote."""
+    out, _ = _build(spark, sf)
+    return files.read_parquet(spark, out.interactions, INTERACTIONS)
+
+
 @register("embedding_roundtrip", _with(VEC) + """
 SELECT vec_id, label, CAST(len(e) AS BIGINT) AS dim, round(nrm, 6) AS norm FROM v""")
 def embedding_roundtrip(spark, sf):

@@ -105,8 +105,8 @@ def hashed_terms(name: str, source: str, key: str, text: str, dim: int = TEXT_DI
 {name}_sq AS (SELECT k, sum(c * c) AS sq FROM {name}_term GROUP BY 1)"""
 
 
-# Image vector length: that of the stored vectors (read from one row).
-IMAGE_DIM_SQL = "(SELECT len(embedding) FROM embeddings WHERE embedding IS NOT NULL LIMIT 1)"
+# Fixed value: the declared length of the stand-in image vectors (``sources.tables.IMAGE_DIM``).
+IMAGE_DIM_SQL = "64"
 
 
 def product_norms() -> str:
@@ -115,7 +115,8 @@ def product_norms() -> str:
     return f"""
 img AS (
   SELECT printf('P%05d', vec_id) AS product_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) = {IMAGE_DIM_SQL}),
+  WHERE embedding IS NOT NULL AND len(embedding) = {IMAGE_DIM_SQL}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pn AS (
   SELECT p.product_id,
          sqrt(coalesce(t.sq, 0) + coalesce(list_dot_product(i.e, i.e), 0)) AS nrm

@@ -10,15 +10,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header line, typed by ``schema``."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("mode", "PERMISSIVE").csv(path))
+CORRUPT = "_corrupt_record"
+
+# The dialect of a pandas CSV export. Quotes inside a quoted
+# field are doubled, a field may hold line ends, blanks belong to the field.
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt: bool = False) -> DataFrame:
+    """CSV with header lines, typed by ``schema``; columns are taken by name.
+
+    The header decides which field is which, so columns may stand in any
+    order; a column that the file lacks is null. An empty field is null, a
+    quoted empty one is the empty string. A value its type can't hold makes
+    that field null; with ``corrupt`` the row's text then stands in
+    ``_corrupt_record`` (null for sound rows), so that such rows can be set
+    aside. Files with line ends in fields are not split over tasks: many files
+    are read in parallel, one file by one task.
+    """
+    reader = spark.read.options(**CSV_DIALECT).option("emptyValue", "").option("nullValue", None)
+    # Only the header is read here, and no type is inferred: the names by place.
+    names = reader.option("inferSchema", "false").csv(path).columns
+    by_name = {f.name: f for f in schema.fields}
+    placed = [by_name.get(n, T.StructField(n, T.StringType())) for n in names]
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in placed] + [T.StructField(CORRUPT, T.StringType())])
+    rows = (reader.option("mode", "PERMISSIVE").option("enforceSchema", "true")
+            .option("columnNameOfCorruptRecord", CORRUPT).schema(shape).csv(path))
+    cols = [F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return rows.select(*cols, *([CORRUPT] if corrupt else []))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header line, replacing what is there."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header line, replacing what is there; reads back as it was
+    (null: an empty field, empty string: two quotes)."""
+    (df.write.mode("overwrite").options(header="true", quote='"', escape='"', emptyValue='""',
+                                        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path))
+
+
+def read_interactions_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Interaction log from CSV files with the columns user_id, product_id,
+    interaction_type and timestamp (text, parsed to a time without zone; a
+    text that is no time gives null)."""
+    raw = read_csv(spark, path, T.StructType([T.StructField(n, T.StringType()) for n in
+                                              ("user_id", "product_id", "interaction_type", "timestamp")]))
+    return raw.select("user_id", "product_id", "interaction_type", F.col("timestamp").try_cast("timestamp_ntz").alias("ts"))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

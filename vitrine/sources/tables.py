@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from vitrine.schemas import PRODUCT_COLUMNS
 
 
+# Fixed value: the declared length of the stand-in image vectors.
+IMAGE_DIM = 64
+
 # The layouts of the driver's tables. Reading with a declared
 # schema skips the footer-inference job and pins the types.
 TABLE_SCHEMAS = {
@@ -159,3 +162,29 @@ def image_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     return vectors(spark, sf_dir).select(
         product_key(F.col("vec_id")).alias("product_id"), F.col("embedding").alias("image_vec"))
+
+
+def faulty_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vector) from ``embeddings`` with one row in ten made unusable: null, too
+    short, a null entry, a NaN entry, all zeros (by key, for any engine alike)."""
+    v, key = F.col("embedding"), F.pmod("vec_id", F.lit(50))
+    short = F.slice(v, 1, IMAGE_DIM - 1)
+
+    def ending(x):
+        return F.concat(short, F.array(F.lit(x).cast("float")))
+    return read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"),
+        F.when(key == 1, F.lit(None)).when(key == 2, short).when(key == 3, ending(None))
+        .when(key == 4, ending(float("nan"))).when(key == 5, F.transform(v, lambda x: F.lit(0.0).cast("float")))
+        .otherwise(v).alias("vector"))
+
+
+def awkward_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, title, brand, price) from ``part`` with titles that a CSV file has to quote."""
+    name, key = F.col("p_name"), F.pmod("p_partkey", F.lit(7))
+    title = (F.when(key == 0, F.concat(F.lit('say "hi", '), name)).when(key == 1, F.concat(name, F.lit("\nsecond line")))
+             .when(key == 2, F.lit("")).when(key == 3, F.lit(None)).when(key == 4, F.concat(F.lit(" "), name, F.lit(" ")))
+             .when(key == 5, F.lit('"')).otherwise(name))
+    return read_table(spark, sf_dir, "part").select(
+        product_key(F.col("p_partkey")).alias("product_id"), title.alias("title"),
+        F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
