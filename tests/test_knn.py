@@ -187,3 +187,28 @@ def test_round6_matches_sql_round_half_away():
     con = duckdb.connect()
     want = [con.execute("select round(?::double, 6)", [float(v)]).fetchone()[0] for v in vals]
     assert [float.hex(float(g)) for g in got] == [float.hex(w) for w in want]
+
+
+def test_faulty_vectors_are_left_out_by_every_path(spark):
+    nan = float("nan")
+    items = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [0.0, 0.0]), (5, [1.0]), (6, None), (7, [0.0, 1.0]),
+         (8, [float("inf"), 0.0])], "item_id long, item_vec array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("bad", [nan, 0.0])], "query_id string, query_vec array<double>")
+    want = {"q": [(0.0, 1), (1.0, 7)]}
+    for strategy in ("broadcast", "blocked"):
+        assert as_dict(knn.similarity_topk(items, queries, 5, strategy=strategy, dim=2)) == want, strategy
+    lsh = knn.lsh_topk(items, queries, 5, dim=2, n_tables=30, n_bits=1)
+    assert as_dict(lsh) == want
+
+
+def test_lsh_candidates_fall_as_bits_grow(spark, vec):
+    """Pairs that share a bucket in one table, by number of bits."""
+    n = vec.count()
+    shares = []
+    for bits in (2, 4, 8):
+        planes = knn.hyperplanes(64, 1, bits, 7)
+        sizes = (knn.with_lsh_buckets(vec.select("vec_id", "embedding"), "embedding", planes)
+                 .groupBy(F.col("buckets")[0].alias("b")).count().collect())
+        shares.append(sum(r["count"] ** 2 for r in sizes) / n ** 2)
+    assert shares[0] > 2 * shares[1] > 4 * shares[2]

@@ -108,3 +108,15 @@ def test_recommend_all_same_on_blocked_path(spark):
     b = sorted(map(key, recommend.recommend_all(inter, cat, 5, image_dim=dim, strategy="blocked",
                                                 block_rows=7, query_block_rows=5).collect()))
     assert a == b and len(a) > 0
+
+
+def test_scratch_goes_with_its_block(spark):
+    import os
+    from vitrine.session import local_path, scratch, shared_dir
+    folder = local_path(shared_dir(spark))
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    from vitrine.plans import registry
+    with scratch(spark):
+        assert registry.QUERIES["recommend_user"](spark, "/root/testdata/sf0.001").count() > 0
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before

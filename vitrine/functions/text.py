@@ -43,12 +43,15 @@ def hashed_vector(text: Column, dim: int = TEXT_DIM) -> Column:
     The counts are first gathered in a small map (one entry per distinct
     bucket of the text), then read once per dimension; the map reaches the
     per-dimension lambda as a repeated argument, so it is built once per
-    row. Measured faster than folding the tokens into a zero vector.
+    row. The buckets enter as the argument of an outer lambda: a bound value,
+    so every token is hashed once, however long the text is.
     """
-    buckets = token_buckets(text, dim)
-    counts = F.map_from_entries(F.transform(
-        F.array_distinct(buckets),
-        lambda b: F.struct(b.alias("k"), F.size(F.filter(buckets, lambda x: x == b)).cast("float").alias("v"))))
+    def counted(buckets: Column) -> Column:
+        return F.map_from_entries(F.transform(
+            F.array_distinct(buckets),
+            lambda b: F.struct(b.alias("k"), F.size(F.filter(buckets, lambda x: x == b)).cast("float").alias("v"))))
+
+    counts = F.element_at(F.transform(F.array(token_buckets(text, dim)), counted), 1)
     dims = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
     return F.zip_with(dims, F.array_repeat(counts, F.lit(dim)),
                       lambda i, m: F.coalesce(F.element_at(m, i), F.lit(0.0).cast("float")))

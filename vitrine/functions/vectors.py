@@ -82,7 +82,7 @@ def round6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-def vector_fault(v: Column, dim: int, zero_ok: bool = False) -> Column:
+def vector_fault(v: Column, dim: int | Column, zero_ok: bool = False) -> Column:
     """Why a vector cannot take part, or null: the one definition of a valid
     vector (of the declared length, no null, NaN or infinite entry, and not
     all zeros unless ``zero_ok``)."""

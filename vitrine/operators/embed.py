@@ -19,12 +19,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions.text import TEXT_DIM, hashed_vector, product_text, token_buckets
-from vitrine.functions.vectors import concat_vectors, vector_fault, with_unit_vector, zero_vector
+from vitrine.functions.vectors import concat_vectors, vector_fault, zero_vector
 from vitrine.session import ship_package
 
 FLOAT_VECTOR = T.ArrayType(T.FloatType())
@@ -38,14 +38,16 @@ def text_vectors(df: DataFrame, text_col: str, out: str = "text_vec",
 
 def hashed_terms(df: DataFrame, key: str, text_col: str, dim: int = TEXT_DIM) -> DataFrame:
     """Sparse long form of the hashed vector: (key, bucket, weight) with
-    weight the unit-normalised count, non-zero buckets only."""
-    with_vec = text_vectors(df.select(key, text_col), text_col, "v", dim)
-    normed = with_unit_vector(with_vec, "v", "u", "norm", eps=0.0)
-    return (normed.filter(F.col("norm") > 0)
-            .select(key, F.posexplode("u").alias("bucket", "weight"))
-            .filter(F.col("weight") != 0)
-            .select(key, F.col("bucket").cast("long").alias("bucket"),
-                    F.round(F.col("weight").cast("double"), 6).alias("weight")))
+    weight the unit-normalised count, non-zero buckets only.
+
+    Tokens are hashed once and counted by (key, bucket) without a dense
+    vector; a key's length is the sum over its at most ``dim`` buckets. Keys
+    are unique (one text each)."""
+    terms = (df.select(key, F.explode(token_buckets(F.col(text_col), dim)).alias("bucket"))
+             .groupBy(key, "bucket").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    squares = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))
+    return (terms.withColumn("norm", F.sqrt(squares))
+            .select(key, F.col("bucket").cast("long").alias("bucket"), F.round(F.col("n") / F.col("norm"), 6).alias("weight")))
 
 
 def vector_rejects(vectors: DataFrame, id_col: str, vec_col: str, dim: int, zero_ok: bool = False) -> DataFrame:

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
-from vitrine.session import ship_package
+from vitrine.functions.vectors import cosine_distance, round6, vector_fault
+from vitrine.session import materialize, ship_package
 
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -140,11 +141,13 @@ def _matrix(arr: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarr
 # Spark plans
 # --------------------------------------------------------------------------
 
-def _rankable(vec: str) -> Column:
-    """A vector that can have a distance: not null, not all zeros. Checked
-    in the JVM before any vector reaches Python; in LSH all zero vectors
-    would otherwise share one bucket in every table."""
-    return F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0)
+def rankable(vec: str, dim: int | None = None) -> Column:
+    """A vector that can have a distance (``functions.vectors.vector_fault``):
+    no null, NaN or infinite entry, not all zeros, and of length ``dim`` where
+    one is declared. Checked in the JVM before any vector reaches Python, so
+    every path ranks the same rows."""
+    v = F.col(vec)
+    return vector_fault(v, dim if dim is not None else F.size(v)).isNull()
 
 
 def _final_topk(hits: DataFrame, k: int) -> DataFrame:
@@ -295,7 +298,7 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
                     item_group: str | None = None,
                     query_id: str = "query_id", query_vec: str = "query_vec",
                     query_allowed: str | None = None,
-                    strategy: str = "blocked",
+                    strategy: str = "blocked", dim: int | None = None,
                     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
                     block_rows: int = BLOCK_ROWS,
                     query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
@@ -303,6 +306,9 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
 
     ``item_group``/``query_allowed`` (an array column of groups) restrict
     each query to items of its allowed groups; both or neither must be set.
+    With ``dim``, vectors of another length are left out like all that have
+    no distance; without it they are an error.
+
     ``strategy`` is the caller's choice and never depends on the data:
     ``blocked`` (any number of queries, nothing reaches the driver) or
     ``broadcast`` (a query set that the caller knows to be small; one beyond
@@ -316,19 +322,18 @@ def similarity_topk(items: DataFrame, queries: DataFrame, k: int, *,
     grouped = item_group is not None
     it = items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"),
                       *([F.col(item_group).alias("group")] if grouped else []))
-    it = it.filter(_rankable("item_vec"))
+    it = it.filter(rankable("item_vec", dim))
     qcols = [F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec")]
     if grouped:
         qcols.append(F.col(query_allowed).alias("allowed"))
-    qs = queries.select(*qcols).filter(_rankable("query_vec"))
+    qs = queries.select(*qcols).filter(rankable("query_vec", dim))
 
     if strategy not in ("broadcast", "blocked"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "broadcast":
         probe = qs.limit(max_broadcast_queries + 1).toArrow()
-        dim = _first_dim(probe)
         fits = (probe.num_rows <= max_broadcast_queries
-                and probe.num_rows * max(dim, 1) * 8 <= MAX_BROADCAST_BYTES
+                and probe.num_rows * max(_first_dim(probe), 1) * 8 <= MAX_BROADCAST_BYTES
                 and (not grouped or probe.num_rows * (_n_groups(probe) + 1) <= MAX_BROADCAST_MASK))
         if fits and probe.num_rows == 0:
             # no query: nothing to rank, and no reason to scan the items
@@ -390,31 +395,33 @@ def with_lsh_buckets(df: DataFrame, vec: str, planes: np.ndarray, out: str = "bu
 def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
              n_tables: int = 10, n_bits: int = 4, seed: int = 7,
              item_id: str = "item_id", item_vec: str = "item_vec",
-             query_id: str = "query_id", query_vec: str = "query_vec",
-             block_rows: int = BLOCK_ROWS, query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+             query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """Approximate top-k: exact distances only among items sharing a bucket.
 
     Each vector gets one bucket per hash table; a query's candidates are the
-    items in any of its buckets. Candidates are ranked exactly by the
-    blocked path (hot buckets are cut into blocks, so no bucket is loaded
-    whole), hits found through several tables are merged, and the k best
-    remain. Recall is below 1 and grows with ``n_tables``.
+    items in any of its buckets. Items are scanned and hashed once and only
+    (id, bucket) rows are written and joined; a pair found by several tables
+    is one candidate, and vectors are fetched for candidates alone. AQE splits
+    a hot bucket's join.
+
+    A table has 2**n_bits buckets, so a query meets about N / 2**n_bits items
+    in each: let ``n_bits`` grow with the logarithm of the catalogue to keep
+    the work per query level, and ``n_tables`` to keep the recall (below 1).
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     planes = hyperplanes(dim, n_tables, n_bits, seed)
-    it = (with_lsh_buckets(items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"))
-                           .filter(_rankable("item_vec")), "item_vec", planes, "b")
-          .select("item_id", "item_vec",
-                  F.posexplode("b").alias("t", "bucket"))
-          .select("item_id", "item_vec",
-                  (F.col("t").cast("long") * F.lit(1 << n_bits) + F.col("bucket")).alias("group")))
-    qs = (with_lsh_buckets(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-                           .filter(_rankable("query_vec")), "query_vec", planes, "b")
-          .select("query_id", "query_vec",
-                  F.transform("b", lambda x, t: t.cast("long") * F.lit(1 << n_bits) + x).alias("allowed")))
-    hits = _blocked_path(it, qs, k, True, block_rows, query_block_rows)
-    # One shuffle on the query id serves both the merge and the final rank.
-    merged = (hits.repartition("query_id")
-              .groupBy("query_id", "item_id").agg(F.min("distance").alias("distance")))
-    return _final_topk(merged, k)
+    it = items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec")).filter(rankable("item_vec", dim))
+    qs = (queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
+          .filter(rankable("query_vec", dim)))
+
+    def buckets(df: DataFrame, key: str, vec: str) -> DataFrame:
+        return (with_lsh_buckets(df, vec, planes, "b").select(key, F.posexplode("b").alias("t", "bucket"))
+                .select(key, (F.col("t").cast("long") * F.lit(1 << n_bits) + F.col("bucket")).alias("group")))
+
+    signatures = materialize(buckets(it, "item_id", "item_vec"), "lsh-signatures")
+    pairs = buckets(qs, "query_id", "query_vec").join(signatures, "group").select("query_id", "item_id").distinct()
+    hits = (pairs.join(qs, "query_id").join(it, "item_id")
+            .select("query_id", "item_id", round6(cosine_distance(F.col("query_vec"), F.col("item_vec"))).alias("distance"))
+            .filter(F.col("distance").isNotNull()))
+    return _final_topk(hits, k)

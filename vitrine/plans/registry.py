@@ -417,7 +417,7 @@ def knn_single(spark, sf):
     q = [] if row is None or row["embedding"] is None else [float(x) for x in row["embedding"]]
     qcol = F.array(*[F.lit(x) for x in q]) if q else F.array().cast("array<double>")
     qnorm = float(sum(x * x for x in q)) ** 0.5
-    scored = (vec.withColumn("norm", l2_norm(F.col("embedding")))
+    scored = (vec.filter(knn.rankable("embedding")).withColumn("norm", l2_norm(F.col("embedding")))
               .withColumn("distance", round6(cosine_distance(F.col("embedding"), qcol,
                                                              F.col("norm"), F.lit(qnorm))))
               .filter(F.col("distance").isNotNull()))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,10 +103,32 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Paths handed out inside the innermost ``scratch`` blocks.
+_OPEN_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Every intermediate written inside the block is deleted at its end, so a
+    caller that has consumed its results (a written answer, collected rows)
+    leaves nothing behind. Results that are still lazy must not leave the block."""
+    _OPEN_SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _OPEN_SCRATCH.pop():
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for one job's output."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if _OPEN_SCRATCH:
+        _OPEN_SCRATCH[-1].append(path)
+    return path
 
 
 def local_path(path: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.operators import recommend
-from vitrine.session import scratch_path
+from vitrine.session import scratch, scratch_path
 
 SEARCH_REQUEST = T.StructType([
     T.StructField("request_id", T.StringType()),
@@ -91,7 +91,8 @@ def _serve(spark: SparkSession, folder: str, schema: T.StructType, answer, out:
         # the requests are read several times (largest k, queries, join back)
         batch.persist()
         try:
-            answer(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+            with scratch(spark):      # a micro-batch leaves only its answers
+                answer(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
