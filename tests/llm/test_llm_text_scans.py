@@ -132,7 +132,7 @@ def plain_score(item, text):
     for w in item:
         row = [0]
         for j, t in enumerate(text):
-            row.append(max(0, above[j] + (1 if w == t else -1), above[j + 1] - 2, row[j] - 2))
+            row.append(max(0, above[j] + (w == t), above[j + 1] - 1, row[j] - 1))
         best, above = max(best, *row), row
     return best
 
@@ -162,14 +162,14 @@ def test_leaks_equal_alignment_of_every_pair(spark):
     docs = []
     for i in range(80):
         filler = [f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 60))]
-        passage = edited(rng, items[rng.randrange(12)][1].split(), rng.randint(0, 6))
+        passage = edited(rng, items[rng.randrange(12)][1].split(), rng.randint(0, 9))
         docs.append((i, " ".join(filler + passage + filler[:7]), "en", "a", None))
     docs += rows()
     want = []
     for d in docs:
         for item, text in items:
             w = words(text)
-            if len(w) >= 5:
+            if len(w) >= 6:
                 score = plain_score(w, words(d[1]))
                 if score >= 0.8 * len(w) - 1e-9:
                     want.append((d[0], item, round(score / len(w), 9)))
@@ -185,7 +185,7 @@ def test_leaks_equal_alignment_of_every_pair(spark):
 def test_place_of_a_verbatim_passage():
     item = "one two three four five six seven eight"
     index = D.SeedIndex([(5, item.encode())])
-    assert index.leaks(f"zero zero {item} nine".encode()) == [(5, 1.0, 2, 9, 4)]
+    assert index.leaks(f"zero zero {item} nine".encode()) == [(5, 1.0, 2, 9, 6)]
 
 
 def test_documents_with_test_items(spark):

@@ -3,14 +3,16 @@
 Test items are cut into word n-grams (seeds). Every document, read whole in
 one narrow pass, is joined to the items by the seeds it holds; places that
 share enough seeds with an item are aligned with it word by word
-(Smith-Waterman: match +1, other word -1, gap -2), and an item counts as
-leaked when its best local score reaches ``similarity`` of its own length.
-
-Nothing is lost by the seeds. A score of t*n leaves a budget of B = (1-t)*n:
-an edit costs 2 or more and breaks at most q seeds, a word cut off the end
-costs 1 and breaks one, so n - (q-1) - (q*(B//2) + B%2) seeds survive (with
-q = 5 and t = 0.8 at least one, from six words on). Places with fewer are
-skipped. Rare seeds (in at most ``max_items`` items) open a place; seeds that
+(Smith-Waterman: equal word +1, other word 0, gap -1), and an item counts as
+leaked when its best local score reaches ``similarity`` of its own length: at
+0.8 a fifth of its words may be replaced, inserted or cut off.
+
+Nothing is lost by the seeds. A score of t*n leaves a budget of B = (1-t)*n;
+every replaced, inserted, deleted or cut word costs 1 or more of it and breaks
+at most q seeds, so n - (q-1) - q*B of an item's seeds survive: with q = 3 and
+t = 0.8 at least one, from six words on. (Seeds of five words would lose copies
+whose edits lie evenly.) Places with fewer are skipped. Rare seeds (in at most
+``max_items`` items) open a place; seeds that
 many items share only count along, except in items so poor in rare seeds that
 the bound would not leave one: there every seed opens.
 
@@ -19,8 +21,8 @@ only leaks leave the tasks. The item index is broadcast, at most
 ``block_bytes`` of item text at a time; a larger benchmark is cut into blocks
 of that size by the items' hash and the documents are read once per block.
 
-Defined results: items of fewer than q words identify nothing and are left
-out, items of exactly q words need all of them; null texts are empty; an item
+Defined results: items of fewer than ``least_words`` words identify nothing
+and are left out; null texts are empty; an item
 that occurs several times in a document gives its best place, the first of
 equals; equal items each give a row; repeated documents repeat their rows.
 """
@@ -35,21 +37,23 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import bounded_chunks, id_and_bytes, prepare, read
 from vitrine.llm.license_scan import words_of
 
-Q = 5
+Q = 3
 SIMILARITY = 0.8
+LEAST_WORDS = 6
 MAX_ITEMS = 8
 BLOCK_BYTES = 8 << 20
 MIX = 0x9E3779B97F4A7C15
 
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(best local score, first position in ``text`` at which it ends). Words are numbers; 0 equals nothing."""
-    slope = 2 * np.arange(1, len(text) + 1)
+    """(best local score, first position in ``text`` at which it ends). Words are
+    numbers; those of an item are above 0. Scores are never below 0, since a
+    path may begin anywhere at 0 and other words cost nothing."""
+    slope = np.arange(1, len(text) + 1)
     above = np.zeros(len(text) + 1, np.int64)
     best, end = 0, -1
     for word in item.tolist():
-        diagonal = above[:-1] + np.where(text == word, 1, -1) if word else above[:-1] - 1
-        row = np.maximum(np.maximum(diagonal, above[1:] - 2), 0)
+        row = np.maximum(above[:-1] + (text == word), above[1:] - 1)
         row = np.maximum.accumulate(row + slope) - slope      # gaps along the text
         top = int(row.max(initial=0))
         if top > best:
@@ -72,13 +76,13 @@ class SeedIndex:
     """The seeds of a block of items and what a place must share with each item."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int = Q, similarity: float = SIMILARITY,
-                 max_items: int = MAX_ITEMS):
+                 max_items: int = MAX_ITEMS, least_words: int = LEAST_WORDS):
         self.q, self.similarity = q, similarity
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.words = [], []
         for item_id, body in items:
             words = words_of(body)
-            if len(words) >= q:
+            if len(words) >= max(q, least_words):
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words],
                                            np.int64))
@@ -103,7 +107,7 @@ class SeedIndex:
 
     def survivors(self, n: int) -> int:
         budget = int((1 - self.similarity) * n + 1e-9)
-        return max(1, n - (self.q - 1) - (self.q * (budget // 2) + budget % 2))
+        return max(1, n - (self.q - 1) - self.q * budget)
 
     def _grams(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros(max(len(words) - self.q + 1, 0), np.uint64)
