@@ -116,6 +116,7 @@ def test_pieces_of_documents(spark):
 
 def test_pieces_edges(spark):
     got = U.decode(U.encode(frame(spark))).collect()
+    assert sorted(got, key=str) == sorted(U.round_trip(frame(spark)).collect(), key=str)
     want = sorted((r[0], zlib.crc32((r[1] or "").replace("▁", " ").encode())) for r in rows() if r[0] is not None)
     assert sorted((r.doc_id, r.text_crc32) for r in got if r.doc_id is not None) == want
     assert U.decode(U.encode(frame(spark, []))).count() == 0

@@ -39,7 +39,7 @@ from vitrine.llm.common import bounded_chunks, id_and_bytes, prepare, read
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-CACHE_UNITS = 1 << 20
+CACHE_UNITS = 1 << 18
 _UNIT = re.compile(b"(?:\xe2\x96\x81)*(?:(?!\xe2\x96\x81).)+|(?:\xe2\x96\x81)+", re.S)
 
 
@@ -215,7 +215,7 @@ class Unigram:
         at, held = 0, 0
         for i, unit in enumerate(fresh):
             held += len(unit)
-            if held > 1 << 18 or i + 1 == len(fresh):
+            if held > 1 << 17 or i + 1 == len(fresh):
                 part = fresh[at:i + 1]
                 self.cache.update(zip(part, self.segment(part)))
                 at, held = i + 1, 0
@@ -240,13 +240,23 @@ def _share(spark, model: str, scores: str):
     return spark.sparkContext.broadcast(_loaded(model, scores))
 
 
-def _encode(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()),
-                        ("n_bytes", pa.int64()), ("log_score", pa.float64())])
+_ENCODED = [("doc_id", pa.int64()), ("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()),
+            ("n_bytes", pa.int64()), ("log_score", pa.float64())]
+_DECODED = [("text_crc32", pa.int64()), ("text_length", pa.int64())]
+ENCODED = "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double"
+DECODED = "text_crc32 long, text_length long"
+
+
+def _sums(texts: list[bytes]) -> list[pa.Array]:
+    return [pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())]
+
+
+def _encode(shared, decoded: bool):
+    schema = pa.schema(_ENCODED + _DECODED * decoded)
 
     def run(batches):
         table = shared.value
-        for ids, bodies in bounded_chunks(batches, 2 << 20):
+        for ids, bodies in bounded_chunks(batches, 1 << 20):
             found = table.encode(bodies)
             flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
@@ -256,20 +266,23 @@ def _encode(shared):
                 [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))),
                  pa.array([len(f) for f in found], pa.int64()),
                  pa.array([int(is_byte[f].sum()) for f in found], pa.int64()),
-                 pa.array([float(cost[f].sum()) for f in found], pa.float64())], schema=schema)
+                 pa.array([float(cost[f].sum()) for f in found], pa.float64()),
+                 *(_sums([table.decode(f) for f in found]) if decoded else [])], schema=schema)
     return run
 
 
 def encode(docs: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFrame:
     """(doc_id, piece_ids, n_pieces, n_bytes, log_score): n_bytes counts byte-fallback pieces."""
-    return id_and_bytes(docs).mapInArrow(
-        _encode(_share(docs.sparkSession, model, scores)), "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double")
+    return id_and_bytes(docs).mapInArrow(_encode(_share(docs.sparkSession, model, scores), False), ENCODED)
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFrame:
+    """``decode(encode(docs))`` in one pass: ids are decoded where they were made."""
+    return id_and_bytes(docs).mapInArrow(_encode(_share(docs.sparkSession, model, scores), True), f"{ENCODED}, {DECODED}")
 
 
 def _decode(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()),
-                        ("n_bytes", pa.int64()), ("log_score", pa.float64()), ("text_crc32", pa.int64()),
-                        ("text_length", pa.int64())])
+    schema = pa.schema(_ENCODED + _DECODED)
 
     def run(batches):
         table = shared.value
@@ -278,19 +291,16 @@ def _decode(shared):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [table.decode(ids.values.to_numpy(zero_copy_only=False)) for ids in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([zlib.crc32(t) for t in texts], pa.int64()),
-                     pa.array([len(t) for t in texts], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns, *_sums(texts)], schema=schema)
     return run
 
 
 def decode(encoded: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFrame:
     """The columns of ``encode`` and the CRC-32 and length in bytes of the decoded text."""
     return encoded.select("doc_id", "piece_ids", "n_pieces", "n_bytes", "log_score").mapInArrow(
-        _decode(_share(encoded.sparkSession, model, scores)), "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double, "
-                                "text_crc32 long, text_length long")
+        _decode(_share(encoded.sparkSession, model, scores)), f"{ENCODED}, {DECODED}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Piece ids of all whole documents, and the checksum and length of the text decoded from them."""
-    return decode(encode(read(spark, sf_dir, "documents")))
+    return round_trip(read(spark, sf_dir, "documents"))
