@@ -3,6 +3,7 @@ import zlib
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
@@ -62,3 +63,40 @@ def test_run_on_edge_tables(spark, tmp_path, data):
     assert len(got) <= len(data)
     if data:
         assert {3, 4, 5, 10} & {r.doc_id for r in got} == set()
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_one_by_one(spark, tmp_path):
+    """Clean rows stay beside rejected ones of the same id; copies go whatever their ids."""
+    import itertools
+    import random
+    rng = random.Random(3)
+    texts = [d["text"] for d in sample() if len((d["text"] or "").split()) > 40][:60]
+    item = " ".join(f"leak{rng.randrange(10**6)}" for _ in range(20))
+    bench = pa.table({"item_id": pa.array([1], pa.int64()), "text": pa.array([item])})
+    pq.write_table(bench, str(tmp_path / "benchmark.parquet"))
+    clean = iter(texts)
+    fixed = [(d["doc_id"] + 1000, d["text"], d["lang"], "a", 1) for d in sample()]
+    train = spark.createDataFrame(fixed, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def stage(fn, data):
+        df = frame(spark, data).withColumn("row_key", F.lit(0))
+        if fn is C.language:
+            df = df.unionByName(train.select(*train.columns, *[F.lit("extra").alias(c) for c in df.columns[5:-1]],
+                                             F.lit(0).alias("row_key")))
+        out = fn(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect() if (r.doc_id or 0) < 1000), key=str)
+
+    for one in (None, 7):
+        a, b, c = itertools.islice(clean, 3)
+        row = lambda text: (one, text, "en", "a", 1)
+        assert stage(C.language, [row(a), row("12 34"), row(None), row(b)]) == sorted([(one, a), (one, b)], key=str)
+        assert stage(C.decontaminated, [row(a), row(f"so {item} end"), row(b)]) == sorted([(one, a), (one, b)], key=str)
+        # equal rows, rows that differ in case alone, and another document under the same id
+        big = a.encode().upper().decode()
+        near = stage(C.near_duplicates, [row(a), row(a), row(big), row(b), row(c)])
+        assert len(near) == 3 and {t.lower() for _, t in near} == {a.lower(), b.lower(), c.lower()}
+        assert near == stage(C.near_duplicates, [row(c), row(big), row(b), row(a), row(a)])
+    a, b = itertools.islice(clean, 2)
+    assert stage(C.near_duplicates, [(None, a, "en", "a", 1), (5, a, "en", "a", 1), (3, a, "en", "a", 1),
+                                     (None, b, "en", "a", 1)]) == sorted([(3, a), (None, b)], key=str)
