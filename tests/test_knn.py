@@ -1,5 +1,7 @@
 """Exact and approximate k-NN against a brute-force reference."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +151,25 @@ def test_lsh_recall_floor(vec):
     assert all(ad[p] == ed[p] for p in e & a)
 
 
+def test_registered_lsh_recall_without_own_row(spark, vec):
+    """At the registered tables and bits, and at the defaults: 0.9 of the exact neighbours other than the row itself."""
+    from vitrine.plans import registry as R
+    ids = dict(item_id="vec_id", item_vec="embedding", query_id="vec_id", query_vec="embedding")
+
+    def pairs(hits):
+        return set(map(tuple, hits.filter("query_id <> item_id").select("query_id", "item_id").collect()))
+
+    def recall(exact, approx):
+        return len(exact & approx) / len(exact)
+
+    exact = pairs(knn.similarity_topk(vec, vec, R.LSH_K + 1, **ids))
+    registered = dict(n_tables=R.LSH_TABLES, n_bits=R.LSH_BITS, seed=R.LSH_SEED)
+    assert recall(exact, pairs(knn.lsh_topk(vec, vec, R.LSH_K + 1, dim=64, **registered, **ids))) >= 0.9
+    assert recall(exact, pairs(knn.lsh_topk(vec, vec, R.LSH_K + 1, dim=64, **ids))) >= 0.9
+    sf = os.environ.get("VITRINE_ORACLE_SF", "/root/testdata/sf0.001")
+    assert recall(pairs(R.knn_batch(spark, sf)), pairs(R.knn_lsh(spark, sf))) >= 0.9
+
+
 def test_broadcast_path_does_not_shuffle_items(vec):
     hits = knn.similarity_topk(vec, vec, 3, item_id="vec_id", item_vec="embedding",
                                query_id="vec_id", query_vec="embedding", strategy="broadcast")

@@ -393,7 +393,7 @@ def with_lsh_buckets(df: DataFrame, vec: str, planes: np.ndarray, out: str = "bu
 
 
 def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
-             n_tables: int = 10, n_bits: int = 4, seed: int = 7,
+             n_tables: int = 20, n_bits: int = 4, seed: int = 7,
              item_id: str = "item_id", item_vec: str = "item_vec",
              query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """Approximate top-k: exact distances only among items sharing a bucket.

@@ -432,7 +432,7 @@ def knn_single(spark, sf):
 
 # LSH parameters of the registered query; the oracle restates its buckets for
 # the 64-dimensional vectors of the test tables.
-LSH_TABLES, LSH_BITS, LSH_SEED, LSH_ORACLE_DIM = 10, 4, 7, 64
+LSH_TABLES, LSH_BITS, LSH_SEED, LSH_ORACLE_DIM = 20, 4, 7, 64
 
 
 def _lsh_sql() -> str:
