@@ -188,6 +188,46 @@ def test_place_of_a_verbatim_passage():
     assert index.leaks(f"zero zero {item} nine".encode()) == [(5, 1.0, 2, 9, 6)]
 
 
+def test_short_items_equal_alignment_of_every_pair(spark):
+    rng = random.Random(12)
+    draw = lambda n, of: " ".join(f"w{rng.randrange(of)}" for _ in range(n))
+    items = [(i, draw(1 + i % 8, 25)) for i in range(32)] + [(90, None), (91, "?!"), (92, "w1 w1"), (93, "w2 w3 w2 w3 w2")]
+    docs = [(i, draw(rng.randint(0, 25), 25), "en", "a", None) for i in range(60)]
+    for i in range(60, 140):
+        passage = items[rng.randrange(32)][1].split()
+        passage = edited(rng, passage, rng.randint(0, 2) if len(passage) > 2 else 0)
+        docs.append((i, " ".join(["other"] * 3 + passage + ["other"]), "en", "a", None))
+    want = []
+    for d in docs:
+        for item, text in items:
+            w = words(text)
+            score = plain_score(w, words(d[1])) if w else 0
+            if w and score >= 0.8 * len(w) - 1e-9:
+                want.append((d[0], item, round(score / len(w), 9)))
+    assert {len(words(text)) for _, item, _ in want for i, text in items if i == item} == set(range(1, 9))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limits in ({}, {"block_bytes": 200}, {"max_items": 1}):
+        got = D.leaks(frame(spark, docs), bench, **limits).collect()
+        assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in got) == sorted(want), limits
+
+
+@pytest.mark.parametrize("item, same, other", [
+    ("天气预报说明天下午有雷阵雨", "他说：天气预报说明天下午、有雷阵雨。出门带伞", "天气很好，我们明天下午去公园"),
+    ("東京スカイツリーの高さは六百三十四メートル", "「東京スカイツリーの高さは六百卅四メートル」です", "京都タワーの高さは百三十一メートル"),
+    ("กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย", "รู้ว่ากรุงเทพมหานครเป็นเมืองหลวงของประเทศไทยนะ", "เชียงใหม่อยู่ทางเหนือ"),
+    ("𠮷野家の牛丼", "昨日𠮷野家の牛丼を食べた", "松屋のカレー")])
+def test_unspaced_scripts_are_found(item, same, other):
+    index = D.SeedIndex([(5, item.encode())])
+    assert [leak[0] for leak in index.leaks(same.encode())] == [5]
+    assert index.leaks(other.encode()) == []
+
+
+def test_spaced_scripts_keep_their_words():
+    for text in ("Ünïcode — ça va ▁ naïve \U0001f600", "привет мир", "안녕 세상", "γειά σου", "ა ბგ", "हिन्दी भाषा"):
+        assert D.tokens_of(text.encode()) == A.words_of(text.encode())
+    assert D.tokens_of("AI：测试２ｘ，好".encode()) == [w.encode() for w in ("ai", "测", "试", "２ｘ", "好")]
+
+
 def test_documents_with_test_items(spark):
     got = {(r.doc_id, r.item_id) for r in D.query(spark, SF).collect()}
     items = {i["item_id"]: " ".join(words(i["text"])) for i in sample("benchmark")}

@@ -11,7 +11,9 @@ Nothing is lost by the seeds. A score of t*n leaves a budget of B = (1-t)*n;
 every replaced, inserted, deleted or cut word costs 1 or more of it and breaks
 at most q seeds, so n - (q-1) - q*B of an item's seeds survive: with q = 3 and
 t = 0.8 at least one, from six words on. (Seeds of five words would lose copies
-whose edits lie evenly.) Places with fewer are skipped. Rare seeds (in at most
+whose edits lie evenly.) Shorter items take the widest seed that leaves one:
+two words in items of two or five, the word itself in items of one. Places with
+fewer are skipped. Rare seeds (in at most
 ``max_items`` items) open a place; seeds that
 many items share only count along, except in items so poor in rare seeds that
 the bound would not leave one: there every seed opens.
@@ -21,14 +23,21 @@ only leaks leave the tasks. The item index is broadcast, at most
 ``block_bytes`` of item text at a time; a larger benchmark is cut into blocks
 of that size by the items' hash and the documents are read once per block.
 
-Defined results: items of fewer than ``least_words`` words identify nothing
-and are left out; null texts are empty; an item
+Words are runs of digits, letters and other non-ASCII characters; in scripts
+written without spaces (Han, kana, Thai, Lao, Khmer, Burmese and the like) each
+character is a word, and full-width punctuation separates.
+
+Defined results: items without a word (null, empty, punctuation alone) identify
+nothing and are left out; at 0.8 items of up to four words have to stand
+verbatim; null texts are empty; an item
 that occurs several times in a document gives its best place, the first of
 equals; equal items each give a row; repeated documents repeat their rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,11 +48,38 @@ from vitrine.llm.license_scan import words_of
 
 Q = 3
 SIMILARITY = 0.8
-LEAST_WORDS = 6
 MAX_ITEMS = 8
 BLOCK_BYTES = 8 << 20
 MIX = 0x9E3779B97F4A7C15
 
+# As UTF-8: ideographic space and punctuation U+3000-4, U+3008-20, U+3030-3F, the
+# middle dot U+30FB, full-width punctuation U+FF01-0F, U+FF1A-20, U+FF3B-40, U+FF5B-65.
+_WIDE_PUNCTUATION = re.compile(
+    rb"\xe3\x80[\x80-\x84\x88-\xa0\xb0-\xbf]|\xe3\x83\xbb|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
+# Characters of scripts without spaces between words.
+_UNSPACED = re.compile(
+    rb"\xe0[\xb8-\xbf][\x80-\xbf]"                                  # Thai, Lao, Tibetan
+    rb"|\xe1(?:[\x80\x81\x9e\x9f\xa6-\xa9\xac\xad][\x80-\xbf]"        # Burmese, Khmer, Tai, Balinese
+    rb"|\x82[\x80-\x9f]|\xa5[\x90-\xbf]|\xaa[\x80-\xaf])"
+    rb"|\xe3(?:\x80[\x85-\x87\xa1-\xaf]|[\x81-\xbf][\x80-\xbf])"     # kana, bopomofo, Han
+    rb"|[\xe4-\xe9][\x80-\xbf]{2}"                                   # Han
+    rb"|\xea(?:[\x80-\x92\xa6\xa7\xaa][\x80-\xbf]|\x93[\x80-\x8f]|\xa9[\xa0-\xbf]|\xab[\x80-\x9f])"
+    rb"|\xef(?:[\xa4-\xab][\x80-\xbf]|\xbd[\xa6-\xbf]|\xbe[\x80-\x9f])"    # compatibility Han, half-width kana
+    rb"|\xf0(?:\x9b[\x80-\x85]|[\xa0-\xbf][\x80-\xbf])[\x80-\xbf]")
+
+
+def tokens_of(body: bytes) -> list[bytes]:
+    """Words; single characters where a script has no spaces between them."""
+    if not body.isascii():
+        body = _UNSPACED.sub(rb" \g<0> ", _WIDE_PUNCTUATION.sub(b" ", body))
+    return words_of(body)
+
+
+def seed_width(n: int, q: int = Q, similarity: float = SIMILARITY) -> int:
+    """The widest seed, up to ``q``, of which one survives in an item of ``n`` words; one word at least."""
+    budget = int((1 - similarity) * n + 1e-9)
+    return max(1, min(q, n // (budget + 1)))
+
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(best local score, first position in ``text`` at which it ends). Words are
@@ -73,19 +109,34 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class SeedIndex:
-    """The seeds of a block of items and what a place must share with each item."""
+    """The items of a block by the width of their seeds."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int = Q, similarity: float = SIMILARITY,
-                 max_items: int = MAX_ITEMS, least_words: int = LEAST_WORDS):
-        self.q, self.similarity = q, similarity
+                 max_items: int = MAX_ITEMS):
         self.vocabulary: dict[bytes, int] = {}
-        self.ids, self.words = [], []
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, body in items:
-            words = words_of(body)
-            if len(words) >= max(q, least_words):
-                self.ids.append(item_id)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words],
-                                           np.int64))
+            words = tokens_of(body)
+            if words:
+                numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+                by_width.setdefault(seed_width(len(words), q, similarity), []).append((item_id, np.array(numbers, np.int64)))
+        self.indexes = [WidthIndex(by_width[w], w, similarity, max_items) for w in sorted(by_width, reverse=True)]
+
+    def leaks(self, body: bytes) -> list[tuple]:
+        """(item_id, score, first_word, last_word, n_seeds) of each leaked item."""
+        if not self.indexes:
+            return []
+        get = self.vocabulary.get
+        text = np.array([get(w, 0) for w in tokens_of(body)], np.int64)
+        return [leak for index in self.indexes for leak in index.leaks(text)]
+
+
+class WidthIndex:
+    """The seeds of ``q`` words of items (id, words) and what a place must share with each item."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, similarity: float, max_items: int):
+        self.q, self.similarity = q, similarity
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         grams = [self._grams(w) for w in self.words]
         seeds = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -116,13 +167,8 @@ class SeedIndex:
             out ^= out >> np.uint64(29)
         return out
 
-    def leaks(self, body: bytes) -> list[tuple]:
-        """(item_id, score, first_word, last_word, n_seeds) of each leaked item."""
-        if not len(self.seed):
-            return []
-        get = self.vocabulary.get
-        words = words_of(body)
-        text = np.array([get(w, 0) for w in words], np.int64)
+    def leaks(self, text: np.ndarray) -> list[tuple]:
+        """The leaks in a text of numbered words."""
         q = self.q
         if len(text) < q:
             return []
