@@ -120,3 +120,23 @@ def test_pieces_edges(spark):
     want = sorted((r[0], zlib.crc32((r[1] or "").replace("▁", " ").encode())) for r in rows() if r[0] is not None)
     assert sorted((r.doc_id, r.text_crc32) for r in got if r.doc_id is not None) == want
     assert U.decode(U.encode(frame(spark, []))).count() == 0
+
+
+def test_decoded_texts_are_returned(spark):
+    """The texts themselves, from both paths and from the pipeline's last stage."""
+    import corpus_pipeline as C
+    want = sorted(((r[0], (r[1] or "").replace("▁", " ")) for r in rows()), key=str)
+    for decoded in (U.round_trip(frame(spark)), U.decode(U.encode(frame(spark))), C.pieces(spark, frame(spark), SF)):
+        assert dict(decoded.dtypes)["text"] == "string"
+        got = decoded.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
+        assert all((r.text_crc32, r.text_length) == (zlib.crc32(r.text.encode()), len(r.text.encode())) for r in got)
+
+
+def test_token_ids_are_returned(spark, library, tmp_path):
+    manifest = T.write_tokens(frame(spark), str(tmp_path), block_ids=100)
+    got = T.read_ids(manifest, str(tmp_path)).collect()
+    sums = [(r.doc_id, r.start, len(r.token_ids), zlib.crc32(np.array(r.token_ids, "<u4").tobytes())) for r in got]
+    assert sorted(sums, key=str) == tokens_of(library, [d[:2] for d in rows()])
+    empty = T.write_tokens(frame(spark, []), str(tmp_path / "empty"))
+    assert T.read_ids(empty, str(tmp_path / "empty")).count() == 0

@@ -286,27 +286,44 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
     return spark.createDataFrame(manifest, "part int, docs long, tokens long, start long")
 
 
-def _read(folder: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                        ("ids_crc32", pa.int64())])
+_READ = [("doc_id", pa.int64()), ("start", pa.int64())]
+_SUMS = [("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+_IDS = [("token_ids", pa.list_(pa.int32()))]
+
+
+def _read(folder: str, sums: bool):
+    schema = pa.schema(_READ + (_SUMS if sums else _IDS))
 
     def run(batches):
         filesystem, root = _filesystem(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                rows, start = [], row["start"]
+                rows, start, held = [], row["start"], 0
                 for doc_id, ids in documents_of(filesystem, _name(root, row["part"])):
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((doc_id, start, *((len(ids), zlib.crc32(ids.astype("<u4").tobytes())) if sums
+                                                  else (ids.astype(np.int32),))))
                     start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    held += 1 if sums else len(ids)
+                    if held > 1 << 18:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
     return run
 
 
+def _files(manifest: DataFrame) -> DataFrame:
+    return manifest.repartition(max(manifest.count(), 1), "part")
+
+
+def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, token_ids) of every document, from the files of a manifest."""
+    return _files(manifest).mapInArrow(_read(folder, False), "doc_id long, start long, token_ids array<int>")
+
+
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a manifest."""
-    n = max(manifest.count(), 1)
-    return (manifest.repartition(n, "part")
-            .mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    """(doc_id, start, n_tokens, ids_crc32) of every document: the sums of what ``read_ids`` gives."""
+    return _files(manifest).mapInArrow(_read(folder, True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,12 +28,12 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vitrine.llm.common import bounded_chunks, id_and_bytes, prepare, read
 
@@ -242,13 +242,15 @@ def _share(spark, model: str, scores: str):
 
 _ENCODED = [("doc_id", pa.int64()), ("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()),
             ("n_bytes", pa.int64()), ("log_score", pa.float64())]
-_DECODED = [("text_crc32", pa.int64()), ("text_length", pa.int64())]
+_DECODED = [("text", pa.binary())]
 ENCODED = "doc_id long, piece_ids array<int>, n_pieces long, n_bytes long, log_score double"
-DECODED = "text_crc32 long, text_length long"
+DECODED = "text binary"
 
 
-def _sums(texts: list[bytes]) -> list[pa.Array]:
-    return [pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())]
+def _with_sums(decoded: DataFrame) -> DataFrame:
+    """The bytes ``text`` as a string, and their CRC-32 and length."""
+    return (decoded.withColumns({"text_crc32": F.crc32("text"), "text_length": F.octet_length("text").cast("long")})
+            .withColumn("text", F.col("text").cast("string")))
 
 
 def _encode(shared, decoded: bool):
@@ -267,7 +269,7 @@ def _encode(shared, decoded: bool):
                  pa.array([len(f) for f in found], pa.int64()),
                  pa.array([int(is_byte[f].sum()) for f in found], pa.int64()),
                  pa.array([float(cost[f].sum()) for f in found], pa.float64()),
-                 *(_sums([table.decode(f) for f in found]) if decoded else [])], schema=schema)
+                 *([pa.array([table.decode(f) for f in found], pa.binary())] if decoded else [])], schema=schema)
     return run
 
 
@@ -278,7 +280,8 @@ def encode(docs: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFra
 
 def round_trip(docs: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFrame:
     """``decode(encode(docs))`` in one pass: ids are decoded where they were made."""
-    return id_and_bytes(docs).mapInArrow(_encode(_share(docs.sparkSession, model, scores), True), f"{ENCODED}, {DECODED}")
+    return _with_sums(id_and_bytes(docs).mapInArrow(_encode(_share(docs.sparkSession, model, scores), True),
+                                                    f"{ENCODED}, {DECODED}"))
 
 
 def _decode(shared):
@@ -287,20 +290,24 @@ def _decode(shared):
     def run(batches):
         table = shared.value
         for batch in batches:
-            # A slice at a time: the decoded texts of a whole batch are never held together.
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [table.decode(ids.values.to_numpy(zero_copy_only=False)) for ids in part.column(1)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *_sums(texts)], schema=schema)
+            # The decoded texts of a whole batch are never held together.
+            at, held, texts = 0, 0, []
+            for i, ids in enumerate(batch.column(1)):
+                texts.append(table.decode(ids.values.to_numpy(zero_copy_only=False)))
+                held += len(texts[-1])
+                if held > 1 << 20 or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, pa.array(texts, pa.binary())],
+                                                     schema=schema)
+                    at, held, texts = i + 1, 0, []
     return run
 
 
 def decode(encoded: DataFrame, model: str = MODEL, scores: str = "zipf") -> DataFrame:
-    """The columns of ``encode`` and the CRC-32 and length in bytes of the decoded text."""
-    return encoded.select("doc_id", "piece_ids", "n_pieces", "n_bytes", "log_score").mapInArrow(
-        _decode(_share(encoded.sparkSession, model, scores)), f"{ENCODED}, {DECODED}")
+    """The columns of ``encode``, the decoded ``text``, and its CRC-32 and length in bytes."""
+    return _with_sums(encoded.select("doc_id", "piece_ids", "n_pieces", "n_bytes", "log_score").mapInArrow(
+        _decode(_share(encoded.sparkSession, model, scores)), f"{ENCODED}, {DECODED}"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Piece ids of all whole documents, and the checksum and length of the text decoded from them."""
-    return round_trip(read(spark, sf_dir, "documents"))
+    return round_trip(read(spark, sf_dir, "documents")).drop("text")
