@@ -60,6 +60,23 @@ def test_alternatives():
     assert sorted(sets) == [["a", "c"], ["b", "c"]] and text == "(a OR b) AND c"
 
 
+@pytest.mark.parametrize("rest, labels, score, expressions", [
+    ("MIT see LICENSE", "mit", 1.0, ["MIT"]), ('MIT", "x": 1', "mit", 1.0, ["MIT"]), ("MIT, (c) 2020", "mit", 1.0, ["MIT"]),
+    ("(MIT OR Apache-2.0) in one line of text", "apache,mit", 1.0, ["MIT OR Apache-2.0"]),
+    ("GPL-2.0 WITH x. All else", "gpl", 1.0, ["GPL-2.0 WITH x"]), ("MIT AND", "mit", 0.3, ["MIT"]),
+    ("MIT AND (ISC", "mit", 0.3, ["MIT"]), ("", "", 0.3, []), ("(MIT", "", 0.3, []), ("& MIT", "", 0.3, [])])
+def test_longest_expression_at_the_start(rest, labels, score, expressions):
+    assert A.Scanner().scan(f"so SPDX-License-Identifier: {rest}".encode())[5:] == (labels, score, expressions)
+
+
+def test_many_alternatives_are_neither_joined_nor_listed_by_the_scan():
+    postfix = A.to_postfix(" and ".join(f"(a{i} or b{i})" for i in range(9)))
+    assert len(A.evaluate(postfix)[0]) == 2 ** 9
+    long = " AND ".join(f"(a{i} OR b{i})" for i in range(60))
+    scanned = A.Scanner().scan(f"SPDX-License-Identifier: {long}".encode())
+    assert scanned[7] == [long] and len(scanned[5].split(",")) == 120
+
+
 # -- languages --------------------------------------------------------------------------------------
 
 def plain_bits(counts, langs_bytes, body, order=3):

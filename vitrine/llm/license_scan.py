@@ -6,15 +6,17 @@ Two automata, built once per worker out of fixed lists, read each whole text:
   joined by single spaces. Every place where a phrase's words stand one after
   another is a hit (base phrases of the contract, and the method's notices).
 * tags: the raw text is searched for identifier tags
-  (``SPDX-License-Identifier:``); the rest of that line is parsed by a
-  shunting-yard parser for ``and`` / ``or`` / ``with`` / parentheses.
+  (``SPDX-License-Identifier:``); the rest of that line, or else the longest
+  well-formed expression at its start, is parsed by a shunting-yard parser for
+  ``and`` / ``or`` / ``with`` / parentheses.
 
 Per text: number of words, number of base places, first and last word at which
 a base place starts, base labels, all labels (base, notices and the licences
 of well-formed tags), a score, and the tags' normalised expressions.
 
 Score: 1.0 for a well-formed tag, 0.9 for a base phrase, 0.7 for a notice
-alone, 0.3 for a tag that doesn't parse, 0.0 for nothing.
+alone, 0.3 for a tag that doesn't parse or breaks off after an operator (what
+stands before it still counts), 0.0 for nothing.
 
 One narrow pass, no shuffle: rows are judged one by one in Arrow batches, in
 chunks of bounded bytes. Defined results: null text is empty: no words, no
@@ -58,6 +60,8 @@ TAGS = ("spdx-license-identifier:", "license-identifier:")
 _WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A
               else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_NEXT = re.compile(rf"\s*({_TOKEN.pattern})")
+_BREAKS_OFF = re.compile(r"\s*(?:and|or|with)\b", re.IGNORECASE)
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -110,6 +114,38 @@ def to_postfix(expression: str) -> list[str] | None:
     return out
 
 
+def longest_start(line: str) -> tuple[str, bool]:
+    """(longest well-formed expression at the start of a line, whether an operator follows it)."""
+    at = good = depth = 0
+    operand, with_open, last = True, False, ""
+    while found := _NEXT.match(line, at):
+        token = found[1]
+        low, name = token.lower(), token
+        if low in _RANK:
+            if operand or low == "with" and (last == ")" or with_open):
+                break
+            operand, with_open = True, low == "with"
+        elif token == "(":
+            if not operand or with_open:
+                break
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth, with_open = depth - 1, False
+        else:
+            name = token.rstrip(".:-")
+            if not operand or not name:
+                break
+            operand = False
+        at, last = found.start(1) + len(name), token
+        if not operand and not depth:
+            good = at
+        if name != token:      # the end of a sentence or comment
+            break
+    return line[:good], bool(_BREAKS_OFF.match(line, good))
+
+
 def label_of(identifier: str) -> str:
     """A licence identifier's label: its family if known, else itself in lower case."""
     low = identifier.lower()
@@ -119,28 +155,37 @@ def label_of(identifier: str) -> str:
     return low
 
 
-def evaluate(postfix: list[str]) -> tuple[list[list[str]], str]:
-    """(alternatives, normalised text): each alternative lists the licences that hold together."""
-    stack: list[tuple[list[frozenset], str, int]] = []
+def normalised(postfix: list[str]) -> tuple[set[str], str]:
+    """(licences, normalised text), without listing alternatives; an exception isn't a licence."""
+    stack: list[tuple[set[str], str, int]] = []
     for token in postfix:
         if token not in _RANK:
-            stack.append(([frozenset([token])], token, 9))
+            stack.append(({token}, token, 9))
             continue
         (b, bt, br), (a, at, ar) = stack.pop(), stack.pop()
         rank = _RANK[token]
         at, bt = (f"({t})" if r < rank else t for t, r in ((at, ar), (bt, br)))
+        if token != "with":
+            a |= b
+        stack.append((a, f"{at} {token.upper()} {bt}", rank))
+    return stack[0][:2]
+
+
+def evaluate(postfix: list[str]) -> tuple[list[list[str]], str]:
+    """(alternatives, normalised text): each alternative lists the licences that hold together; all
+    are listed, whose number may grow with the power of the length (the scan lists none)."""
+    stack: list[list[frozenset]] = []
+    for token in postfix:
+        if token not in _RANK:
+            stack.append([frozenset([token])])
+            continue
+        b, a = stack.pop(), stack.pop()
         if token == "or":
-            sets = a + b
+            a = a + b
         elif token == "and":
-            if len(a) * len(b) > 256:      # a product of alternatives: joined as one set instead of listed
-                sets = [frozenset().union(*a, *b)]
-            else:
-                sets = [x | y for x in a for y in b]
-        else:      # an exception changes its licence, it isn't one
-            sets, bt = a, bt
-        stack.append((sets, f"{at} {token.upper()} {bt}", rank))
-    sets, text, _ = stack[0]
-    return [sorted(s) for s in dict.fromkeys(sets)], text
+            a = [x | y for x in a for y in b]
+        stack.append(a)      # an exception changes its licence, it isn't one
+    return [sorted(s) for s in dict.fromkeys(stack[0])], normalised(postfix)[1]
 
 
 def _automaton(phrases) -> ahocorasick.Automaton:
@@ -182,13 +227,17 @@ class Scanner:
             for end in sorted(ends):
                 line = text[end:].split("\n", 1)[0].strip().rstrip("*/ ->.")
                 postfix = to_postfix(line)
+                broken = False
+                if postfix is None:
+                    start, broken = longest_start(line)
+                    postfix = to_postfix(start)
                 if postfix is None:
                     score = max(score, 0.3)
                     continue
-                sets, written = evaluate(postfix)
+                licences, written = normalised(postfix)
                 expressions.append(written)
-                labels.update(label_of(x) for s in sets for x in s)
-                score = 1.0
+                labels.update(map(label_of, licences))
+                score = max(score, 0.3 if broken else 1.0)
         return (len(words), n_base, first, last, ",".join(sorted(base_labels)),
                 ",".join(sorted(base_labels | labels)), score, expressions)
 
