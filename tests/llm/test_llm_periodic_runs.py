@@ -1,0 +1,112 @@
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from llm_data import SF, frame, rows, sample
+from vitrine.llm import periodic_runs as R
+
+
+def plain_runs(words, least=12):
+    """(start, length, period) by trying every period at every place."""
+    n, out = len(words), []
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            smaller = any(all(words[t] == words[t + d] for t in range(i, j + q - d)) for d in range(1, q))
+            if j + q - i >= max(least, 2 * q) and not smaller:
+                out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def split(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+
+
+def changed(doc_id, text):
+    w = split(text)
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    g, n = h // 10, len(w)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def contract(doc_id, words):
+    runs = plain_runs(words)
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            digest("".join("%d,%d,%d\n" % r for r in runs)), digest(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def test_random_texts_equal_brute_force():
+    rng = random.Random(5)
+    some = 0
+    for _ in range(600):
+        least = rng.choice([2, 3, 4, 5, 7, 8, 12, 12, 12, 13, 20])
+        texts = []
+        for _ in range(rng.randint(0, 4)):
+            words = [b"%d" % rng.randint(0, rng.randint(1, 4)) for _ in range(rng.randint(0, 60))]
+            p = rng.randint(1, 8)
+            for i in range(rng.randint(0, 60) + p, len(words)):
+                words[i] = words[i - p]
+            texts.append(words)
+        got = [[tuple(r) for r in found.tolist()] for found in R.runs_of(texts, least)]
+        assert got == [plain_runs(w, least) for w in texts]
+        some += sum(map(len, got))
+    assert some > 1000
+
+
+def test_fibonacci_words_hold_many_nested_runs():
+    a, b = [b"a"], [b"b"]
+    while len(b) < 300:
+        a, b = b, b + a
+    assert [tuple(r) for r in R.runs_of([b])[0].tolist()] == plain_runs(b)
+
+
+def test_long_repetitions_stay_fast():
+    unit = [b"w%d" % i for i in range(37)]
+    assert R.runs_of([[b"a"] * 200_000, unit * 3000 + [b"a"] * 50_000])[0].tolist() == [[0, 200_000, 1]]
+    assert R.runs_of([unit * 3000 + [b"a"] * 50_000])[0].tolist() == [[0, 111_000, 37], [111_000, 50_000, 1]]
+
+
+@pytest.mark.parametrize("least", [0, 1])
+def test_a_run_has_two_words_at_least(least):
+    with pytest.raises(ValueError):
+        R.find_runs([0, 0, 1], least)
+
+
+def test_documents_equal_brute_force(spark):
+    data = [(d["doc_id"], changed(d["doc_id"], d["text"])) for d in sample()]
+    got = sorted(tuple(r)[:8] for r in R.query(spark, SF).collect())
+    want = {i: contract(i, w) for i, w in data if len(w) < 700}
+    assert len(got) == len(data) and [g for g in got if g[0] in want] == sorted(want.values())
+    assert sum(w[1] > 0 for w in want.values()) > 5
+
+
+def test_edge_rows(spark):
+    data = [r for r in rows() if len(r[1] or "") < 1000]
+    data += [(50, "x " * 30, "en", "a", None), (51, "a b c d " * 3 + "a", "en", "a", None), (None, "é " * 12, "en", "a", None)]
+    found = R.periodic_runs(frame(spark, data)).collect()
+    plain = sorted(((d[0], [tuple(r) for r in plain_runs(split(d[1]))]) for d in data), key=str)
+    assert sorted(((r.doc_id, [tuple(x) for x in r.runs]) for r in found), key=str) == plain
+    by = {r.doc_id: r for r in found}
+    assert by[50].collapsed == "x" and by[51].collapsed == "a b c d" and by[3].collapsed == "" and by[51].runs[0].length == 13
+    got = R.digests(R.periodic_runs(frame(spark, data), rewrite=R.planted)).collect()
+    assert sorted((tuple(r)[:8] for r in got), key=str) == sorted((contract(d[0], changed(*d[:2])) for d in data), key=str)
+    long = R.periodic_runs(frame(spark)).filter("doc_id = 6").first()
+    assert long.n_words == 40_000 and long.runs == []      # its words repeat after 30,287 only
+    assert R.periodic_runs(frame(spark, [])).count() == 0 and R.digests(R.periodic_runs(frame(spark, []))).count() == 0

@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_registered():
     assert entry.queries()["pipeline"] is C.run
-    assert len([n for n in entry.queries() if n.startswith("op")]) == 10
+    assert len([n for n in entry.queries() if n.startswith("op")]) == 13
 
 
 def test_stages_by_brute_force(spark):

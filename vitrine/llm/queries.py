@@ -3,8 +3,8 @@ where SQL can state the result."""
 
 from __future__ import annotations
 
-from vitrine.llm import (decontaminate, exact_dedup, language_id, license_scan, line_dedup, ngram_lm, simhash,
-                         token_output, unigram_pieces, url_filter)
+from vitrine.llm import (decontaminate, exact_dedup, language_id, license_scan, line_dedup, ngram_lm, periodic_runs,
+                         simhash, token_output, unigram_pieces, url_filter, vector_dedup, whitening)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_unigram_pieces": unigram_pieces.query,
     "op9_url_filters": url_filter.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_whitening": whitening.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_vector_dedup": vector_dedup.query,
 }
 
 ORACLE = {
