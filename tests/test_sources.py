@@ -158,3 +158,35 @@ def test_pictures_join_the_catalogue_by_text_id(spark, tmp_path):
                                      "product_id string, title string, category string")
     got = {r.product_id: r.vector[-2:] for r in embed.product_vectors(products, images, 2).collect()}
     assert got == {"P00001": [2.0, 3.0], "P00002": [0.0, 0.0], "P00003": [0.0, 0.0]}
+
+
+def test_null_keys_stay_null_and_long_keys_whole(spark):
+    from vitrine.sources import tables
+    df = spark.createDataFrame([(1,), (None,), (99_999,), (123_456,), (-1,), (-123_456,), (0,)], "k long")
+    got = df.select(tables.product_key(df.k).alias("p"), tables.user_key(df.k).alias("u")).collect()
+    assert [r.p for r in got] == ["P00001", None, "P99999", "P123456", "P-0001", "P-123456", "P00000"]
+    assert [r.u for r in got] == ["U00001", None, "U99999", "U123456", "U-0001", "U-123456", "U00000"]
+
+
+def test_null_keys_invent_neither_users_nor_products(spark, tmp_path):
+    """Null part, customer and event keys: no user, no product, no join of null with null."""
+    from vitrine.operators import analytics, clean, recommend
+    from vitrine.plans.registry import QUERIES
+    from vitrine.sources import tables
+    sf = str(tmp_path)
+
+    def put(name, rows):
+        spark.createDataFrame(rows, tables.TABLE_SCHEMAS[name]).write.parquet(f"{sf}/{name}.parquet")
+    put("part", [(1, "a", "b", "Home", 1, 2.0), (None, "c", "b", "Home", 1, 2.0)])
+    put("orders", [(1, 7, "O", 1.0, None, "x"), (2, None, "O", 1.0, None, "x"), (None, 9, "O", 1.0, None, "x")])
+    put("lineitem", [(o, p, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", None) for o, p in ((1, 1), (1, None), (2, 1), (2, None), (None, 1))])
+    inter = tables.interactions(spark, sf)
+    assert sorted(((r.user_id, r.product_id) for r in inter.collect()), key=str) == [
+        ("U00007", "P00001"), ("U00007", None), (None, "P00001"), (None, None)]
+    assert [r.user_id for r in analytics.distinct_users(inter).collect()] == ["U00007"]
+    products = tables.products(spark, sf)
+    assert [r.reason for r in clean.clean_rejects(products).collect()] == ["missing_id"]
+    cat = clean.clean_products(products)
+    assert [r.product_id for r in cat.collect()] == ["P00001"]
+    assert recommend.interactions_enriched(inter, cat).count() == 2 and recommend.orphan_interactions(inter, cat).count() == 2
+    assert [tuple(r) for r in QUERIES["orphan_interactions"](spark, sf).collect()] == [(4, 2)]

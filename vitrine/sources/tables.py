@@ -41,14 +41,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _text_key(letter: str, key: Column) -> Column:
+    """A letter and the number with at least five places; a null key stays null, longer numbers keep all digits."""
+    digits = key.cast("string")
+    padded = (F.when(F.length(digits) >= 5, digits)
+              .when(key < 0, F.concat(F.lit("-"), F.lpad(F.substring(digits, 2, 4), 4, "0")))
+              .otherwise(F.lpad(digits, 5, "0")))
+    return F.concat(F.lit(letter), padded)
+
+
 def product_key(key: Column) -> Column:
     """Text product id, ``P00001`` and so on."""
-    return F.format_string("P%05d", key)
+    return _text_key("P", key)
 
 
 def user_key(key: Column) -> Column:
     """Text user id, ``U00001`` and so on."""
-    return F.format_string("U%05d", key)
+    return _text_key("U", key)
 
 
 def part_title() -> Column:
