@@ -73,6 +73,23 @@ def test_edge_rows(spark):
     assert S.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_links_through_rows_without_id(spark):
+    """Only the middle text is near both others, and its rows have no id."""
+    rng = random.Random(2)
+    apart = lambda a, b: (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count()
+    while True:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        middle = " ".join(words)
+        sides = [" ".join([*words[:i], "other", *words[i + 1:]]) for i in range(0, 200, 5)]
+        near = [t for t in sides if apart(middle, t) <= 3]
+        found = next(((a, b) for a in near for b in near if apart(a, b) > 3), None)
+        if found:
+            break
+    data = [(5, found[0]), (None, middle), (None, middle), (9, found[1])]
+    got = S.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == [(5, 5), (9, 5), (None, 5), (None, 5)]
+
+
 @pytest.mark.parametrize("limit", [128, 2048])
 def test_large_buckets_are_refined_without_loss(spark, limit):
     rng = random.Random(7)

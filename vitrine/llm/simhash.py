@@ -183,14 +183,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, seed: int = 42,
                     bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, linked (fingerprints in its group)."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+
+    A fingerprint is its own node, so those of rows without an id link too; a
+    component's name is the smallest id of all its rows."""
     prepare(docs.sparkSession)
     fps = materialize(id_and_bytes(docs).mapInArrow(_fingerprints(size, seed), "doc_id long, fp long"),
                       "simhash-fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    label = components(links(nodes.filter("node IS NOT NULL"), radius, bucket_limit))
-    named = (nodes.join(label, "node", "left")
-             .select("fp", F.coalesce("component", "node").alias("component_id")))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    label = components(links(nodes.select("fp", F.col("fp").alias("node")), radius, bucket_limit))
+    placed = (nodes.join(label, nodes["fp"] == label["node"], "left")
+              .select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    # Names are looked up for components of several fingerprints alone; the others have their own.
+    names = (placed.join(label.select("component").distinct(), "component", "left_semi")
+             .groupBy("component").agg(F.min("least").alias("name")))
+    named = (placed.join(names.withColumn("several", F.lit(True)), "component", "left")
+             .select("fp", F.when(F.col("several"), F.col("name")).otherwise(F.col("least")).alias("component_id")))
     return (fps.join(named, "fp")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
