@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -63,7 +64,12 @@ def test_alternatives():
 @pytest.mark.parametrize("rest, labels, score, expressions", [
     ("MIT see LICENSE", "mit", 1.0, ["MIT"]), ('MIT", "x": 1', "mit", 1.0, ["MIT"]), ("MIT, (c) 2020", "mit", 1.0, ["MIT"]),
     ("(MIT OR Apache-2.0) in one line of text", "apache,mit", 1.0, ["MIT OR Apache-2.0"]),
-    ("GPL-2.0 WITH x. All else", "gpl", 1.0, ["GPL-2.0 WITH x"]), ("MIT AND", "mit", 0.3, ["MIT"]),
+    ("GPL-2.0 WITH x. All else", "gpl", 0.5, ["GPL-2.0 WITH x"]),
+    ("GPL-2.0+ WITH Classpath-exception-2.0. All else", "gpl", 1.0, ["GPL-2.0+ WITH Classpath-exception-2.0"]),
+    ("see the file", "", 0.3, ["see"]), ("hello", "", 0.3, ["hello"]), ("MIT OR nothing", "mit", 0.3, ["MIT OR nothing"]),
+    ("LicenseRef-Own AND BSL-1.0", "bsl-1.0,licenseref-own", 0.5, ["LicenseRef-Own AND BSL-1.0"]),
+    ("GPL-9.9-or-later", "gpl", 1.0, ["GPL-9.9-or-later"]),
+    ("MIT SPDX-License-Identifier: ISC", "isc,mit", 1.0, ["MIT", "ISC"]), ("MIT AND", "mit", 0.3, ["MIT"]),
     ("MIT AND (ISC", "mit", 0.3, ["MIT"]), ("", "", 0.3, []), ("(MIT", "", 0.3, []), ("& MIT", "", 0.3, [])])
 def test_longest_expression_at_the_start(rest, labels, score, expressions):
     assert A.Scanner().scan(f"so SPDX-License-Identifier: {rest}".encode())[5:] == (labels, score, expressions)
@@ -72,11 +78,20 @@ def test_longest_expression_at_the_start(rest, labels, score, expressions):
 def test_many_alternatives_are_neither_joined_nor_listed_by_the_scan():
     postfix = A.to_postfix(" and ".join(f"(a{i} or b{i})" for i in range(9)))
     assert len(A.evaluate(postfix)[0]) == 2 ** 9
-    long = " AND ".join(f"(a{i} OR b{i})" for i in range(60))
+    long = " AND ".join(f"(LicenseRef-a{i} OR LicenseRef-b{i})" for i in range(60))
     scanned = A.Scanner().scan(f"SPDX-License-Identifier: {long}".encode())
     assert scanned[7] == [long] and len(scanned[5].split(",")) == 120
 
 
+def test_megabytes_of_tags_or_operators_take_seconds():
+    scanner, began = A.Scanner(), time.monotonic()
+    for text in ("SPDX-License-Identifier: MIT " * 70_000, "SPDX-License-Identifier: " + "MIT AND " * 250_000 + "ISC",
+                 "SPDX-License-Identifier: " + "(MIT OR " * 200_000 + "ISC" + ")" * 200_000,
+                 "SPDX-License-Identifier: " + " OR ".join(f"LicenseRef-{i}" for i in range(80_000))):
+        assert "mit" in scanner.scan(text.encode())[5] or "licenseref-79999" in scanner.scan(text.encode())[5]
+    assert time.monotonic() - began < 30
+
+
 # -- languages --------------------------------------------------------------------------------------
 
 def plain_bits(counts, langs_bytes, body, order=3):

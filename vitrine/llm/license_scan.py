@@ -6,17 +6,23 @@ Two automata, built once per worker out of fixed lists, read each whole text:
   joined by single spaces. Every place where a phrase's words stand one after
   another is a hit (base phrases of the contract, and the method's notices).
 * tags: the raw text is searched for identifier tags
-  (``SPDX-License-Identifier:``); the rest of that line, or else the longest
-  well-formed expression at its start, is parsed by a shunting-yard parser for
-  ``and`` / ``or`` / ``with`` / parentheses.
+  (``SPDX-License-Identifier:``); what follows up to the line's end or its next
+  tag, or else the longest well-formed expression at its start, is parsed by a
+  shunting-yard parser for ``and`` / ``or`` / ``with`` / parentheses. Every
+  character is parsed once, however many tags a line holds.
 
 Per text: number of words, number of base places, first and last word at which
 a base place starts, base labels, all labels (base, notices and the licences
 of well-formed tags), a score, and the tags' normalised expressions.
 
-Score: 1.0 for a well-formed tag, 0.9 for a base phrase, 0.7 for a notice
-alone, 0.3 for a tag that doesn't parse or breaks off after an operator (what
-stands before it still counts), 0.0 for nothing.
+Only known licence identifiers, and references to a text of one's own
+(``LicenseRef-``), are labels; other words after a tag are not.
+
+Score: 1.0 for a well-formed tag of known licences and exceptions, 0.9 for a
+base phrase, 0.7 for a notice alone, 0.5 for a tag with a reference or an
+unknown exception, 0.3 for one with an unknown licence, one that doesn't parse
+or one that breaks off after an operator (what stands before it still counts),
+0.0 for nothing. The highest counts.
 
 One narrow pass, no shuffle: rows are judged one by one in Arrow batches, in
 chunks of bounded bytes. Defined results: null text is empty: no words, no
@@ -27,6 +33,7 @@ repeat. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import ahocorasick
 import pyarrow as pa
@@ -55,6 +62,30 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 TAGS = ("spdx-license-identifier:", "license-identifier:")
+# Identifiers of the SPDX licence list in common use, lower case; a version of a family
+# that isn't listed is known too if the family is (``_FAMILY``).
+IDENTIFIERS = frozenset("""
+    0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 beerware
+    blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl
+    bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0
+    cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc-pddc cc0-1.0 cddl-1.0 cddl-1.1
+    cecill-2.0 cecill-2.1 cecill-b cecill-c cpal-1.0 cpl-1.0 curl ecl-2.0 efl-2.0 elastic-2.0 epl-1.0 epl-2.0 eupl-1.1
+    eupl-1.2 fsfap ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 hpnd icu ijg imagemagick intel ipa ipl-1.0 isc
+    json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libpng-2.0 libtiff linux-openib lpl-1.02 lppl-1.3c mit mit-0 mit-cmu mit-modern-variant
+    mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa nist-pd nposl-3.0 ntp odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 ogl-uk-3.0
+    oldap-2.8 openssl osl-1.0 osl-2.1 osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0
+    sspl-1.0 sunpro tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zend-2.0 zlib zpl-2.1
+""".split())
+# Exceptions of that list in common use.
+EXCEPTIONS = frozenset("""
+    389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0
+    clisp-exception-2.0 fltk-exception font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1
+    gnu-javamail-exception gpl-3.0-linking-exception gpl-cc-1.0 i2p-gpl-java-exception lgpl-3.0-linking-exception
+    libtool-exception linux-syscall-note llvm-exception lzma-exception mif-exception ocaml-lgpl-linking-exception
+    openjdk-assembly-exception-1.0 openvpn-openssl-exception qt-gpl-exception-1.0 qt-lgpl-exception-1.1
+    swift-exception u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1
+""".split())
+_FAMILY = re.compile(r"(?:agpl|lgpl|gpl|apache|mpl|bsd|epl|cc-by(?:-nc)?(?:-nd|-sa)?)(?:-\d+(?:\.\d+)*(?:-clause)?)?")
 
 # Word characters: everything but ASCII other than 0-9 and a-z, after lower-casing.
 _WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A
@@ -146,6 +177,15 @@ def longest_start(line: str) -> tuple[str, bool]:
     return line[:good], bool(_BREAKS_OFF.match(line, good))
 
 
+def kind_of(identifier: str) -> str:
+    """``known``, ``reference`` (to a text of one's own) or ``unknown``."""
+    low = identifier.lower()
+    if low.split(":")[-1].startswith("licenseref-"):
+        return "reference"
+    plain = re.sub(r"(?:-only|-or-later|\+)$", "", low)
+    return "known" if plain in IDENTIFIERS or _FAMILY.fullmatch(plain) else "unknown"
+
+
 def label_of(identifier: str) -> str:
     """A licence identifier's label: its family if known, else itself in lower case."""
     low = identifier.lower()
@@ -157,18 +197,35 @@ def label_of(identifier: str) -> str:
 
 def normalised(postfix: list[str]) -> tuple[set[str], str]:
     """(licences, normalised text), without listing alternatives; an exception isn't a licence."""
-    stack: list[tuple[set[str], str, int]] = []
+    stack: list[tuple[set[str], deque[str], int]] = []
     for token in postfix:
         if token not in _RANK:
-            stack.append(({token}, token, 9))
+            stack.append(({token}, deque([token]), 9))
             continue
-        (b, bt, br), (a, at, ar) = stack.pop(), stack.pop()
+        (b, right, br), (a, left, ar) = stack.pop(), stack.pop()
         rank = _RANK[token]
-        at, bt = (f"({t})" if r < rank else t for t, r in ((at, ar), (bt, br)))
+        for side, r in ((left, ar), (right, br)):
+            if r < rank:
+                side.appendleft("(")
+                side.append(")")
+        # The smaller part is added to the larger one, so long chains stay cheap on either side.
+        if len(left) >= len(right):
+            left.append(f" {token.upper()} ")
+            left.extend(right)
+        else:
+            right.appendleft(f" {token.upper()} ")
+            right.extendleft(reversed(left))
+            left = right
         if token != "with":
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
             a |= b
-        stack.append((a, f"{at} {token.upper()} {bt}", rank))
-    return stack[0][:2]
+        stack.append((a, left, rank))
+    return stack[0][0], "".join(stack[0][1])
+
+
+def exceptions_of(postfix: list[str]) -> set[str]:
+    """The names on the right of ``with``: each stands just before it."""
+    return {postfix[i - 1] for i, token in enumerate(postfix) if token == "with"}
 
 
 def evaluate(postfix: list[str]) -> tuple[list[list[str]], str]:
@@ -201,6 +258,19 @@ class Scanner:
         self.words = _automaton((f" {p} ", (p, base.get(p), notices.get(p))) for p in {**base, **notices})
         self.tags = _automaton((t, t) for t in tags)
 
+    def tag_lines(self, body: bytes) -> list[str]:
+        """What follows each tag, up to the line's end or the next tag."""
+        low = body.lower()      # of bytes: same length
+        if b"license-identifier:" not in low:
+            return []
+        text = body.decode("utf-8", "replace")
+        begins: dict[int, int] = {}      # a tag's end: the first of its beginnings
+        for end, tag in self.tags.iter(low.decode("utf-8", "replace")):
+            begins[end + 1] = min(begins.get(end + 1, end + 1), end + 1 - len(tag))
+        ends = sorted(begins)
+        stops = [begins[e] for e in ends[1:]] + [len(text)]
+        return [text[a:b].split("\n", 1)[0].strip().rstrip("*/ ->.") for a, b in zip(ends, stops)]
+
     def scan(self, body: bytes) -> tuple:
         words = words_of(body)
         joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace") if words else ""
@@ -220,24 +290,21 @@ class Scanner:
                 labels.add(notice)
                 score = max(score, 0.7)
         expressions = []
-        low = body.lower()      # of bytes: same length
-        if b"license-identifier:" in low:
-            text = body.decode("utf-8", "replace")
-            ends = {end + 1 for end, _ in self.tags.iter(low.decode("utf-8", "replace"))}
-            for end in sorted(ends):
-                line = text[end:].split("\n", 1)[0].strip().rstrip("*/ ->.")
-                postfix = to_postfix(line)
-                broken = False
-                if postfix is None:
-                    start, broken = longest_start(line)
-                    postfix = to_postfix(start)
-                if postfix is None:
-                    score = max(score, 0.3)
-                    continue
-                licences, written = normalised(postfix)
-                expressions.append(written)
-                labels.update(map(label_of, licences))
-                score = max(score, 0.3 if broken else 1.0)
+        for line in self.tag_lines(body):
+            postfix, broken = to_postfix(line), False
+            if postfix is None:
+                start, broken = longest_start(line)
+                postfix = to_postfix(start)
+            if postfix is None:
+                score = max(score, 0.3)
+                continue
+            licences, written = normalised(postfix)
+            expressions.append(written)
+            kinds = {name: kind_of(name) for name in licences}
+            labels.update(label_of(name) for name, kind in kinds.items() if kind != "unknown")
+            odd = any(e.lower() not in EXCEPTIONS for e in exceptions_of(postfix))
+            score = max(score, 0.3 if broken or "unknown" in kinds.values()
+                        else 0.5 if odd or "reference" in kinds.values() else 1.0)
         return (len(words), n_base, first, last, ",".join(sorted(base_labels)),
                 ",".join(sorted(base_labels | labels)), score, expressions)
 
