@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from conftest import SF_CHECK
@@ -69,3 +71,16 @@ def test_urls_equal_brute_force(spark):
     rules = url_filter.contract_rules(spark)
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, rules.limit(0), "block").collect()} == {"block"}
+
+
+def test_very_long_hosts_and_paths(spark):
+    """64,000 labels and as many path parts: as many expressions as the rules have lengths."""
+    host, path = "a." * 64_000, "/en/1" + "/x" * 64_000
+    data = [(1, f"http://{host}example.org{path}"), (2, f"http://{host}org{path}"), (3, f"http://{host}net{path}"),
+            (4, "http://org"), (5, "http://.org/"), (6, "http://org./"), (7, "http://example.org/en/")]
+    pages = spark.createDataFrame(data, "page_id long, url string")
+    began = time.monotonic()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.contract_rules(spark)).collect()}
+    assert got == {1: ("example.org/en/1", "block"), 2: ("org/", "allow"), 3: (None, "allow"), 4: (None, "allow"),
+                   5: ("org/", "allow"), 6: (None, "allow"), 7: ("org/", "allow")}
+    assert time.monotonic() - began < 30

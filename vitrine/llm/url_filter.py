@@ -1,8 +1,9 @@
 """URL filters: host-suffix / path-prefix expressions, hash-prefix join.
 
 Every distinct URL is expanded into expressions ``suffix + prefix`` (each
-suffix of its host at a dot, each prefix of its path whose length occurs in
-the rules). The expressions meet the rules in an equi-join on the first four
+suffix of its host at a dot with as many dots as some rule's host, each prefix
+of its path whose length occurs in the rules, so the longest host or path costs
+no more than the rules have lengths). The expressions meet the rules in an equi-join on the first four
 bytes of their SHA-256; the full digest and the text itself then confirm the
 hit, and the longest fitting rule decides. DataFrame functions only.
 
@@ -39,6 +40,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _labels(host: str) -> Column:
+    """How many labels a host has: its dots and one."""
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."))) + 1
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages``."""
     urls = (pages.select(F.col("url")).distinct()
@@ -48,11 +54,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
              .withColumn("digest", F.sha2("expression", 256)))
     # The lengths that occur in the rules (at most the longest rule has characters).
     lengths = rules.agg(F.array_sort(F.collect_set(F.length("path"))).alias("lengths")).scalar()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    expanded = (urls.filter("length(host) > 0").withColumn("lengths", lengths)
-                .withColumn("suffix", F.explode(suffixes))
+    # Numbers of labels, likewise. A suffix of n labels ends the host; a host of fewer labels has none.
+    counts = rules.agg(F.array_sort(F.collect_set(_labels("host"))).alias("counts")).scalar()
+    expanded = (urls.filter("length(host) > 0").withColumn("lengths", lengths).withColumn("counts", counts)
+                .withColumn("n_labels", F.explode(F.filter("counts", lambda n: n <= _labels("host"))))
+                .withColumn("suffix", F.expr("substring_index(host, '.', -n_labels)"))
                 .withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
                 .withColumn("prefix", F.substring("path", F.lit(1), F.col("n")))
                 .withColumn("expression", F.concat("suffix", "prefix"))
