@@ -140,3 +140,50 @@ def test_token_ids_are_returned(spark, library, tmp_path):
     assert sorted(sums, key=str) == tokens_of(library, [d[:2] for d in rows()])
     empty = T.write_tokens(frame(spark, []), str(tmp_path / "empty"))
     assert T.read_ids(empty, str(tmp_path / "empty")).count() == 0
+
+
+def test_long_units_are_cut_without_change(monkeypatch):
+    """Windows, cut borders and slices of any size give the pieces of whole units."""
+    rng, table = random.Random(3), U.Unigram.load()
+    alphabet = "abcdefghij klmnopéü東京都の天気予報▁  .,0123"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))).encode() for _ in range(120)]
+    texts += [b"a" * 300, b"the" * 100, "天気予報説明".encode() * 30, b" " * 50, b"  a  b " * 20, "▁ ▁x ".encode() * 30, b""]
+    want = table.encode(texts)
+    for long, window, part in ((8, 16, 20), (3, 64, 7), (40, 32, 100), (1, 100, 1 << 20)):
+        monkeypatch.setattr(U, "LONG_UNIT", long)
+        monkeypatch.setattr(U, "WINDOW", window)
+        monkeypatch.setattr(U, "SLICE", part)
+        table.cache.clear()
+        assert all(np.array_equal(a, b) for a, b in zip(want, table.encode(texts)))
+    monkeypatch.setattr(U, "CACHE_BYTES", 2000)
+    assert all(np.array_equal(a, b) for a, b in zip(want, table.encode(texts))) and table.cached <= 2000
+
+
+LONG_TEXTS = """
+import base64, random, resource, sys, time
+from vitrine.llm import token_output as T, unigram_pieces as U
+rng, table, began = random.Random(1), U.Unigram.load(), time.monotonic()
+size = 3_000_000
+texts = {"base64": base64.b64encode(rng.randbytes(size)), "han": "".join(chr(rng.randrange(0x4e00, 0x9000)) for _ in range(size // 3)).encode(),
+         "one letter": b"a" * size, "lines": b"\\n".join(b"%030d" % rng.randrange(10**30) for _ in range(size // 31))}
+for text in texts.values():
+    assert table.decode(table.encode([text])[0]) == text
+assert table.cached <= U.CACHE_BYTES
+pieces = T.Pieces(T.TOKENIZER, 4 << 20)
+for _ in range(4):      # many distinct long lines, and many distinct words
+    pieces.encode(b"\\n".join(b"x%0200d" % rng.randrange(10**30) for _ in range(2000)))
+    pieces.encode(b" ".join(b"w%d" % rng.randrange(10**9) for _ in range(20_000)))
+assert pieces.held <= 4 << 20 and max(map(len, pieces)) <= T.LONG_PIECE
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10, time.monotonic() - began)
+"""
+
+
+def test_long_texts_need_bounded_memory():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", LONG_TEXTS], cwd=root, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    mb, seconds = map(float, out.stdout.split())
+    assert mb < 600 and seconds < 120

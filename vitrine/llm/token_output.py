@@ -19,7 +19,7 @@ all words of a selector at once.
 Encoding speed: a token never spans white space in this tokenizer (its
 pattern drops white space and no special token contains any), so a text is cut
 at ASCII spaces and line ends and each distinct piece is encoded once per
-worker; a bounded cache, kept from task to task, holds the pieces. Tests
+worker; a cache bounded in bytes, kept from task to task, holds the short pieces. Tests
 compare with the library's encoding of whole texts.
 
 Recovery: a file is written under an attempt's own name and then moved to its
@@ -51,7 +51,9 @@ from vitrine.session import scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 14
-CACHE_PIECES = 1 << 19
+CACHE_BYTES = 96 << 20          # of cached pieces, their ids and what the table itself takes
+LONG_PIECE = 64                 # bytes; longer pieces are not cached
+_ENTRY = 150                    # bytes of a cache entry besides its key's and value's text
 # Fixed values of Simple-8b: (ids in a word, bits of each) by selector.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
              (6, 10), (5, 12), (4, 15), (3, 20), (1, 60)]
@@ -69,14 +71,18 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, "<u8")
     # choice[i]: the selector of a word that begins at id i. Dense selectors are tried last and win.
     choice = np.full(n, ESCAPE, np.int8)
-    taken = np.ones(n, np.int64)
+    taken = np.ones(n, np.int32)
+    # Bits of each id: the exponent of its double, unless that was rounded up to the next power of two.
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    width[(width > 53) & (ids >> np.maximum(width, 1).astype(np.uint64) - np.uint64(1) == 0)] -= 1
+    bad = np.zeros(n + 1, np.int32)
     for selector in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[selector]
         if count > n:
             continue
-        bad = np.concatenate([[0], np.cumsum(ids >> np.uint64(bits) != 0)])
-        fits = np.flatnonzero(bad[count:] == bad[:n - count + 1])
-        choice[fits], taken[fits] = selector, count
+        np.cumsum(width > bits, dtype=np.int32, out=bad[1:])
+        fits = bad[count:] == bad[:n - count + 1]
+        choice[:n - count + 1][fits], taken[:n - count + 1][fits] = selector, count
     starts, step, at = [], taken.tolist(), 0
     while at < n:
         starts.append(at)
@@ -126,28 +132,29 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 # Space, tab, line feed and return all end a piece.
 _BLANKS = bytes(0x20 if b in (0x09, 0x0A, 0x0D) else b for b in range(256))
-# One run of Latin-1 letters, and at most one point or comma after it.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+# Pre-tokens of pieces without other characters: runs of Latin-1 letters, digits, runs of punctuation but
+# for the apostrophe (which may join the letters after it).
+_PARTS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _LETTERS = "".join(map(chr, [*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)]))
-_PROBES = ("station", "Ünïcode", "it's", "été.", "a,", "x", "straße", "ÿ", "ABC.")
+_PROBES = ("station", "Ünïcode", "it's", "été.", "a,", "x", "straße", "ÿ", "ABC.", "x2y30", "(ab-cd)_&", "a@b.org", "12:30")
 
 
 class Pieces(dict):
     """Piece of text to its ids as uint32 bytes; a missing one is encoded when asked for.
 
     A run of Latin-1 letters is one pre-token, so the library's BPE model alone
-    encodes it; all else goes through the whole tokenizer. ``cuts`` tells
-    whether the tokenizer treats pieces and letter runs in this way (a few
+    encodes it; digits and runs of punctuation are pre-tokens too and are
+    encoded once. All else goes through the whole tokenizer. ``cuts`` tells
+    whether the tokenizer treats pieces and pre-tokens in this way (a few
     probes decide); for one that doesn't, whole texts are encoded.
     """
 
-    def __init__(self, tokenizer: str, most: int = CACHE_PIECES):
+    def __init__(self, tokenizer: str, most: int = CACHE_BYTES):
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
-        self.library, self.most = Tokenizer.from_file(public_tokenizers.path(tokenizer)), most
+        self.library, self.most, self.held = Tokenizer.from_file(public_tokenizers.path(tokenizer)), most, 0
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _LETTERS}
-        self.marks = {m: self._whole(m) for m in (b".", b",")} | {b"": b""}
         self.cuts = (self._whole(" a\nb  c ".encode()) == b"".join(map(self._whole, (b"a", b"b", b"c")))
                      and all(self[p.encode()] == self._whole(p.encode()) for p in _PROBES))
 
@@ -155,18 +162,22 @@ class Pieces(dict):
         return np.array(self.library.encode(piece.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        plain = _PLAIN.fullmatch(piece)
-        if plain:
-            found = self.get(plain[1]) if plain[2] else None
-            if found is None:
-                word = plain[1].decode("utf-8").lower().translate(self.letters)
-                found = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word)])
-            found += self.marks[plain[2]]
+        parts = _PARTS.findall(piece)
+        if sum(map(len, parts)) < len(piece) or b"<|" in piece:
+            found = self._whole(piece)
+        elif len(parts) > 1:
+            found = b"".join([self[part] for part in parts])
+        elif parts and (piece[0] | 0x20 in range(97, 123) or piece[0] >= 0x80):
+            word = piece.decode("utf-8").lower().translate(self.letters)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word)])
         else:
             found = self._whole(piece)
-        self[piece] = found
+        if len(piece) <= LONG_PIECE:
+            self.held += len(piece) + len(found) + _ENTRY
+            if self.held > self.most:
+                self.clear()
+                self.held = len(piece) + len(found) + _ENTRY
+            self[piece] = found
         return found
 
     def encode(self, body: bytes) -> bytes:

@@ -17,8 +17,15 @@ No piece of the file has a marker after another character, so a segmentation
 falls apart into units (markers, then the characters up to the next marker);
 the loader checks this. Distinct units of a chunk are segmented together: the
 double-array trie is walked for all start bytes at once in numpy, and the
-Viterbi recursion goes by end offset over all units. A bounded cache keeps the
-units of a worker. One narrow pass over the documents; nothing is shuffled.
+Viterbi recursion goes by end offset over all units. A cache bounded in bytes
+keeps the short units of a worker. One narrow pass over the documents; nothing
+is shuffled.
+
+Long units (scripts without spaces, encoded data) are read in windows. Where no
+piece of the table crosses a character border, a segmentation falls apart, so a
+long unit is cut there into short ones; a stretch without such a border goes
+through the recursion edge by edge, in windows too, and keeps a score and a
+piece number for each byte. Memory is about 20 bytes for each byte of a text.
 
 Defined results: null and empty text: no pieces; ties between segmentations:
 the longer last piece; repeated rows repeat; an empty table gives no rows.
@@ -28,6 +35,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -39,8 +47,14 @@ from vitrine.llm.common import bounded_chunks, id_and_bytes, prepare, read
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-CACHE_UNITS = 1 << 18
-_UNIT = re.compile(b"(?:\xe2\x96\x81)*(?:(?!\xe2\x96\x81).)+|(?:\xe2\x96\x81)+", re.S)
+CACHE_BYTES = 48 << 20          # of cached units, their ids and what the table itself takes
+LONG_UNIT = 1 << 12             # bytes; longer units are cut at borders and not cached
+WINDOW = 1 << 16                # bytes of a long unit read at once
+SLICE = 1 << 20                 # bytes of a text cut into units at once
+_ENTRY = 150                    # bytes of a cache entry besides its key's and value's text
+_MARK = MARKER.encode("utf-8")
+# Markers, then all up to the next one; possessive, since a match keeps no way back.
+_UNIT = re.compile(b"(?:\xe2\x96\x81)*+(?:[^\xe2]++|\xe2(?!\x96\x81))++|(?:\xe2\x96\x81)++")
 
 
 class DoubleArray:
@@ -96,9 +110,10 @@ class DoubleArray:
             at += 4096
 
     def matches(self, data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, value) of every word that stands in ``data`` and ends at or before ``limit[start]``."""
-        at = np.arange(len(data))
-        state = np.zeros(len(data), np.int64)
+        """(start, length, value) of every word that stands in ``data``, begins at one of the first
+        ``len(limit)`` places and ends at or before ``limit[start]``."""
+        at = np.arange(len(limit))
+        state = np.zeros(len(limit), np.int64)
         depth, found = 0, []
         while len(at):
             inside = at + depth < limit[at]
@@ -128,13 +143,16 @@ class Unigram:
         self.scores = np.array(scores, np.float64)
         self.byte_penalty = byte_penalty
         self.trie = DoubleArray({pieces[i].encode("utf-8"): i for i in ok})
+        self.longest = max((len(pieces[i].encode("utf-8")) for i in ok), default=1)
+        self.sizes = np.array([len(p.encode("utf-8")) for p in pieces], np.int64)
         byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.surface = [bytes([byte_of[i]]) if i in byte_of else p.replace(MARKER, " ").encode("utf-8")
                         for i, p in enumerate(pieces)]
         self.cache: dict[bytes, bytes] = {}
+        self.cached = 0      # bytes
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "cache": {}, "cached": 0}
 
     @classmethod
     def load(cls, model: str = MODEL, scores: str = "zipf") -> "Unigram":
@@ -204,28 +222,139 @@ class Unigram:
             out.append(np.array(ids[::-1], "<u4").tobytes())
         return out
 
-    def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
-        """Piece ids of each text."""
-        marker = MARKER.encode("utf-8")
-        cut = [_UNIT.findall((marker + b.replace(b" ", marker))) if b else [] for b in bodies]
-        fresh = list(set().union(*cut).difference(self.cache)) if cut else []
-        if len(self.cache) + len(fresh) > CACHE_UNITS:
-            self.cache.clear()
-            fresh = list(set().union(*cut))
-        at, held = 0, 0
-        for i, unit in enumerate(fresh):
+    def _windows(self, unit: bytes):
+        """(first byte, bytes, starts, lengths, pieces) of the matches that begin in each window of a long unit."""
+        data = np.frombuffer(unit, np.uint8)
+        for at in range(0, len(data), WINDOW):
+            part = data[at:at + WINDOW + self.longest]
+            yield at, part, *self.trie.matches(part, np.full(min(WINDOW, len(data) - at), len(part)))
+
+    def _apart(self, unit: bytes):
+        """A long unit cut, in lists, at all character borders that no piece crosses."""
+        begin, crossing = 0, np.zeros(1, np.int64)      # how many matches cross the borders before each byte
+        for at, part, start, length, _ in self._windows(unit):
+            step = np.zeros(len(part) + 1, np.int64)
+            step[:min(len(crossing), len(step))] += crossing[:len(step)]
+            np.add.at(step, start + 1, 1)
+            np.add.at(step, start + length, -1)
+            cover = np.cumsum(step)
+            inside = min(WINDOW, len(part))
+            free = np.flatnonzero((cover[:inside] == 0) & ((part[:inside] & 0xC0) != 0x80)) + at
+            crossing = step[inside:].copy()
+            if len(crossing):
+                crossing[0] = cover[inside]
+            cuts = [begin, *free[free > begin].tolist()]
+            yield [unit[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            begin = cuts[-1]
+        yield [unit[begin:]]
+
+    def _segment_long(self, unit: bytes) -> bytes:
+        """Piece ids of a unit without any border, edge by edge."""
+        n = len(unit)
+        best, back = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        for i in range(1, n + 1):
+            best[i] = -math.inf
+        held = [np.zeros(0, np.int64)] * 3      # edges that end beyond their window
+        for at, part, start, length, piece in self._windows(unit):
+            last = at + WINDOW >= n
+            lead = np.flatnonzero((part & 0xC0) != 0x80)
+            width = np.diff(np.append(lead, len(part)))
+            mine = lead < WINDOW
+            # Byte fallback: piece -w for a character of w bytes.
+            edges = [np.concatenate([start, lead[mine]]) + at, np.concatenate([length, width[mine]]),
+                     np.concatenate([piece, -width[mine]])]
+            start, length, piece = (np.concatenate(x) for x in zip(held, edges))
+            now = np.ones(len(start), bool) if last else start + length <= at + WINDOW
+            held = [x[~now] for x in (start, length, piece)]
+            start, length, piece = start[now], length[now], piece[now]
+            order = np.lexsort((length, start + length))
+            start, length, piece = start[order], length[order], piece[order]
+            score = np.where(piece >= 0, self.scores[piece], length * self.byte_penalty)
+            for s, e, k, x in zip(start.tolist(), (start + length).tolist(), piece.tolist(), score.tolist()):
+                x += best[s]
+                if x >= best[e]:      # of equals the longer piece, which comes later
+                    best[e] = x
+                    back[e] = k
+        out, at = array("I"), n
+        while at:
+            k = back[at]
+            if k >= 0:
+                out.append(k)
+                at -= int(self.sizes[k])
+            else:
+                out.extend(self.byte_ids[list(unit[at + k:at])][::-1].tolist())
+                at += k
+        return np.array(out, "<u4")[::-1].tobytes()
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        """Piece ids of units, those of ``LONG_UNIT`` bytes or less some at a time."""
+        out, at, held = [], 0, 0
+        for i, unit in enumerate(units):
             held += len(unit)
-            if held > 1 << 17 or i + 1 == len(fresh):
-                part = fresh[at:i + 1]
-                self.cache.update(zip(part, self.segment(part)))
+            if held > 1 << 17 or i + 1 == len(units):
+                out += self.segment(units[at:i + 1])
                 at, held = i + 1, 0
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, units)), "<u4") for units in cut]
+        return out
+
+    def _long(self, unit: bytes) -> bytes:
+        out = []
+        for parts in self._apart(unit):
+            short = [p for p in parts if len(p) <= LONG_UNIT]
+            found = iter(self._ids(short))
+            out.append(b"".join([next(found) if len(p) <= LONG_UNIT else self._segment_long(p) for p in parts]))
+        return b"".join(out)
+
+    def _slices(self, body: bytes):
+        """A text with its first marker, cut before spaces that begin a unit."""
+        at = 0
+        while at < len(body):
+            end = at + SLICE
+            while 0 < end < len(body):
+                end = body.find(b" ", end)
+                if end > 0 and body[end - 1] != 0x20 and body[end - 3:end] != _MARK:
+                    break
+                end += end > 0
+            end = len(body) if end <= 0 else min(end, len(body))
+            yield (b"" if at else _MARK) + body[at:end].replace(b" ", _MARK)
+            at = end
+
+    def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
+        """Piece ids of each text."""
+        whole: list[list[bytes]] = [[] for _ in bodies]      # ids by slice
+        waiting, held = [], 0
+
+        def flush():
+            fresh = list({u for _, units in waiting for u in units if len(u) <= LONG_UNIT}.difference(self.cache))
+            size = sum(map(len, fresh))
+            if self.cached + 5 * size + _ENTRY * len(fresh) > CACHE_BYTES:
+                self.cache.clear()
+                self.cached = 0
+                fresh = list({u for _, units in waiting for u in units if len(u) <= LONG_UNIT})
+            known = self.cache if size < SLICE else dict(self.cache)      # many long units: for this time alone
+            for unit, ids in zip(fresh, self._ids(fresh)):
+                known[unit] = ids
+                if known is self.cache:
+                    self.cached += len(unit) + len(ids) + _ENTRY
+            for at, units in waiting:
+                whole[at].append(b"".join([known[u] if len(u) <= LONG_UNIT else self._long(u) for u in units]))
+            waiting.clear()
+
+        for at, body in enumerate(bodies):
+            for part in self._slices(body):
+                waiting.append((at, _UNIT.findall(part)))
+                held += len(part)
+                if held >= SLICE:
+                    flush()
+                    held = 0
+        flush()
+        return [np.frombuffer(b"".join(parts), "<u4") for parts in whole]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of piece ids, as bytes."""
         if not len(ids):
             return b""
-        found = b"".join(map(self.surface.__getitem__, ids.tolist()))
+        found = b"".join([b"".join(map(self.surface.__getitem__, ids[at:at + WINDOW].tolist()))
+                          for at in range(0, len(ids), WINDOW)])
         return found[1:] if found.startswith(b" ") else found
 
 
