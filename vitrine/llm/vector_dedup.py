@@ -175,8 +175,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     # A number of its own: a tile's work is the product of its sides, so tasks aren't joined by their bytes.
     found = materialize(tiles.repartition(tasks, "d", "a", "b").groupBy("d", "a", "b")
                         .applyInArrow(_tile(threshold), "node long, links long, root long"), "vector-tiles")
-    label = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
+    # A node meets a root in each of its tiles (as many as there are blocks): it is joined to the least of them, and
+    # so are the others, which are few; the rounds then see one edge for each node instead of one for each tile.
+    linked = materialize(found.groupBy("node").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots"))
+                         .withColumn("least", F.array_min("roots")), "vector-linked")
+    label = components(linked.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(
+        linked.select(F.explode("roots").alias("a"), F.col("least").alias("b")).distinct()))
+    linked = linked.select("node", "links")
     known = (nodes.select("v", "node", "copies", "least").join(linked, "node", "left").join(label, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
     names = known.groupBy("component").agg(F.min("least").alias("component_id"))
