@@ -24,41 +24,43 @@ def discounts(values):
 
 
 class Plain:
-    """The model out of dictionaries."""
+    """The model out of dictionaries: contexts are tuples of the words before."""
 
-    def __init__(self, texts):
-        self.words, self.pairs = Counter(), Counter()
+    def __init__(self, texts, order=2):
+        self.order, self.words = order, Counter()
+        counts = Counter()
         for text in texts:
             t = tokens(text)
             self.words.update(t)
-            self.pairs.update(zip(["<s> ", *t], t))
-        self.before = Counter(w for _, w in self.pairs)
-        self.follow = defaultdict(list)
-        for (v, _), c in self.pairs.items():
-            self.follow[v].append(c)
-        self.d1, self.d2 = discounts(self.before.values()), discounts(self.pairs.values())
-        self.freed = sum(self.d1[min(c, 3)] for c in self.before.values())
-
-    def low(self, w):
-        types, v = len(self.pairs), len(self.words)
-        if not types:
-            return 1 / (v + 1)
-        n = self.before[w]
-        return max(n - self.d1[min(n, 3)], 0) / types + self.freed / types / (v + 1)
-
-    def p(self, v, w):
-        if v not in self.follow:
-            return self.low(w)
-        c, total = self.pairs[v, w], sum(self.follow[v])
-        gamma = sum(self.d2[min(x, 3)] for x in self.follow[v]) / total
-        return max(c - self.d2[min(c, 3)], 0) / total + gamma * self.low(w)
+            padded = ["<s> "] * (order - 1) + t
+            counts.update(tuple(padded[i:i + order]) for i in range(len(t)))
+        self.counts = {order: counts}
+        for n in range(order - 1, 0, -1):      # how many distinct words precede
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        self.d = {n: discounts(c.values()) for n, c in self.counts.items()}
+        self.follow = {n: defaultdict(list) for n in self.counts}
+        for n, c in self.counts.items():
+            for g, k in c.items():
+                self.follow[n][g[:-1]].append(k)
+        self.pairs = {g[-2:] for g in counts}
+
+    def p(self, context, w):
+        n = len(context) + 1
+        lower = self.p(context[1:], w) if context else 1 / (len(self.words) + 1)
+        seen = self.follow[n].get(context)
+        if not seen:
+            return lower
+        total, c = sum(seen), self.counts[n][(*context, w)]
+        gamma = sum(self.d[n][min(x, 3)] for x in seen) / total
+        return max(c - self.d[n][min(c, 3)], 0) / total + gamma * lower
 
     def row(self, text):
         t = tokens(text)
         n, v = sum(self.words.values()), len(self.words)
+        padded = ["<s> "] * (self.order - 1) + t
         return (len(t), sum(self.words[w] > 0 for w in t), n,
                 sum(math.log10((self.words[w] + 1) / (n + v + 1)) for w in t),
-                sum(math.log10(self.p(a, b)) for a, b in zip(["<s> ", *t], t)))
+                sum(math.log10(self.p(tuple(padded[i:i + self.order - 1]), w)) for i, w in enumerate(t)))
 
 
 def held(doc_id):
@@ -76,33 +78,65 @@ def compare(got, data, model):
 
 def test_documents_equal_brute_force(spark):
     data = [(d["doc_id"], d["text"]) for d in sample()]
-    compare(L.query(spark, SF).collect(), data, Plain([t for i, t in data if not held(i)]))
+    compare(L.query(spark, SF).collect(), data, Plain([t for i, t in data if not held(i)], L.ORDER))
 
 
-def test_many_small_ranges_give_the_same(spark):
+@pytest.mark.parametrize("order, wide", [(2, False), (2, True), (3, False), (3, True), (4, False)])
+def test_many_small_ranges_give_the_same(spark, monkeypatch, order, wide):
     data = [(d["doc_id"], d["text"]) for d in sample()[:60]] + [(1000 + i, "the " * 500) for i in range(3)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    model = L.train(docs, range_tokens=200)      # "the the" alone fills ranges: its context is split
-    assert len(model.bounds) > 20
-    plain = Plain([t for _, t in data])
+    if wide:      # as with more n-grams than a 64-bit key can tell
+        monkeypatch.setattr(L, "NARROW", 1)
+    # "the the" alone fills ranges: its context is split
+    model = L.train(docs, order, range_tokens=200, range_bytes=10_000)
+    assert all(len(level.bounds) > 20 and level.wide == wide for level in model.levels.values()) and model.n_ranges > 5
+    plain = Plain([t for _, t in data], order)
     assert model.words == len(plain.words) and model.types == len(plain.pairs)
-    for r in L.score(docs, model).collect():
-        assert r.score == pytest.approx(plain.row(dict(data)[r.doc_id])[4], rel=1e-9)
+    probes = [*data, (2000, None), (2001, "the unseen words the the of"), (2002, "the")]
+    got = {r.doc_id: r.score for r in L.score(spark.createDataFrame(probes, "doc_id long, text string"), model).collect()}
+    for i, text in probes:
+        assert got[i] == pytest.approx(plain.row(text)[4], rel=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_missing_or_cut_model_files_are_an_error(spark, order):
+    """A worker that doesn't see a file of the model must not take it for an empty one."""
+    import os
+    from pyspark.errors import PythonException
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b a b"), (3, "a b")], "doc_id long, text string")
+    names = ["hash-0", "count-0", "before-0", f"key{order}-0", f"count{order}-0", f"context{order}-0", f"totals{order}-0"]
+    names += ["key2-0", "before2-0"] if order == 3 else []
+    for name in names:
+        model = L.train(docs, order)
+        before = [r.score for r in L.score(docs, model).collect()]
+        assert all(x > -12 for x in before)
+        os.rename(f"{model.folder}/{name}.npy", f"{model.folder}/{name}.gone")
+        with pytest.raises(PythonException, match="can't be read"):
+            L.score(docs, model).collect()
+    L.np.save(f"{model.folder}/{name}.npy", L.np.zeros(1, L.np.uint64))
+    with pytest.raises(PythonException, match="instead of"):
+        L.score(docs, model).collect()
+
+
+def test_the_order_is_two_or_more(spark):
+    with pytest.raises(ValueError):
+        L.train(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 1)
 
 
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "b a b"), (3, "a b")], "doc_id long, text string")
-    scorer = L.Scorer(L.train(docs))
-    plain = Plain(["a b a c", "b a b", "a b"])
-    for v in ("a", "b", "zzz"):
-        assert sum(plain.p(v, w) for w in [*plain.words, "unknown"]) == pytest.approx(1)
-    assert scorer.score([b"a b zzz a"])[0][3] == pytest.approx(plain.row("a b zzz a")[4])
+    for order in (2, 3):
+        scorer = L.Scorer(L.train(docs, order))
+        plain = Plain(["a b a c", "b a b", "a b"], order)
+        for context in (("a",), ("b",), ("zzz",), ("a", "b"), ("<s> ", "a"), ("zzz", "a"))[:6 if order == 3 else 3]:
+            assert sum(plain.p(context, w) for w in [*plain.words, "unknown"]) == pytest.approx(1)
+        assert scorer.score([b"a b zzz a"])[0][3] == pytest.approx(plain.row("a b zzz a")[4])
 
 
 def test_edges(spark):
     data = [r[:2] for r in rows()]
-    model = L.train(frame(spark))
-    plain = Plain([t for _, t in data])
+    model = L.train(frame(spark), 3)
+    plain = Plain([t for _, t in data], 3)
     got = sorted(((r.doc_id, r.n_tokens, round(r.score, 6)) for r in L.score(frame(spark), model).collect()), key=str)
     assert got == sorted(((d, plain.row(t)[0], round(plain.row(t)[4], 6)) for d, t in data), key=str)
     assert L.score(frame(spark, []), model).count() == 0

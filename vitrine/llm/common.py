@@ -7,9 +7,13 @@ an empty text; rows may repeat; tables may be empty.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,53 @@ def bounded_chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20)
             yield ids, bodies
 
 
+class WordHashes(dict):
+    """64-bit hash of each word (XXH64, seed 42), computed when first asked for; bounded in bytes."""
+
+    ENTRY = 150      # bytes of an entry besides the word itself
+
+    def __init__(self, most: int = 96 << 20):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 64:
+            self.held += len(word) + self.ENTRY
+            if self.held > self.most:
+                self.clear()
+                self.held = len(word) + self.ENTRY
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def save_array(folder: str, name: str, a: np.ndarray) -> None:
+    """An array file that appears whole: written under a name of its own, then renamed."""
+    os.makedirs(folder, exist_ok=True)
+    attempt = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"
+    np.save(attempt, a)
+    os.replace(attempt, f"{folder}/{name}.npy")
+
+
+def map_array(folder: str, name: str, size: int) -> np.ndarray:
+    """An array file mapped into memory. The caller knows its length: a file that can't be seen or has
+    another length is an error, never an empty array."""
+    if not size:
+        return np.zeros(0, np.uint64)
+    path = f"{folder}/{name}.npy"
+    try:
+        a = np.load(path, mmap_mode="r")
+    except (OSError, ValueError, EOFError) as e:
+        raise RuntimeError(f"{path} can't be read here: spark.checkpoint.dir must be mounted on every "
+                           f"worker and its files must last as long as the result ({e})") from e
+    if len(a) != size:
+        raise RuntimeError(f"{path} has {len(a)} entries instead of {size}")
+    return a
+
+
 def model_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder of the shared checkpoint directory that every worker can
     open as plain files (to map them into memory). The shared directory has to

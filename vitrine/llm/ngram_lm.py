@@ -1,33 +1,37 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model.
+"""LM scoring: an interpolated modified Kneser-Ney n-gram model.
 
-Counting runs in Spark over all training documents, in two passes.
+Counting runs in Spark over all training documents, in one pass for each order.
 
 1. Words. Tasks count 64-bit word hashes and hand on one sorted block per hash
    range; each range is merged and stored as a sorted hash array with its
    counts. A word's id is its rank over all ranges, so ids follow the hashes.
-2. Pairs. The key of (word, next word) is id1 << 32 | id2. Tasks hand on sorted
-   counts cut at boundaries of equal mass, which come from the word counts: a
-   frequent word's pairs are spread over several ranges, so no key is hot.
-   Each range is stored as a sorted key array with counts and with the totals
-   of its contexts; how many distinct words precede a word (its continuation
-   count) is summed per range and merged in a second, smaller shuffle.
-
+2. n-grams of order 2, 3, ... The key of an n-gram is (rank of its first n - 1
+   words among all (n-1)-grams, id of its last word): one 64-bit number as long
+   as their product fits, else a pair of doubles, which hold ranks up to 2**53
+   and sort alike. Tasks hand on sorted counts cut at boundaries of equal mass,
+   which come from the counts of the order below: a frequent context's n-grams
+   are spread over several ranges, so no key is hot. Each range is stored as a
+   sorted key array with counts. How many distinct words precede an n-gram (its
+   continuation count) is summed per range and merged in a second shuffle.
+
+Ranges are as many as the data asks for (by bytes of text and by tokens).
 Workers map the arrays into memory from the shared folder, sort the keys of a
 chunk of text and look them up range by range.
 
-Model: with c pairs, n types, D1, D2, D3+ from the counts of counts,
-  p(w|v) = (c(vw) - D(c(vw))) / c(v) + gamma(v) p(w)
-  p(w)   = (n(.w) - D(n(.w))) / n(..) + gamma / (V + 1)
-for a vocabulary of V training words and one unknown word. Texts have a begin
-context and an end token.
-
-Why order 2: these texts have half as many distinct triples again as distinct
-pairs, and a triple's key takes twice the bytes; see the README for figures.
+Model: with c the counts of the highest order, continuation counts below it, n
+types, D1, D2, D3+ from the counts of counts of each order,
+  p(w|uv) = (c(uvw) - D(c(uvw))) / c(uv) + gamma(uv) p(w|v), and so on down to
+  p(w)    = (n(.w) - D(n(.w))) / n(..) + gamma / (V + 1)
+for a vocabulary of V training words and one unknown word. Texts have begin
+contexts of the whole order and an end token. Orders from 2 up are possible; the
+registered query takes ``ORDER`` (the README has the figures of both 2 and 3).
 
 Recovery: array files get their final name by a rename after they are whole,
 and a repeated task writes the same bytes. Only per-range totals reach the
-driver. The arrays are plain files, so the shared folder has to be a mounted
-file system (``common.model_folder`` refuses others).
+driver; they tell the length of every file, and a file that a worker can't see
+or that has another length is an error. The arrays are plain files, so the
+shared folder has to be a mounted file system (``common.model_folder`` refuses
+others).
 
 Defined results: null and empty text: the end token alone; unknown words get
 the uniform share; without any training token every probability is 1/(V+1) = 1;
@@ -36,9 +40,7 @@ repeated rows repeat (and count as often in training).
 
 from __future__ import annotations
 
-import os
 import struct
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,12 +49,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_chunks, id_and_bytes, model_folder, prepare, read
+from vitrine.llm.common import (WordHashes, bounded_chunks, id_and_bytes, map_array, model_folder, prepare, read,
+                                save_array)
 
+ORDER = 2
 END = b" end"           # no word holds a space
-CACHE_WORDS = 1 << 20
+CACHE_BYTES = 128 << 20          # of the words whose ids a worker keeps
 FLUSH_TOKENS = 4 << 20
-RANGE_TOKENS = 4 << 20
+RANGE_TOKENS = 4 << 20           # of text for each range of n-grams
+RANGE_BYTES = 24 << 20           # of text for each range of words
+NARROW = 1 << 64                 # keys up to here are single numbers
 _U32 = np.uint64(32)
 
 
@@ -83,13 +89,6 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _save(folder: str, name: str, a: np.ndarray) -> None:
-    os.makedirs(folder, exist_ok=True)
-    attempt = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"
-    np.save(attempt, a)
-    os.replace(attempt, f"{folder}/{name}.npy")
-
-
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their counts."""
     key, n = np.concatenate(keys), np.concatenate([c.astype(np.int64) for c in counts])
@@ -109,23 +108,84 @@ PART_SQL = "kind string, part long, body binary"
 
 # -- the model's description, small enough for a closure --------------------------------------------
 
+def _no_rows(kind=np.int64, columns: int | None = None):
+    return field(default_factory=lambda: np.zeros(0 if columns is None else (0, columns), kind))
+
+
+@dataclass
+class Level:
+    """The n-grams of one order above 1; a few numbers for each range."""
+    order: int
+    firsts: int                                      # how many first parts there are, begin and unknown included
+    radix: int                                       # how many last words, likewise
+    wide: bool                                       # whether keys are pairs of doubles
+    bounds: np.ndarray                               # first key of ranges 1..
+    sizes: np.ndarray = _no_rows()                   # n-grams of each range
+    contexts: np.ndarray = _no_rows()                # contexts of each range
+    discounts: tuple = (0.0, 0.0, 0.0)
+    split: np.ndarray = _no_rows(columns=5)          # contexts at borders: number, totals
+
+    @property
+    def types(self) -> int:
+        return int(self.sizes.sum())
+
+    def key(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        if self.wide:
+            return first.astype(np.float64) + 1j * last.astype(np.float64)
+        return first.astype(np.uint64) * np.uint64(self.radix) + last.astype(np.uint64)
+
+    def parts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first part, last word) of keys."""
+        if self.wide:
+            return key.real.astype(np.int64), key.imag.astype(np.int64)
+        first = key // np.uint64(self.radix)
+        return first.astype(np.int64), (key - first * np.uint64(self.radix)).astype(np.int64)
+
+    def pack(self, keys: np.ndarray, counts: np.ndarray) -> bytes:
+        first, last = self.parts(keys)
+        heads = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+        return _pack(_small(first[heads]), _small(np.diff(np.append(heads, len(keys)))), _small(last), _small(counts))
+
+    def unpack(self, block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        first, sizes, last, counts = block
+        return self.key(np.repeat(first.astype(np.int64), sizes), last), counts
+
+    def ranks(self) -> np.ndarray:
+        """The rank of each range's first n-gram, and the number of n-grams."""
+        return np.concatenate([[0], np.cumsum(self.sizes)])
+
+
 @dataclass
 class Model:
     folder: str
     n_ranges: int                                    # of words
     offsets: np.ndarray                              # first id of each word range, and V
     tokens: int                                      # N
-    bounds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))       # first key of pair ranges 1..
-    types: int = 0                                   # distinct pairs
-    d1: tuple = (0.0, 0.0, 0.0)                      # discounts of continuation counts
-    d2: tuple = (0.0, 0.0, 0.0)                      # discounts of pair counts
+    order: int = 2
+    levels: dict[int, Level] = field(default_factory=dict)      # by order, from 2
+    discounts: tuple = (0.0, 0.0, 0.0)               # of the words' continuation counts
     gamma: float = 1.0                               # what the uniform share gets
-    split: np.ndarray = field(default_factory=lambda: np.zeros((0, 5), np.int64))    # contexts at borders: id, totals
 
     @property
     def words(self) -> int:
         return int(self.offsets[-1])
 
+    @property
+    def types(self) -> int:
+        """Distinct pairs."""
+        return self.levels[2].types if 2 in self.levels else 0
+
+    def begin(self, order: int) -> int:
+        """The number of the begin context of ``order`` words; the next number is an unknown one."""
+        return self.words if order == 1 else self.levels[order].types
+
+    def length(self, name: str, part: int) -> int:
+        """How many entries an array file has: ``hash``, ``count``, ``before`` of words; ``key2``, ``count2``, ... of pairs."""
+        if name in ("hash", "count", "before"):
+            return int(self.offsets[part + 1] - self.offsets[part])
+        level = self.levels[int(name[-1])]
+        return int((level.contexts if name[:-1] in ("context", "totals") else level.sizes)[part])
+
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
     """D1, D2, D3+ from how many items have count 1, 2, 3, 4."""
@@ -154,14 +214,6 @@ def _tokens(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return flat, np.array(starts)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
 def _range_of(hashes: np.ndarray, n_ranges: int) -> np.ndarray:
     return ((hashes >> _U32) * np.uint64(n_ranges) >> _U32).astype(np.int64)
 
@@ -176,7 +228,7 @@ def _cut(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray, kind: str, pack
 
 def _count_words(n_ranges: int):
     def run(batches):
-        hashes, held, size = _Hashes(), [], 0
+        hashes, held, size = WordHashes(), [], 0
         # First hash of ranges 1, 2, ...: the least h with (h >> 32) * n >> 32 >= r.
         firsts = np.array([-(-(r << 32) // n_ranges) << 32 for r in range(1, n_ranges)], np.uint64)
 
@@ -187,7 +239,7 @@ def _count_words(n_ranges: int):
 
         for _, bodies in bounded_chunks(batches):
             flat, _ = _tokens(bodies)
-            held.append(np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat)))
+            held.append(hashes.of(flat))
             size += len(flat)
             if size >= FLUSH_TOKENS:
                 yield flush()
@@ -210,8 +262,8 @@ def _store_words(folder: str):
     def run(batches):
         for (_, part), blocks in _gather(batches).items():
             keys, counts = _merge([b[0] for b in blocks], [b[1] for b in blocks])
-            _save(folder, f"hash-{part}", keys)
-            _save(folder, f"count-{part}", _small(counts))
+            save_array(folder, f"hash-{part}", keys)
+            save_array(folder, f"count-{part}", _small(counts))
             yield _rows(PART, [("words", part, _pack(np.array([len(keys), counts.sum()])))])
     return run
 
@@ -219,14 +271,13 @@ def _store_words(folder: str):
 class _Arrays:
     """The model's arrays, mapped into memory when first used."""
 
-    def __init__(self, folder: str):
-        self.folder, self.open = folder, {}
+    def __init__(self, model: Model):
+        self.model, self.open = model, {}
 
     def __call__(self, name: str, part: int) -> np.ndarray:
         key = (name, part)
         if key not in self.open:
-            path = f"{self.folder}/{name}-{part}.npy"
-            self.open[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+            self.open[key] = map_array(self.model.folder, f"{name}-{part}", self.model.length(name, part))
         return self.open[key]
 
 
@@ -234,14 +285,15 @@ class Vocabulary:
     """Words to ids: V is the begin context, V + 1 an unknown word."""
 
     def __init__(self, model: Model):
-        self.model, self.arrays, self.known = model, _Arrays(model.folder), {}
+        self.model, self.arrays, self.known, self.held = model, _Arrays(model), {}, 0
 
     def ids(self, flat: list[bytes]) -> np.ndarray:
         fresh = list(set(flat).difference(self.known))
-        if len(self.known) + len(fresh) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
-            fresh = list(set(flat))
+            self.held, fresh = 0, list(set(flat))
         if fresh:
+            self.held += sum(map(len, fresh)) + WordHashes.ENTRY * len(fresh)
             hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], np.uint64)
             order = np.argsort(hashes)
             hashes = hashes[order]
@@ -268,55 +320,85 @@ class Vocabulary:
         return out
 
 
-def _pairs(ids: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[starts] = begin
-    return before.astype(np.uint64) << _U32 | ids.astype(np.uint64)
+# -- n-grams ------------------------------------------------------------------------------------------
 
+class Lookup:
+    """The n-grams of texts, by order."""
+
+    def __init__(self, model: Model):
+        self.model, self.vocabulary = model, Vocabulary(model)
+        self.arrays = self.vocabulary.arrays
+
+    def places(self, level: Level, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(place in its range, whether it is there) of sorted keys, and (range, from, to) of the ranges they fall into."""
+        at, found, ranges = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), []
+        edges = [0, *np.searchsorted(keys, level.bounds).tolist(), len(keys)]
+        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            table = self.arrays(f"key{level.order}", part) if b > a else ()
+            if len(table):
+                at[a:b] = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)
+                found[a:b] = table[at[a:b]] == keys[a:b]
+                ranges.append((part, a, b))
+        return at, found, ranges
+
+    def firsts(self, order: int, ids: np.ndarray, starts: np.ndarray, known: dict | None = None) -> np.ndarray:
+        """For each token the number of the ``order - 1`` words before it."""
+        first = np.empty_like(ids)
+        first[1:] = ids[:-1]
+        first[starts] = self.model.begin(1)
+        for n in range(2, order):
+            level = self.model.levels[n]
+            if known and n in known:
+                rank = known[n]
+            else:
+                keys, back = np.unique(level.key(first, ids), return_inverse=True)
+                rank = self.ranks(level, *self.places(level, keys))[back]
+            first = np.empty_like(ids)
+            first[1:] = rank[:-1]
+            first[starts] = self.model.begin(n)
+        return first
+
+    def ranks(self, level: Level, at, found, ranges) -> np.ndarray:
+        out, ranks = np.full(len(at), level.types + 1, np.int64), level.ranks()      # unknown ones have none
+        for part, a, b in ranges:
+            out[a:b] = np.where(found[a:b], at[a:b] + ranks[part], level.types + 1)
+        return out
 
-# -- pairs ------------------------------------------------------------------------------------------
 
-def _boundaries(model: Model, prefix: np.ndarray, step: float, n_pairs: int):
-    """Keys that cut the mass of pairs evenly; a share within a word's pairs becomes a share of the next ids."""
+def _boundaries(model: Model, level: Level, prefix: np.ndarray, ranks: np.ndarray, step: float, n_ranges: int):
+    """Keys that cut the mass of n-grams evenly; a share within a context's n-grams becomes a share of the last words."""
+    name = "count" if level.order == 2 else f"count{level.order - 1}"
+
     def run(batches):
+        arrays = _Arrays(model)
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                counts = np.cumsum(np.asarray(_Arrays(model.folder)("count", part)).astype(np.float64))
-                lows = np.arange(1, n_pairs) * step - prefix[part]
+                counts = np.cumsum(np.asarray(arrays(name, part)).astype(np.float64))
+                lows = np.arange(1, n_ranges) * step - prefix[part]
                 lows = lows[(lows >= 0) & (lows < (counts[-1] if len(counts) else 0))]
                 if len(lows):
                     at = np.searchsorted(counts, lows, "right")
                     before = np.where(at > 0, counts[at - 1], 0.0)
                     share = (lows - before) / (counts[at] - before)
-                    keys = ((at + model.offsets[part]).astype(np.uint64) << _U32
-                            | (share * model.words).astype(np.uint64))
+                    keys = level.key(at + ranks[part], (share * model.words).astype(np.int64))
                     yield _rows(PART, [("bounds", part, _pack(keys))])
     return run
 
 
-def _pack_pairs(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    first, second = keys >> _U32, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    heads = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-    return _pack(first[heads].astype(np.uint32), _small(np.diff(np.append(heads, len(keys)))), second, _small(counts))
-
-
-def _unpack_pairs(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    first, sizes, second, counts = block
-    return np.repeat(first.astype(np.uint64), sizes) << _U32 | second.astype(np.uint64), counts
-
+def _count_grams(model: Model, level: Level):
+    kind = f"gram{level.order}"
 
-def _count_pairs(model: Model):
     def run(batches):
-        vocabulary, held, size = Vocabulary(model), [], 0
+        lookup, held, size = Lookup(model), [], 0
 
         def flush():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _rows(PART, _cut(keys, counts, np.searchsorted(keys, model.bounds), "pairs", _pack_pairs))
+            return _rows(PART, _cut(keys, counts, np.searchsorted(keys, level.bounds), kind, level.pack))
 
         for _, bodies in bounded_chunks(batches):
             flat, starts = _tokens(bodies)
-            held.append(_pairs(vocabulary.ids(flat), starts, model.words))
+            ids = lookup.vocabulary.ids(flat)
+            held.append(level.key(lookup.firsts(level.order, ids, starts), ids))
             size += len(flat)
             if size >= FLUSH_TOKENS:
                 yield flush()
@@ -330,39 +412,77 @@ def _counts_of_counts(c: np.ndarray) -> np.ndarray:
     return np.array([(c == k).sum() for k in (1, 2, 3, 4)])
 
 
-def _store_pairs(model: Model):
+def _store_contexts(folder: str, level: Level, part: int, keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Stores the totals by context of a range; [contexts, counts of counts, totals of the contexts at its borders]."""
+    first, _ = level.parts(keys)
+    heads = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    totals = np.stack([np.add.reduceat(x.astype(np.int64), heads)
+                       for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
+    save_array(folder, f"context{level.order}-{part}", first[heads])
+    save_array(folder, f"totals{level.order}-{part}", _small(totals))
+    ends = np.unique([0, len(heads) - 1])
+    border = np.concatenate([first[heads][ends, None], totals[ends]], axis=1)
+    return [np.array([len(heads)]), _counts_of_counts(counts), border.ravel()]
+
+
+def _store_grams(model: Model, level: Level, last: bool):
+    """Stores a range's n-grams and counts, for the highest order also its contexts; hands on how many distinct words
+    precede each of the n-grams one word shorter (at their end)."""
+    n = level.order
+
     def run(batches):
+        arrays, lookup = _Arrays(model), Lookup(model)
         for (_, part), blocks in _gather(batches).items():
-            keys, counts = _merge(*zip(*map(_unpack_pairs, blocks)))
-            _save(model.folder, f"pair-{part}", keys)
-            _save(model.folder, f"pair_count-{part}", _small(counts))
-            first = (keys >> _U32).astype(np.int64)
-            heads = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-            totals = np.stack([np.add.reduceat(x.astype(np.int64), heads)
-                               for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
-            _save(model.folder, f"context-{part}", first[heads])
-            _save(model.folder, f"totals-{part}", _small(totals))
-            ends = np.unique([0, len(heads) - 1])
-            border = np.concatenate([first[heads][ends, None], totals[ends]], axis=1)
-            rows = [("stored", part, _pack(np.array([len(keys)]), _counts_of_counts(counts), border.ravel()))]
-            second, n = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-            rows += _cut(second.astype(np.uint32), n, np.searchsorted(second, model.offsets[1:-1]), "before",
-                         lambda k, c: _pack(k, _small(c)))
+            keys, counts = _merge(*zip(*map(level.unpack, blocks)))
+            save_array(model.folder, f"key{n}-{part}", keys)
+            save_array(model.folder, f"count{n}-{part}", _small(counts))
+            more = _store_contexts(model.folder, level, part, keys, counts) if last else []
+            rows = [("stored", part, _pack(np.array([len(keys)]), np.array([counts.sum()]), *more))]
+            first, word = level.parts(keys)
+            if n == 2:
+                ends, how_many = np.unique(word, return_counts=True)
+                if not last:
+                    save_array(model.folder, f"link{n}-{part}", _small(word))
+                rows += _cut(ends.astype(np.uint64), how_many, np.searchsorted(ends, model.offsets[1:-1]), "before",
+                             lambda k, c: _pack(_small(k), _small(c)))
+            else:      # the first part's own end, then the last word
+                below = model.levels[n - 1]
+                ranks, begin = below.ranks(), first == model.begin(n - 1)
+                shorter = np.full(len(first), model.begin(n - 2), np.int64)
+                edges = np.searchsorted(first, ranks)
+                for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                    if b > a:
+                        shorter[a:b] = arrays(f"link{n - 1}", p)[first[a:b] - ranks[p]]
+                assert not (first > model.begin(n - 1)).any() and begin.sum() == len(first) - edges[-1]
+                ends, back, how_many = np.unique(below.key(shorter, word), return_inverse=True, return_counts=True)
+                if not last:
+                    save_array(model.folder, f"link{n}-{part}", lookup.ranks(below, *lookup.places(below, ends))[back])
+                rows += _cut(ends, how_many, np.searchsorted(ends, below.bounds), "before", below.pack)
             yield _rows(PART, rows)
     return run
 
 
-def _store_continuations(model: Model):
+def _store_continuations(model: Model, order: int):
+    """Stores the continuation counts of a range of words (1) or n-grams (their order)."""
     def run(batches):
+        arrays = _Arrays(model)
         for (kind, part), blocks in _gather(batches).items():
             if kind == "stored":      # passes through to the driver
                 yield _rows(PART, [(kind, part, _pack(*blocks[0]))])
                 continue
-            n = np.zeros(int(model.offsets[part + 1] - model.offsets[part]), np.int64)
-            for ids, counts in blocks:      # ids of one block are distinct
-                n[ids.astype(np.int64) - model.offsets[part]] += counts
-            _save(model.folder, f"before-{part}", _small(n))
-            yield _rows(PART, [(kind, part, _pack(_counts_of_counts(n), np.array([(n >= 3).sum()])))])
+            if order == 1:
+                n, more = np.zeros(int(model.offsets[part + 1] - model.offsets[part]), np.int64), []
+                for ids, counts in blocks:      # ids of one block are distinct
+                    n[ids.astype(np.int64) - model.offsets[part]] += counts
+                more = [_counts_of_counts(n), np.array([(n >= 3).sum()])]
+                save_array(model.folder, f"before-{part}", _small(n))
+            else:
+                level = model.levels[order]
+                keys, n = _merge(*zip(*map(level.unpack, blocks)))
+                assert len(keys) == level.sizes[part] and (keys == arrays(f"key{order}", part)).all()
+                save_array(model.folder, f"before{order}-{part}", _small(n))
+                more = _store_contexts(model.folder, level, part, keys, n)
+            yield _rows(PART, [(kind, part, _pack(*more))])
     return run
 
 
@@ -370,45 +490,66 @@ def _collect(df: DataFrame) -> list[tuple[str, int, list]]:
     return [(r.kind, r.part, _unpack(bytes(r.body))) for r in df.collect()]      # totals by range
 
 
-def train(docs: DataFrame, range_tokens: int = RANGE_TOKENS) -> Model:
+def _totals(level: Level, found: list[tuple[int, list]]) -> None:
+    """Sets a level's contexts, discounts and border contexts from what its ranges tell."""
+    n, border = np.zeros(4, np.int64), {}
+    level.contexts = np.zeros(len(level.bounds) + 1, np.int64)
+    for part, (contexts, counts, rows) in found:
+        level.contexts[part] = contexts[0]
+        n = n + counts
+        for row in rows.reshape(-1, 5).astype(np.int64):
+            border[int(row[0])] = border.get(int(row[0]), 0) + row[1:]
+    level.discounts = _discounts(n)
+    level.split = np.array([[i, *border[i]] for i in sorted(border)], np.int64)
+
+
+def train(docs: DataFrame, order: int = ORDER, range_tokens: int = RANGE_TOKENS, range_bytes: int = RANGE_BYTES) -> Model:
     """Count all rows of ``docs`` (doc_id, text) and store the model in the shared folder."""
+    if not 2 <= order <= 9:
+        raise ValueError("the order is 2 or more (9 at most)")
     spark = docs.sparkSession
     prepare(spark)
     folder = model_folder(spark, "ngram-model")
-    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bodies = id_and_bytes(docs)
+    size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    n_ranges = max(1, -(-size // range_bytes))
     words = _collect(bodies.mapInArrow(_count_words(n_ranges), PART_SQL).repartition(n_ranges, "part")
                      .mapInArrow(_store_words(folder), PART_SQL))
     sizes, mass = np.zeros(n_ranges, np.int64), np.zeros(n_ranges, np.int64)
     for _, part, (total,) in words:
         sizes[part], mass[part] = total
-    model = Model(folder, n_ranges, np.concatenate([[0], np.cumsum(sizes)]), int(mass.sum()))
-    if model.words + 2 > 1 << 32:
-        raise ValueError("more than 2**32 distinct words: a pair's key would not fit into 64 bits")
+    model = Model(folder, n_ranges, np.concatenate([[0], np.cumsum(sizes)]), int(mass.sum()), order)
     if not model.tokens:
         return model
-    n_pairs = max(1, -(-model.tokens // range_tokens))
-    if n_pairs > 1:
-        prefix = np.concatenate([[0], np.cumsum(mass)])
-        parts = spark.range(n_ranges).repartition(min(n_ranges, n_pairs), "id")
-        cuts = _collect(parts.mapInArrow(_boundaries(model, prefix, model.tokens / n_pairs, n_pairs), PART_SQL))
-        model.bounds = np.unique(np.concatenate([b for _, _, (b,) in cuts]))
-    stored = _collect(bodies.mapInArrow(_count_pairs(model), PART_SQL).repartition(n_pairs, "part")
-                      .mapInArrow(_store_pairs(model), PART_SQL).repartition(n_ranges, "part")
-                      .mapInArrow(_store_continuations(model), PART_SQL))
-    pairs, before, more, border = np.zeros(4, np.int64), np.zeros(4, np.int64), 0, {}
-    for kind, _, found in stored:
-        if kind == "stored":
-            model.types += int(found[0][0])
-            pairs = pairs + found[1]
-            for row in found[2].reshape(-1, 5).astype(np.int64):
-                border[int(row[0])] = border.get(int(row[0]), 0) + row[1:]
+    n_grams = max(1, -(-model.tokens // range_tokens))
+    ranks, firsts = model.offsets, model.words + 2
+    for n in range(2, order + 1):
+        level = Level(n, firsts, model.words + 2, firsts * (model.words + 2) > NARROW, np.zeros(0))
+        level.bounds = level.key(*np.zeros((2, 0), np.int64))
+        if n_grams > 1:
+            prefix, parts = np.concatenate([[0], np.cumsum(mass)]), spark.range(len(mass)).repartition(min(len(mass), n_grams), "id")
+            cuts = _collect(parts.mapInArrow(_boundaries(model, level, prefix, ranks, int(mass.sum()) / n_grams, n_grams), PART_SQL))
+            if cuts:
+                level.bounds = np.unique(np.concatenate([b for _, _, (b,) in cuts]))
+        below = n_ranges if n == 2 else len(model.levels[n - 1].sizes)
+        rows = _collect(bodies.mapInArrow(_count_grams(model, level), PART_SQL).repartition(n_grams, "part")
+                        .mapInArrow(_store_grams(model, level, n == order), PART_SQL).repartition(below, "part")
+                        .mapInArrow(_store_continuations(model, n - 1), PART_SQL))
+        stored = {part: found for kind, part, found in rows if kind == "stored"}
+        before = [(part, found) for kind, part, found in rows if kind == "before"]
+        level.sizes, mass = np.zeros((2, len(level.bounds) + 1), np.int64)
+        for part, found in stored.items():
+            level.sizes[part], mass[part] = found[0][0], found[1][0]
+        model.levels[n] = level
+        ranks, firsts = level.ranks(), level.types + 2
+        if n == order:
+            _totals(level, [(part, found[2:]) for part, found in stored.items()])
+        if n > 2:
+            _totals(model.levels[n - 1], before)
         else:
-            before = before + found[0]
-            more += int(found[1][0])
-    model.d2, model.d1 = _discounts(pairs), _discounts(before)
-    model.gamma = float(np.dot(model.d1, [before[0], before[1], more]) / model.types)
-    model.split = np.array([[i, *border[i]] for i in sorted(border)], np.int64)
+            counts, more = sum(found[0] for _, found in before), sum(int(found[1][0]) for _, found in before)
+            model.discounts = _discounts(counts)
+            model.gamma = float(np.dot(model.discounts, [counts[0], counts[1], more]) / level.types)
     return model
 
 
@@ -416,30 +557,21 @@ def train(docs: DataFrame, range_tokens: int = RANGE_TOKENS) -> Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.vocabulary = model, Vocabulary(model)
-        self.arrays = self.vocabulary.arrays
-
-    def _lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of sorted distinct keys, and (total, n1, n2, n3+) of their contexts."""
-        m = self.model
-        counts, totals = np.zeros(len(keys), np.int64), np.zeros((len(keys), 4), np.int64)
-        if not m.types:
-            return counts, totals
-        context = (keys >> _U32).astype(np.int64)
-        edges = [0, *np.searchsorted(keys, m.bounds).tolist(), len(keys)]
-        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            table = self.arrays("pair", part)
-            if b == a or not len(table):
-                continue
-            at = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)
-            counts[a:b] = np.where(table[at] == keys[a:b], self.arrays("pair_count", part)[at], 0)
-            seen = self.arrays("context", part)
+        self.model, self.lookup = model, Lookup(model)
+        self.vocabulary, self.arrays = self.lookup.vocabulary, self.lookup.arrays
+
+    def _totals(self, level: Level, keys: np.ndarray, ranges: list[tuple[int, int, int]]) -> np.ndarray:
+        """(total, n1, n2, n3+) of the contexts of sorted keys; zeros for one that never occurred."""
+        totals = np.zeros((len(keys), 4), np.int64)
+        context, _ = level.parts(keys)
+        for part, a, b in ranges:
+            seen = self.arrays(f"context{level.order}", part)
             at = np.minimum(np.searchsorted(seen, context[a:b]), len(seen) - 1)
-            totals[a:b] = self.arrays("totals", part)[at] * (seen[at] == context[a:b])[:, None]
-        at = np.minimum(np.searchsorted(m.split[:, 0], context), len(m.split) - 1)
-        shared = m.split[at, 0] == context
-        totals[shared] = m.split[at[shared], 1:]
-        return counts, totals
+            totals[a:b] = self.arrays(f"totals{level.order}", part)[at] * (seen[at] == context[a:b])[:, None]
+        at = np.minimum(np.searchsorted(level.split[:, 0], context), len(level.split) - 1)
+        shared = level.split[at, 0] == context
+        totals[shared] = level.split[at[shared], 1:]
+        return totals
 
     def score(self, bodies: list[bytes]) -> list[tuple[int, int, float, float]]:
         """(n_tokens, n_known, base_score, score) of each text."""
@@ -451,14 +583,21 @@ class Scorer:
         base = np.log10((count + 1) / (m.tokens + m.words + 1))
         low = np.full(len(word), m.gamma / (m.words + 1))
         if m.types:
-            low += _discounted(self.vocabulary.at("before", word), m.d1) / m.types
-        keys = _pairs(ids, starts, m.words)
-        pair, first, pair_at = np.unique(keys, return_index=True, return_inverse=True)
-        c, totals = self._lookup(pair)
-        total = np.maximum(totals[:, 0], 1)
-        back = np.where(totals[:, 0] > 0, totals[:, 1:] @ np.array(m.d2) / total, 1.0)
-        p = _discounted(c, m.d2) / total + back * low[word_at[first]]
-        logs = np.log10(p)[pair_at]
+            low += _discounted(self.vocabulary.at("before", word), m.discounts) / m.types
+        p, ranks = low[word_at], {}
+        for n, level in m.levels.items():      # from 2 up
+            keys, back = np.unique(level.key(self.lookup.firsts(n, ids, starts, ranks), ids), return_inverse=True)
+            at, found, ranges = self.lookup.places(level, keys)
+            c = np.zeros(len(keys), np.int64)
+            for part, a, b in ranges:
+                c[a:b] = np.where(found[a:b], self.arrays(f"{'count' if n == m.order else 'before'}{n}", part)[at[a:b]], 0)
+            totals = self._totals(level, keys, ranges)
+            total = np.maximum(totals[:, 0], 1)
+            share = np.where(totals[:, 0] > 0, totals[:, 1:] @ np.array(level.discounts) / total, 1.0)
+            p = (_discounted(c, level.discounts) / total)[back] + share[back] * p
+            if n < m.order:
+                ranks[n] = self.lookup.ranks(level, at, found, ranges)[back]
+        logs = np.log10(p)
         sizes = np.diff(np.append(starts, len(ids)))
         return list(zip(sizes.tolist(), np.add.reduceat((count > 0)[word_at].astype(np.int64), starts).tolist(),
                         np.add.reduceat(base[word_at], starts).tolist(), np.add.reduceat(logs, starts).tolist()))
