@@ -51,7 +51,7 @@ from vitrine.session import scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 14
-CACHE_BYTES = 96 << 20          # of cached pieces, their ids and what the table itself takes
+CACHE_BYTES = 192 << 20         # of cached pieces, their ids and what the table itself takes, in two generations
 LONG_PIECE = 64                 # bytes; longer pieces are not cached
 _ENTRY = 150                    # bytes of a cache entry besides its key's and value's text
 # Fixed values of Simple-8b: (ids in a word, bits of each) by selector.
@@ -80,7 +80,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
         count, bits = SELECTORS[selector]
         if count > n:
             continue
-        np.cumsum(width > bits, dtype=np.int32, out=bad[1:])
+        over = width > bits
+        if n - np.count_nonzero(over) < count:
+            continue
+        np.cumsum(over, dtype=np.int32, out=bad[1:])
         fits = bad[count:] == bad[:n - count + 1]
         choice[:n - count + 1][fits], taken[:n - count + 1][fits] = selector, count
     starts, step, at = [], taken.tolist(), 0
@@ -135,6 +138,7 @@ _BLANKS = bytes(0x20 if b in (0x09, 0x0A, 0x0D) else b for b in range(256))
 # Pre-tokens of pieces without other characters: runs of Latin-1 letters, digits, runs of punctuation but
 # for the apostrophe (which may join the letters after it).
 _PARTS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"      # without the apostrophe, and what special tokens begin with
 _LETTERS = "".join(map(chr, [*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)]))
 _PROBES = ("station", "Ünïcode", "it's", "été.", "a,", "x", "straße", "ÿ", "ABC.", "x2y30", "(ab-cd)_&", "a@b.org", "12:30")
 
@@ -152,7 +156,8 @@ class Pieces(dict):
     def __init__(self, tokenizer: str, most: int = CACHE_BYTES):
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
-        self.library, self.most, self.held = Tokenizer.from_file(public_tokenizers.path(tokenizer)), most, 0
+        self.library = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        self.most, self.held, self.before = most, 0, {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         self.cuts = (self._whole(" a\nb  c ".encode()) == b"".join(map(self._whole, (b"a", b"b", b"c")))
@@ -162,24 +167,36 @@ class Pieces(dict):
         return np.array(self.library.encode(piece.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
-        parts = _PARTS.findall(piece)
-        if sum(map(len, parts)) < len(piece) or b"<|" in piece:
-            found = self._whole(piece)
-        elif len(parts) > 1:
-            found = b"".join([self[part] for part in parts])
-        elif parts and (piece[0] | 0x20 in range(97, 123) or piece[0] >= 0x80):
-            word = piece.decode("utf-8").lower().translate(self.letters)
-            found = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word)])
-        else:
-            found = self._whole(piece)
+        found = self.before.get(piece)
+        if found is None:
+            found = self._ids(piece)
         if len(piece) <= LONG_PIECE:
             self.held += len(piece) + len(found) + _ENTRY
-            if self.held > self.most:
+            if 2 * self.held > self.most:      # the generation before the last goes
+                self.before = dict(self)
                 self.clear()
                 self.held = len(piece) + len(found) + _ENTRY
             self[piece] = found
         return found
 
+    def _ids(self, piece: bytes) -> bytes:
+        if piece.isalpha():      # ASCII letters: the byte-level alphabet has them as they are
+            return self._word(piece.decode("ascii").lower())
+        stem = piece.rstrip(_MARKS)
+        if stem.isalpha():
+            return self[stem] + self[piece[len(stem):]]
+        parts = _PARTS.findall(piece)
+        if sum(map(len, parts)) < len(piece) or b"<|" in piece:
+            return self._whole(piece)
+        if len(parts) > 1:
+            return b"".join([self[part] for part in parts])
+        if piece and piece[0] >= 0x41 and piece[0] not in _MARKS:
+            return self._word(piece.decode("utf-8").lower().translate(self.letters))
+        return self._whole(piece)
+
+    def _word(self, word: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word)])
+
     def encode(self, body: bytes) -> bytes:
         if not self.cuts:
             return self._whole(body)

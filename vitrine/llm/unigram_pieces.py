@@ -188,7 +188,7 @@ class Unigram:
         # Only edges between character borders; then by offset of the end, end, longer last.
         end = start + length
         offset = end - first[start]
-        order = np.lexsort((length, end, offset))
+        order = np.argsort((offset * (len(data) + 1) + end) * (self.longest + 4) + length)      # no two are alike
         start, length, piece, score, end, offset = (x[order] for x in (start, length, piece, score, end, offset))
         slot = lambda pos_first, pos: pos + unit_of[pos_first]      # noqa: E731  a unit of n bytes has n + 1 slots
         unit_of = np.repeat(np.arange(len(units)), sizes)
@@ -207,20 +207,30 @@ class Unigram:
             good = np.flatnonzero(total == np.repeat(top, np.diff(np.append(heads, b - a))))
             best[to[good]] = total[good]
             back[to[good]] = a + good      # the last of equals, which is the longest
-        out = []
-        begin, data_bytes = (ends - sizes).tolist(), data
-        start_l, piece_l = start.tolist(), piece.tolist()
-        for u, (b0, e0) in enumerate(zip(begin, ends.tolist())):
-            ids, at = [], e0
-            while at > b0:
-                edge = back[at + u]
-                if piece_l[edge] >= 0:
-                    ids.append(piece_l[edge])
-                else:
-                    ids.extend(self.byte_ids[data_bytes[start_l[edge]:at]][::-1].tolist())
-                at = start_l[edge]
-            out.append(np.array(ids[::-1], "<u4").tobytes())
-        return out
+        # Back from the ends of all units at once; then the edges of each unit in order.
+        begin, at = ends - sizes, ends.copy()
+        active, edges, owners = np.flatnonzero(sizes > 0), [], []
+        while len(active):
+            edge = back[at[active] + active]
+            edges.append(edge)
+            owners.append(active)
+            at[active] = start[edge]
+            active = active[at[active] > begin[active]]
+        if not edges:
+            return [b""] * len(units)
+        owner, edge = np.concatenate(owners[::-1]), np.concatenate(edges[::-1])
+        order = np.argsort(owner, kind="stable")
+        owner, edge = owner[order], edge[order]
+        # A piece is one id, a character without one as many as it has bytes.
+        n = np.where(piece[edge] >= 0, 1, length[edge])
+        ids = np.repeat(piece[edge], n)
+        by_byte = np.flatnonzero(np.repeat(piece[edge], n) < 0)
+        if len(by_byte):
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[edge], n)
+            ids[by_byte] = self.byte_ids[data[place[by_byte]]]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, n, len(units)))]).astype(np.int64) * 4
+        flat, cuts = ids.astype("<u4").tobytes(), cuts.tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def _windows(self, unit: bytes):
         """(first byte, bytes, starts, lengths, pieces) of the matches that begin in each window of a long unit."""
@@ -324,19 +334,22 @@ class Unigram:
         waiting, held = [], 0
 
         def flush():
-            fresh = list({u for _, units in waiting for u in units if len(u) <= LONG_UNIT}.difference(self.cache))
+            every = set().union(*[units for _, units in waiting])
+            long = {u for u in every if len(u) > LONG_UNIT}
+            fresh = list(every.difference(self.cache, long))
             size = sum(map(len, fresh))
             if self.cached + 5 * size + _ENTRY * len(fresh) > CACHE_BYTES:
                 self.cache.clear()
-                self.cached = 0
-                fresh = list({u for _, units in waiting for u in units if len(u) <= LONG_UNIT})
-            known = self.cache if size < SLICE else dict(self.cache)      # many long units: for this time alone
-            for unit, ids in zip(fresh, self._ids(fresh)):
-                known[unit] = ids
-                if known is self.cache:
-                    self.cached += len(unit) + len(ids) + _ENTRY
+                self.cached, fresh = 0, list(every - long)
+            found = dict(zip(fresh, self._ids(fresh)))
+            self.cache.update(found)      # of one slice at most
+            self.cached += sum(map(len, fresh)) + sum(map(len, found.values())) + _ENTRY * len(fresh)
+            get = self.cache.__getitem__
             for at, units in waiting:
-                whole[at].append(b"".join([known[u] if len(u) <= LONG_UNIT else self._long(u) for u in units]))
+                if long:
+                    whole[at].append(b"".join([self._long(u) if u in long else get(u) for u in units]))
+                else:
+                    whole[at].append(b"".join(map(get, units)))
             waiting.clear()
 
         for at, body in enumerate(bodies):
