@@ -72,7 +72,7 @@ def test_rows_with_null_or_repeated_ids_are_judged_one_by_one(spark, tmp_path):
     rng = random.Random(3)
     texts = [d["text"] for d in sample() if len((d["text"] or "").split()) > 40][:60]
     item = " ".join(f"leak{rng.randrange(10**6)}" for _ in range(20))
-    bench = pa.table({"item_id": pa.array([1], pa.int64()), "text": pa.array([item])})
+    bench = pa.table({"item_id": pa.array([1, 2, 3], pa.int64()), "text": pa.array([item, "word", "a word"])})
     pq.write_table(bench, str(tmp_path / "benchmark.parquet"))
     clean = iter(texts)
     fixed = [(d["doc_id"] + 1000, d["text"], d["lang"], "a", 1) for d in sample()]
@@ -90,8 +90,12 @@ def test_rows_with_null_or_repeated_ids_are_judged_one_by_one(spark, tmp_path):
     for one in (None, 7):
         a, b, c = itertools.islice(clean, 3)
         row = lambda text: (one, text, "en", "a", 1)
-        assert stage(C.language, [row(a), row("12 34"), row(None), row(b)]) == sorted([(one, a), (one, b)], key=str)
+        gibberish = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+        polish = "Szybki brązowy lis przeskakuje nad leniwym psem a potem idzie do domu i je kolację z przyjaciółmi"
+        odd = [(one, t, None, "a", 1) for t in (gibberish, polish)]
+        assert stage(C.language, [row(a), row("12 34"), row(None), row(b), *odd]) == sorted([(one, a), (one, b)], key=str)
         assert stage(C.decontaminated, [row(a), row(f"so {item} end"), row(b)]) == sorted([(one, a), (one, b)], key=str)
+        assert len(stage(C.decontaminated, [row("a word"), row("here")])) == 2      # items 2 and 3 are too short to tell
         # equal rows, rows that differ in case alone, and another document under the same id
         big = a.encode().upper().decode()
         near = stage(C.near_duplicates, [row(a), row(a), row(big), row(b), row(c)])

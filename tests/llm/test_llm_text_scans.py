@@ -145,6 +145,60 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == docs[r.doc_id] for r in held) / len(held) >= 0.97
 
 
+def test_the_sample_is_bounded_whatever_ids_and_copies(spark):
+    """Null ids, one id for all rows and many copies: the bound holds and is reached."""
+    texts = [f"text number {i} of many" for i in range(900)]
+    for ids in (lambda i: None, lambda i: 7, lambda i: i):
+        data = [(ids(i), t, "en" if int(t.split()[2]) % 3 else "de") for i, t in enumerate(texts + texts[:5] * 60)]
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        drawn = P.draw(docs, 50).collect()
+        for lang in ("de", "en"):
+            mine = [r for r in drawn if r.lang == lang]
+            assert sorted(r.rank for r in mine) == list(range(1, 51)) and len({r.text for r in mine}) == 50
+        few = P.draw(docs.filter("text LIKE '%number 1 of%' OR text LIKE '%number 3 of%'"), 50).collect()
+        assert sorted((r.lang, r.text) for r in few) == [("de", texts[3]), ("en", texts[1])]
+
+
+def _made_up(languages, texts, rng):
+    data = []
+    for lang in range(languages):
+        script = 0x4e00 + 24 * lang
+        words = ["".join(chr(script + rng.randrange(20)) for _ in range(rng.randint(2, 8))) for _ in range(300)]
+        data += [(f"l{lang:02d}", " ".join(rng.choice(words) for _ in range(120))) for _ in range(texts)]
+    return data
+
+
+@pytest.mark.parametrize("languages", [4, 50])
+def test_the_model_grows_with_its_text_alone(spark, languages):
+    data = _made_up(languages, 6, random.Random(languages))
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(data)], "doc_id long, text string, lang string")
+    model = P.fit(docs, sample_docs=5)
+    size = sum(len(t.encode()) for _, t in data)
+    print(f"{languages} languages: {model.nbytes} bytes of model, {size} bytes of text")
+    assert model.langs == sorted({lang for lang, _ in data}) and model.nbytes < 20 * size
+    found = {r.doc_id: r.lang_pred for r in P.identify(docs, model).collect()}
+    assert sum(found[i] == lang for i, (lang, _) in enumerate(data)) >= 0.99 * len(data)
+    with pytest.raises(ValueError):
+        P.fit(docs, sample_docs=5, most_bytes=1000)
+
+
+def test_usual_bits_tell_gibberish_and_other_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = P.fit(docs, sample_docs=100)
+    usual = P.usual_bits(docs, model, texts=100, trained=100)
+    assert set(usual) == set(model.langs)
+    rng = random.Random(1)
+    gibberish = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500))
+    polish = "Szybki brązowy lis przeskakuje nad leniwym psem a potem idzie do domu i je kolację z przyjaciółmi"
+    for text in (gibberish, polish, "Το γρήγορο καφέ αλεπού πηδάει πάνω από το σκυλί"):
+        lang, _, bits = model.predict([text.encode()])[0]
+        assert bits > 3 * usual[lang]
+    known = [d for d in sample() if d["lang"] and len(d["text"] or "") > 200]
+    found = model.predict([d["text"].encode() for d in known])
+    assert sum(bits <= 3 * usual[lang] for lang, _, bits in found) >= 0.99 * len(known)
+    assert P.usual_bits(docs.limit(0), P.fit(docs.limit(0))) == {}
+
+
 def test_language_edges(spark):
     model = P.fit(frame(spark))
     got = sorted(((r.doc_id, r.lang_pred) for r in P.identify(frame(spark), model).collect()), key=str)
@@ -206,7 +260,7 @@ def test_leaks_equal_alignment_of_every_pair(spark):
                 if score >= 0.8 * len(w) - 1e-9:
                     want.append((d[0], item, round(score / len(w), 9)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limits in ({}, {"block_bytes": 500}, {"max_items": 1}):
+    for limits in ({}, {"range_words": 40}, {"max_items": 1}):
         got = D.leaks(frame(spark, docs), bench, **limits).collect()
         assert sorted(((r.doc_id, r.item_id, round(r.score, 9)) for r in got), key=str) == sorted(want, key=str), limits
     assert len(want) > 40
@@ -214,10 +268,42 @@ def test_leaks_equal_alignment_of_every_pair(spark):
     assert D.leaks(frame(spark), bench.limit(0)).count() == 0
 
 
-def test_place_of_a_verbatim_passage():
+def searcher(spark, items, **options):
+    return D.Searcher(D.build_index(spark.createDataFrame(items, "item_id long, text string"), **options))
+
+
+def test_place_of_a_verbatim_passage(spark):
     item = "one two three four five six seven eight"
-    index = D.SeedIndex([(5, item.encode())])
-    assert index.leaks(f"zero zero {item} nine".encode()) == [(5, 1.0, 2, 9, 6)]
+    found = searcher(spark, [(5, item), (None, "a b c d e f"), (7, "lone")])
+    texts = [f"zero zero {item} nine", "", "x a b c d e f", "one two", "lone wolf"]
+    assert found.leaks([t.encode() for t in texts]) == [(0, 5, 1.0, 2, 9, 6), (2, None, 1.0, 1, 6, 4), (4, 7, 1.0, 0, 0, 1)]
+    assert [leak[1] for leak in searcher(spark, [(7, "lone"), (8, "lone wolf")], least_words=2).leaks([b"a lone wolf"])] == [8]
+
+
+def test_seeds_at_the_border_of_two_texts_are_none(spark):
+    found = searcher(spark, [(5, "one two three four five six")])
+    assert found.leaks([b"one two three", b"four five six"]) == []
+
+
+def test_missing_index_files_are_an_error(spark):
+    import glob
+    import os
+    index = D.build_index(spark.createDataFrame([(5, "one two three four five six")], "item_id long, text string"))
+    os.rename(*(lambda f: (f, f + ".gone"))(glob.glob(f"{index.folder}/seed-*.npy")[0]))
+    with pytest.raises(RuntimeError, match="can't be read"):
+        D.Searcher(index).leaks([b"one two three four five six"])
+
+
+def test_a_large_benchmark_in_one_read_of_the_documents(spark):
+    """Two hundred thousand items: the documents are scanned by one job, and the planted ones are found."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 500_000, (200_000, 12))
+    items = [(i, " ".join(f"w{x}" for x in row)) for i, row in enumerate(words.tolist())]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(8)
+    docs = [(i, " ".join(["noise"] * 30 + [items[i * 997 % len(items)][1]] + ["more"] * 5)) for i in range(500)]
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, range_words=1 << 18)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i * 997 % len(items)) for i in range(500)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
 def test_short_items_equal_alignment_of_every_pair(spark):
@@ -238,7 +324,7 @@ def test_short_items_equal_alignment_of_every_pair(spark):
                 want.append((d[0], item, round(score / len(w), 9)))
     assert {len(words(text)) for _, item, _ in want for i, text in items if i == item} == set(range(1, 9))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limits in ({}, {"block_bytes": 200}, {"max_items": 1}):
+    for limits in ({}, {"range_words": 15}, {"max_items": 1}):
         got = D.leaks(frame(spark, docs), bench, **limits).collect()
         assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in got) == sorted(want), limits
 
@@ -248,10 +334,8 @@ def test_short_items_equal_alignment_of_every_pair(spark):
     ("東京スカイツリーの高さは六百三十四メートル", "「東京スカイツリーの高さは六百卅四メートル」です", "京都タワーの高さは百三十一メートル"),
     ("กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย", "รู้ว่ากรุงเทพมหานครเป็นเมืองหลวงของประเทศไทยนะ", "เชียงใหม่อยู่ทางเหนือ"),
     ("𠮷野家の牛丼", "昨日𠮷野家の牛丼を食べた", "松屋のカレー")])
-def test_unspaced_scripts_are_found(item, same, other):
-    index = D.SeedIndex([(5, item.encode())])
-    assert [leak[0] for leak in index.leaks(same.encode())] == [5]
-    assert index.leaks(other.encode()) == []
+def test_unspaced_scripts_are_found(spark, item, same, other):
+    assert [leak[:2] for leak in searcher(spark, [(5, item)]).leaks([other.encode(), same.encode()])] == [(1, 5)]
 
 
 def test_spaced_scripts_keep_their_words():

@@ -18,10 +18,13 @@ fewer are skipped. Rare seeds (in at most
 many items share only count along, except in items so poor in rare seeds that
 the bound would not leave one: there every seed opens.
 
-Scale: documents are never shuffled, whatever passage a third of them share;
-only leaks leave the tasks. The item index is broadcast, at most
-``block_bytes`` of item text at a time; a larger benchmark is cut into blocks
-of that size by the items' hash and the documents are read once per block.
+Scale: documents are read once and never shuffled, whatever passage a third of
+them share; only leaks leave the tasks. The index is built in Spark: seeds with
+their items are counted, and those that open a place are stored as sorted hash
+arrays, one file for each hash range (their number follows the benchmark's
+size); item words are stored as written by the tasks that cut them. Workers map
+the files into memory from the shared folder, so a benchmark of any size costs
+no driver or broadcast memory. Words are compared by 64-bit hashes.
 
 Words are runs of digits, letters and other non-ASCII characters; in scripts
 written without spaces (Han, kana, Thai, Lao, Khmer, Burmese and the like) each
@@ -29,7 +32,8 @@ character is a word, and full-width punctuation separates.
 
 Defined results: items without a word (null, empty, punctuation alone) identify
 nothing and are left out; at 0.8 items of up to four words have to stand
-verbatim; null texts are empty; an item
+verbatim; items of fewer than ``least_words`` words (1: none) are left out too;
+null texts are empty; an item
 that occurs several times in a document gives its best place, the first of
 equals; equal items each give a row; repeated documents repeat their rows.
 """
@@ -37,19 +41,22 @@ equals; equal items each give a row; repeated documents repeat their rows.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_chunks, id_and_bytes, prepare, read
+from vitrine.llm.common import (WordHashes, bounded_chunks, id_and_bytes, map_array, model_folder, prepare, read,
+                                save_array)
 from vitrine.llm.license_scan import words_of
+from vitrine.session import materialize
 
 Q = 3
 SIMILARITY = 0.8
 MAX_ITEMS = 8
-BLOCK_BYTES = 8 << 20
+RANGE_WORDS = 4 << 20           # item words for each file of seeds
 MIX = 0x9E3779B97F4A7C15
 
 # As UTF-8: ideographic space and punctuation U+3000-4, U+3008-20, U+3030-3F, the
@@ -108,137 +115,243 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-class SeedIndex:
-    """The items of a block by the width of their seeds."""
-
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, similarity: float = SIMILARITY,
-                 max_items: int = MAX_ITEMS):
-        self.vocabulary: dict[bytes, int] = {}
-        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item_id, body in items:
-            words = tokens_of(body)
-            if words:
-                numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-                by_width.setdefault(seed_width(len(words), q, similarity), []).append((item_id, np.array(numbers, np.int64)))
-        self.indexes = [WidthIndex(by_width[w], w, similarity, max_items) for w in sorted(by_width, reverse=True)]
-
-    def leaks(self, body: bytes) -> list[tuple]:
-        """(item_id, score, first_word, last_word, n_seeds) of each leaked item."""
-        if not self.indexes:
-            return []
-        get = self.vocabulary.get
-        text = np.array([get(w, 0) for w in tokens_of(body)], np.int64)
-        return [leak for index in self.indexes for leak in index.leaks(text)]
-
-
-class WidthIndex:
-    """The seeds of ``q`` words of items (id, words) and what a place must share with each item."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, similarity: float, max_items: int):
-        self.q, self.similarity = q, similarity
-        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
-        grams = [self._grams(w) for w in self.words]
-        seeds = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        # One posting for each (seed, item); in how many items a seed stands; which seeds open a place.
-        self.seed, self.item = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if len(seeds):
-            order = np.lexsort((of, seeds))
-            seeds, of = seeds[order], of[order]
-            new = np.append(True, (seeds[1:] != seeds[:-1]) | (of[1:] != of[:-1]))
-            self.seed, self.item = seeds[new], of[new]
-        _, at, spread = np.unique(self.seed, return_inverse=True, return_counts=True)
-        rare = spread[at] <= max_items if len(at) else np.zeros(0, bool)
-        self.need = np.array([self.survivors(len(w)) for w in self.words], np.int64)
-        # need counts seeds with repeats; an item's repeated seeds count once in a place.
-        repeated = np.array([len(w) - q + 1 for w in self.words], np.int64) - np.bincount(self.item, minlength=len(self.words))
-        self.need = np.maximum(self.need - repeated, 1)
-        common = np.bincount(self.item[~rare], minlength=len(self.words))
-        self.opens = rare | (common[self.item] >= self.need[self.item])
-
-    def survivors(self, n: int) -> int:
-        budget = int((1 - self.similarity) * n + 1e-9)
-        return max(1, n - (self.q - 1) - self.q * budget)
-
-    def _grams(self, words: np.ndarray) -> np.ndarray:
-        out = np.zeros(max(len(words) - self.q + 1, 0), np.uint64)
-        for j in range(self.q):
-            out = (out ^ words[j:j + len(out)].astype(np.uint64)) * np.uint64(MIX)
-            out ^= out >> np.uint64(29)
-        return out
+def grams_of(words: np.ndarray, q: int) -> np.ndarray:
+    """A hash of every ``q`` words that stand one after another."""
+    out = np.zeros(max(len(words) - q + 1, 0), np.uint64)
+    for j in range(q):
+        out = (out ^ words[j:j + len(out)]) * np.uint64(MIX)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def needed_seeds(n: int, q: int, distinct: int, similarity: float = SIMILARITY) -> int:
+    """How many of its ``distinct`` seeds a place shares at least with an item of ``n`` words that leaked there."""
+    survivors = n - (q - 1) - q * int((1 - similarity) * n + 1e-9)
+    # They are counted with repeats; an item's repeated seeds count once in a place.
+    return max(1, survivors - (n - q + 1 - distinct))
+
+
+# -- the index ----------------------------------------------------------------------------------------
+
+_SEEDS = pa.schema([("width", pa.int32()), ("seed", pa.int64()), ("item", pa.int64()), ("need", pa.int32())])
+_SHARD = 33      # an item's number: the task that cut it, then its place there
+
 
-    def leaks(self, text: np.ndarray) -> list[tuple]:
-        """The leaks in a text of numbered words."""
-        q = self.q
-        if len(text) < q:
-            return []
-        known = np.concatenate([[0], np.cumsum(text > 0)])
-        places = np.flatnonzero(known[q:] - known[:-q] == q)
-        if not len(places):
-            return []
-        grams = self._grams(text)[places]
-        low, high = np.searchsorted(self.seed, grams), np.searchsorted(self.seed, grams, "right")
-        held = high > low
-        if not held.any():
-            return []
-        places, low, high = places[held], low[held], high[held]
-        size = high - low
-        posting = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        place = np.repeat(places, size)
+def _cut_items(folder: str, q: int, similarity: float, least_words: int):
+    """Stores the words of the items of a partition; rows (width, seed, item, need) of their distinct seeds,
+    and one row (-1, task, items, 0) and (-2, task, words, 0) with what was stored."""
+    def run(batches):
+        from pyspark import TaskContext
+        shard, hashes = TaskContext.get().partitionId(), WordHashes()
+        ids, words, rows = [], [], []
+
+        def row_batch():
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]), t) for i, t in
+                                                enumerate(_SEEDS.types)], schema=_SEEDS)
+            rows.clear()
+            return batch
+
+        for item_ids, bodies in bounded_chunks(batches):
+            for item_id, body in zip(item_ids, bodies):
+                text = hashes.of(tokens_of(body))
+                if len(text) < max(least_words, 1):
+                    continue
+                width = seed_width(len(text), q, similarity)
+                seeds = np.unique(grams_of(text, width)).view(np.int64)
+                n = len(seeds)
+                rows.append((np.full(n, width, np.int32), seeds, np.full(n, shard << _SHARD | len(ids)),
+                             np.full(n, needed_seeds(len(text), width, n, similarity), np.int32)))
+                ids.append(item_id)
+                words.append(text)
+            if rows:
+                yield row_batch()
+        if ids:
+            save_array(folder, f"id-{shard}", np.array([i or 0 for i in ids], np.int64))
+            save_array(folder, f"null-{shard}", np.array([i is None for i in ids]))
+            save_array(folder, f"end-{shard}", np.cumsum([len(w) for w in words]))
+            save_array(folder, f"word-{shard}", np.concatenate(words))
+            for kind, size in ((-1, len(ids)), (-2, sum(map(len, words)))):
+                rows.append(([kind], [shard], [size], [0]))
+            yield row_batch()
+    return run
+
+
+def _store_seeds(folder: str):
+    """Stores the opening seeds of each (width, range), sorted, with the items of each."""
+    schema = pa.schema([("part", pa.int32()), ("seeds", pa.int64()), ("items", pa.int64())])
+
+    def run(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            part, seed, item = (batch.column(i).to_numpy() for i in range(3))
+            for p in np.unique(part).tolist():
+                found.setdefault(p, []).append((seed[part == p].view(np.uint64), item[part == p]))
+        for p, blocks in found.items():
+            seed, item = (np.concatenate(x) for x in zip(*blocks))
+            order = np.lexsort((item, seed))
+            seed, item = seed[order], item[order]
+            heads = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
+            save_array(folder, f"seed-{p}", seed[heads])
+            save_array(folder, f"first-{p}", np.append(heads, len(seed)))
+            save_array(folder, f"item-{p}", item)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((p, len(heads), len(seed)), schema.types)],
+                                             schema=schema)
+    return run
+
+
+@dataclass
+class SeedIndex:
+    """Where the arrays are and how long each is; a few numbers for each file."""
+    folder: str
+    n_ranges: int
+    seeds: dict[int, tuple[int, int]]         # (width * n_ranges + range): seeds, items
+    items: dict[int, tuple[int, int]]         # task: items, words
+    similarity: float
+    q: int
+
+    @property
+    def widths(self) -> list[int]:
+        return sorted({part // self.n_ranges for part in self.seeds}, reverse=True)
+
+
+def build_index(benchmark: DataFrame, q: int = Q, similarity: float = SIMILARITY, max_items: int = MAX_ITEMS,
+                least_words: int = 1, range_words: int = RANGE_WORDS) -> SeedIndex:
+    """Cut and store the items of ``benchmark`` (item_id, text)."""
+    spark = benchmark.sparkSession
+    prepare(spark)
+    folder = model_folder(spark, "seed-index")
+    items = id_and_bytes(benchmark, "item_id").toDF("item_id", "body").filter(F.length("body") > 0)
+    cut = materialize(items.mapInArrow(_cut_items(folder, q, similarity, least_words),
+                                       "width int, seed long, item long, need int"), "seed-postings")
+    stored: dict[int, tuple[int, int]] = {}
+    for r in cut.filter("width < 0").orderBy(F.desc("width")).collect():      # two rows for each task
+        stored[r.seed] = (*stored.get(r.seed, ()), r.item)
+    n_ranges = max(1, -(-sum(words for _, words in stored.values()) // range_words))
+    postings = cut.filter("width > 0")
+    common = postings.groupBy("width", "seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_items)
+    common = materialize(common.select("width", "seed", F.lit(True).alias("common")), "common-seeds")
+    poor = (postings.join(common, ["width", "seed"]).groupBy("item", "need").agg(F.count(F.lit(1)).alias("n"))
+            .filter("n >= need").select("item", F.lit(True).alias("poor")))
+    opening = (postings.join(common, ["width", "seed"], "left").join(poor, "item", "left")
+               .filter("common IS NULL OR poor IS NOT NULL"))
+    # The range of an unsigned hash by its upper 32 bits.
+    part = (F.col("width") * n_ranges
+            + F.shiftright(F.shiftrightunsigned("seed", 32) * F.lit(n_ranges).cast("long"), 32)).cast("int")
+    rows = (opening.select(part.alias("part"), "seed", "item").repartition(n_ranges, "part")
+            .mapInArrow(_store_seeds(folder), "part int, seeds long, items long").collect())      # one for each file
+    return SeedIndex(folder, n_ranges, {r.part: (r.seeds, r.items) for r in rows}, stored, similarity, q)
+
+
+class Searcher:
+    """Finds the leaks of texts with the mapped arrays of an index."""
+
+    def __init__(self, index: SeedIndex):
+        self.index, self.hashes, self.open = index, WordHashes(), {}
+
+    def _array(self, name: str, part: int, size: int) -> np.ndarray:
+        if (name, part) not in self.open:
+            self.open[name, part] = map_array(self.index.folder, f"{name}-{part}", size)
+        return self.open[name, part]
+
+    def item(self, number: int) -> tuple[int | None, np.ndarray]:
+        shard, at = number >> _SHARD, number & (1 << _SHARD) - 1
+        n, words = self.index.items[shard]
+        end = self._array("end", shard, n)
+        item_id = None if self._array("null", shard, n)[at] else int(self._array("id", shard, n)[at])
+        return item_id, np.asarray(self._array("word", shard, words)[int(end[at - 1]) if at else 0:int(end[at])])
+
+    def _opened(self, grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) wherever an opening seed of an item stands."""
+        n_ranges, places, items = self.index.n_ranges, [], []
+        of = ((grams >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        for r in range(n_ranges):
+            part = width * n_ranges + r
+            if part not in self.index.seeds:
+                continue
+            seeds, n_items = self.index.seeds[part]
+            mine = np.arange(len(grams)) if n_ranges == 1 else np.flatnonzero(of == r)
+            table = self._array("seed", part, seeds)
+            at = np.minimum(np.searchsorted(table, grams[mine]), seeds - 1)
+            hit = np.flatnonzero(table[at] == grams[mine])
+            if not len(hit):
+                continue
+            first = self._array("first", part, seeds + 1)
+            low, size = first[at[hit]], first[at[hit] + 1] - first[at[hit]]
+            which = np.repeat(np.arange(len(hit)), size)
+            posting = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]
+            places.append(mine[hit][which])
+            items.append(self._array("item", part, n_items)[posting])
+        if not places:
+            return (np.zeros(0, np.int64),) * 2
+        return np.concatenate(places), np.concatenate(items)
+
+    def leaks(self, bodies: list[bytes]) -> list[tuple]:
+        """(text number, item_id, score, first_word, last_word, n_seeds) of each leaked item."""
+        texts = [self.hashes.of(tokens_of(b)) for b in bodies]
+        sizes = np.array([len(t) for t in texts])
+        words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        begin = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(texts)), sizes)
         out = []
-        item_of = self.item[posting]
-        order = np.lexsort((place, item_of))
-        item_of, place, posting = item_of[order], place[order], posting[order]
-        cuts = np.append(np.flatnonzero(np.append(True, item_of[1:] != item_of[:-1])), len(item_of))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            k = int(item_of[a])
-            if not self.opens[posting[a:b]].any():
+        for width in self.index.widths:
+            grams = grams_of(words, width)
+            if not len(grams):
                 continue
-            n, best = len(self.words[k]), None
-            gaps = np.flatnonzero(np.diff(place[a:b]) > 2 * n) + 1
-            for c, d in zip([a, *(a + gaps).tolist()], [*(a + gaps).tolist(), b]):
-                shared = len(np.unique(posting[c:d]))
-                if shared < self.need[k]:
-                    continue
-                first = max(int(place[c]) - 2 * n, 0)
-                score, start, end = align(self.words[k], text[first:int(place[d - 1]) + q + 2 * n])
-                if score >= self.similarity * n - 1e-9 and (best is None or score > best[1]):
-                    best = (self.ids[k], score, first + start, first + end, shared, n)
-            if best:
-                out.append((best[0], best[1] / best[5], *best[2:5]))
+            place, item = self._opened(grams, width)
+            inside = of[place] == of[place + width - 1]
+            place, item = place[inside], item[inside]
+            if not len(place):
+                continue
+            order = np.lexsort((place, item, of[place]))
+            place, item = place[order], item[order]
+            text = of[place]
+            cuts = np.append(np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]))), len(item))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                at = int(text[a])
+                low = int(begin[at])
+                leak = self._best(texts[at], grams[low:low + int(sizes[at]) - width + 1], place[a:b] - low, int(item[a]), width)
+                if leak:
+                    out.append((at, *leak))
         return out
 
+    def _best(self, text: np.ndarray, grams: np.ndarray, places: np.ndarray, number: int, width: int) -> tuple | None:
+        """(item_id, score, first word, last word, seeds) of the best place at which an item leaked into a text."""
+        item_id, words = self.item(number)
+        n, best = len(words), None
+        seeds = np.unique(grams_of(words, width))
+        need = needed_seeds(n, width, len(seeds), self.index.similarity)
+        gaps = np.flatnonzero(np.diff(places) > 2 * n) + 1
+        for c, d in zip([0, *gaps.tolist()], [*gaps.tolist(), len(places)]):
+            first, last = max(int(places[c]) - 2 * n, 0), int(places[d - 1]) + 2 * n
+            shared = int(np.isin(seeds, grams[first:last + 1]).sum())
+            if shared < need:
+                continue
+            score, start, end = align(words, text[first:last + width])
+            if score >= self.index.similarity * n - 1e-9 and (best is None or score > best[1]):
+                best = (item_id, score, first + start, first + end, shared)
+        return best and (best[0], best[1] / n, *best[2:])
+
 
-def _leaks(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
-                        ("first_word", pa.int64()), ("last_word", pa.int64()), ("n_seeds", pa.int64())])
+_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
+                    ("first_word", pa.int64()), ("last_word", pa.int64()), ("n_seeds", pa.int64())])
 
+
+def _leaks(index: SeedIndex):
     def run(batches):
-        index = shared.value
+        searcher = Searcher(index)
         for ids, bodies in bounded_chunks(batches):
-            rows = [(i, *leak) for i, b in zip(ids, bodies) for leak in index.leaks(b)]
+            rows = [(ids[leak[0]], *leak[1:]) for leak in searcher.leaks(bodies)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LEAKS.types)], schema=_LEAKS)
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, similarity: float = SIMILARITY,
-          max_items: int = MAX_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          max_items: int = MAX_ITEMS, least_words: int = 1, range_words: int = RANGE_WORDS) -> DataFrame:
     """One row per leaked (doc_id, item_id): score (0 to 1), first_word, last_word, n_seeds."""
-    spark = docs.sparkSession
-    prepare(spark)
-    items = id_and_bytes(benchmark, "item_id").toDF("item_id", "body").filter(F.length("body") > 0)
-    total = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    blocks = max(1, -(-total * 2 // block_bytes))
-    found = None
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks)) == block)
-        index = SeedIndex([tuple(r) for r in mine.orderBy("item_id", "body").toLocalIterator()], q, similarity, max_items)
-        part = id_and_bytes(docs).mapInArrow(
-            _leaks(spark.sparkContext.broadcast(index)),
-            "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long")
-        found = part if found is None else found.unionByName(part)
-    return found
+    index = build_index(benchmark, q, similarity, max_items, least_words, range_words)
+    return id_and_bytes(docs).mapInArrow(
+        _leaks(index), "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

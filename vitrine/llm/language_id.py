@@ -6,21 +6,23 @@ escape method C and exclusion: at the longest context seen, a symbol of count
 c among n occurrences and d distinct symbols has probability c / (n + d); the
 escape d / (n + d) leads to the next shorter context, without the symbols
 already excluded, down to a uniform share of the bytes that remain. The
-statistics stay frozen while scoring, so the probability of every (context,
-byte) is computed once and a text's exact code length is a sum of table rows.
-The language with the shortest code wins.
-
-Sample: training may use a bounded sample of labelled rows. ``sample_docs``
-documents per language are expected to be drawn (documented bound): a
-document takes part if the hash of its id falls below the share that this
-number is of the language's labelled documents. Whole texts are counted in
-Spark, grouped counts of (language, n-gram) reach the driver; their number is
-bounded by the sample, and so is the broadcast table. Scoring is one narrow
-pass over all documents.
-
-The table is addressed in two steps: symbols (bytes seen in training, all
-others one class) of the last three bytes give a context row, contexts that no
-language has seen fall to the row of the shorter one.
+statistics stay frozen while scoring, so a text's exact code length is a sum
+over its n-grams. The language with the shortest code wins.
+
+The model is sparse: per language and order, the sorted n-grams that occur with
+their counts, and the contexts with n, d and the mass that their symbols have in
+the next shorter context. A context's symbols all occur after its suffix too, so
+what exclusion leaves is n and d of the suffix less those two numbers, and a
+code length follows the escapes without any dense table. Workers score the
+distinct n-grams of a chunk of texts once and keep the results in a bounded
+cache.
+
+Sample: training may use a bounded sample of labelled rows: ``sample_docs``
+distinct texts per language, those of the smallest text hashes (ids play no
+part, so null or repeated ids and repeated rows change nothing). Whole texts are
+counted in Spark; the grouped counts of (language, n-gram) reach the driver.
+Their number is bounded by the sample, and the broadcast model is refused beyond
+``most_bytes``. Scoring is one narrow pass over all documents.
 
 Defined results: null text or no letter: ``und``, score 0; equal code lengths:
 the smaller language name; no training row at all: ``und`` for every document;
@@ -33,13 +35,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import bounded_chunks, id_and_bytes, prepare, read
+from vitrine.session import materialize
 
 ORDER = 3
 SAMPLE_DOCS = 400
+MOST_BYTES = 1 << 29            # of a model
+PIECE = 4 << 20                 # bytes scored at once
+CACHE_CELLS = 8 << 20           # code lengths kept by a worker
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -47,6 +53,23 @@ def _normal(body: bytes) -> bytes:
     return body.lower()      # of bytes: A-Z alone
 
 
+# -- training -----------------------------------------------------------------------------------------
+
+def draw(labelled: DataFrame, texts: int) -> DataFrame:
+    """(lang, rank, text): per language ``texts`` distinct texts, ranked from 1 by a hash of the text."""
+    rows = (labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+            .select("lang", "text", F.xxhash64("text").alias("hash")))
+    keys = materialize(rows.select("lang", "hash").distinct(), "language-keys")
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Twice as many as are wanted are ranked: those below a share of the hashes.
+    place = F.pmod("hash", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = keys.join(sizes, "lang").filter(place * F.col("n") < 2.0 * texts + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash"))
+    drawn = near.withColumn("rank", rank).filter(F.col("rank") <= texts).select("lang", "hash", "rank")
+    return (rows.join(drawn, ["lang", "hash"]).groupBy("lang", "rank")
+            .agg(F.min(F.struct("hash", "text"))["text"].alias("text")))
+
+
 def _ngrams(order: int):
     """(lang, order, gram, n) of each chunk of texts; a gram holds order + 1 bytes, big-endian."""
     def run(batches):
@@ -67,130 +90,212 @@ def _ngrams(order: int):
 
 
 def count_ngrams(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, k, gram, n) over the sample of the labelled rows (doc_id, text, lang)."""
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
-    drawn = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        drawn = drawn | ((F.col("lang") == lang) & (place < int((1 << 40) * min(1.0, sample_docs / n))))
-    return (labelled.filter(drawn).select("lang", F.col("text").cast("binary").alias("body"))
+    """(lang, k, gram, n) over the sample of the labelled rows (text, lang)."""
+    return (draw(labelled, sample_docs).select("lang", F.col("text").cast("binary").alias("body"))
             .mapInArrow(_ngrams(order), "lang string, k int, gram long, n long")
             .groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
 
 
+def _low_bytes(key: np.ndarray, n: int) -> np.ndarray:
+    return key & np.uint64((1 << 8 * n) - 1)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each key in a sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+class Tree:
+    """One language's context tree: per order the n-grams with their counts, and the contexts with their totals."""
+
+    def __init__(self, k: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int):
+        self.grams, self.counts, self.contexts, self.totals = [], [], [], []
+        for width in range(order + 1):
+            mine = np.flatnonzero(k == width)
+            mine = mine[np.argsort(gram[mine])]
+            grams, counts = gram[mine].astype(np.uint64), n[mine].astype(np.int64)
+            context = grams >> np.uint64(8)
+            heads = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(grams) else np.zeros(0, np.int64)
+            # n, d, and the mass of the same symbols after the next shorter context.
+            below = np.zeros(len(grams), np.int64)
+            if width and len(grams):
+                at, _ = _find(self.grams[-1], _low_bytes(grams, width))
+                below = self.counts[-1][at].astype(np.int64)
+            total = [np.add.reduceat(x, heads) if len(heads) else x for x in (counts, np.ones(len(grams), np.int64), below)]
+            self.grams.append(grams.astype(np.uint32 if width < 4 else np.uint64))
+            self.counts.append(counts.astype(np.uint32))
+            self.contexts.append(context[heads].astype(np.uint32 if width <= 4 else np.uint64))
+            self.totals.append(np.stack(total).astype(np.uint32))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for part in (self.grams, self.counts, self.contexts, self.totals) for a in part)
+
+    def bits(self, key: np.ndarray, width: int) -> np.ndarray:
+        """Code lengths of the last bytes of ``key`` after the ``width`` bytes before them."""
+        out, open_ = np.zeros(len(key)), np.ones(len(key), bool)
+        gone_n, gone_d = np.zeros(len(key)), np.zeros(len(key))      # excluded, of the context at hand
+        for w in range(width, -1, -1):
+            at, found = _find(self.contexts[w], _low_bytes(key >> np.uint64(8), w).astype(self.contexts[w].dtype))
+            n, d, below = np.where(found, self.totals[w][:, at], 0).astype(np.float64)
+            left_n, left_d = n - gone_n, d - gone_d
+            ask = np.flatnonzero(open_ & (left_d > 0))
+            at, held = _find(self.grams[w], _low_bytes(key[ask], w + 1).astype(self.grams[w].dtype))
+            out[ask] += np.log2(left_n[ask] + left_d[ask]) - np.log2(np.where(held, self.counts[w][at], left_d[ask]))
+            open_[ask[held]] = False
+            gone_n, gone_d = below, d
+        out[open_] += np.log2(256 - gone_d[open_])
+        return out
+
+
 class PpmModel:
-    """Frozen code lengths (bits) of every byte after every context, for all languages."""
+    """Frozen context trees of all languages."""
+
+    def __init__(self, langs: list[str], trees: list[Tree], order: int = ORDER):
+        if not 0 <= order <= 6:
+            raise ValueError("an n-gram has one to seven bytes")
+        self.langs, self.trees, self.order = langs, trees, order
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.lengths = np.zeros(0, np.uint64), np.zeros((0, len(self.langs)))
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "trees": self.trees, "order": self.order}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
-    def __init__(self, langs: list[str], alphabet: np.ndarray, context: np.ndarray, bits: np.ndarray,
-                 order: int = ORDER):
-        self.langs, self.bits, self.context = langs, bits, context      # bits: (contexts, symbols, languages)
-        self.order = order
-        self.size = len(alphabet) + 1
-        self.symbol = np.full(256, len(alphabet), np.int32)
-        self.symbol[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    @property
+    def nbytes(self) -> int:
+        return sum(t.nbytes for t in self.trees)
 
     @classmethod
     def fit(cls, rows: dict[str, np.ndarray], order: int = ORDER) -> "PpmModel":
-        langs = sorted(set(rows["lang"]))
-        k, gram, n = rows["k"], rows["gram"], rows["n"]
-        lang_at = np.searchsorted(np.array(langs, object), np.array(rows["lang"], object))
-        alphabet = np.unique(gram[k == 0]).astype(np.int64)
-        size = len(alphabet) + 1
-        other = np.full(256, size - 1, np.int64)
-        other[alphabet] = np.arange(size - 1)
-
-        def context_number(x: np.ndarray, width: int) -> np.ndarray:
-            out = np.zeros(len(x), np.int64)
-            for j in range(width):
-                out = out * size + other[x >> (8 * (width - 1 - j)) & 255]
-            return out
-
-        def table(width: int) -> tuple[np.ndarray, np.ndarray]:
-            """Contexts of one order with their counts, symbol by symbol, per language."""
-            mine = k == width
-            ctx, sym = context_number(gram[mine] >> 8, width), other[gram[mine] & 255]
-            seen = np.unique(ctx)
-            counts = np.zeros((len(langs), len(seen), size), np.float32)
-            np.add.at(counts, (lang_at[mine], np.searchsorted(seen, ctx), sym), n[mine])
-            return seen, counts
-
-        tables = [table(width) for width in range(order + 1)]
-        n_other = 256 - len(alphabet)
-        # Rows for every context of the full order, and for each shorter context.
-        contexts, first, rows_of = [], 0, []
-        for width in range(order + 1):
-            contexts.append(tables[width][0])
-            rows_of.append(first)
-            first += len(tables[width][0])
-        all_bits = np.zeros((first, size, len(langs)), np.float32)
-        for width in range(order + 1):
-            ctx = contexts[width]
-            for at in range(0, len(ctx), 4096):
-                part = ctx[at:at + 4096]
-                for lang in range(len(langs)):
-                    p = np.zeros((len(part), size), np.float64)
-                    free = np.ones((len(part), size), bool)
-                    weight = np.ones(len(part))
-                    for w in range(width, -1, -1):
-                        suffix = part % size ** w
-                        seen_w, counts_w = tables[w]
-                        where = np.minimum(np.searchsorted(seen_w, suffix), len(seen_w) - 1)
-                        c = counts_w[lang, where] * (seen_w[where] == suffix)[:, None] * free
-                        total, distinct = c.sum(axis=1), (c > 0).sum(axis=1)
-                        has = distinct > 0
-                        share = np.where(has, weight / np.maximum(total + distinct, 1), 0)
-                        p += c * share[:, None]
-                        weight = np.where(has, share * distinct, weight)
-                        free &= c == 0
-                    left = free[:, :-1].sum(axis=1) + n_other      # byte values that are still free
-                    p += np.where(free, (weight / np.maximum(left, 1))[:, None], 0)
-                    all_bits[rows_of[width] + at:rows_of[width] + at + len(part), :, lang] = -np.log2(np.maximum(p, 1e-300))
-        # The row of every full context: its own, or that of its longest suffix that was seen.
-        row = np.full(size ** order, rows_of[0], np.int32)
-        every = np.arange(size ** order, dtype=np.int64)
-        for width in range(1, order + 1):
-            suffix = every % size ** width
-            where = np.minimum(np.searchsorted(contexts[width], suffix), len(contexts[width]) - 1)
-            hit = contexts[width][where] == suffix
-            row[hit] = (rows_of[width] + where[hit]).astype(np.int32)
-        return cls(langs, alphabet, row, all_bits, order)
-
-    def code_lengths(self, body: bytes, piece: int = 1 << 20) -> np.ndarray:
-        """Bits of the whole text under each language."""
-        s = self.symbol[np.frombuffer(_normal(body), np.uint8)].astype(np.int64)
-        total = np.zeros(len(self.langs))
-        flat = self.bits.reshape(-1, len(self.langs))
-        for at in range(0, len(s), piece):
-            part = s[max(at - self.order, 0):at + piece]
-            lead = at - max(at - self.order, 0)
-            ctx = np.zeros(len(part) - lead, np.int64)
-            for j in range(self.order, 0, -1):      # the j-th byte back
-                back = np.full(len(ctx), self.size - 1, np.int64)
-                have = lead - j
-                src = part[max(have, 0):len(part) - j]
-                back[len(back) - len(src):] = src
-                ctx = ctx * self.size + back
-            total += flat[self.context[ctx].astype(np.int64) * self.size + part[lead:]].sum(axis=0, dtype=np.float64)
+        lang = np.asarray(rows["lang"], object)
+        langs = sorted(set(lang.tolist()))
+        of = np.searchsorted(np.array(langs, object), lang) if len(lang) else np.zeros(0, np.int64)
+        place = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[place], np.arange(len(langs) + 1))
+        return cls(langs, [Tree(*(rows[c][place[a:b]] for c in ("k", "gram", "n")), order)
+                           for a, b in zip(cuts[:-1], cuts[1:])], order)
+
+    def _bits(self, key: np.ndarray, width: int) -> np.ndarray:
+        return np.stack([t.bits(key, width) for t in self.trees], axis=1)
+
+    def _known(self, key: np.ndarray) -> np.ndarray:
+        """Code lengths of distinct, sorted n-grams of the full order, one column for each language."""
+        at, there = _find(self.known, key)
+        fresh = key[~there]
+        if len(fresh):
+            if (len(self.known) + len(fresh)) * len(self.langs) > CACHE_CELLS:
+                self._forget()
+                fresh = key
+            keys = np.concatenate([self.known, fresh])
+            lengths = np.concatenate([self.lengths, self._bits(fresh, self.order)])
+            order = np.argsort(keys)
+            self.known, self.lengths = keys[order], lengths[order]
+            at, _ = _find(self.known, key)
+        return self.lengths[at]
+
+    def _score(self, parts: list[tuple[int, bytes, int]], total: np.ndarray) -> None:
+        """Adds the bits of (text number, bytes, how many of them are context alone)."""
+        sizes = np.array([len(b) for _, b, _ in parts])
+        s = np.frombuffer(b"".join(b for _, b, _ in parts), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        of, lead = np.array([i for i, _, _ in parts]), np.array([n for _, _, n in parts])
+        key = np.zeros(len(s), np.uint64)
+        for j in range(min(self.order, len(s) - 1), -1, -1):
+            key[j:] |= s[:len(s) - j].astype(np.uint64) << np.uint64(8 * j)
+        # The first bytes of a text have shorter contexts.
+        for w in range(self.order):
+            mine = np.flatnonzero((lead <= w) & (sizes > w))
+            if len(mine):
+                np.add.at(total, of[mine], self._bits(key[first[mine] + w], w))
+        begin = np.minimum(np.maximum(lead, self.order), sizes) + first
+        inside = np.zeros(len(s) + 1, np.int32)
+        np.add.at(inside, begin, 1)
+        np.add.at(inside, first + sizes, -1)
+        at = np.cumsum(inside[:-1]) > 0
+        grams, place = np.unique(key[at].astype(np.uint32) if self.order == 3 else key[at], return_inverse=True)
+        if not len(grams):
+            return
+        lengths = self._known(grams.astype(np.uint64))
+        size = first + sizes - begin
+        full = np.flatnonzero(size > 0)
+        starts = (np.cumsum(size) - size)[full]
+        for lang in range(len(self.langs)):
+            np.add.at(total[:, lang], of[full], np.add.reduceat(lengths[:, lang][place], starts))
+
+    def all_code_lengths(self, bodies: list[bytes], piece: int = PIECE) -> np.ndarray:
+        """Bits of each whole text under each language."""
+        total = np.zeros((len(bodies), len(self.langs)))
+        parts, held = [], 0
+        for i, body in enumerate(bodies):
+            body = _normal(body)
+            for at in range(0, len(body), piece):
+                lead = min(at, self.order)
+                parts.append((i, body[at - lead:at + piece], lead))
+                held += len(parts[-1][1])
+                if held >= piece:
+                    self._score(parts, total)
+                    parts, held = [], 0
+        if parts:
+            self._score(parts, total)
         return total
 
-    def predict(self, body: bytes) -> tuple[str, float, float | None]:
-        """(language, posterior of it under equal priors, bits per byte)."""
-        if not self.langs or not _LETTER.search(body.decode("utf-8", "replace")):
-            return "und", 0.0, None
-        bits = self.code_lengths(body)
-        best = int(np.argmin(bits))
-        return (self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()),
-                float(bits[best] / len(body)))
-
-
-def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> PpmModel:
-    """Train on labelled rows (doc_id, text, lang)."""
+    def code_lengths(self, body: bytes, piece: int = PIECE) -> np.ndarray:
+        """Bits of one whole text under each language."""
+        return self.all_code_lengths([body], piece)[0]
+
+    def predict(self, bodies: list[bytes]) -> list[tuple[str, float, float | None]]:
+        """(language, posterior of it under equal priors, bits per byte) of each text."""
+        if not self.langs:
+            return [("und", 0.0, None)] * len(bodies)
+        out = []
+        for body, bits in zip(bodies, self.all_code_lengths(bodies)):
+            if not _LETTER.search(body.decode("utf-8", "replace")):
+                out.append(("und", 0.0, None))
+                continue
+            best = int(np.argmin(bits))
+            out.append((self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()),
+                        float(bits[best] / len(body))))
+        return out
+
+
+def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, most_bytes: int = MOST_BYTES) -> PpmModel:
+    """Train on labelled rows (text, lang)."""
     prepare(labelled.sparkSession)
     rows = count_ngrams(labelled, order, sample_docs).toArrow()      # bounded by the sample
-    if not rows.num_rows:
-        return PpmModel([], np.zeros(0, np.int64), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
-    return PpmModel.fit({"lang": rows["lang"].to_pylist(), **{c: rows[c].to_numpy() for c in ("k", "gram", "n")}}, order)
+    model = PpmModel.fit({"lang": rows["lang"].to_pylist(), **{c: rows[c].to_numpy() for c in ("k", "gram", "n")}}, order)
+    if model.nbytes > most_bytes:
+        raise ValueError(f"the model has {model.nbytes} bytes, more than most_bytes; take fewer sample_docs")
+    return model
+
+
+def usual_bits(labelled: DataFrame, model: PpmModel, share: float = 0.99, texts: int = SAMPLE_DOCS,
+               trained: int = SAMPLE_DOCS) -> dict[str, float]:
+    """Per language the bits per byte that ``share`` of its labelled texts stay below: of up to ``texts`` texts that
+    the model wasn't trained on (it was on the first ``trained`` ones), or, with less than a quarter of them, of those."""
+    if not model.langs:
+        return {}
+    spark = labelled.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(model)
+    # The id of a text tells its language and whether the model knows it.
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(model.langs) for x in (lang, i)])
+    rows = draw(labelled, trained + texts).withColumn(
+        "doc_id", 2 * F.element_at(number, F.col("lang")) + (F.col("rank") > trained).cast("int"))
+    found = id_and_bytes(rows.filter("doc_id IS NOT NULL")).mapInArrow(
+        _predict(shared), "doc_id long, lang_pred string, score double, bits_per_byte double")
+    rows = found.groupBy("doc_id").agg(F.percentile("bits_per_byte", F.lit(share)).alias("bits"),
+                                       F.count("bits_per_byte").alias("n")).collect()      # two for each language
+    by = {r.doc_id: r for r in rows if r.bits is not None}
+    return {lang: by[2 * i + 1 if 2 * i + 1 in by and by[2 * i + 1].n >= texts // 4 else 2 * i].bits
+            for i, lang in enumerate(model.langs) if 2 * i in by}
 
 
 def _predict(shared):
@@ -200,7 +305,7 @@ def _predict(shared):
     def run(batches):
         model = shared.value
         for ids, bodies in bounded_chunks(batches):
-            rows = [(i, *model.predict(b)) for i, b in zip(ids, bodies)]
+            rows = [(i, *found) for i, found in zip(ids, model.predict(bodies))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
     return run
 
