@@ -1,0 +1,69 @@
+"""Latent semantic vectors: the singular subspace is numpy's, and company brings texts together."""
+
+import math
+import random
+
+import numpy as np
+
+from vitrine.operators import lsa
+
+
+def matrix(texts):
+    """The weighted matrix by hand."""
+    split = [[w for w in __import__("re").split("[^a-z0-9]+", (t or "").lower()) if w] for t in texts]
+    terms = sorted({w for t in split for w in t})
+    df = {w: sum(w in t for t in split) for w in terms}
+    a = np.zeros((len(texts), len(terms)))
+    for i, t in enumerate(split):
+        for w in set(t):
+            a[i, terms.index(w)] = (1 + math.log(t.count(w))) * (math.log((1 + len(texts)) / (1 + df[w])) + 1)
+    return a, terms
+
+
+def cosine(a, b):
+    return float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+
+
+def corpus(seed, n=150):
+    rng = random.Random(seed)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(5)]
+    return [" ".join(rng.choice(rng.choice(topics[i % 5:i % 5 + 1] * 6 + topics)) for _ in range(14)) for i in range(n)]
+
+
+def test_subspace_equals_numpy(spark):
+    texts = corpus(1)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    model = lsa.fit(df, "id", "text", rank=5)
+    a, terms = matrix(texts)
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert (np.diff(model.singular) <= 0).all()
+    assert np.allclose(model.singular, s[:5], rtol=1e-6)
+    found = {r.term: r.term_vec for r in model.terms.collect()}
+    v = np.array([found[t] for t in terms])
+    assert np.allclose(v.T @ v, np.eye(5), atol=1e-8)
+    # The projections onto both subspaces are the same matrix.
+    assert np.allclose(v @ v.T, vt[:5].T @ vt[:5], atol=1e-4)
+    vecs = {r.id: np.array(r.lsa_vec) for r in lsa.embed(df, "id", "text", model).collect()}
+    mine = np.array([vecs[i] for i in range(len(texts))])
+    assert np.allclose(mine @ mine.T, a @ vt[:5].T @ vt[:5] @ a.T, atol=1e-2)
+
+
+def test_texts_without_a_common_word_meet_through_their_neighbours(spark):
+    texts = ["lamp light", "light bulb", "bulb glow", "lamp light bulb", "light glow bulb",
+             "chair seat", "seat sofa", "sofa couch", "chair seat sofa", "seat couch sofa"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    model = lsa.fit(df, "id", "text", rank=2, extra=4)
+    asked = spark.createDataFrame([(1, "lamp"), (2, "glow"), (3, "couch"), (4, "unheard of"), (5, None)], "id long, text string")
+    vec = {r.id: np.array(r.lsa_vec) for r in lsa.embed(asked, "id", "text", model).collect()}
+    assert cosine(vec[1], vec[2]) > 0.9 and abs(cosine(vec[1], vec[3])) < 0.1
+    assert not vec[4].any() and not vec[5].any()
+
+
+def test_edge_tables(spark):
+    none = spark.createDataFrame([], "id long, text string")
+    model = lsa.fit(none, "id", "text", rank=3)
+    assert model.terms.count() == 0 and not model.singular.any()
+    one = spark.createDataFrame([(1, "a b"), (None, "c"), (2, None)], "id long, text string")
+    model = lsa.fit(one, "id", "text", rank=3)
+    got = {r.id: r.lsa_vec for r in lsa.embed(one, "id", "text", model).collect()}
+    assert set(got) == {1, 2, None} and not any(got[2])
