@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vitrine.operators import analytics
-from vitrine.sources import tables
+from vitrine.sources import tables, versions
 from vitrine.streaming.activity import start_type_counts
 
 SF = "/root/testdata/sf0.001"
@@ -95,7 +95,7 @@ def test_stream_counts_to_a_durable_table(spark):
     import tempfile
     out = tempfile.mkdtemp(prefix="vitrine-counts-") + "/counts"
     start_type_counts(spark, SF, out=out, checkpoint=tempfile.mkdtemp()).awaitTermination(300)
-    got = {r.interaction_type: r["count"] for r in spark.read.parquet(out).collect()}
+    got = {r.interaction_type: r["count"] for r in versions.read_table(spark, out).collect()}
     want = {r.interaction_type: r["count"]
             for r in analytics.interaction_type_counts(tables.event_log(spark, SF)).collect()}
     assert got == want

@@ -5,7 +5,9 @@ CSV missing-value token counts as absent), the price parses as a number that
 is not NaN and is greater than zero, and it is the lowest product id among
 the rows that share its title. Every other row is set aside in a rejects
 table with its reason, exact copies included, so rows read = rows kept + rows
-set aside; an audit row counts each stage. Ids are text; with ``id_type`` they
+set aside; an audit row counts each stage. A catalogue without a category or
+price column takes the default (``DEFAULTS``) in every row, and no row is set
+aside for it. Ids are text; with ``id_type`` they
 are cast, and what the type can't hold is a reject, never a silent null.
 """
 
@@ -19,6 +21,8 @@ from vitrine.functions.cleaning import missing_as_null, parse_number, valid_pric
 from vitrine.schemas import PRODUCTS
 
 REQUIRED = ("title", "category", "price")
+# What rows have whose catalogue lacks the column.
+DEFAULTS = {"category": "", "price": 0.0}
 
 # Reject reasons, in the order the checks run.
 MISSING_ID = "missing_id"
@@ -50,13 +54,16 @@ def _typed(raw: DataFrame, id_type: str | None) -> DataFrame:
 def classify(raw: DataFrame, id_type: str | None = None) -> DataFrame:
     """Raw rows plus ``price_value`` and ``reason`` (null for a valid row,
     before dedup)."""
-    typed = _typed(raw, id_type)
-    present = F.col("title").isNotNull() & F.col("category").isNotNull() & F.col("price").isNotNull()
+    absent = [name for name in DEFAULTS if name not in raw.columns]
+    typed = _typed(raw.withColumns({name: F.lit(DEFAULTS[name]) for name in absent}), id_type)
+    typed = typed.withColumns({name: F.lit(DEFAULTS[name]) for name in absent})      # an empty text isn't a missing one here
+    present = F.lit(True)
+    for name in REQUIRED:
+        present = present & F.col(name).isNotNull()
     pv = F.col("price_value")
-    reason = (F.when(F.col("product_id").isNull(), F.lit(MISSING_ID))
-              .when(~present, F.lit(MISSING_FIELD))
-              .when(pv.isNull() | F.isnan(pv), F.lit(BAD_PRICE))
-              .when(~valid_price(pv), F.lit(NON_POSITIVE_PRICE)))
+    reason = F.when(F.col("product_id").isNull(), F.lit(MISSING_ID)).when(~present, F.lit(MISSING_FIELD))
+    if "price" not in absent:
+        reason = reason.when(pv.isNull() | F.isnan(pv), F.lit(BAD_PRICE)).when(~valid_price(pv), F.lit(NON_POSITIVE_PRICE))
     return typed.withColumn("reason", reason)
 
 

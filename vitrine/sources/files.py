@@ -5,10 +5,13 @@ Reads always name their schema; nothing is inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -21,14 +24,50 @@ CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt: bool = False) -> DataFrame:
     """CSV with header lines, typed by ``schema``; columns are taken by name.
 
-    The header decides which field is which, so columns may stand in any
-    order; a column that the file lacks is null. An empty field is null, a
+    Each file's header decides which field is which, so columns may stand in any
+    order, also in another one in each file (files of equal headers are read
+    together); a column that a file lacks is null. An empty field is null, a
     quoted empty one is the empty string. A value its type can't hold makes
     that field null; with ``corrupt`` the row's text then stands in
     ``_corrupt_record`` (null for sound rows), so that such rows can be set
     aside. Files with line ends in fields are not split over tasks: many files
     are read in parallel, one file by one task.
     """
+    files = spark.read.text(path).inputFiles()      # a listing: no file is read
+    groups: dict[str, list[str]] = {}
+    for file in files if len(files) > 1 else ():
+        header = _header(spark, file)
+        if header is not None:      # else the file is empty
+            groups.setdefault(header, []).append(file)
+    if len(groups) <= 1:
+        return _read_alike(spark, path, schema, corrupt)
+    parts = [_read_alike(spark, alike, schema, corrupt) for alike in groups.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _header(spark: SparkSession, file: str) -> str | None:
+    """The header of a CSV file as it stands there (a quoted name may hold line ends)."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        header = lines.readLine()
+        while header is not None and header.count('"') % 2:
+            more = lines.readLine()
+            if more is None:
+                break
+            header += "\n" + more
+        return header
+    finally:
+        stream.close()
+
+
+def _read_alike(spark: SparkSession, path: str | list[str], schema: T.StructType, corrupt: bool) -> DataFrame:
+    """CSV files that all have the header of the first."""
     reader = spark.read.options(**CSV_DIALECT).option("emptyValue", "").option("nullValue", None)
     # Only the header is read here, and no type is inferred: the names by place.
     names = reader.option("inferSchema", "false").csv(path).columns
@@ -77,17 +116,26 @@ def read_picture_files(spark: SparkSession, folder: str, pattern: str = "*.jpg")
             .option("recursiveFileLookup", True).load(folder))
 
 
+def with_row_index(df: DataFrame, name: str) -> DataFrame:
+    """Adds consecutive row numbers from 0, as a data frame's index counts them: the order of the partitions, then of
+    their rows. Partition counts are summed up to a first number for each partition; the rows are written once, so both
+    passes see the same partitions, and none of them is moved."""
+    part, place = f"{name}__part", f"{name}__place"
+    rows = materialize(df.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}), "row-index")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))      # a row for each partition
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(F.col(part), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # The number that Spark gives: the partition in the upper bits, the row below them.
+    row = F.col(place) - F.shiftleft(F.col(part).cast("long"), 33)
+    return rows.join(first, part).withColumn(name, F.col("first") + row).drop(part, place, "first")
+
+
 def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
     """Select ``schema``'s columns in order; an absent column takes its
     default (``defaults[name]`` or null), and ``product_id`` when absent is
-    a generated unique id."""
+    the row's number (``with_row_index``)."""
     defaults = defaults or {}
-    cols = []
-    for f in schema.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        elif f.name == "product_id":
-            cols.append(F.monotonically_increasing_id().cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    if "product_id" in schema.names and "product_id" not in df.columns:
+        df = with_row_index(df, "product_id")
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])

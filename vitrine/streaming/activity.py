@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.session import scratch_path
+from vitrine.sources import versions
 
 # Raw event files as the driver writes them.
 EVENT_FILE_SCHEMA = T.StructType([
@@ -49,9 +50,9 @@ def start_type_counts(spark: SparkSession, folder: str, table: str | None = None
                       out: str | None = None) -> StreamingQuery:
     """Start the running counts.
 
-    With ``out`` every micro-batch overwrites a Parquet table there with the
-    complete counts (a durable sink; a replayed batch writes the same
-    table). Without it the counts go to the in-memory table ``table`` (for a
+    With ``out`` every micro-batch replaces a versioned table there with the
+    complete counts (``sources.versions``: readers of ``read_table`` never see half
+    a batch; a replayed batch writes the same table). Without it the counts go to the in-memory table ``table`` (for a
     local dashboard). ``available_now`` processes what is there and stops
     (batch-like refresh); otherwise the query keeps polling. Progress is kept
     in a checkpoint under the shared folder, so a restart resumes.
@@ -62,7 +63,7 @@ def start_type_counts(spark: SparkSession, folder: str, table: str | None = None
     w = (running_type_counts(event_stream(spark, folder)).writeStream
          .outputMode("complete").option("checkpointLocation", ckpt))
     if out is not None:
-        w = w.foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(out))
+        w = w.foreachBatch(lambda batch, _id: versions.replace_table(batch, out) and None)
     else:
         w = w.format("memory").queryName(table)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

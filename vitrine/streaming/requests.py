@@ -8,13 +8,16 @@ operators (``recommend.search_text`` / ``recommend.recommend_all``) -- no new
 operator. Answers are written per batch id under an output folder with
 overwrite, so a batch replayed after a failure rewrites the same files.
 
-Per-request ``top_k`` (default 10, as in the API) is exact: the batch is
-answered with the largest ``top_k`` it holds and each request keeps its own
-first ``top_k`` rows.
+Per-request ``top_k`` (default 10, as in the API) is exact: requests are answered
+in classes by the power of two above their ``top_k``, and each keeps its own
+first ``top_k`` rows. So one request for a thousand results doesn't make the
+others of its batch large, and there are few classes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,23 +45,31 @@ def _with_k(requests: DataFrame) -> DataFrame:
     return requests.withColumn("top_k", F.coalesce(F.col("top_k"), F.lit(recommend.DEFAULT_K)))
 
 
+def _classes(reqs: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(k, the requests of at most k and more than k / 2 results) for the powers of two that occur."""
+    power = F.ceil(F.log2(F.col("top_k"))).cast("int")
+    found = sorted(r.power for r in reqs.select(power.alias("power")).distinct().collect())      # 32 at most
+    return [(1 << p, reqs.filter(power == p)) for p in found]
+
+
 def answer_searches(requests: DataFrame, catalog: DataFrame, image_dim: int) -> DataFrame:
     """(request_id, rank, product_id, title, category, price, score) for a
     batch of search requests; ``catalog`` carries ``vector``."""
     reqs = _with_k(requests).filter(F.col("top_k") > 0)
-    k = reqs.agg(F.max("top_k")).first()[0]
-    if k is None:
+    classes = _classes(reqs)
+    if not classes:
         return reqs.select("request_id", F.lit(None).cast("long").alias("rank"),
                            F.lit(None).cast("string").alias("product_id"),
                            F.lit(None).cast("string").alias("title"),
                            F.lit(None).cast("string").alias("category"),
                            F.lit(None).cast("double").alias("price"),
                            F.lit(None).cast("double").alias("score")).filter(F.lit(False))
-    hits = recommend.search_text(catalog, reqs.select(F.col("query").alias("query_text")), int(k),
-                                 image_dim=image_dim)
-    return (reqs.join(hits, reqs.query == hits.query_text, "inner")
-            .filter(F.col("rank") <= F.col("top_k"))
-            .select("request_id", "rank", "product_id", "title", "category", "price", "score"))
+    def answer(k: int, some: DataFrame) -> DataFrame:
+        hits = recommend.search_text(catalog, some.select(F.col("query").alias("query_text")), k, image_dim=image_dim)
+        return (some.join(hits, some.query == hits.query_text, "inner")
+                .filter(F.col("rank") <= F.col("top_k"))
+                .select("request_id", "rank", "product_id", "title", "category", "price", "score"))
+    return reduce(DataFrame.unionByName, [answer(k, some) for k, some in classes])
 
 
 def answer_recommendations(requests: DataFrame, interactions: DataFrame, catalog: DataFrame,
@@ -68,12 +79,13 @@ def answer_recommendations(requests: DataFrame, interactions: DataFrame, catalog
     the user's preferred categories joined by spaces. A user without history
     gets one row with ``message`` and no product."""
     reqs = _with_k(requests).filter(F.col("top_k") > 0)
-    k = reqs.agg(F.max("top_k")).first()[0] or recommend.DEFAULT_K
-    # only the requested users' interactions take part
-    mine = interactions.join(reqs.select("user_id").distinct(), "user_id", "left_semi")
-    recs = recommend.recommend_all(mine, catalog, int(k), image_dim=image_dim)
-    answered = (reqs.join(recs, "user_id", "left")
-                .filter(F.col("rank").isNull() | (F.col("rank") <= F.col("top_k"))))
+
+    def answer(k: int, some: DataFrame) -> DataFrame:
+        # only the requested users' interactions take part
+        mine = interactions.join(some.select("user_id").distinct(), "user_id", "left_semi")
+        recs = recommend.recommend_all(mine, catalog, k, image_dim=image_dim)
+        return some.join(recs, "user_id", "left").filter(F.col("rank").isNull() | (F.col("rank") <= F.col("top_k")))
+    answered = reduce(DataFrame.unionByName, [answer(k, some) for k, some in _classes(reqs) or [(recommend.DEFAULT_K, reqs)]])
     return answered.select(
         "request_id", "user_id", "profile_text", "rank", "product_id", "title", "category", "price",
         "score", F.when(F.col("product_id").isNull(), F.lit(NO_HISTORY)).alias("message"))
