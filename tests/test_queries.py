@@ -20,7 +20,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"lsa_embed"}      # an SVD; tested in test_lsa.py
     assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLE) <= set(entry.oracle_sql())
 
 

@@ -18,13 +18,13 @@ from pyspark.sql import types as T
 from vitrine.functions.text import TEXT_DIM, product_text
 from vitrine.functions.vectors import (cosine_distance, l2_norm, round6, score_halved,
                                        score_inverse, with_unit_vector)
-from vitrine.operators import analytics, clean, embed, knn, recommend
+from vitrine.operators import analytics, cells, clean, embed, knn, lsa, recommend
 from vitrine.plans import build as build_plan
 from vitrine.plans.sql_parts import (AFF, EVENTS, INTER, PROD, PRODUCT_TEXT, PROF, RAW, TOP,
                                      IMAGE_DIM_SQL, TITLE, TOKENS_SQL, hashed_terms, product_norms)
 from vitrine.schemas import INTERACTIONS, PRODUCTS
 from vitrine.session import materialize, scratch_path
-from vitrine.sources import files, tables
+from vitrine.sources import files, tables, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -302,6 +302,20 @@ def hash_embed(spark, sf):
     return embed.hashed_terms(prod, "product_id", "text")
 
 
+LSA_RANK = 8
+
+
+@register("lsa_embed")
+def lsa_embed(spark, sf):
+    """Each product's text in the leading latent dimensions of the whole catalogue: squared coordinates, since a
+    singular vector's sign is free, and the vector's length. (An SVD is beyond SQL; tests compare it with numpy.)"""
+    prod = catalog(spark, sf).withColumn("text", product_text(F.col("title"), F.col("category")))
+    model = lsa.fit(prod, "product_id", "text", LSA_RANK)
+    vec = lsa.embed(prod, "product_id", "text", model)
+    return vec.select("product_id", F.transform("lsa_vec", lambda x: F.round(x * x, 6)).alias("squares"),
+                      round6(l2_norm(F.col("lsa_vec"))).alias("length"))
+
+
 def _vector_entries_sql(value_expr: str) -> str:
     """Non-zero entries of each product's [text, image] vector as
     (product_id, idx, value); ``value_expr`` may use ``e.v`` and ``pn.nrm``."""
@@ -474,6 +488,15 @@ def knn_lsh(spark, sf):
     return _with_scores(hits)
 
 
+@register("knn_cells", _knn_sql(KNN_K, "", QUERY_SET))
+def knn_cells(spark, sf):
+    """The batch k-NN from an inverted-list index with error bounds: exact, with few pairs scored."""
+    vec = tables.vectors(spark, sf)
+    index = cells.build_cells(vec, dim=image_dim(spark, sf), item_id="vec_id", item_vec="embedding")
+    hits, _ = cells.cell_topk(index, _query_set(vec), KNN_K, query_id="vec_id", query_vec="embedding")
+    return _with_scores(hits)
+
+
 # --------------------------------------------------------------------------
 # search and recommendation
 # --------------------------------------------------------------------------
@@ -563,9 +586,9 @@ def recommend_user(spark, sf):
 # build, tables, round trips (written under the shared folder, read back)
 # --------------------------------------------------------------------------
 
-def _build(spark, sf):
+def _build(spark, sf, steps=build_plan.STEPS):
     return build_plan.build(spark, tables.raw_products(spark, sf), tables.interactions(spark, sf),
-                            tables.image_vectors(spark, sf), image_dim(spark, sf))
+                            tables.image_vectors(spark, sf), image_dim(spark, sf), steps=steps)
 
 
 RAW_CLEAN = """
@@ -704,19 +727,75 @@ def csv_awkward_text(spark, sf):
 @register("build_products", _with(RAW, RAW_CLEAN) + """
 SELECT product_id, title, category, brand, price_value AS price FROM rawclean""")
 def build_products(spark, sf):
-    """Runs the build and returns the rows of the products table it wrote."""
-    out, _ = _build(spark, sf)
+    """Runs the build's products step and returns the rows of the table it wrote."""
+    out, _ = _build(spark, sf, ("products",))
     return files.read_parquet(spark, out.products, PRODUCTS).select("product_id", "title", "category", "brand", "price")
 
 
 @register("build_interactions", _with(INTER) + """
 SELECT user_id, product_id, interaction_type, ts FROM inter""")
 def build_interactions(spark, sf):
-    """Runs the build and returns the rows of the interactions table it wrote."""
-    out, _ = _build(spark, sf)
+    """Runs the build's interactions step and returns the rows of the table it wrote."""
+    out, _ = _build(spark, sf, ("interactions",))
     return files.read_parquet(spark, out.interactions, INTERACTIONS)
 
 
+@register("build_defaults", f"""
+WITH raw AS (SELECT row_number() OVER () - 1 AS id, {TITLE} AS title, p_type AS category FROM part),
+kept AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY id) AS rn FROM raw
+         WHERE title NOT IN ({TOKENS_SQL}) AND category IS NOT NULL AND category NOT IN ({TOKENS_SQL}))
+SELECT CAST(id AS VARCHAR) AS product_id, title, category, CAST(NULL AS VARCHAR) AS brand, CAST(0 AS DOUBLE) AS price
+FROM kept WHERE rn = 1""")
+def build_defaults(spark, sf):
+    """Builds the products table of a catalogue without ids, brands and prices: row numbers and defaults stand in."""
+    raw = tables.read_table(spark, sf, "part").select(tables.part_title().alias("title"), F.col("p_type").alias("category"))
+    out, _ = build_plan.build(spark, raw, None, None, 0, steps=("products",))
+    return files.read_parquet(spark, out.products, PRODUCTS).select("product_id", "title", "category", "brand", "price")
+
+
+@register("replace_versions", _with(PROD) + """
+SELECT product_id, title, category, price, CAST(2 AS BIGINT) AS n_loads FROM prod""")
+def replace_versions(spark, sf):
+    """Loads half of the catalogue, then all of it: the rows of the version in force, and how many versions there are."""
+    root, prods = scratch_path(spark, "versioned-products"), catalog(spark, sf)
+    versions.replace_table(prods.filter(F.pmod(F.xxhash64("product_id"), F.lit(2)) == 0), root)
+    versions.replace_table(prods, root)
+    n_loads = len(versions.versions(spark, root))
+    return versions.read_table(spark, root).select("product_id", "title", "category", "price",
+                                                   F.lit(n_loads).cast("long").alias("n_loads"))
+
+
+BUCKETS = 16
+
+
+@register("affinity_bucketed", _with(PROD, INTER, AFF) + """
+SELECT user_id, category, n FROM aff""")
+def affinity_bucketed(spark, sf):
+    """The affinity from tables bucketed by product: the join moves no row of the log."""
+    products = build_plan.bucketed(catalog(spark, sf).select("product_id", "category"), "product_id", BUCKETS, "products-by-id")
+    log = build_plan.bucketed(tables.interactions(spark, sf).select("product_id", "user_id"), "product_id", BUCKETS, "log-by-product")
+    return recommend.category_affinity(log, products.hint("merge"))
+
+
+@register("product_lookup_written", _with(PROD) + f"""
+SELECT * FROM prod WHERE product_id = '{LOOKUP_PRODUCT_ID}'""")
+def product_lookup_written(spark, sf):
+    """Point lookup in a written products table, clustered by id: the filter reaches the files' statistics."""
+    out = build_plan.BuildOutput(scratch_path(spark, "lookup-tables"))
+    build_plan.write_products(tables.products(spark, sf), out)
+    return files.read_parquet(spark, out.products, PRODUCTS).filter(F.col("product_id") == F.lit(LOOKUP_PRODUCT_ID))
+
+
+@register("recommend_user_written", _recommend_sql(f" WHERE printf('U%05d', o.o_custkey) = '{RECOMMEND_USER_ID}'"))
+def recommend_user_written(spark, sf):
+    """Ten recommendations for one user from the written collection and the log clustered by user."""
+    out, _ = build_plan.build(spark, tables.products(spark, sf), tables.interactions(spark, sf),
+                              tables.image_vectors(spark, sf), image_dim(spark, sf))
+    log = files.read_parquet(spark, out.interactions, INTERACTIONS)
+    collection = files.read_parquet(spark, out.vectors).select("product_id", "title", "category", "price", "vector")
+    return recommend.recommend_user(log, collection, RECOMMEND_USER_ID, RECOMMEND_K, image_dim=image_dim(spark, sf), strategy="broadcast")
+
+
 @register("embedding_roundtrip", _with(VEC) + """
 SELECT vec_id, label, CAST(len(e) AS BIGINT) AS dim, round(nrm, 6) AS norm FROM v""")
 def embedding_roundtrip(spark, sf):
