@@ -105,7 +105,13 @@ def recommend_all(interactions: DataFrame, catalog: DataFrame, k: int = DEFAULT_
 
     Items compete only within the user's top categories (filtered k-NN).
     """
-    profiles = user_profiles(top_categories(category_affinity(interactions, catalog)))
+    return recommend_from_affinity(category_affinity(interactions, catalog), catalog, k, image_dim=image_dim, **knn_opts)
+
+
+def recommend_from_affinity(affinity: DataFrame, catalog: DataFrame, k: int = DEFAULT_K, *,
+                            image_dim: int, **knn_opts) -> DataFrame:
+    """As ``recommend_all``, from counts (user_id, category, n) that are already there (``streaming.affinity``)."""
+    profiles = user_profiles(top_categories(affinity))
     # A profile is keyed by its ordered category list (names may hold spaces,
     # so the joined text alone is not a key). Profiles are read twice (the
     # distinct queries, the join back to users): computed once.

@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.operators import recommend
 from vitrine.session import scratch, scratch_path
+from vitrine.streaming.affinity import read_affinity
 
 SEARCH_REQUEST = T.StructType([
     T.StructField("request_id", T.StringType()),
@@ -72,18 +73,21 @@ def answer_searches(requests: DataFrame, catalog: DataFrame, image_dim: int) ->
     return reduce(DataFrame.unionByName, [answer(k, some) for k, some in classes])
 
 
-def answer_recommendations(requests: DataFrame, interactions: DataFrame, catalog: DataFrame,
-                           image_dim: int) -> DataFrame:
+def answer_recommendations(requests: DataFrame, interactions: DataFrame | None, catalog: DataFrame,
+                           image_dim: int, affinity: DataFrame | None = None) -> DataFrame:
     """(request_id, user_id, profile_text, rank, product_id, title, category,
     price, score, message) for a batch of user requests; ``profile_text`` is
     the user's preferred categories joined by spaces. A user without history
-    gets one row with ``message`` and no product."""
+    gets one row with ``message`` and no product. With ``affinity`` (counts kept
+    by ``streaming.affinity``) the log isn't read."""
     reqs = _with_k(requests).filter(F.col("top_k") > 0)
 
     def answer(k: int, some: DataFrame) -> DataFrame:
-        # only the requested users' interactions take part
-        mine = interactions.join(some.select("user_id").distinct(), "user_id", "left_semi")
-        recs = recommend.recommend_all(mine, catalog, k, image_dim=image_dim)
+        # only the requested users' interactions, or counts, take part
+        users = some.select("user_id").distinct()
+        counts = affinity if affinity is not None else recommend.category_affinity(
+            interactions.join(users, "user_id", "left_semi"), catalog)
+        recs = recommend.recommend_from_affinity(counts.join(users, "user_id", "left_semi"), catalog, k, image_dim=image_dim)
         return some.join(recs, "user_id", "left").filter(F.col("rank").isNull() | (F.col("rank") <= F.col("top_k")))
     answered = reduce(DataFrame.unionByName, [answer(k, some) for k, some in _classes(reqs) or [(recommend.DEFAULT_K, reqs)]])
     return answered.select(
@@ -124,12 +128,15 @@ def serve_searches(spark: SparkSession, folder: str, catalog: DataFrame, image_d
                   available_now, max_files_per_trigger)
 
 
-def serve_recommendations(spark: SparkSession, folder: str, interactions: DataFrame,
+def serve_recommendations(spark: SparkSession, folder: str, interactions: DataFrame | None,
                           catalog: DataFrame, image_dim: int, out: str,
                           checkpoint: str | None = None, available_now: bool = False,
-                          max_files_per_trigger: int | None = None) -> StreamingQuery:
+                          max_files_per_trigger: int | None = None, affinity_root: str | None = None) -> StreamingQuery:
     """Answer recommendation requests (JSON lines: request_id, user_id,
-    top_k) arriving in ``folder``; answers go to ``out/batch_id=N``."""
-    return _serve(spark, folder, RECOMMEND_REQUEST,
-                  lambda b: answer_recommendations(b, interactions, catalog, image_dim), out,
-                  checkpoint, available_now, max_files_per_trigger)
+    top_k) arriving in ``folder``; answers go to ``out/batch_id=N``. With
+    ``affinity_root`` each micro-batch reads the counts in force there
+    (``streaming.affinity``) in place of the log."""
+    def answer(batch: DataFrame) -> DataFrame:
+        counts = None if affinity_root is None else read_affinity(spark, affinity_root)
+        return answer_recommendations(batch, interactions, catalog, image_dim, counts)
+    return _serve(spark, folder, RECOMMEND_REQUEST, answer, out, checkpoint, available_now, max_files_per_trigger)
