@@ -24,7 +24,7 @@ from vitrine.plans.sql_parts import (AFF, EVENTS, INTER, PROD, PRODUCT_TEXT, PRO
                                      IMAGE_DIM_SQL, TITLE, TOKENS_SQL, hashed_terms, product_norms)
 from vitrine.schemas import INTERACTIONS, PRODUCTS
 from vitrine.session import materialize, scratch_path
-from vitrine.sources import files, tables, versions
+from vitrine.sources import files, pictures, tables, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -765,6 +765,23 @@ def replace_versions(spark, sf):
                                                    F.lit(n_loads).cast("long").alias("n_loads"))
 
 
+@register("picture_scan", """
+WITH p AS (SELECT vec_id, vec_id % 8 AS kind, 10 * length(CAST(vec_id AS VARCHAR)) AS body FROM embeddings)
+SELECT CAST(vec_id AS VARCHAR) AS id,
+  CAST(CASE WHEN kind <= 2 THEN 29 + body WHEN kind = 3 THEN 10 + body WHEN kind = 4 THEN 30 + body WHEN kind = 5 THEN 18
+       ELSE 1 + body END AS BIGINT) AS length,
+  CASE WHEN kind IN (0, 1, 2, 5) THEN 'png' WHEN kind = 3 THEN 'gif' WHEN kind = 4 THEN 'jpeg' END AS format,
+  CASE WHEN kind <= 4 THEN CAST(vec_id % 1000 + 1 AS INTEGER) END AS width,
+  CASE WHEN kind <= 4 THEN CAST(vec_id * 7 % 900 + 1 AS INTEGER) END AS height,
+  CASE kind WHEN 5 THEN 'no_size' WHEN 6 THEN 'not_a_picture' END AS fault
+FROM p WHERE kind <> 7""")
+def picture_scan(spark, sf):
+    """Picture files written from the vector table, scanned again: format and size from their headers, broken files told (empty ones, one in eight, aren't scanned)."""
+    folder = scratch_path(spark, "pictures")
+    pictures.write_picture_files(tables.pictures(spark, sf), folder)
+    return pictures.picture_info(files.read_picture_files(spark, folder))
+
+
 BUCKETS = 16
 
 

@@ -197,3 +197,24 @@ def awkward_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select(
         product_key(F.col("p_partkey")).alias("product_id"), title.alias("title"),
         F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content) from ``embeddings``: a picture header for each vector, of a format and size that follow its key,
+    and a body of digits; some are cut off, empty or something else."""
+    key, kind = F.col("vec_id"), F.pmod("vec_id", F.lit(8))
+    width, height = F.pmod("vec_id", F.lit(1000)) + 1, F.pmod(F.col("vec_id") * 7, F.lit(900)) + 1
+
+    def big(x: Column, n: int) -> Column:
+        return F.lpad(F.hex(x), 2 * n, "0")
+
+    def little(x: Column) -> Column:
+        return F.concat(F.substring(big(x, 2), 3, 2), F.substring(big(x, 2), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(width, 4), big(height, 4), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), little(width), little(height))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), big(height, 2), big(width, 2), F.lit("03"))
+    head = (F.when(kind <= 2, png).when(kind == 3, gif).when(kind == 4, jpeg).when(kind == 5, F.substring(png, 1, 36))
+            .when(kind == 6, F.lit("00")))
+    body = F.repeat(F.hex(F.encode(key.cast("string"), "UTF-8")), 10)
+    return read_table(spark, sf_dir, "embeddings").filter(key.isNotNull()).select(
+        key.alias("id"), F.unhex(F.when(kind == 5, head).otherwise(F.concat(head, body))).alias("content"))
