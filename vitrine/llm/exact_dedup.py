@@ -10,7 +10,11 @@
    is decided by the bytes and not by a hash. When the labels held exceed
    ``most_bytes``, the largest subtree is written to an anonymous spill file
    of the task and its later texts follow it there; at the end each spilled
-   subtree is replayed into a trie of its own.
+   subtree is replayed into a trie of its own. The file is a working file of
+   one task, lost and made again with it; nothing else reads it. Where only
+   single texts are left below the branching node there is no smaller part to
+   write, and the bound doubles: a trie then holds what its texts need, which
+   more partitions make smaller.
 3. Each terminal's SHA-256 addresses the group for its members: documents join
    it on (length, SHA-256). AQE splits the join where one text is hot.
 

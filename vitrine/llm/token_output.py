@@ -274,6 +274,10 @@ def documents_of(filesystem: pafs.FileSystem, path: str):
 
 
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """A folder's file system and its path there. Hadoop's names of the S3 scheme are Arrow's ``s3``."""
+    for name in ("s3a://", "s3n://"):
+        if folder.startswith(name):
+            folder = "s3://" + folder[len(name):]
     return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
