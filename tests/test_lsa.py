@@ -33,7 +33,7 @@ def corpus(seed, n=150):
 def test_subspace_equals_numpy(spark):
     texts = corpus(1)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    model = lsa.fit(df, "id", "text", rank=5)
+    model = lsa.fit(df, "id", "text", rank=5, rounds=10)
     a, terms = matrix(texts)
     u, s, vt = np.linalg.svd(a, full_matrices=False)
     assert (np.diff(model.singular) <= 0).all()

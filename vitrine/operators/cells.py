@@ -41,7 +41,7 @@ from vitrine.session import materialize, scratch_path, ship_package
 
 SAMPLE_ROWS = 100_000     # of the training sample; more are never used
 MOST_CELLS = 16_384       # the default number of cells is the root of the number of rows, up to this
-ROUNDS = 6                # of k-means
+ROUNDS = 4                # of k-means
 CHUNK_ROWS = 20_000
 QUERY_ROWS = 20_000       # queries of a block: the lists are read once for each
 HOME_CELLS = 4            # cells whose rows open a search: those nearest to the query
@@ -91,9 +91,10 @@ class CellIndex:
                 .drop("of_cell", "n_chunks", "share"))
 
 
-def train_centroids(items: DataFrame, dim: int, n_cells: int, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means over a bounded sample of ``items`` (item_id, item_vec): assignment and sums in Spark."""
-    n = items.count()
+def train_centroids(items: DataFrame, dim: int, n: int, n_cells: int, sample_rows: int = SAMPLE_ROWS,
+                    rounds: int = ROUNDS) -> np.ndarray:
+    """Spherical k-means over a bounded sample of the ``n`` rows of ``items`` (item_id, item_vec): assignment and sums
+    in Spark."""
     place = F.pmod(F.xxhash64("item_id"), F.lit(1 << 40))
     sample = materialize(items.filter(place * F.lit(float(n)) < float(sample_rows) * (1 << 40)).select("item_id", "item_vec"), "cell-sample")
     first = sample.orderBy(F.xxhash64("item_id", F.lit(1)), "item_id").limit(n_cells).select("item_vec").toArrow()
@@ -130,9 +131,10 @@ def build_cells(items: DataFrame, *, dim: int, item_id: str = "item_id", item_ve
     ship_package(spark)
     it = (items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"))
           .filter(F.col("item_id").isNotNull() & rankable("item_vec", dim)))
+    n = it.count()
     if n_cells is None:
-        n_cells = min(max(math.isqrt(it.count()), 1), MOST_CELLS)
-    centroids = train_centroids(it, dim, n_cells, sample_rows)
+        n_cells = min(max(math.isqrt(n), 1), MOST_CELLS)
+    centroids = train_centroids(it, dim, n, n_cells, sample_rows)
     shared = spark.sparkContext.broadcast(centroids)
     schema = T.StructType([*it.schema.fields, T.StructField("cell", T.LongType()), T.StructField("code", T.BinaryType()),
                            T.StructField("scale", T.DoubleType()), T.StructField("error", T.DoubleType()), T.StructField("angle", T.DoubleType())])

@@ -65,15 +65,20 @@ def product_vectors(products: DataFrame, images: DataFrame | None, image_dim: in
     picture file is named by its product id); it is left-joined, so every
     product keeps its row and one without a valid image vector of the declared
     length gets zeros. ``vector_rejects`` lists the images that were set aside.
+
+    Text rows are small and their vectors costly: the rows are dealt by id first,
+    to a number of tasks of its own (which AQE doesn't lower by their bytes), so the
+    join finds them in place, and vectors are computed after it and never shuffled.
     """
-    base = products.withColumn("text", product_text(F.col("title"), F.col("category")))
-    base = text_vectors(base, "text", "text_vec", text_dim)
+    tasks = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = (products.withColumn("text", product_text(F.col("title"), F.col("category")))
+            .repartition(tasks, "product_id"))
     if images is not None:
         good = images.filter(vector_fault(F.col("image_vec"), image_dim, zero_ok=True).isNull())
         base = base.join(good.select("product_id", "image_vec"), "product_id", "left")
     else:
         base = base.withColumn("image_vec", F.lit(None).cast(FLOAT_VECTOR))
-    base = base.withColumn(
+    base = text_vectors(base, "text", "text_vec", text_dim).withColumn(
         "image_vec",
         F.when(F.col("image_vec").isNull(), zero_vector(image_dim))
          .otherwise(F.col("image_vec").cast(FLOAT_VECTOR)))

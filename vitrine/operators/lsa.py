@@ -11,7 +11,7 @@ term (or the text) and a sum, which Spark combines before its shuffle; a term in
 a third of all texts costs one partial sum for each task, and AQE splits its
 join. The first block is drawn by hashes of the terms, so there is no vocabulary
 anywhere but in tables. Blocks are made orthonormal by their Gram matrix
-(Cholesky, twice); these matrices of ``rank + extra`` rows are all that reaches
+(at the end twice); these matrices of ``rank + extra`` rows are all that reaches
 the driver.
 
 The model is a table of terms with their weight and vector. A text's vector is
@@ -25,18 +25,21 @@ without any term the table is empty.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.functions.text import tokens
-from vitrine.session import materialize
+from vitrine.session import materialize, ship_package
 
 RANK = 32
 EXTRA = 8        # columns beyond the rank, which make the leading ones exact
-ROUNDS = 4       # of the power iteration
+ROUNDS = 3       # of the power iteration
 SEED = 17
 
 
@@ -67,38 +70,49 @@ def _times(entries: DataFrame, block: DataFrame, shared: str, out: str, n: int)
             .agg(*[F.sum(F.col("w") * F.col(z)).alias(z) for z in _names(n)]))
 
 
+def _block(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    return np.stack([batch.column(z).to_numpy(zero_copy_only=False) for z in _names(n)], axis=1).astype(np.float64)
+
+
 def _gram(block: DataFrame, n: int) -> np.ndarray:
-    names = _names(n)
-    row = block.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1)]).first()
-    g = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    return g
+    """Z' Z: partial sums of the tasks, added up in Spark."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            z = _block(batch, n)
+            total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n)), pa.array(total.ravel())], ["i", "x"])
+    g = np.zeros(n * n)
+    for r in block.select(*_names(n)).mapInArrow(partial, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        g[r.i] = r.x
+    return (g.reshape(n, n) + g.reshape(n, n).T) / 2
 
 
 def _turned(block: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
     """Each row of a block times a small matrix."""
-    names = _names(len(matrix))
-    cols = []
-    for j in range(matrix.shape[1]):
-        used = [F.col(z) * F.lit(float(x)) for z, x in zip(names, matrix[:, j]) if x != 0.0]
-        cols.append(sum(used[1:], used[0]).alias(f"z{j}") if used else F.lit(0.0).alias(f"z{j}"))
-    return block.select(key, *cols)
+    n, names = len(matrix), _names(matrix.shape[1])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = _block(batch, n) @ matrix
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(c) for c in z.T]], [key, *names])
+    schema = T.StructType([block.schema[key], *[T.StructField(z, T.DoubleType()) for z in names]])
+    return block.select(key, *_names(n)).mapInArrow(turn, schema)
 
 
-def _orthonormal(block: DataFrame, key: str, n: int) -> DataFrame:
+def _orthonormal(block: DataFrame, key: str, n: int, times: int = 1) -> DataFrame:
     """The block with orthonormal columns; directions without extent become zeros."""
-    for _ in range(2):      # the second time takes out what rounding left
+    for _ in range(times):      # the second time takes out what rounding left
+        block = materialize(block, "lsa-block")
         values, axes = np.linalg.eigh(_gram(block, n))
         keep = values > max(values.max(), 0.0) * 1e-13
-        scaled = np.where(keep, axes / np.sqrt(np.where(keep, values, 1.0)), 0.0)
-        block = materialize(_turned(block, key, scaled), "lsa-block")
+        block = _turned(block, key, np.where(keep, axes / np.sqrt(np.where(keep, values, 1.0)), 0.0))
     return block
 
 
 def fit(texts: DataFrame, key: str, text_col: str, rank: int = RANK, extra: int = EXTRA, rounds: int = ROUNDS) -> LsaModel:
     """Train on all ``texts``; ``key`` tells them apart."""
+    ship_package(texts.sparkSession)
     counts = materialize(term_counts(texts, key, text_col), "lsa-counts")
     n_texts = texts.filter(F.col(key).isNotNull()).count()
     idf = (F.log(F.lit(1.0 + n_texts) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")
@@ -110,9 +124,9 @@ def fit(texts: DataFrame, key: str, text_col: str, rank: int = RANK, extra: int
         (F.lit(1.0) - 2.0 * F.pmod(F.xxhash64("term", F.lit(SEED * 1000 + i)), F.lit(2)).cast("double")).alias(z)
         for i, z in enumerate(_names(n))])
     rows = _orthonormal(_times(entries, block, "term", "key", n), "key", n)
-    for _ in range(rounds):
+    for i in range(rounds):
         block = _orthonormal(_times(entries, rows, "key", "term", n), "term", n)
-        rows = _orthonormal(_times(entries, block, "term", "key", n), "key", n)
+        rows = _orthonormal(_times(entries, block, "term", "key", n), "key", n, 2 if i == rounds - 1 else 1)
     # A is about Q (Q' A); the small factor's singular vectors turn Q' A into the terms' vectors.
     small = materialize(_times(entries, rows, "key", "term", n), "lsa-block")
     values, axes = np.linalg.eigh(_gram(small, n))
