@@ -63,7 +63,8 @@ def draw(labelled: DataFrame, texts: int) -> DataFrame:
     sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # Twice as many as are wanted are ranked: those below a share of the hashes.
     place = F.pmod("hash", F.lit(1 << 40)) / F.lit(float(1 << 40))
-    near = keys.join(sizes, "lang").filter(place * F.col("n") < 2.0 * texts + 20)
+    # One row for each language, for which the model holds a tree anyway: the keys needn't be dealt by language.
+    near = keys.join(F.broadcast(sizes), "lang").filter(place * F.col("n") < 2.0 * texts + 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash"))
     drawn = near.withColumn("rank", rank).filter(F.col("rank") <= texts).select("lang", "hash", "rank")
     return (rows.join(drawn, ["lang", "hash"]).groupBy("lang", "rank")
