@@ -54,7 +54,7 @@ class WordHashes(dict):
 
     ENTRY = 150      # bytes of an entry besides the word itself
 
-    def __init__(self, most: int = 96 << 20):
+    def __init__(self, most: int = 32 << 20):
         super().__init__()
         self.most, self.held = most, 0
 

@@ -44,8 +44,8 @@ from vitrine.session import materialize
 ORDER = 3
 SAMPLE_DOCS = 400
 MOST_BYTES = 1 << 29            # of a model
-PIECE = 4 << 20                 # bytes scored at once
-CACHE_CELLS = 8 << 20           # code lengths kept by a worker
+PIECE = 1 << 20                 # bytes scored at once
+CACHE_CELLS = 2 << 20           # code lengths kept by a worker
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -67,7 +67,8 @@ def draw(labelled: DataFrame, texts: int) -> DataFrame:
     near = keys.join(F.broadcast(sizes), "lang").filter(place * F.col("n") < 2.0 * texts + 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash"))
     drawn = near.withColumn("rank", rank).filter(F.col("rank") <= texts).select("lang", "hash", "rank")
-    return (rows.join(drawn, ["lang", "hash"]).groupBy("lang", "rank")
+    # At most ``texts`` rows for each language: whole texts aren't shuffled to find them.
+    return (rows.join(F.broadcast(drawn), ["lang", "hash"]).groupBy("lang", "rank")
             .agg(F.min(F.struct("hash", "text"))["text"].alias("text")))
 
 
@@ -305,7 +306,7 @@ def _predict(shared):
 
     def run(batches):
         model = shared.value
-        for ids, bodies in bounded_chunks(batches):
+        for ids, bodies in bounded_chunks(batches, PIECE):
             rows = [(i, *found) for i, found in zip(ids, model.predict(bodies))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
     return run

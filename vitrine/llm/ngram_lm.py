@@ -55,6 +55,7 @@ from vitrine.llm.common import (WordHashes, bounded_chunks, id_and_bytes, map_ar
 ORDER = 2
 END = b" end"           # no word holds a space
 CACHE_BYTES = 128 << 20          # of the words whose ids a worker keeps
+HASH_BYTES = 96 << 20            # of the words whose hashes it keeps while counting
 FLUSH_TOKENS = 4 << 20
 RANGE_TOKENS = 4 << 20           # of text for each range of n-grams
 RANGE_BYTES = 24 << 20           # of text for each range of words
@@ -228,7 +229,7 @@ def _cut(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray, kind: str, pack
 
 def _count_words(n_ranges: int):
     def run(batches):
-        hashes, held, size = WordHashes(), [], 0
+        hashes, held, size = WordHashes(HASH_BYTES), [], 0
         # First hash of ranges 1, 2, ...: the least h with (h >> 32) * n >> 32 >= r.
         firsts = np.array([-(-(r << 32) // n_ranges) << 32 for r in range(1, n_ranges)], np.uint64)
 
