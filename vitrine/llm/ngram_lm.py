@@ -59,6 +59,7 @@ HASH_BYTES = 96 << 20            # of the words whose hashes it keeps while coun
 FLUSH_TOKENS = 4 << 20
 RANGE_TOKENS = 4 << 20           # of text for each range of n-grams
 RANGE_BYTES = 24 << 20           # of text for each range of words
+LEAST_DISCOUNT = 0.1
 NARROW = 1 << 64                 # keys up to here are single numbers
 _U32 = np.uint64(32)
 
@@ -189,13 +190,13 @@ class Model:
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
-    """D1, D2, D3+ from how many items have count 1, 2, 3, 4."""
+    """D1, D2, D3+ from how many items have count 1, 2, 3, 4; never nothing, so that unseen words keep a share."""
     n1, n2, n3, n4 = (float(x) for x in n)
     if not n1 or not n2:
         return 0.5, 0.75, 0.75
     y = n1 / (n1 + 2 * n2)
     d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return tuple(min(max(x, 0.0), k + 1.0) for k, x in enumerate(d))
+    return tuple(min(max(x, LEAST_DISCOUNT), k + 1.0) for k, x in enumerate(d))
 
 
 def _discounted(c: np.ndarray, d: tuple) -> np.ndarray:
