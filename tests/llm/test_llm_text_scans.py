@@ -199,6 +199,41 @@ def test_usual_bits_tell_gibberish_and_other_languages(spark):
     assert P.usual_bits(docs.limit(0), P.fit(docs.limit(0))) == {}
 
 
+def test_the_model_counts_every_labelled_text_once(spark):
+    """More texts than any sample held, copies, and texts shorter than an n-gram."""
+    texts = [f"text number {i} of {i * i} many" for i in range(700)] + ["a", "ab", "abc", ""]
+    data = [(None, t, "en") for t in texts + texts[:40] * 3] + [(1, texts[0], "de"), (2, None, "en"), (3, "lost", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5)
+    want = {}
+    for lang, mine in (("en", texts), ("de", texts[:1])):
+        for body in (t.encode() for t in mine):
+            for k in range(4):
+                for i in range(len(body) - k):
+                    key = (lang, k, int.from_bytes(body[i:i + k + 1], "big"))
+                    want[key] = want.get(key, 0) + 1
+    assert {(r.lang, r.k, r.gram): r.n for r in P.count_ngrams(docs).collect()} == want
+    model = P.fit(docs)
+    assert int(model.trees[model.langs.index("en")].counts[0].sum()) == sum(len(t) for t in texts)
+    usual = P.usual_bits(docs, model)
+    for lang, mine in (("en", texts), ("de", texts[:1])):
+        bits = [b for _, _, b in model.predict([t.encode() for t in mine]) if b is not None]
+        assert usual[lang] == pytest.approx(np.percentile(bits, 99), abs=2e-3)
+
+
+@pytest.mark.parametrize("order", [0, 2, 3, 5])
+def test_ngrams_of_a_text_cut_into_pieces(order):
+    bodies = [bytes(random.Random(1).choices(range(250, 256), k=n)) for n in (0, 1, 3, 4, 40, 41)]
+    for k, (grams, n) in enumerate(P._grams_of(bodies, order, 7)):
+        want, got = {}, {}
+        for body in bodies:
+            for i in range(len(body) - k):
+                key = int.from_bytes(body[i:i + k + 1], "big")
+                want[key] = want.get(key, 0) + 1
+        for g, c in zip(grams.tolist(), n.tolist()):
+            got[g] = got.get(g, 0) + c
+        assert got == want
+
+
 def test_language_edges(spark):
     model = P.fit(frame(spark))
     got = sorted(((r.doc_id, r.lang_pred) for r in P.identify(frame(spark), model).collect()), key=str)

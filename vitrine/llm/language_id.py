@@ -17,12 +17,14 @@ code length follows the escapes without any dense table. Workers score the
 distinct n-grams of a chunk of texts once and keep the results in a bounded
 cache.
 
-Sample: training may use a bounded sample of labelled rows: ``sample_docs``
-distinct texts per language, those of the smallest text hashes (ids play no
-part, so null or repeated ids and repeated rows change nothing). Whole texts are
-counted in Spark; the grouped counts of (language, n-gram) reach the driver.
-Their number is bounded by the sample, and the broadcast model is refused beyond
-``most_bytes``. Scoring is one narrow pass over all documents.
+Training reads every labelled text, each distinct one of a language once (by a
+hash of the text; ids play no part, so null or repeated ids and repeated rows
+change nothing). Tasks count a few megabytes of text at a time, Spark sums the
+counts of (language, n-gram), and the sums reach the driver: one row for each
+n-gram that occurs, refused beyond ``most_bytes`` before they are collected.
+Copies alone are shuffled with their texts. ``usual_bits`` scores the same texts.
+A caller may ask for a sample: ``sample_docs`` distinct texts per language, those
+of the smallest text hashes. Scoring is one narrow pass over all documents.
 
 Defined results: null text or no letter: ``und``, score 0; equal code lengths:
 the smaller language name; no training row at all: ``und`` for every document;
@@ -32,6 +34,7 @@ repeated rows repeat; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +45,9 @@ from vitrine.llm.common import bounded_chunks, id_and_bytes, prepare, read
 from vitrine.session import materialize
 
 ORDER = 3
-SAMPLE_DOCS = 400
 MOST_BYTES = 1 << 29            # of a model
 PIECE = 1 << 20                 # bytes scored at once
+COUNTED = 4 << 20               # bytes counted at once
 CACHE_CELLS = 2 << 20           # code lengths kept by a worker
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -72,28 +75,73 @@ def draw(labelled: DataFrame, texts: int) -> DataFrame:
             .agg(F.min(F.struct("hash", "text"))["text"].alias("text")))
 
 
-def _ngrams(order: int):
-    """(lang, order, gram, n) of each chunk of texts; a gram holds order + 1 bytes, big-endian."""
+def distinct_texts(labelled: DataFrame) -> DataFrame:
+    """(lang, text): each distinct text of a language once, all of them."""
+    rows = (labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+            .select("lang", "text", F.xxhash64("text").alias("hash")))
+    copied = materialize(rows.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+                         "language-copies")
+    # Only texts that have copies are shuffled.
+    once = rows.join(copied, ["lang", "hash"], "left_anti").select("lang", "text")
+    return once.unionByName(rows.join(copied, ["lang", "hash"], "left_semi").groupBy("lang", "hash")
+                            .agg(F.min("text").alias("text")).select("lang", "text"))
+
+
+def _grams_of(bodies: list[bytes], order: int, piece: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, how often) of whole texts for each order: those of the full order are counted, the shorter ones
+    are their heads and what starts in a text's last ``order`` bytes."""
+    kind = np.uint32 if order <= 3 else np.uint64
+    full, ends = [np.zeros(0, kind)], [Counter() for _ in range(order + 1)]
+    for body in bodies:
+        for at in range(0, max(len(body) - order, 0), piece):
+            s = np.frombuffer(body[at:at + piece + order], np.uint8)
+            gram = np.zeros(len(s) - order, kind)
+            for j in range(order + 1):
+                gram = gram << kind(8) | s[j:len(s) - order + j]
+            full.append(gram)
+        end = body[max(len(body) - order, 0):]
+        for i in range(len(end)):
+            for k in range(len(end) - i):
+                ends[k][int.from_bytes(end[i:i + k + 1], "big")] += 1
+    gram, n = np.unique(np.concatenate(full), return_counts=True)
+    out = []
+    for k in range(order, -1, -1):
+        rest = np.array(list(ends[k]), np.int64), np.array(list(ends[k].values()), np.int64)
+        out.append((np.concatenate([gram.astype(np.int64), rest[0]]), np.concatenate([n, rest[1]])))
+        gram = gram >> kind(8)
+        heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        gram, n = gram[heads], np.add.reduceat(n, heads) if len(heads) else n
+    return out[::-1]
+
+
+def _ngrams(order: int, piece: int = PIECE, counted: int = COUNTED):
+    """(lang, order, gram, n) of some megabytes of texts at a time; a gram holds order + 1 bytes, big-endian."""
+    def counts(held):
+        for lang, bodies in held.items():
+            for k, (grams, n) in enumerate(_grams_of(bodies, order, piece)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), k, np.int32)),
+                     pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
+
     def run(batches):
+        held, size = {}, 0
         for batch in batches:
             lang, body = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                s = np.frombuffer(_normal(body[i].as_py()), np.uint8).astype(np.int64)
-                for k in range(order + 1):
-                    gram = np.zeros(max(len(s) - k, 0), np.int64)
-                    for j in range(k + 1):
-                        gram = gram << 8 | s[j:len(s) - k + j]
-                    grams, n = np.unique(gram, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang[i].as_py()] * len(grams), pa.string()),
-                         pa.array(np.full(len(grams), k, np.int32)), pa.array(grams), pa.array(n.astype(np.int64))],
-                        ["lang", "k", "gram", "n"])
+                text = _normal(body[i].as_py())
+                held.setdefault(lang[i].as_py(), []).append(text)
+                size += len(text)
+                if size >= counted:
+                    yield from counts(held)
+                    held, size = {}, 0
+        yield from counts(held)
     return run
 
 
-def count_ngrams(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, k, gram, n) over the sample of the labelled rows (text, lang)."""
-    return (draw(labelled, sample_docs).select("lang", F.col("text").cast("binary").alias("body"))
+def count_ngrams(labelled: DataFrame, order: int = ORDER, sample_docs: int | None = None) -> DataFrame:
+    """(lang, k, gram, n) over all distinct texts of the labelled rows (text, lang), or a sample of them."""
+    texts = distinct_texts(labelled) if sample_docs is None else draw(labelled, sample_docs)
+    return (texts.select("lang", F.col("text").cast("binary").alias("body"))
             .mapInArrow(_ngrams(order), "lang string, k int, gram long, n long")
             .groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
 
@@ -110,6 +158,11 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, if they fit."""
+    return n.astype(np.uint32 if not n.size or int(n.max()) < 1 << 32 else np.uint64)
+
+
 class Tree:
     """One language's context tree: per order the n-grams with their counts, and the contexts with their totals."""
 
@@ -128,9 +181,9 @@ class Tree:
                 below = self.counts[-1][at].astype(np.int64)
             total = [np.add.reduceat(x, heads) if len(heads) else x for x in (counts, np.ones(len(grams), np.int64), below)]
             self.grams.append(grams.astype(np.uint32 if width < 4 else np.uint64))
-            self.counts.append(counts.astype(np.uint32))
+            self.counts.append(_narrow(counts))
             self.contexts.append(context[heads].astype(np.uint32 if width <= 4 else np.uint64))
-            self.totals.append(np.stack(total).astype(np.uint32))
+            self.totals.append(_narrow(np.stack(total)))
 
     @property
     def nbytes(self) -> int:
@@ -268,20 +321,29 @@ class PpmModel:
         return out
 
 
-def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, most_bytes: int = MOST_BYTES) -> PpmModel:
-    """Train on labelled rows (text, lang)."""
+def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int | None = None, most_bytes: int = MOST_BYTES) -> PpmModel:
+    """Train on all labelled rows (text, lang), or on ``sample_docs`` distinct texts of each language."""
     prepare(labelled.sparkSession)
-    rows = count_ngrams(labelled, order, sample_docs).toArrow()      # bounded by the sample
-    model = PpmModel.fit({"lang": rows["lang"].to_pylist(), **{c: rows[c].to_numpy() for c in ("k", "gram", "n")}}, order)
+    counts = materialize(count_ngrams(labelled, order, sample_docs), "language-ngrams")
+    # An n-gram takes eight bytes of a model, and its counts more: what can't fit isn't collected.
+    if 8 * counts.count() > most_bytes:
+        raise ValueError(f"the model has more than most_bytes ({most_bytes} bytes)")
+    rows = counts.toArrow()
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    langs = np.array(lang.dictionary.to_pylist(), object)[lang.indices.to_numpy(zero_copy_only=False)]
+    model = PpmModel.fit({"lang": langs, **{c: rows[c].to_numpy() for c in ("k", "gram", "n")}}, order)
     if model.nbytes > most_bytes:
-        raise ValueError(f"the model has {model.nbytes} bytes, more than most_bytes; take fewer sample_docs")
+        raise ValueError(f"the model has {model.nbytes} bytes, more than most_bytes ({most_bytes})")
     return model
 
 
-def usual_bits(labelled: DataFrame, model: PpmModel, share: float = 0.99, texts: int = SAMPLE_DOCS,
-               trained: int = SAMPLE_DOCS) -> dict[str, float]:
-    """Per language the bits per byte that ``share`` of its labelled texts stay below: of up to ``texts`` texts that
-    the model wasn't trained on (it was on the first ``trained`` ones), or, with less than a quarter of them, of those."""
+def usual_bits(labelled: DataFrame, model: PpmModel, share: float = 0.99, texts: int | None = None,
+               trained: int | None = None) -> dict[str, float]:
+    """Per language the bits per byte, to three decimals, that ``share`` of its distinct labelled texts stay below: of
+    all of them; or of up to ``texts`` texts that a model of a sample wasn't trained on (it was on the first ``trained``
+    ones), or, with less than a quarter of them, of those."""
+    if (texts is None) != (trained is None):
+        raise ValueError("texts and trained go together")
     if not model.langs:
         return {}
     spark = labelled.sparkSession
@@ -289,13 +351,19 @@ def usual_bits(labelled: DataFrame, model: PpmModel, share: float = 0.99, texts:
     shared = spark.sparkContext.broadcast(model)
     # The id of a text tells its language and whether the model knows it.
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(model.langs) for x in (lang, i)])
-    rows = draw(labelled, trained + texts).withColumn(
-        "doc_id", 2 * F.element_at(number, F.col("lang")) + (F.col("rank") > trained).cast("int"))
+    if texts is None:
+        rows = distinct_texts(labelled).withColumn("rank", F.lit(0))
+    else:
+        rows = draw(labelled, trained + texts)
+    rows = rows.withColumn("doc_id", 2 * F.element_at(number, F.col("lang")) + (F.col("rank") > (trained or 0)).cast("int"))
     found = id_and_bytes(rows.filter("doc_id IS NOT NULL")).mapInArrow(
         _predict(shared), "doc_id long, lang_pred string, score double, bits_per_byte double")
-    rows = found.groupBy("doc_id").agg(F.percentile("bits_per_byte", F.lit(share)).alias("bits"),
-                                       F.count("bits_per_byte").alias("n")).collect()      # two for each language
-    by = {r.doc_id: r for r in rows if r.bits is not None}
+    # At three decimals a language has some thousand values, however many texts.
+    found = (found.withColumn("bits", F.round("bits_per_byte", 3)).filter("bits IS NOT NULL")
+             .groupBy("doc_id", "bits").agg(F.count(F.lit(1)).alias("n")))
+    rows = found.groupBy("doc_id").agg(F.percentile("bits", F.lit(share), F.col("n")).alias("bits"),
+                                       F.sum("n").alias("n")).collect()      # two for each language
+    by = {r.doc_id: r for r in rows}
     return {lang: by[2 * i + 1 if 2 * i + 1 in by and by[2 * i + 1].n >= texts // 4 else 2 * i].bits
             for i, lang in enumerate(model.langs) if 2 * i in by}
 
