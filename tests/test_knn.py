@@ -233,3 +233,19 @@ def test_lsh_candidates_fall_as_bits_grow(spark, vec):
                  .groupBy(F.col("buckets")[0].alias("b")).count().collect())
         shares.append(sum(r["count"] ** 2 for r in sizes) / n ** 2)
     assert shares[0] > 2 * shares[1] > 4 * shares[2]
+
+
+def test_small_blocks_grow_with_the_table(spark, vec, vec_np):
+    """Blocks of one row would send every item to every query: there are MOST_BLOCKS pairs of blocks at most."""
+    ids, mat, _ = vec_np
+    items = vec.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec")).filter(knn.rankable("item_vec"))
+    queries = items.filter("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), F.col("item_vec").alias("query_vec"))
+    n = knn._blocked_path(items, queries, 1, False, 1, 1).groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert len(ids) > knn.MOST_BLOCKS >= n
+    hits = knn.similarity_topk(items, queries, 4, block_rows=1, query_block_rows=1)
+    qids = [i for i in ids if i % 5 == 0]
+    assert as_dict(hits) == brute(ids, mat, qids, [mat[ids.index(i)] for i in qids], 4)
+    sizes = [(2_000, 20), (120_000, 1_200), (720_000, 7_200), (12_000_000, 120_000), (0, 5), (5, 0)]
+    rows = spark.createDataFrame(sizes, "n long, q long")
+    got = rows.select(*knn._block_counts(F.col("n"), F.col("q"), 250, 3)).collect()
+    assert [tuple(r) for r in got] == [(8, 7), (64, 1), (64, 1), (600, 6), (0, 2), (1, 0)]

@@ -13,12 +13,14 @@ Two physical paths compute the same answer:
   item partition is scanned once by ``mapInArrow`` and keeps a running top-k
   per query, so items are never shuffled and each partition emits at most
   ``k`` hits per query.
-* **blocked** -- the default, any size. Items and queries are grouped by category (or LSH
-  bucket), each group is cut into hash blocks of at most ``block_rows``
-  items and ``query_block_rows`` queries, and every (item block, query
-  block) pair of a group meets in one ``cogroup`` task. A hot group is
-  therefore spread over many tasks, memory per task is bounded, and only k
-  hits per query leave a task.
+* **blocked** -- the default, any size. Items and queries are grouped by category,
+  each group is cut into hash blocks of ``block_rows`` items and
+  ``query_block_rows`` queries, and every (item block, query block) pair of a
+  group meets in one ``cogroup`` task. A hot group is therefore spread over
+  many tasks, and only k hits per query leave a task. Every query block takes
+  a copy of all items, so small blocks are kept only while they make
+  ``MOST_BLOCKS`` pairs at most: beyond that blocks grow with the group, up to
+  ``BLOCK_ROWS`` and ``QUERY_BLOCK_ROWS``, which bound a task's memory.
 
 Both end with a per-query ``row_number() <= k`` over the candidate hits.
 """
@@ -46,6 +48,7 @@ MAX_BROADCAST_MASK = 50_000_000   # queries x allowed groups in the broadcast fi
 # of each (about 72 MB per side at 448 dimensions in float64).
 BLOCK_ROWS = 20_000
 QUERY_BLOCK_ROWS = 20_000
+MOST_BLOCKS = 64   # pairs of blocks of a group, as long as blocks are smaller than that
 _CELLS_PER_CHUNK = 4_000_000  # query x item distances held at once in a task
 
 
@@ -238,6 +241,16 @@ def _hit_schema_from(qtable: pa.Table, items: DataFrame) -> T.StructType:
     ])
 
 
+def _block_counts(n_items: Column, n_queries: Column, block_rows: int, query_block_rows: int) -> tuple[Column, Column]:
+    """Numbers of item and of query blocks of a group."""
+    def count(n: Column, rows: int, full: int, most: Column) -> Column:
+        return F.greatest(F.ceil(n / F.lit(max(rows, full))), F.least(F.ceil(n / F.lit(rows)), most)).cast("int")
+    ib_n = count(n_items, block_rows, BLOCK_ROWS, F.lit(MOST_BLOCKS))
+    # Item blocks first: they cost copies of the queries, which are the smaller side.
+    room = F.greatest(F.floor(F.lit(MOST_BLOCKS) / F.greatest(ib_n, F.lit(1))), F.lit(1))
+    return ib_n, count(n_queries, query_block_rows, QUERY_BLOCK_ROWS, room)
+
+
 def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
                   block_rows: int, query_block_rows: int) -> DataFrame:
     schema = _hit_schema(queries, items)
@@ -247,10 +260,8 @@ def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
         items = items.select("item_id", "item_vec", "group")
         n_items = items.groupBy("group").agg(F.count(F.lit(1)).alias("n_items"))
         n_queries = qx.groupBy("group").agg(F.count(F.lit(1)).alias("n_queries"))
-        blocks = (n_items.join(n_queries, "group")
-                  .select("group",
-                          F.ceil(F.col("n_items") / F.lit(block_rows)).cast("int").alias("ib_n"),
-                          F.ceil(F.col("n_queries") / F.lit(query_block_rows)).cast("int").alias("qb_n")))
+        ib_n, qb_n = _block_counts(F.col("n_items"), F.col("n_queries"), block_rows, query_block_rows)
+        blocks = n_items.join(n_queries, "group").select("group", ib_n.alias("ib_n"), qb_n.alias("qb_n"))
         items_j = items.join(blocks, "group")
         queries_j = qx.join(blocks, "group")
     else:
@@ -260,10 +271,9 @@ def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
         queries_j = queries.select("query_id", "query_vec", F.lit(0).alias("group"))
         n_items = items_j.select(F.count(F.lit(1))).scalar()
         n_queries = queries_j.select(F.count(F.lit(1))).scalar()
-        items_j = items_j.withColumn("ib_n", F.ceil(n_items / F.lit(block_rows)).cast("int")) \
-                         .withColumn("qb_n", F.ceil(n_queries / F.lit(query_block_rows)).cast("int"))
-        queries_j = queries_j.withColumn("ib_n", F.ceil(n_items / F.lit(block_rows)).cast("int")) \
-                             .withColumn("qb_n", F.ceil(n_queries / F.lit(query_block_rows)).cast("int"))
+        ib_n, qb_n = _block_counts(n_items, n_queries, block_rows, query_block_rows)
+        items_j = items_j.withColumn("ib_n", ib_n).withColumn("qb_n", qb_n)
+        queries_j = queries_j.withColumn("ib_n", ib_n).withColumn("qb_n", qb_n)
     items_b = (items_j
                .withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("ib_n")).cast("int"))
                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_n") - 1)))
