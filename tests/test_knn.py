@@ -249,3 +249,30 @@ def test_small_blocks_grow_with_the_table(spark, vec, vec_np):
     rows = spark.createDataFrame(sizes, "n long, q long")
     got = rows.select(*knn._block_counts(F.col("n"), F.col("q"), 250, 3)).collect()
     assert [tuple(r) for r in got] == [(8, 7), (64, 1), (64, 1), (600, 6), (0, 2), (1, 0)]
+
+
+def test_lsh_equals_a_join_of_buckets_without_one(spark):
+    """Repeated ids, repeated rows and null ids; no join of candidates in the plan."""
+    rng = np.random.default_rng(3)
+    data = [(int(i) % 90, [float(x) for x in rng.standard_normal(8)]) for i in range(120)]
+    data += data[:20] + [(None, data[0][1]), (200, None), (201, [0.0] * 8)]
+    items = spark.createDataFrame(data, "item_id long, item_vec array<float>")
+    queries = items.filter("item_id IS NULL OR item_id % 10 = 0").toDF("query_id", "query_vec")
+    approx = knn.lsh_topk(items, queries, 6, dim=8, n_tables=3, n_bits=3, seed=5)
+    planes = knn.hyperplanes(8, 3, 3, 5)
+    rows = [(i, np.array(v, np.float32).astype(float)) for i, v in data if i is not None and v is not None and any(v)]
+    buckets = {}
+    for i, v in rows:
+        for t in range(3):
+            buckets.setdefault(i, set()).add((t, tuple(planes[t] @ v >= 0)))
+    want = {}
+    for q, a in rows:
+        if q % 10 == 0:
+            want.setdefault(q, []).extend(
+                (float(knn._round6(np.array([max(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), 0.0)]))[0]), i)
+                for i, b in rows if buckets[q] & buckets[i])
+    assert as_dict(approx) == {q: sorted(hits)[:6] for q, hits in want.items()}
+    assert "Join" not in approx._jdf.queryExecution().optimizedPlan().toString()
+    names = spark.createDataFrame([(f"n{i}", v) for i, v in data[:90]], "item_id string, item_vec array<float>")
+    named = knn.lsh_topk(names, names.toDF("query_id", "query_vec"), 2, dim=8)
+    assert named.filter("rank = 1 AND query_id = item_id AND distance = 0").count() == 90

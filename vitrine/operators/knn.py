@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
-from vitrine.functions.vectors import cosine_distance, round6, vector_fault
-from vitrine.session import materialize, ship_package
+from vitrine.functions.vectors import vector_fault
+from vitrine.session import ship_package
 
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -49,6 +49,7 @@ MAX_BROADCAST_MASK = 50_000_000   # queries x allowed groups in the broadcast fi
 BLOCK_ROWS = 20_000
 QUERY_BLOCK_ROWS = 20_000
 MOST_BLOCKS = 64   # pairs of blocks of a group, as long as blocks are smaller than that
+LSH_BLOCK_ROWS = 2_000   # of few items: candidates are compared in many tasks
 _CELLS_PER_CHUNK = 4_000_000  # query x item distances held at once in a task
 
 
@@ -252,7 +253,8 @@ def _block_counts(n_items: Column, n_queries: Column, block_rows: int, query_blo
 
 
 def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
-                  block_rows: int, query_block_rows: int) -> DataFrame:
+                  block_rows: int, query_block_rows: int, planes: np.ndarray | None = None) -> DataFrame:
+    """Hits of every pair of blocks; with ``planes`` of those pairs alone that share an LSH bucket."""
     schema = _hit_schema(queries, items)
     if grouped:
         qx = queries.select("query_id", "query_vec",
@@ -274,14 +276,19 @@ def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
         ib_n, qb_n = _block_counts(n_items, n_queries, block_rows, query_block_rows)
         items_j = items_j.withColumn("ib_n", ib_n).withColumn("qb_n", qb_n)
         queries_j = queries_j.withColumn("ib_n", ib_n).withColumn("qb_n", qb_n)
+    more = []
+    if planes is not None:      # hashed once, before the copies are made
+        items_j = with_lsh_buckets(items_j, "item_vec", planes)
+        queries_j = with_lsh_buckets(queries_j, "query_vec", planes)
+        more = ["buckets"]
     items_b = (items_j
                .withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("ib_n")).cast("int"))
                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_n") - 1)))
-               .select("group", "ib", "qb", "item_id", "item_vec"))
+               .select("group", "ib", "qb", "item_id", "item_vec", *more))
     queries_b = (queries_j
                  .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qb_n")).cast("int"))
                  .withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("ib_n") - 1)))
-                 .select("group", "ib", "qb", "query_id", "query_vec"))
+                 .select("group", "ib", "qb", "query_id", "query_vec", *more))
     q_type = to_arrow_type(schema["query_id"].dataType)
     i_type = to_arrow_type(schema["item_id"].dataType)
 
@@ -292,7 +299,11 @@ def _blocked_path(items: DataFrame, queries: DataFrame, k: int, grouped: bool,
         _, x_mat = _matrix(item_tab.column("item_vec"))
         _, q_mat = _matrix(query_tab.column("query_vec"))
         x_ids = item_tab.column("item_id").to_numpy()
-        qi, ii, dd = block_topk(q_mat, x_ids, x_mat, k)
+        if planes is None:
+            qi, ii, dd = block_topk(q_mat, x_ids, x_mat, k)
+        else:
+            q_ids = query_tab.column("query_id").to_numpy()
+            qi, ii, dd = bucket_topk(q_ids, q_mat, _bucket_matrix(query_tab), x_ids, x_mat, _bucket_matrix(item_tab), k)
         return pa.table({"query_id": query_tab.column("query_id").take(pa.array(qi)),
                          "item_id": pa.array(ii, i_type), "distance": pa.array(dd, pa.float64())})
 
@@ -402,6 +413,49 @@ def with_lsh_buckets(df: DataFrame, vec: str, planes: np.ndarray, out: str = "bu
     return df.mapInArrow(run, schema)
 
 
+def _bucket_matrix(table: pa.Table) -> np.ndarray:
+    return _matrix(table.column("buckets"))[1].astype(np.int64)
+
+
+def _bucket_rows(ids: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct buckets, row numbers sorted by bucket, where each bucket's rows begin and the last ones end): a row is
+    in the buckets of every row of its id."""
+    _, of = np.unique(ids, return_inverse=True)
+    by_id = np.argsort(of, kind="stable")
+    size = np.bincount(of)
+    n_ids, first = len(size), np.cumsum(size) - size
+    found, code = np.unique(buckets, return_inverse=True)
+    pair = np.unique(code.reshape(-1) * n_ids + of)
+    bucket, one = pair // n_ids, pair % n_ids
+    n = size[one]
+    rows = by_id[np.repeat(first[one], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    begin = np.searchsorted(np.repeat(bucket, n), np.arange(len(found) + 1))
+    return found, rows, begin
+
+
+def bucket_topk(q_ids: np.ndarray, q_mat: np.ndarray, q_buckets: np.ndarray, x_ids: np.ndarray, x_mat: np.ndarray,
+                x_buckets: np.ndarray, k: int):
+    """As ``block_topk``, of the pairs that share a bucket in any table (a column of the buckets): the k nearest of each
+    bucket are ranked together, a pair found by several tables once."""
+    order = np.argsort(x_ids, kind="stable")
+    x_ids, x_mat, x_buckets = x_ids[order], x_mat[order], x_buckets[order]
+    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
+    for t in range(q_buckets.shape[1]):
+        x_found, x_rows, x_begin = _bucket_rows(x_ids, x_buckets[:, t])
+        q_found, q_rows, q_begin = _bucket_rows(q_ids, q_buckets[:, t])
+        _, at, to = np.intersect1d(q_found, x_found, assume_unique=True, return_indices=True)
+        parts = [best]
+        for a, b in zip(at, to):
+            q, x = q_rows[q_begin[a]:q_begin[a + 1]], np.sort(x_rows[x_begin[b]:x_begin[b + 1]])
+            # Rows are numbered by id: the number breaks ties as the id does.
+            qi, xi, dd = block_topk(q_mat[q], x, x_mat[x], k)
+            parts.append((q[qi], xi, dd))
+        qi, xi, dd = (np.concatenate(c) for c in zip(*parts))
+        _, one = np.unique(qi * len(x_ids) + xi, return_index=True)
+        best = select_topk(qi[one], xi[one], dd[one], k)
+    return best[0], x_ids[best[1]], best[2]
+
+
 def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
              n_tables: int = 20, n_bits: int = 4, seed: int = 7,
              item_id: str = "item_id", item_vec: str = "item_vec",
@@ -409,10 +463,11 @@ def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
     """Approximate top-k: exact distances only among items sharing a bucket.
 
     Each vector gets one bucket per hash table; a query's candidates are the
-    items in any of its buckets. Items are scanned and hashed once and only
-    (id, bucket) rows are written and joined; a pair found by several tables
-    is one candidate, and vectors are fetched for candidates alone. AQE splits
-    a hot bucket's join.
+    items in any of its buckets. Items are scanned and hashed once and dealt to
+    the blocks of the blocked path with their buckets; queries go to every item
+    block, and there a query is compared with the rows of its buckets alone. A
+    pair found by several tables counts once. Candidates are never shuffled,
+    only k hits of a query and block are; a hot bucket is spread over all blocks.
 
     A table has 2**n_bits buckets, so a query meets about N / 2**n_bits items
     in each: let ``n_bits`` grow with the logarithm of the catalogue to keep
@@ -421,17 +476,9 @@ def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, dim: int,
     if k < 1:
         raise ValueError("k must be at least 1")
     planes = hyperplanes(dim, n_tables, n_bits, seed)
-    it = items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec")).filter(rankable("item_vec", dim))
+    it = (items.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("item_vec"))
+          .filter(F.col("item_id").isNotNull() & rankable("item_vec", dim)))
     qs = (queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-          .filter(rankable("query_vec", dim)))
-
-    def buckets(df: DataFrame, key: str, vec: str) -> DataFrame:
-        return (with_lsh_buckets(df, vec, planes, "b").select(key, F.posexplode("b").alias("t", "bucket"))
-                .select(key, (F.col("t").cast("long") * F.lit(1 << n_bits) + F.col("bucket")).alias("group")))
-
-    signatures = materialize(buckets(it, "item_id", "item_vec"), "lsh-signatures")
-    pairs = buckets(qs, "query_id", "query_vec").join(signatures, "group").select("query_id", "item_id").distinct()
-    hits = (pairs.join(qs, "query_id").join(it, "item_id")
-            .select("query_id", "item_id", round6(cosine_distance(F.col("query_vec"), F.col("item_vec"))).alias("distance"))
-            .filter(F.col("distance").isNotNull()))
+          .filter(F.col("query_id").isNotNull() & rankable("query_vec", dim)))
+    hits = _blocked_path(it, qs, k, False, LSH_BLOCK_ROWS, QUERY_BLOCK_ROWS, planes)
     return _final_topk(hits, k)
